@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, repetition, urls
+from . import chat, decontaminate, licenses, mixing, repetition, substrings, suffixarrays, urls
 from .text import read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.removal(read_table(spark, d, "documents"))
+
+
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return suffixarrays.removal(read_table(spark, d, "documents"))
+
+
 def op4(spark: SparkSession, d: str) -> DataFrame:
     return urls.judge(read_table(spark, d, "pages"), URL_RULES)
 
@@ -40,6 +48,8 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": op2,
+        "op3_suffix_array_dedup": op3,
         "op4_url_filters": op4,
         "op5_benchmark_decontamination": op5,
         "op7_source_mixing": op7,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, repetition, substrings, suffixarrays, urls
+from . import chat, decontaminate, licenses, mixing, quality, repetition, substrings, suffixarrays, urls
 from .text import read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -27,6 +28,13 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.report(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
 
 
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    out = quality.score(docs, quality.train(*quality.split(docs, labels)))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
@@ -52,6 +60,7 @@ def queries() -> dict:
         "op3_suffix_array_dedup": op3,
         "op4_url_filters": op4,
         "op5_benchmark_decontamination": op5,
+        "op6_quality_classifier": op6,
         "op7_source_mixing": op7,
         "op8_chat_formatting": op8,
         "op9_license_scans": op9,

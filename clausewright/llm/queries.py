@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, quality, repetition, substrings, suffixarrays, urls
+from . import chat, decontaminate, jaccard, licenses, mixing, quality, repetition, substrings, suffixarrays, urls
 from .text import read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.links(read_table(spark, d, "documents"))
+
+
 def op2(spark: SparkSession, d: str) -> DataFrame:
     return substrings.removal(read_table(spark, d, "documents"))
 
@@ -56,6 +60,7 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": op1,
         "op2_substring_dedup": op2,
         "op3_suffix_array_dedup": op3,
         "op4_url_filters": op4,

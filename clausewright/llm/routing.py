@@ -170,6 +170,26 @@ def unpack6(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Fixed-size items byte by byte: all first bytes, all second ones, so that equal high bytes pack away in the shuffle."""
+    return np.ascontiguousarray(np.frombuffer(x.tobytes(), np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
+def unplane(b: bytes, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(dtype.itemsize, -1).T).tobytes(), dtype)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Rising numbers as their steps."""
+    step = x.astype(np.uint64)
+    step[1:] -= x[:-1].astype(np.uint64)
+    return planes(step.astype("<u8"))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unplane(b, np.dtype("<u8")), dtype=np.uint64)
+
+
 def _by_shard(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(n + 1))
@@ -197,11 +217,11 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
             keys.append(key)
         keys, count = np.unique(np.concatenate(keys), return_counts=True)
         shard = (keys % U(n_shards)).astype(np.int64)
-        out = [(s, g, pack6(keys[i]), np.minimum(count[i], 255).astype(np.uint8).tobytes()) for s, i in _by_shard(shard, n_shards)]
+        out = [(s, g, pack_sorted(keys[i]), np.minimum(count[i], 255).astype(np.uint8).tobytes()) for s, i in _by_shard(shard, n_shards)]
         return _table(out, ["_route_s", "_route_g", "keys", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        keys = [unpack6(x) for x in table["keys"].to_pylist()]
+        keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
         if not keys:
             return _table([], ["_route_g", "keys"])
         every = np.concatenate(keys)
@@ -210,7 +230,7 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
         total = np.bincount(at, weights=counts)[at]
         coded, shared = (every << U(1)) | (total >= most), total >= 2
         ends = np.cumsum([len(k) for k in keys])
-        out = [(g, pack6(coded[b - len(k) : b][shared[b - len(k) : b]])) for g, k, b in zip(table["_route_g"].to_pylist(), keys, ends)]
+        out = [(g, pack_sorted(coded[b - len(k) : b][shared[b - len(k) : b]])) for g, k, b in zip(table["_route_g"].to_pylist(), keys, ends)]
         return _table([x for x in out if x[1]], ["_route_g", "keys"])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -218,7 +238,7 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
         if not left.num_rows or not right.num_rows:
             return _table([], names)
         g = left["_route_g"][0].as_py()
-        coded = np.sort(unpack6(b"".join(right["keys"].to_pylist())))
+        coded = np.sort(np.concatenate([unpack_sorted(x) for x in right["keys"].to_pylist()]))
         known, hot = coded >> U(1), (coded & U(1)).astype(bool)
         group, metas, places = Group(left, text_col, w), [], []
         for part, row, start, local, place, n, key in group.runs():
@@ -237,7 +257,7 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
                 key = np.where(is_hot, (whole[local] >> U(POS)) | U(1 << 43), key)
             meta = np.zeros(len(row), ASK)
             meta["key"], meta["row"], meta["start"], meta["n"], meta["doc"] = key, row, start, n, group.ids[row]
-            meta["same"] = mix(whole[local] + mix(whole[local + n - 1] + n.astype(np.uint64)))
+            meta["same"] = mix(whole[local] + mix(whole[local + n - 1] + n.astype(np.uint64))) >> U(16)  # only compared under one anchor
             metas.append(meta)
             places.append(place)
         if not metas:
@@ -259,7 +279,7 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
         for s, i in _by_shard((m["key"] % U(n_shards)).astype(np.int64), n_shards):
             own = i[m["has"][i] == 1]
             body = units[_ranges(place[own], m["n"][own].astype(np.int64) + w.width - 1)]
-            out.append((s, g, m[i].tobytes(), pack6(body) if w.unit == "word" else body.tobytes(), b""))
+            out.append((s, g, planes(m[i]), pack6(body) if w.unit == "word" else body.tobytes(), b""))
         return _table(out, names)
 
     def judge(table: pa.Table) -> pa.Table:
@@ -268,7 +288,7 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
             if spans:
                 out.append((g, spans))
             if asks:
-                metas.append(np.frombuffer(asks, ASK))
+                metas.append(unplane(asks, ASK))
                 bodies.append(body)
                 froms.append(g)
         if metas:

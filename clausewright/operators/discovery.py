@@ -75,7 +75,7 @@ def discovered_schema(chunks: DataFrame, key: str = "doc_id", confidence: float
     fields = labels.groupBy(key, "record_type").agg(
         F.sort_array(F.collect_list(F.struct("raw_label", "inferred_type", F.lit(confidence).alias("confidence"), F.array("example_value").alias("example_values")))).alias("fields")
     )
-    entities = entity_stats(chunks, key).join(fields, [key, "record_type"], "left")
+    entities = entity_stats(chunks, key).join(fields, [key, "record_type"], "full").fillna(0, ["unique_records"])
     entity = F.struct(F.upper("record_type").alias("discovered_label"), F.col("unique_records").alias("record_count"), F.coalesce("fields", F.array().cast(fields.schema["fields"].dataType)).alias("fields"))
     out = entities.groupBy(key).agg(F.sort_array(F.collect_list(entity)).alias("entities"), F.sum("unique_records").alias("total_records_estimated"))
     values = F.flatten(F.transform("entities", lambda e: F.transform(e["fields"], lambda f: f["confidence"])))

@@ -31,6 +31,8 @@ from .text import BYTE_HASH, Slice, U, cut, mix
 BITS = 18
 MAX_TRAIN = 6000
 BYTE_GRAMS = (1, 2, 3)
+#: Labels (16 bytes each) are broadcast up to this many rows; beyond, texts and labels are dealt out by id.
+BROADCAST_LABELS = 1_000_000
 
 
 def features(s: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +175,8 @@ def split(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = M
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
     few = [known.where(F.col("label") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_train // 2) for k in (0, 1)]
     sample = texts.join(F.broadcast(few[0].unionByName(few[1])), "_id")  # at most max_train rows
-    return texts.join(known, "_id"), sample
+    few_labels = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return texts.join(F.broadcast(known) if few_labels else known.hint("merge"), "_id"), sample
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -95,6 +95,7 @@ def merged_order(units: np.ndarray, off: np.ndarray, width: int, n_blocks: int =
     if len(used) > 255:
         raise ValueError("more than 255 different bytes: not UTF-8")
     cuts = np.unique(np.searchsorted(start, np.linspace(0, len(sym), n_blocks + 1)[:-1]))
+    cuts = cuts[cuts < len(start)]
     blocks = []
     for a, b in zip(cuts, np.append(cuts[1:], len(start))):
         lo, hi = start[a], start[b] if b < len(start) else len(sym)

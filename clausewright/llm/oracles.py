@@ -60,24 +60,30 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+def _gram(n: int) -> str:
+    """The n-gram from each word on; null near the end of the text."""
+    return "concat(" + ", ' ', ".join(["w", *(f"lead(w, {j}) OVER o" for j in range(1, n))]) + f"), lead(i, {n - 1}) OVER o AS z"
+
+
 def _coverage(n: int) -> str:
     return (
-        f"l{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {n - 1}], ' ') ORDER BY i) > 1 AS later FROM u WHERE i + {n - 1} <= len(ws)), "
-        f"k{n} AS (SELECT u.doc_id, length(w) AS n, max(CASE WHEN later THEN 1 ELSE 0 END) OVER (PARTITION BY u.doc_id ORDER BY u.i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM u LEFT JOIN l{n} USING (doc_id, i)), "
+        f"a{n} AS (SELECT doc_id, i, w, {_gram(n).replace('), lead', ') AS g, lead')} FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)), "
+        f"l{n} AS (SELECT doc_id, i, w, z IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, z IS NULL, g ORDER BY i) > 1 AS later FROM a{n}), "
+        f"k{n} AS (SELECT doc_id, length(w) AS n, max(CASE WHEN later THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM l{n}), "
         f"c{n} AS (SELECT doc_id, sum(CASE WHEN inside = 1 THEN n ELSE 0 END) AS c{n} FROM k{n} GROUP BY 1)"
     )
 
 
 REPETITION = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
-u AS (SELECT doc_id, ws, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
 ln AS (SELECT doc_id, line, k, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again, length(array_to_string(regexp_extract_all(line, '{WORD}'), '')) AS n
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM d) WHERE regexp_matches(line, '{WORD}')),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup, coalesce(sum(n) FILTER (again), 0) AS dup_chars FROM ln GROUP BY 1),
-t5 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) > 1 AS twice FROM u WHERE i + 4 <= len(ws)),
+{", ".join(_coverage(n) for n in MAX_COVERAGE)},
+t5 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) > 1 AS twice FROM a5 WHERE z IS NOT NULL),
 r5 AS (SELECT u.doc_id, max(CASE WHEN twice THEN 1 ELSE 0 END) OVER (PARTITION BY u.doc_id ORDER BY u.i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS inside FROM u LEFT JOIN t5 USING (doc_id, i)),
 rep AS (SELECT doc_id, sum(inside) AS n_rep FROM r5 GROUP BY 1),
-{", ".join(_coverage(n) for n in MAX_COVERAGE)},
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM d),
 f AS (SELECT b.*, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words,
   n_words < 10 OR 100 * coalesce(n_rep, 0) > 20 * n_words AS base_failed,

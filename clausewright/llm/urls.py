@@ -30,6 +30,8 @@ LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 #: (rule, verdict): host, from the first slash on the path's prefix.
 Rules = Sequence[tuple[str, str]]
 CHAINED_RULES = 64
+#: The table of hosts meets the pages by broadcast up to this many rows.
+BROADCAST_HOSTS = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -99,4 +101,5 @@ def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str
     by_host = counts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
     by_host = by_host.select("host", F.round(F.coalesce("trust", F.lit(0.0)), 12).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 12).alias("distrust"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow"))
-    return ruled.join(by_host, "host", "left").select("page_id", "host", "path", "rule", "trust", "distrust", verdict.alias("verdict"))
+    few = by_host.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    return ruled.join(F.broadcast(by_host) if few else by_host, "host", "left").select("page_id", "host", "path", "rule", "trust", "distrust", verdict.alias("verdict"))

@@ -107,3 +107,27 @@ def quantification(a: Column, description: Column) -> Column:
     outcome = truthy(a, "exception_threshold") | truthy(a, "consequence") | truthy(a, "escalation")
     hundredths = F.when(number, 10).otherwise(0) + F.when(unit, 5).otherwise(0) + F.when(outcome, 5).otherwise(0)
     return hundredths / F.lit(100.0)
+
+
+def canonical_normalized(a: Column, rule_type: Column) -> Column:
+    """Map of the canonical fields that have a value to their texts: older names resolved, listed values lower-cased, optional fields copied."""
+    out = F.lit(None).cast("map<string,string>")
+    for name, (required, optional) in CANONICAL.items():
+        pairs = []
+        for f in required:
+            value = _canonical_value(a, f)
+            allowed = ENUMS.get(name, {}).get(f)
+            if allowed:
+                value = F.when(F.lower(value).isin(*allowed), F.lower(value)).otherwise(value)
+            pairs.append(F.struct(F.lit(f).alias("key"), value.alias("value")))
+        pairs += [F.struct(F.lit(f).alias("key"), field(a, f).alias("value")) for f in optional]
+        kept = F.filter(F.array(*pairs), lambda x: x["value"].isNotNull())
+        out = F.when(rule_type == name, F.map_from_entries(kept)).otherwise(out)
+    return out
+
+
+def _canonical_value(a: Column, name: str) -> Column:
+    older = F.lit(None).cast("string")
+    for x in reversed(LEGACY.get(name, ())):
+        older = F.when(present(a, x), field(a, x)).otherwise(older)
+    return F.when(has_value(a, name), field(a, name)).otherwise(older)

@@ -386,7 +386,29 @@ t AS (SELECT *, CASE f """ + " ".join(f"WHEN {q(k)} THEN {v[0]}" for k, v in dim
 _avg = f"'avg_confidence=' || {fixed('avg', 3)} || ' < '"
 LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"
 
+
+
+def canonical_value(f: str) -> str:
+    older = "NULL"
+    for x in reversed(dims.LEGACY.get(f, ())):
+        older = f"CASE WHEN {jt(x)} IS NOT NULL THEN {js(x)} ELSE {older} END"
+    return f"(CASE WHEN {has(f)} THEN {js(f)} ELSE {older} END)"
+
+
+_n_canonical = "CASE rule_type " + " ".join(f"WHEN {q(n)} THEN " + " + ".join([*(f"({canonical_value(f)} IS NOT NULL)::INT" for f in req), *(f"({js(f)} IS NOT NULL)::INT" for f in opt)]) for n, (req, opt) in dims.CANONICAL.items()) + " ELSE -1 END"
+_metric = canonical_value("metric_type")
+
 SQL: dict[str, str] = {
+    "extractable_chunks": f"WITH {CHUNKS} SELECT doc_id, record_type, count(*) AS n FROM c WHERE chunk_type = 'table' AND record_type IS NOT NULL GROUP BY ALL",
+    "schema_hashes": "SELECT p_partkey, 'schema-' || substr(sha256(concat_ws('|', p_name, p_brand, p_type)), 1, 12) AS schema_version FROM part",
+    "reconciled_coverage": "SELECT c_custkey, round(CASE WHEN c_custkey % 11 > c_custkey % 7 AND c_custkey % 13 > 0 THEN 1 - (c_custkey % 11) / (c_custkey % 13) ELSE (c_custkey % 101) / 100 END, 6) AS coverage_ratio FROM customer",
+    "canonical_normalized": f"{REQ} SELECT k, CASE WHEN rule_type = 'data_quality_threshold' THEN CASE WHEN list_contains({lst(dims.ENUMS['data_quality_threshold']['metric_type'])}, lower({_metric})) THEN lower({_metric}) ELSE {_metric} END END AS metric_type, CASE WHEN rule_type = 'update_timeline' THEN {canonical_value('timeline_value')} END AS timeline_value, CASE WHEN rule_type = 'ownership_category' THEN {canonical_value('scope')} END AS scope, {_n_canonical} AS n FROM r",
+    "metadata_complete": f"{REQ} SELECT rule_type, count(*) AS complete, count(*) AS n FROM r GROUP BY 1",
+    "skip_records": f"{REQ} SELECT CASE k % 4 WHEN 1 THEN 'parse_error' WHEN 2 THEN 'no_extractable_content' ELSE 'llm_error' END AS skip_reason, count(*) AS n, count(DISTINCT source_chunk_id) AS chunks FROM r WHERE k % 4 > 0 GROUP BY 1",
+    "error_classes": "SELECT CASE event_id % 6 WHEN 0 THEN 'API_OVERLOADED' WHEN 1 THEN 'RATE_LIMIT' WHEN 2 THEN 'AUTH_FAILED' WHEN 3 THEN 'INVALID_RESPONSE' ELSE 'OTHER' END AS error_type, event_id % 6 NOT IN (2, 5) AS is_retryable, count(*) AS n FROM events GROUP BY ALL",
+    "manifest_entries": "SELECT o_orderkey, 'Part ' || o_orderkey || ' - ' || strftime(o_orderdate, '%Y-%m-%d %H:%M') AS label, strftime(o_orderdate, '%Y-%m-%dT%H:%M:00') AS timestamp FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'requirements_Part_' || o_orderkey, NULL FROM orders WHERE o_orderkey % 3 = 0",
+    "upsert_latest": "SELECT c_custkey::VARCHAR AS requirement_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0",
+    "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
     "normalize_text": r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS x FROM documents)
 SELECT doc_id, length(x)::INT AS n, sha256(x) AS sha FROM n""",
     "page_counters": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Pages ' || o_orderkey || ' of 900' END AS line FROM orders",

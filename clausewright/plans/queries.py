@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import error_class
 from ..functions import attributes as at
 from ..functions import control, grounding, ids, repair, score, text, verbs
 from ..operators import atomize, chunking, components, dedup, discovery, evaluate, gate, insights
+from ..sources import prompts, sinks
+from ..streaming import ingest
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -589,5 +592,84 @@ def export_rows(spark, d):
     return out.select(*[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in out.columns])
 
 
+# -- what surrounds the flow
+
+
+@query
+def extractable_chunks(spark, d):
+    return prompts.extractable(view(spark, d, views.CHUNKS)).groupBy("doc_id", "record_type").agg(F.count("*").alias("n"))
+
+
+@query
+def schema_hashes(spark, d):
+    return table(spark, d, "part").select("p_partkey", ids.schema_hash(F.concat_ws("|", "p_name", "p_brand", "p_type")).alias("schema_version"))
+
+
+@query
+def reconciled_coverage(spark, d):
+    k = F.col("c_custkey")
+    ratio, zero, listed, total = (k % 101) / 100, k % 7, k % 11, k % 13
+    return table(spark, d, "customer").select(k, F.round(evaluate.reconciled(ratio, zero, listed, total), 6).alias("coverage_ratio"))
+
+
+@query
+def canonical_normalized(spark, d):
+    m = at.canonical_normalized(F.col("a"), F.col("rule_type"))
+    return reqs(spark, d).select("k", F.element_at(m, "metric_type").alias("metric_type"), F.element_at(m, "timeline_value").alias("timeline_value"), F.element_at(m, "scope").alias("scope"), F.coalesce(F.size(m), F.lit(-1)).alias("n"))
+
+
+@query
+def metadata_complete(spark, d):
+    r = reqs(spark, d).withColumn("m", control.metadata(F.col("a"), F.col("rule_type"), F.col("rule_description")))
+    return r.groupBy("rule_type").agg(F.count_if(control.is_complete("m")).alias("complete"), F.count("*").alias("n"))
+
+
+@query
+def skip_records(spark, d):
+    """Batches that gave nothing: no response, a broken one, or an empty one."""
+    r = reqs(spark, d)
+    k = F.col("k")
+    members = r.select("doc_id", k.alias("batch_id"), F.lit(0).alias("ord"), F.col("source_chunk_id").alias("chunk_id"), F.lit("").alias("source_location"))
+    content = F.when(k % 4 == 1, F.lit("[1, ")).when(k % 4 == 2, F.lit("[]")).otherwise(F.concat(F.lit('[{"rule_type":"'), F.col("rule_type"), F.lit('"}]')))
+    items, status = atomize.parse_items(r.where(k % 4 != 3).select("doc_id", k.alias("batch_id"), content.alias("content")))
+    return atomize.skipped(members, status, atomize.requirements(items, members)).groupBy("skip_reason").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"))
+
+
+@query
+def error_classes(spark, d):
+    k = F.col("event_id")
+    said = F.element_at(F.array(*[F.lit(x) for x in ("HTTP 529 Overloaded", "status 429", "403 forbidden", "cannot parse JSON", "connection reset", "boom")]), (k % 6 + 1).cast("int"))
+    e = error_class(said)
+    return table(spark, d, "events").groupBy(e["error_type"].alias("error_type"), e["is_retryable"].alias("is_retryable")).agg(F.count("*").alias("n"))
+
+
+@query
+def manifest_entries(spark, d):
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("requirements_Part_"), k.cast("string"), F.when(k % 3 != 0, F.concat(F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd_HHmmss"), F.lit("_1b9e96d0"))).otherwise(""), F.lit(".json"))
+    m = sinks.manifest_entry(name)
+    return table(spark, d, "orders").select(k, m["label"].alias("label"), m["timestamp"].alias("timestamp"))
+
+
+@query
+def upsert_latest(spark, d):
+    r = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("requirement_id"), F.col("c_mktsegment").alias("v"))
+    new = r.where("CAST(requirement_id AS INT) % 3 = 0").withColumn("v", F.lit("new"))
+    return sinks.latest(r.where("CAST(requirement_id AS INT) % 2 = 0"), new)
+
+
+@query
+def event_windows(spark, d):
+    return ingest.event_counts(table(spark, d, "events"))
+
+
+@query
+def published_json(spark, d):
+    """The published form of requirements that passed all steps."""
+    r = reqs(spark, d).withColumns({"requirement_id": F.col("k").cast("string"), "source_location": F.lit("block 1"), "model_confidence": F.lit(0.7)})
+    kept, _ = atomize.validate_and_adjust(r)
+    return kept.select("k", F.length(sinks.output_json(kept)).alias("n"), F.from_json(sinks.output_json(kept), "rule_type string").getField("rule_type").alias("rule_type"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -127,9 +127,9 @@ def test_dedup_ratio_may_be_negative(spark):
 
 
 def test_connected(spark):
-    e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "u long, v long")
+    e = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(100, 101), (101, 102), (100, 100)], "u long, v long")
     got = {r["node"]: r["label"] for r in connected(e).collect()}
-    assert all(got[i] == 0 for i in range(21)) and got[101] == 100
+    assert all(got[i] == 0 for i in range(21)) and got[102] == 100 and len(got) == 24
 
 
 def test_sample_and_labels(spark):

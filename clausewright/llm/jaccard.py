@@ -39,9 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.graph import components, durable
 from .routing import FIRST
-from .session import durable
 from .text import Slice, U, cut, mix, windows, within
 
 WIDTH, THRESHOLD = 5, 0.8

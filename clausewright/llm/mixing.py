@@ -31,7 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import durable, uniform
+from ..operators.graph import durable
+from .session import uniform
 from .text import word_count
 
 BLOCK = 256

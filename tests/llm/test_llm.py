@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import chat, components, decontaminate, jaccard, licenses, mixing, quality, repetition, routing, substrings, suffixarrays, urls
+from clausewright.llm import chat, decontaminate, jaccard, licenses, mixing, quality, repetition, routing, substrings, suffixarrays, urls
 from clausewright.llm.text import Slice, cut, windows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,12 +104,6 @@ def test_jaccard_large_groups(spark, monkeypatch):
     assert [r["doc_id"] for r in jaccard.representatives(df).collect()] == [0]
 
 
-def test_components(spark):
-    e = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(50, 51), (51, 52), (50, 50)], "u long, v long")
-    got = {r["node"]: r["label"] for r in components.components(e).collect()}
-    assert all(got[i] == 0 for i in range(31)) and got[52] == 50 and len(got) == 34
-
-
 def test_overlap():
     a, b, c = (np.array(x, np.uint64) for x in ([1, 2, 3], [2, 3, 4], [9]))
     assert jaccard.overlap([a, b, c])[:2, :2].tolist() == [[2, 2], [2, 2]] and jaccard.overlap([a, b, c])[0, 2] == 0

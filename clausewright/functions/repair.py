@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from . import attributes as at
-from .text import first_match, lit_array
+from .text import first_match, lit_array, settled
 
 #: Fields repaired by the first row of which a word occurs in the description.
 BY_WORDS = {
@@ -69,7 +69,7 @@ def with_repair(df: DataFrame) -> DataFrame:
     repaired, rejected) and replaces a. Rows that were valid are left alone.
     """
     kind, d, a = F.col("rule_type"), F.col("rule_description"), F.col("a")
-    df = df.withColumn("missing_before", at.missing_fields(a, kind))
+    df = settled(df.withColumn("missing_before", at.missing_fields(a, kind)))
     bad = F.size("missing_before") > 0
     names = list(dict.fromkeys(f for required, _ in dims.ATTRIBUTES.values() for f in required))
     entries = [F.when(F.array_contains("missing_before", name), F.struct(F.lit(name).alias("key"), repaired_value(name, d, a).alias("value"))) for name in names]
@@ -83,7 +83,7 @@ def with_repair(df: DataFrame) -> DataFrame:
         F.struct(F.lit("_data_source_source").alias("key"), F.when(source.isNotNull(), F.lit('"inferred"')).alias("value")),
     )
     more = F.filter(inferred, lambda x: x["value"].isNotNull() & (x["value"] != ""))
-    df = df.withColumn("_fix", F.when(bad, F.concat(fixes, more)))
+    df = settled(df.withColumn("_fix", F.when(bad, F.concat(fixes, more))))
     df = df.withColumn("repaired_fields", F.coalesce(F.transform(F.filter("_fix", lambda x: F.array_contains("missing_before", x["key"])), lambda x: x["key"]), lit_array([])))
     # later keys of an object must not repeat earlier ones: old values of repaired keys go
     old = F.from_json(F.to_json(a), "map<string,string>")
@@ -94,7 +94,7 @@ def with_repair(df: DataFrame) -> DataFrame:
     kept = F.map_filter(F.try_variant_get(a, F.lit("$"), "map<string,variant>"), lambda k, _: ~F.exists("_fix", lambda x: x["key"] == k))
     base = F.when(clash, F.regexp_replace(F.to_json(kept), r"(?s)^\{|\}$", "")).otherwise(body)
     merged = F.concat(F.lit("{"), base, F.when((base != "") & (parts != ""), ",").otherwise(""), parts, F.lit("}"))
-    df = df.withColumn("a", F.when(F.size("_fix") > 0, F.try_parse_json(merged)).otherwise(a)).drop("_fix")
+    df = settled(df.withColumn("a", F.when(F.size("_fix") > 0, F.try_parse_json(merged)).otherwise(a)).drop("_fix"))
     df = df.withColumn("missing_fields", at.missing_fields(F.col("a"), kind))
     status = F.when(F.size("missing_before") == 0, "valid").when(F.size("missing_fields") == 0, "repaired").otherwise("rejected")
     return df.withColumn("schema_status", status)

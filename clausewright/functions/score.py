@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import attributes as at
 from . import grounding as gr
-from .text import fixed, half_up, score_tokens
+from .text import fixed, half_up, score_tokens, settled
 
 
 def with_evidence(df: DataFrame, description: str = "rule_description", grounded_in: str = "grounded_in", profile: gr.Profile = gr.LIVE) -> DataFrame:
@@ -50,7 +50,7 @@ def with_confidence(df: DataFrame, profile: gr.Profile = gr.LIVE) -> DataFrame:
     df = df.withColumn("raw_total", total.cast("double"))
     df = df.withColumns({"confidence": clamp(F.col("raw_total"), 2), "grounding_classification": gr.classify(F.col("grounding_match"), F.col("jaccard_score"), F.col("phrase_count"))})
     df = df.withColumn("requires_review", (F.col("grounding_classification") == "INFERENCE") & (F.col("jaccard_score") < 0.20))
-    return df.withColumn("rationale", rationale())
+    return settled(df.withColumn("rationale", rationale()))
 
 
 def clamp(x: Column, digits: int = 2) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import PAGE_PATTERN, STOP_WORDS
@@ -81,3 +81,13 @@ def half_up(x: Column, digits: int) -> Column:
 def fixed(x: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, rounded half up."""
     return F.round(x.cast("decimal(20,10)"), digits).cast(f"decimal(20,{digits})").cast("string")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows through a generator, below which no filter or projection moves.
+
+    Columns that many later expressions read are computed once; without it a
+    filter on one of them would carry copies of all that it is made of down to
+    the scan.
+    """
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")

@@ -145,7 +145,9 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text"
     if windows.limit(SET_WINDOWS + 1).count() <= SET_WINDOWS:
         rows = rows.withColumn("_hits", F.filter("_hits", lambda c: c["w"].isin(spelled)) if spelled else F.array().cast("array<struct<n:int,at:int,w:string>>"))
     if remove == "documents":
-        return rows.where(F.size("_hits") == 0).select(*names)
+        # through a generator, below which no filter moves: there it would repeat the hashes for each use of them
+        clean_rows = rows.select(*names, F.explode(F.array(F.size("_hits"))).alias("_n"))
+        return clean_rows.where("_n = 0").select(*names)
     pieces = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(GAP + WORD), F.lit(0))
     left = F.filter(pieces, lambda p, i: ~F.exists("_hits", lambda c: (i >= c["at"]) & (i < c["at"] + c["n"])))
     text = F.concat(F.array_join(left, ""), F.regexp_extract(F.col(f"`{text_col}`"), GAP + "$", 0))

@@ -30,6 +30,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text import trimmed
+
 START, END = "<|im_start|>", "<|im_end|>"
 # Fixed value: the split pattern of the public byte-level vocabulary.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -145,7 +147,7 @@ def format_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 2
         if state is not None:
             yield pa.RecordBatch.from_pylist([state.close()], arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def read_turns(text: str) -> Iterator[tuple[str, str]]:
@@ -186,7 +188,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if at is not None:
             yield _batch([_row(at)], kind)
 
-    return formatted.mapInArrow(run, schema)
+    return formatted.mapInArrow(trimmed(run), schema)
 
 
 def _row(at: dict) -> dict:

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is its set of shingles of ``width`` words (a shorter text is one
-shingle). Texts of equal sets are one node. The join finds all pairs of nodes
+shingle). Texts of equal sets are one node, told apart by a 63-bit key of two
+independent sums over the set. The join finds all pairs of nodes
 whose sets have a Jaccard similarity of ``threshold`` or more, in steps:
 
 1. every set gets ``COORDS`` minhash values; two sets agree on a coordinate with
@@ -41,12 +42,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable
 from .routing import FIRST
-from .text import Slice, U, cut, mix, windows, within
+from .text import Slice, U, cut, mix, trimmed, windows, within
 
 WIDTH, THRESHOLD = 5, 0.8
 COORDS, RUNS, LEVELS, SMALL, BLOCK = 64, 12, 4, 128, 1024
-#: Shingles of one block of an exact comparison.
-BLOCK_SHINGLES = 400_000
+#: Sets, and shingles, of one block of an exact comparison.
+EXACT, BLOCK_SHINGLES = 512, 400_000
+STRIP = 256
 _rng = np.random.default_rng(977)
 _XOR = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32)
 _MUL = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -106,10 +108,11 @@ def children(paths: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[n
 
 def _forest(near: np.ndarray) -> np.ndarray:
     """Least index of the component of each index, of a symmetric matrix of links."""
-    label = np.arange(len(near))
+    label = np.arange(len(near), dtype=np.int32)
     np.fill_diagonal(near, True)
     while True:
-        new = np.array([label[r].min() for r in near]) if len(near) < 64 else np.where(near, label[None, :], len(near)).min(axis=1)
+        strips = (near[i : i + STRIP] for i in range(0, len(near), STRIP))
+        new = np.concatenate([np.where(x, label[None, :], np.int32(len(near))).min(axis=1) for x in strips])
         new = new[new]
         if np.array_equal(new, label):
             return label
@@ -152,7 +155,7 @@ def candidates(nodes: DataFrame, threshold: float, runs: int, levels: int) -> Da
     at = nodes.select(F.explode(F.array(*roots)).alias("path"), "k", "sketch")
     small = None
     for level in range(1, levels + 1):
-        rows = durable(at.mapInArrow(descend, "path long, k long"))
+        rows = durable(at.mapInArrow(trimmed(descend), "path long, k long"))
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         sized = durable(rows.join(sizes, "path"))
         done = sized if level == levels else sized.where(F.col("n") <= SMALL)
@@ -188,7 +191,7 @@ def candidates(nodes: DataFrame, threshold: float, runs: int, levels: int) -> Da
             yield _pairs(found)
 
     dealt = units.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
-    return dealt.mapInArrow(brute, "u long, v long")
+    return dealt.mapInArrow(trimmed(brute), "u long, v long")
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -211,7 +214,7 @@ def overlap(sets: list[np.ndarray]) -> np.ndarray:
     if not len(column):
         return out
     column = np.cumsum(np.append(0, column[1:] != column[:-1]))
-    step = 4096
+    step = 2048
     edges = np.searchsorted(column, np.arange(0, column[-1] + 1 + step, step))
     for a, b in zip(edges[:-1], edges[1:]):
         if b > a:
@@ -241,7 +244,7 @@ def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, run
                 cells = [data[i].tobytes() if f else None for i, f in zip(at, full)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(set_keys(h, off)), pa.array(np.diff(off)), pa.array(cells, pa.binary())], ["doc_id", "id", "k", "n", "sketch"])
 
-    rows = durable(docs.mapInArrow(sketch, f"doc_id {kind}, id long, k long, n long, sketch binary"))
+    rows = durable(docs.mapInArrow(trimmed(sketch), f"doc_id {kind}, id long, k long, n long, sketch binary"))
     nodes = durable(rows.where("k >= 0").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     loose = components(candidates(nodes.select("k", "sketch"), threshold, runs, levels))
     exact = durable(_verify(docs, nodes, loose, width, threshold))
@@ -259,7 +262,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, thr
     """(u, v, links): for each set of a loose component its links per task, and an edge of the task's exact spanning forest or null."""
     member = nodes.select("k", "id", "members", "n").join(loose.withColumnRenamed("node", "k"), "k")
     size = member.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    of = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    of = F.greatest(F.ceil(F.col("c") / EXACT), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     member = member.join(size, "label").select("k", "id", "members", "label", of.alias("of"))
     texts = docs.select("id", "text").join(member, "id").select("text", "k", "members", "label", "of")
 
@@ -272,7 +275,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, thr
                 cells = pa.array([np.sort(h[off[i] : off[i + 1]]).tobytes() for i in ok], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(ok)) for c in (3, 4, 1, 2)), cells], ["label", "of", "k", "members", "set"])
 
-    ready = texts.mapInArrow(sets, "label long, of int, k long, members long, set binary")
+    ready = texts.mapInArrow(trimmed(sets), "label long, of int, k long, members long, set binary")
     ready = ready.withColumn("b", F.pmod(F.xxhash64("k"), F.col("of")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     units = ready.select("label", F.least("b", "j").alias("x"), F.greatest("b", "j").alias("y"), "b", "k", "members", "set")
 
@@ -285,9 +288,12 @@ def _verify(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, thr
                 members = g.column(5).to_numpy()[at]
                 cells = g.column(6).to_pylist()
                 own = [np.frombuffer(cells[i], np.uint64) for i in at]
-                both = overlap(own).astype(np.float64)
+                both = overlap(own)
                 size = np.array([len(x) for x in own], np.float64)
-                near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+                near = np.empty(both.shape, bool)
+                for i in range(0, len(k), STRIP):
+                    part = both[i : i + STRIP].astype(np.float64)
+                    near[i : i + STRIP] = part >= threshold * (size[i : i + STRIP, None] + size[None, :] - part) - 1e-9
                 np.fill_diagonal(near, False)
                 if g.column(1)[0].as_py() != g.column(2)[0].as_py():
                     near &= block[:, None] != block[None, :]  # pairs within a block have a task of their own
@@ -302,7 +308,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, thr
         if u:
             yield _counted(u, v, n)
 
-    return units.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y").mapInArrow(compare, "u long, v long, links long")
+    return units.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y").mapInArrow(trimmed(compare), "u long, v long, links long")
 
 
 def _counted(u: list, v: list, n: list) -> pa.RecordBatch:

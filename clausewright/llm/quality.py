@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BYTE_HASH, Slice, U, cut, mix
+from .text import BYTE_HASH, Slice, U, cut, mix, trimmed
 
 BITS = 18
 MAX_TRAIN = 6000
@@ -136,7 +136,7 @@ def train(labelled: DataFrame, sample: DataFrame, smooth: float = 1.0) -> Model:
         at = np.flatnonzero(total.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[0][at], rows[0])), pa.array(np.append(total[1][at], rows[1]))], ["feature", "c0", "c1"])
 
-    sums = labelled.select("text", "label").mapInArrow(counts, "feature long, c0 long, c1 long").groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    sums = labelled.select("text", "label").mapInArrow(trimmed(counts), "feature long, c0 long, c1 long").groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     got = sums.toPandas()  # at most one row per place
     n = got[got["feature"] == -1][["c0", "c1"]].to_numpy().reshape(-1)
     blank = Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 1.0, 0.0)
@@ -156,7 +156,7 @@ def train(labelled: DataFrame, sample: DataFrame, smooth: float = 1.0) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), batch.column(1).slice(a, b - a)], ["f", "label"])
 
     rows, y = [], []
-    for r in sample.mapInArrow(pick, "f binary, label int").toLocalIterator():
+    for r in sample.mapInArrow(trimmed(pick), "f binary, label int").toLocalIterator():
         rows.append(np.frombuffer(bytes(r["f"]), "<u4").astype(np.int64))
         y.append(1.0 if r["label"] else -1.0)
     order = sorted(range(len(y)), key=lambda i: (y[i], rows[i].tobytes()))  # whatever order they came in
@@ -190,4 +190,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 p = sent.value.score(s)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return docs.mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")

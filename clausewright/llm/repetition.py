@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import Slice, U, cut, mix, windows, within
+from .text import Slice, U, cut, mix, trimmed, windows, within
 
 #: Largest share of word characters inside n-grams that occurred before in the text.
 MAX_COVERAGE: Mapping[int, float] = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -107,7 +107,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lim
                 m = measure(s, **limits)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(m[x]) for x in names)], ["doc_id", *names])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {OUT}")
+    return docs.mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {OUT}")
 
 
 def keep(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
@@ -120,4 +120,4 @@ def keep(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

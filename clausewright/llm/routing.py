@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import shuffle_partitions
-from .text import BYTE_HASH, Slice, U, flat, mix, slices
+from .text import BYTE_HASH, Slice, U, flat, mix, release, slices
 
 GROUP_BYTES = 8 << 20
 HOT = 4096
 PIECE = 1 << 20
+#: Units that a method compares at once, where their anchors allow it.
+BATCH = {"word": 1 << 16, "byte": 1 << 18}
 POS = 21
 FIRST = -(1 << 63)
 ASK = np.dtype([("key", "<u8"), ("same", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("n", "<u2"), ("has", "u1")])
@@ -131,7 +133,7 @@ class Group:
         self.buf, self.off = flat(self.text)
 
     def parts(self) -> Iterator[tuple[int, Slice | None, np.ndarray, np.ndarray]]:
-        """(first row, words, unit hashes, unit offsets of the rows) of parts of about 2 MB."""
+        """(first row, words, unit hashes, unit offsets of the rows) of parts of about 1 MB."""
         for a, b in slices(self.off):
             buf, off = self.buf[self.off[a] : self.off[b]], self.off[a : b + 1] - self.off[a]
             if self.w.unit == "byte":
@@ -298,7 +300,9 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
     def done(left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, text_col, w)
         spans = np.frombuffer(b"".join(right["spans"].to_pylist()), SPAN) if right.num_rows else np.zeros(0, SPAN)
-        return finish(group, spans)
+        out = finish(group, spans)
+        release()
+        return out
 
     asked = dealt.groupBy("_route_g").applyInArrow(ask, "_route_s int, _route_g int, keys binary, counts binary")
     replies = asked.groupBy("_route_s").applyInArrow(count, "_route_g int, keys binary")
@@ -308,6 +312,7 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    release()  # a group is done
     kinds = [pa.int32() if n in ("_route_s", "_route_g") else pa.binary() for n in names]
     columns = zip(*rows) if rows else [[] for _ in names]
     return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
@@ -365,8 +370,8 @@ def _verdicts(metas: list[np.ndarray], bodies: list[bytes], froms: list[int], w:
     lengths = t_n[many] + w.width - 1
     load = np.concatenate([[0], np.cumsum(lengths)])
     a = 0
-    while a < len(many):  # whole anchors, about PIECE / 4 units at a time
-        b = int(np.searchsorted(load, load[a] + PIECE // 4, "right")) - 1
+    while a < len(many):  # whole anchors, about BATCH units at a time
+        b = int(np.searchsorted(load, load[a] + BATCH[w.unit], "right")) - 1
         k = np.searchsorted(cuts, b, "right") - 1
         b = int(cuts[k]) if b < len(many) else len(many)
         if b <= a:

@@ -96,7 +96,7 @@ def test_jaccard_large_groups(spark, monkeypatch):
         w = list(base)
         w[i % 60] = f"n{i}"
         rows.append((i, " ".join(w), "en", "a", 0))
-    for name, value in (("SMALL", 8), ("BLOCK", 16), ("BLOCK_SHINGLES", 3000)):
+    for name, value in (("SMALL", 8), ("BLOCK", 16), ("EXACT", 9), ("STRIP", 7), ("BLOCK_SHINGLES", 3000)):
         monkeypatch.setattr(jaccard, name, value)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(1)).withColumn("k", F.lit("clash"))
     got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.links(df).collect())

@@ -72,7 +72,7 @@ def test_flow(spark, tmp_path):
     assert all("source_text" not in p["grounding"] and p["metadata"]["source_chunk_id"].startswith("chunk-") for p in published)
     report = run.report.first()
     assert report["total_requirements"] == len(reqs) and 0 < report["coverage_ratio"] <= 1
-    assert run.skipped.count() > 0 and run.gate.first()["decision"] == "human_review"
+    assert run.skipped.count() == 0 and run.gate.first()["decision"] == "human_review"
     sinks.write_requirements(run.requirements, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == len(reqs)
     sinks.write_export(run.requirements, str(tmp_path / "csv"))

@@ -193,8 +193,9 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def _by_shard(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    shard = shard.astype(np.uint16) if n <= 1 << 16 else shard  # sorted by radix
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(n + 1))
+    cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=n)))
     for s in np.flatnonzero(np.diff(cuts)):
         yield int(s), order[cuts[s] : cuts[s + 1]]
 

@@ -140,10 +140,15 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text"
         raise ValueError(remove)
     rows, windows = judged(docs, items, n, text_col, item_id, item_text)
     names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = rows.select(*names, "_hits")
-    spelled = [r["w"] for r in windows.select("w").limit(SET_WINDOWS).collect()]
+    rows = rows.select(*names, "_hits", F.xxhash64(*names).alias("_key"))
     if windows.limit(SET_WINDOWS + 1).count() <= SET_WINDOWS:
+        spelled = [r["w"] for r in windows.select("w").collect()]  # at most SET_WINDOWS rows
         rows = rows.withColumn("_hits", F.filter("_hits", lambda c: c["w"].isin(spelled)) if spelled else F.array().cast("array<struct<n:int,at:int,w:string>>"))
+    else:
+        # rows of equal key may share what is confirmed: each still looks up its own words in it
+        said = rows.select("_key", F.explode_outer(F.array_distinct(F.transform("_hits", lambda c: c["w"]))).alias("w")).distinct()
+        ok = said.join(windows.select("w").distinct(), "w", "left_semi").groupBy("_key").agg(F.collect_set("w").alias("_ok"))
+        rows = rows.join(ok, "_key", "left").withColumn("_hits", F.filter("_hits", lambda c: F.array_contains(F.coalesce("_ok", F.array().cast("array<string>")), c["w"])))
     if remove == "documents":
         # through a generator, below which no filter moves: there it would repeat the hashes for each use of them
         clean_rows = rows.select(*names, F.explode(F.array(F.size("_hits"))).alias("_n"))

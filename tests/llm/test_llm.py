@@ -271,6 +271,18 @@ def test_decontamination(spark, docs, monkeypatch):
     assert decontaminate.report(empty(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("bound", [20_000, 2])
+def test_decontamination_verified(spark, monkeypatch, bound):
+    """Windows that differ in non-ASCII case only are candidates, not hits, on both sides of the bound."""
+    monkeypatch.setattr(decontaminate, "SET_WINDOWS", bound)
+    bench = spark.createDataFrame([(1, "das größte über den École alle"), (2, "one two three four five six")], "item_id long, text string")
+    rows = [(1, "vor DAS GRÖßTE ÜBER DEN éCOLE ALLE nach"), (2, "so one two THREE, four five end"), (3, "x das größte Über den École alle / two three four five six y"), (4, None), (5, "nothing"), (2, "so one two THREE, four five end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("w", F.lit("clash"))
+    assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench, n=5).collect()) == [1, 4, 5]
+    cut_text = sorted((r["doc_id"], r["text"] or "-") for r in decontaminate.clean(df, bench, n=5, remove="spans").collect())
+    assert cut_text == [(1, rows[0][1]), (2, "so end"), (2, "so end"), (3, "x das größte Über den École alle y"), (4, "-"), (5, "nothing")]
+
+
 # -- 6 classifier
 
 

@@ -6,6 +6,11 @@ licence texts by a hash join. The form and the digest are built-in JVM
 expressions, one narrow pass over the documents; the known table is a fixed
 list, so it may be broadcast while it has at most ``BROADCAST_ROWS`` rows.
 
+Known are the texts of ``KNOWN`` and of the files in ``license_texts`` (named by
+SPDX id, what follows a ``~`` tells variants apart), each as a whole, without
+its title and without what follows its terms. Whole texts are looked up: a
+notice or licence inside a longer text is not found.
+
 Defined cases: a null text counts as empty; an empty canonical form has no
 licence; repeated rows are each looked up; licences of equal digest resolve to
 the first name; an empty known table leaves every licence null.
@@ -13,7 +18,9 @@ the first name; an empty known table leaves every licence null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +59,13 @@ Permission is granted to anyone to use this software for any purpose, including
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
+#: How many lines of a file in license_texts, blank ones aside, are its title.
+TITLE_LINES = {
+    "Apache-2.0": 3, "Artistic-1.0-Perl": 1, "Artistic-2.0": 1, "BSL-1.0": 1, "BlueOak-1.0.0": 2, "CC0-1.0": 2, "GFDL-1.2": 2, "GFDL-1.3": 2, "GPL-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2,
+    "LGPL-2.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-1.1": 2, "MPL-2.0": 1, "Unicode-3.0": 1, "WTFPL": 2,
+}
+END = "END OF TERMS AND CONDITIONS"
+
 #: Each step is (pattern, replacement); the patterns mean the same in RE2 and in Java.
 STEPS = (
     (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", r"\n"),
@@ -76,8 +90,31 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(out, tail[0], tail[1])
 
 
-def known_digests(spark: SparkSession, known: Mapping[str, str] = KNOWN) -> DataFrame:
-    rows = spark.createDataFrame([(k, v) for k, v in known.items()], "license string, body string")
+def _variants(body: str, title_lines: int) -> set[str]:
+    """The text with and without its title, what follows its terms, and list numbers (BSD); with http or https."""
+    lines = body.strip().split("\n")
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    out = {body, "\n".join(lines[filled[title_lines] :])}
+    for x in list(out):
+        terms, end, _ = x.partition(END)
+        out |= {terms + end, terms}
+    if "Redistribution and use" in body:
+        out |= {re.sub(r"(?m)^\s*[0-9]\. ", "", x) for x in out}
+    return out | {x.replace("http://", "https://") for x in out} | {x.replace("https://", "http://") for x in out}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text): every form under which a known licence is looked up."""
+    out = {(k, x) for k, v in KNOWN.items() for x in _variants(v, 0)}
+    for f in (resources.files(__package__) / "license_texts").iterdir():
+        name = f.name.removesuffix(".txt").split("~")[0]
+        out |= {(name, x) for x in _variants(f.read_text("utf-8"), TITLE_LINES.get(name, 0))}
+    return sorted(out)
+
+
+def known_digests(spark: SparkSession, known: Mapping[str, str] | None = None) -> DataFrame:
+    """digest, license of the given texts, or of all known ones."""
+    rows = spark.createDataFrame(known_texts() if known is None else list(known.items()), "license string, body string")
     form = canonical(F.col("body"))
     return rows.where(form != "").groupBy(F.sha2(form, 256).alias("digest")).agg(F.min("license").alias("license"))
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from importlib import resources
 
 import numpy as np
 import pytest
@@ -389,6 +390,21 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), known).count() == 0
 
 
+def test_full_license_texts(spark):
+    """Files as they are published, with and without title and appendix."""
+    names = {k for k, _ in licenses.known_texts()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "Unlicense", "MIT", "ISC", "Zlib", "0BSD", "BSL-1.0"} <= names
+    texts = {f.name.removesuffix(".txt"): f.read_text() for f in (resources.files(licenses.__package__) / "license_texts").iterdir()}
+    apache, gpl, bsd = texts["Apache-2.0"], texts["GPL-3.0"], texts["BSD-3-Clause"]
+    rows = [(k, v) for k, v in texts.items()] + [
+        ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("Apache-2.0", apache[apache.index("TERMS AND") :].replace("[yyyy] [name of copyright owner]", "2020 Someone")), ("GPL-3.0", gpl.replace("https:", "http:")),
+        ("BSD-3-Clause", "Copyright (c) 2001, Someone\nAll rights reserved.\n\n" + re.sub(r"(?m)^[123]\.", "  *", bsd)), ("-", apache[: len(apache) // 2]), ("-", "a text. Released under the MIT License."),
+    ]
+    df = spark.createDataFrame([(i, k.split("~")[0], v) for i, (k, v) in enumerate(rows)], "doc_id long, want string, text string")
+    got = licenses.scan(df, licenses.known_digests(spark)).join(df, "doc_id").fillna("-", ["license"])
+    assert got.count() == len(rows) and [tuple(r) for r in got.where("license <> want").select("want", "license").collect()] == []
+
+
 # -- 10 quality rules
 
 

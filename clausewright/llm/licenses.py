@@ -1,6 +1,6 @@
 """Licence scans by canonical digests of entire texts.
 
-A text is put in canonical form (case, copyright lines, equivalent spellings,
+A text is put in canonical form (case, copyright statements, equivalent spellings,
 punctuation, spacing) and its SHA-256 is looked up among the digests of known
 licence texts by a hash join. The form and the digest are built-in JVM
 expressions, one narrow pass over the documents; the known table is a fixed
@@ -64,9 +64,20 @@ TITLE_LINES = {
     "Apache-2.0": 3, "Artistic-1.0-Perl": 1, "Artistic-2.0": 1, "BSL-1.0": 1, "BlueOak-1.0.0": 2, "CC0-1.0": 2, "GFDL-1.2": 2, "GFDL-1.3": 2, "GPL-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2,
     "LGPL-2.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-1.1": 2, "MPL-2.0": 1, "Unicode-3.0": 1, "WTFPL": 2,
 }
+# Titles that the licences which have none of their own are published under.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "(MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng license", "The zlib/libpng License", "zlib"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License', "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License", "The BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+}
 END = "END OF TERMS AND CONDITIONS"
 
-#: Each step is (pattern, replacement); the patterns mean the same in RE2 and in Java.
+#: Each step is (pattern, replacement); the patterns mean the same in RE2 and in Java. The first is that of the SQL, which takes
+#: any line that begins with the word or the sign (no line of the tables does); canonical() has STATEMENT in its place.
 STEPS = (
     (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", r"\n"),
     (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*", r"\n"),
@@ -76,10 +87,25 @@ STEPS = (
 )
 
 
+# What follows "copyright" in running text, where a line may break before the word.
+RUNNING = (
+    r"notices?|holders?|owners?|ownership|licen[cs]e[sd]?|laws?|interests?|statements?|lines?|disclaimers?|permissions?|treat(?:y|ies)|doctrines?|rights?|protect(?:ion|ed)|claims?|infringements?|materials?|works?|"
+    r"patents?|trademarks?|status|acts?|terms|information|symbols?|resulting|and|or|nor|on|in|of|to|for|with|from|under|at|as|also|are|is|was|were|has|have|if|that|which|those|each|shall|may|will|must|can|"
+    r"the (?:software|library|program|work|document)"
+)
+#: A copyright statement: the word or sign with the other, a year or a holder. "(c)" alone takes a year, since lists use it too.
+STATEMENT = (
+    r"(^|\n)[^a-z0-9\n]*(?:"
+    r"copyright[ \t:]*(?:\(c\)|©)|copyright[^a-z0-9\n]*(?:19|20)[0-9x]{2}|(?:(?:\(c\)|©)[ \t]*)?copyright[ \t]*:?[ \t]+(?![^a-z0-9\n]*(?:" + RUNNING + r")(?![a-z0-9]))[^ \t\n]|"
+    r"\(c\)[ \t]*(?:copyright[ \t]*)?[\[<{]?(?:year|yyyy|(?:19|20)[0-9x]{2})|©(?![ \t]*copyright)[ \t]*[^ \t\n]"
+    r")[^\n]*"
+)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form: lower-case words of letters and digits, one space between them."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    head, middle, tail = STEPS[:3], STEPS[3:-1], STEPS[-1]
+    head, middle, tail = ((STATEMENT, r"\n"), *STEPS[1:3]), STEPS[3:-1], STEPS[-1]
     for pattern, by in head:
         out = F.regexp_replace(out, pattern, by.replace(r"\n", "\n"))
     # one pass for all spellings: only texts that hold one of them go through the chain
@@ -106,9 +132,11 @@ def _variants(body: str, title_lines: int) -> set[str]:
 def known_texts() -> list[tuple[str, str]]:
     """(license, text): every form under which a known licence is looked up."""
     out = {(k, x) for k, v in KNOWN.items() for x in _variants(v, 0)}
+    out |= {(k, x.replace("and/or distribute", "and distribute")) for k, x in out if k == "ISC"}
     for f in (resources.files(__package__) / "license_texts").iterdir():
         name = f.name.removesuffix(".txt").split("~")[0]
         out |= {(name, x) for x in _variants(f.read_text("utf-8"), TITLE_LINES.get(name, 0))}
+    out |= {(k, f"{t}\n{x}") for k, x in out for t in TITLES.get(k, ())}
     return sorted(out)
 
 

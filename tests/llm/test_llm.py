@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 from importlib import resources
 
@@ -405,6 +406,26 @@ def test_full_license_texts(spark):
     assert got.count() == len(rows) and [tuple(r) for r in got.where("license <> want").select("want", "license").collect()] == []
 
 
+def test_wrapped_licenses(spark):
+    """Line breaks before the word copyright, titles and statements leave the digest alone."""
+    wrap = lambda text, n: "\n\n".join("\n".join(textwrap.wrap(p, n, break_on_hyphens=False, break_long_words=False)) for p in text.split("\n"))
+    isc = wrap(licenses.KNOWN["ISC"], 76)
+    assert "\ncopyright notice" in isc
+    said = r"(?i)copyright[ \t]*(\(c\)|©|\[yyyy)|all rights reserved"
+    rows = [(k, wrap(licenses.KNOWN[k], n)) for k in ("MIT", "ISC", "Zlib") for n in range(20, 110, 3)]
+    for f in (resources.files(licenses.__package__) / "license_texts").iterdir():
+        part = re.split(r"\n[ \t]*\n", f.read_text())
+        flat = "\n".join(p if re.search(said, p) else " ".join(p.split()) for p in part)
+        rows += [(f.name.removesuffix(".txt").split("~")[0], "\n".join(x if re.search(said, x) else wrap(x, n) for x in flat.split("\n"))) for n in (38, 60, 76)]
+    for line in ("Copyright (c) 2020, Someone", "Copyright 1999-2003 A, B", "(C) 1995 Jean and Mark", "© The Authors", "Copyright (c) npm, Inc.", "copyright The Go Authors. All rights reserved.", "# Copyright: Someone", "Copyright © 2001 X\nCopyright Y\n(c) Copyright 2002 Z", "Copyright [yyyy] [name of copyright owner]"):
+        rows += [("MIT", "MIT License\n\n" + line + "\n\n" + wrap(licenses.KNOWN["MIT"], 78)), ("ISC", "The ISC License\n\n" + line + "\n\n" + isc), ("Zlib", "zlib License\n\n" + line + "\n\n" + wrap(licenses.KNOWN["Zlib"], 70))]
+    rows += [("MIT", "The MIT License (MIT)\n\nCopyright (c) 2014 X\n\n" + wrap(licenses.KNOWN["MIT"].upper(), 60)), ("-", "copyright notice"), ("-", "copyright holders and others\n" + isc)]
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(rows)], "doc_id long, want string, text string")
+    got = licenses.scan(df, licenses.known_digests(spark)).join(df, "doc_id").fillna("-", ["license"])
+    assert [tuple(r) for r in got.where("license <> want").select("doc_id", "want", "license", "text").collect()] == []
+    assert got.where("text = 'copyright notice'").first()["canonical_words"] == 2
+
+
 # -- 10 quality rules
 
 

@@ -5,7 +5,8 @@ the share of allowed pages that a host holds, distrust by the share of blocked
 ones. Trust flows along links between hosts (personalised PageRank), distrust
 against them; a host is blocked where distrust outweighs trust. Links are
 counted per pair of hosts before anything is joined, so a host with a third of
-all pages is one row of the graph.
+all pages is one row of the graph. Rounds go on until no score moves by more than
+the tolerance, however long the paths.
 
 Mass that reaches a host without links is not dealt out again. Relative links
 stay on their host and are no edges.
@@ -17,6 +18,7 @@ rows are judged alike; with no rules every host is unreached and allowed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -64,8 +66,20 @@ def _joined(rows: DataFrame, rules: Rules) -> DataFrame:
     return rows.join(own, "host", "left").withColumn("best", best).withColumns({"rule": F.col("best.rule"), "rule_verdict": F.col("best.rule_verdict")}).drop("rules", "best")
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, iterations: int, tolerance: float) -> DataFrame:
-    """(host, score) from seeds (host, seed) along edges (src, dst, share)."""
+def rounds_needed(damping: float, tolerance: float) -> int:
+    """Rounds after which no score can move by more than the tolerance: round k moves at most (1 - damping) * damping^k in all."""
+    if not 0 <= damping < 1 or tolerance <= 0:
+        raise ValueError((damping, tolerance))
+    return 1 if damping * (1 - damping) <= tolerance else math.ceil(math.log(tolerance / (1 - damping)) / math.log(damping))
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, iterations: int | None, tolerance: float) -> DataFrame:
+    """(host, score) from seeds (host, seed) along edges (src, dst, share), until no score moves by more than the tolerance.
+
+    ``iterations`` bounds the rounds (default: what the tolerance can need); scores that still move then are an error.
+    """
+    # one more for rounding; the seeds sum to 1 at most
+    iterations = rounds_needed(damping, tolerance) + 1 if iterations is None else iterations
     scores = seeds.select("host", F.col("seed"), (F.lit(1 - damping) * F.col("seed")).alias("score"))
     scores = durable(scores)
     for _ in range(iterations):
@@ -81,10 +95,12 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, iterations: in
         scores = new.drop("was")
         if moved is None or moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"scores still moved by more than {tolerance} after {iterations} rounds")
     return scores.select("host", "score")
 
 
-def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, iterations: int = 10, tolerance: float = 1e-9) -> DataFrame:
+def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """One row per page: its id, host, path, rule, trust, distrust and verdict."""
     base = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     ruled = (_chained if len(rules) <= CHAINED_RULES else _joined)(base, rules)

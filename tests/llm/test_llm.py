@@ -233,6 +233,21 @@ def test_distrust_reversed(spark):
     assert got[2]["verdict"] == got[3]["verdict"] == "block" and got[2]["distrust"] == pytest.approx(0.15 * 0.85) and got[3]["distrust"] == pytest.approx(0.15 * 0.85**2)
 
 
+def test_long_paths_and_cycles(spark):
+    """A chain of 15 hosts in front of a blocked one, and a cycle of two, against the closed form; a bound that is too low is an error."""
+    link = lambda h: f'<a href="http://{h}/">'
+    rows = [(0, "http://spam.com/de/1", "")] + [(i, f"http://h{i}.net/", link(f"h{i - 1}.net" if i > 1 else "spam.com")) for i in range(1, 16)]
+    rows += [(20, "http://a.org/", link("b.info")), (21, "http://b.info/", link("a.org"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = (("com/de/", "block"), ("org/", "allow"))
+    got = {r["page_id"]: r for r in urls.judge(pages, rules).collect()}
+    for i in range(1, 16):
+        assert got[i]["verdict"] == "block" and got[i]["distrust"] == pytest.approx(0.15 * 0.85**i, abs=1e-8)
+    assert got[20]["trust"] == pytest.approx(0.15 / (1 - 0.85**2), abs=1e-8) and got[21]["trust"] == pytest.approx(0.85 * 0.15 / (1 - 0.85**2), abs=1e-8)
+    with pytest.raises(RuntimeError):
+        urls.judge(pages, rules, iterations=10)
+
+
 # -- 5 benchmark
 
 

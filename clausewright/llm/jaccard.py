@@ -231,7 +231,15 @@ def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, run
     class_id is the least id of the texts connected by links; n_links counts the
     other rows with a set of the given similarity, copies included.
     """
-    docs = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(FIRST)).alias("id"), docs[text_col].alias("text"))
+    out = _linked(docs, width, threshold, runs, levels, id_col, text_col, False)
+    own = F.coalesce("class_id", "id")
+    return out.select("doc_id", F.when(own != FIRST, own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_shingles").cast("long").alias("n_shingles"))
+
+
+def _linked(docs: DataFrame, width: int, threshold: float, runs: int, levels: int, id_col: str, text_col: str, tell: bool) -> DataFrame:
+    """The rows with id, n_shingles, class_id and n_links (null: no set); to tell also t, a hash of the text, and first, the least (id, t) of the class."""
+    docs = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(FIRST)).alias("id"), docs[text_col].alias("text"), *([F.xxhash64(docs[text_col]).alias("t")] if tell else []))
+    more = ["t"] if tell else []
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,20 +250,18 @@ def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, run
                 at = np.cumsum(np.diff(off) > 0) - 1
                 full = np.diff(off) > 0
                 cells = [data[i].tobytes() if f else None for i, f in zip(at, full)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(set_keys(h, off)), pa.array(np.diff(off)), pa.array(cells, pa.binary())], ["doc_id", "id", "k", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(set_keys(h, off)), pa.array(np.diff(off)), pa.array(cells, pa.binary()), *(batch.column(3).slice(a, b - a) for _ in more)], ["doc_id", "id", "k", "n", "sketch", *more])
 
-    rows = durable(docs.mapInArrow(trimmed(sketch), f"doc_id {kind}, id long, k long, n long, sketch binary"))
-    nodes = durable(rows.where("k >= 0").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    rows = durable(docs.mapInArrow(trimmed(sketch), f"doc_id {kind}, id long, k long, n long, sketch binary{', t long' if tell else ''}"))
+    nodes = durable(rows.where("k >= 0").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *([F.min(F.struct("id", "t")).alias("first")] if tell else [])))
     loose = components(candidates(nodes.select("k", "sketch"), threshold, runs, levels))
     exact = durable(_verify(docs, nodes, loose, width, threshold))
     classes = components(exact.where("v IS NOT NULL").select("u", "v"))
     count = exact.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "k")
-    named = nodes.join(classes.withColumnRenamed("node", "k"), "k", "left").select("k", "id", "members", F.coalesce("label", "k").alias("label"))
-    least = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    by_node = named.join(least, "label").join(count, "k", "left").select("k", "class_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "id", "k", F.col("n").alias("n_shingles")).join(by_node, "k", "left")
-    own = F.coalesce("class_id", "id")
-    return out.select("doc_id", F.when(own != FIRST, own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_shingles").cast("long").alias("n_shingles"))
+    named = nodes.join(classes.withColumnRenamed("node", "k"), "k", "left").select("k", "id", "members", F.coalesce("label", "k").alias("label"), *(["first"] if tell else []))
+    least = named.groupBy("label").agg(F.min("id").alias("class_id"), *([F.min("first").alias("least")] if tell else []))
+    by_node = named.join(least, "label").join(count, "k", "left").select("k", "class_id", *([F.col("least").alias("first")] if tell else []), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "id", "k", F.col("n").alias("n_shingles"), *more).join(by_node, "k", "left")
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -315,9 +321,12 @@ def _counted(u: list, v: list, n: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, n)], ["u", "v", "links"])
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose class has a row of a smaller id; repeated rows once."""
-    found = links(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
+    """``docs`` with one row of each class, that of the least id; of rows of one id in a class, any one text.
+
+    Rows are told apart by id and text, so ids may repeat or be null; repeated rows and rows without a set stay once.
+    """
+    found = _linked(docs, width, threshold, runs, levels, id_col, text_col, True)
+    gone = found.where(F.struct("id", "t") != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("t").alias("_gone_text")).distinct()
+    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text_col]) == F.col("_gone_text")), "left_anti")
     return kept.dropDuplicates([id_col, text_col])

@@ -106,6 +106,17 @@ def test_jaccard_large_groups(spark, monkeypatch):
     assert [r["doc_id"] for r in jaccard.representatives(df).collect()] == [0]
 
 
+def test_representatives(spark):
+    """One row of each class where ids repeat or are null, and no unique text lost."""
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (None, c), (None, c + " more"), (None, c), (3, c), (None, d), (4, e), (4, e + "\n"), (4, e), (2, None), (2, None), (None, None), (5, " "), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.representatives(df).collect())
+    assert max(got.values()) == 1 and {k for k in got if (k[1] or " ")[:20] not in (c[:20], e[:20])} == {(1, a), (2, b), (None, d), (2, None), (None, None), (5, " "), (6, "")}
+    assert [k[0] for k in got if (k[1] or "").startswith(c[:20])] == [None] and [k[0] for k in got if (k[1] or "").startswith(e[:20])] == [4]
+
+
 def test_overlap():
     a, b, c = (np.array(x, np.uint64) for x in ([1, 2, 3], [2, 3, 4], [9]))
     assert jaccard.overlap([a, b, c])[:2, :2].tolist() == [[2, 2], [2, 2]] and jaccard.overlap([a, b, c])[0, 2] == 0

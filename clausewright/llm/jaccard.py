@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable
-from .routing import FIRST
+from .session import FIRST
 from .text import Slice, U, cut, mix, trimmed, windows, within
 
 WIDTH, THRESHOLD = 5, 0.8

@@ -8,45 +8,60 @@ anchor. Consecutive windows with the same anchor form a run, one short
 segment of text. The plan:
 
 1. ask: each group of documents names its anchors, each once with its count;
-2. count: a shard sums them and tells each group which of its anchors occur
-   twice or more anywhere; all other windows are unique and go no further;
-3. send: each group sends the segments of those anchors, each distinct one
-   once with its earliest place in the group; later copies are decided there;
-4. decide: a shard compares the distinct segments of each anchor by the given
-   method and returns the windows that occur earlier, as ranges of starts;
+2. count: a bucket of shards sums them and tells each group which of its anchors
+   occur twice or more anywhere; all other windows are unique and go no further;
+3. send: each group sends the segments of those anchors, encoded by the method;
+   equal segments of a group are written once, with all of their places;
+4. decide: for each shard the method finds the least place of every window in
+   the segments that arrived; each place is compared with it, and the windows
+   that occur earlier return as ranges of starts;
 5. finish: each group takes its own ranges and reads off the result.
 
+Hashes only deal segments out and spare equal bytes on the way. Whether a window
+goes is read from the method (``Method.decide``) and from nothing else.
+
 Groups are dealt by a hash of the row and hold about ``GROUP_BYTES`` of text, so
-no key of the data decides their size. What a frequent passage sends is at most
-one copy of each segment per group. An anchor with ``HOT`` occurrences or more
-is split: its windows are dealt one by one by a hash of their whole content.
-Documents cross the network once (Spark reuses that exchange); nothing is
-gathered on the driver but two sums. All steps are deterministic, so lost
-executors are replaced by recomputation.
+no key of the data decides their size; there are as many tasks as groups, and as
+many as buckets. A bucket holds the shards of about ``BUCKET_BYTES`` of text and
+is one row per group that has something for it, so rows are at most groups times
+buckets, and never more than segments. An anchor with ``HOT`` occurrences or more
+is decided in two steps: each group runs the method over its own segments of it
+first, and sends only the windows that are the first in the group, one by one,
+dealt by a hash of their content. So a passage in a third of all documents
+reaches its shards once per group. Documents cross the network once (Spark reuses
+that exchange); nothing is gathered on the driver but a sum. All steps are
+deterministic, so lost executors are replaced by recomputation.
+
+Ids may be of any type that sorts; those that are not integers are replaced by
+their rank first (a sort and a join by id). Columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import shuffle_partitions
-from .text import BYTE_HASH, Slice, U, flat, mix, release, slices
+from .session import ranked, shuffle_partitions
+from .text import BYTE_HASH, Slice, Sums, U, flat, release, slices
 
 GROUP_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+#: Text for one shard, by unit; its segments are up to 1 + width / run as much.
+SHARD_BYTES = {"word": 1 << 18, "byte": 1 << 18}
 HOT = 4096
 PIECE = 1 << 20
-#: Units that a method compares at once, where their anchors allow it.
-BATCH = {"word": 1 << 16, "byte": 1 << 18}
 POS = 21
-FIRST = -(1 << 63)
-ASK = np.dtype([("key", "<u8"), ("same", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("n", "<u2"), ("has", "u1")])
+#: A run is at most width - gram + 1 windows: with one anchor they all hold it.
+TEXT = np.dtype([("shard", "<u2"), ("n", "<u2"), ("places", "<u4"), ("same", "<u8")])
+PLACE = np.dtype([("doc", "<i8"), ("row", "<u4"), ("start", "<u4")])
 SPAN = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "<u4")])
+NEVER = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -62,6 +77,21 @@ class Windows:
     own: bool
 
 
+class Method(Protocol):
+    """How equal windows are found among the segments of a shard. A segment of n windows takes lengths(n) bytes."""
+
+    def lengths(self, n: np.ndarray) -> np.ndarray: ...
+
+    def encode(self, units: np.ndarray, off: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct segments of one group, by shard (rising): their order within their shards, and their bytes in that order."""
+
+    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least (doc, start) of every window of every segment of a shard; NEVER where the method does not find the window.
+
+        Segments come by group (block, rising), as each was encoded, with their windows (n), least places (doc, start) and a hash (same).
+        """
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n consecutive values, by doubling."""
     parts, size, at = {1: h}, 1, h
@@ -125,7 +155,7 @@ class Group:
     """The documents of a group, in order of id and content."""
 
     def __init__(self, table: pa.Table, text_col: str, w: Windows):
-        ids, keys = table["_route_id"].to_numpy(), table["_route_key"].to_numpy()
+        ids, keys = table["r_id"].to_numpy(), table["r_key"].to_numpy()
         self.order = np.lexsort((keys, ids))
         self.table = table.take(pa.array(self.order))
         self.w, self.ids = w, ids[self.order]
@@ -200,103 +230,96 @@ def _by_shard(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(s), order[cuts[s] : cuts[s + 1]]
 
 
-#: Of the distinct segments of an anchor: (units of all, offsets, doc, start) to each window's earliest (doc, start).
-Decide = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Finish = Callable[[Group, np.ndarray], pa.Table]
 
 
-def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema, id_col: str = "doc_id", text_col: str = "text", most: int = HOT) -> DataFrame:
-    """Runs the plan. finish turns a group and its removed ranges (SPAN, in units) into rows of ``schema``."""
+def repeated(docs: DataFrame, w: Windows, method: Method, finish: Finish, schema: str, id_col: str, text_col: str, hot: int | None = None) -> DataFrame:
+    """Runs the plan. docs has plain column names; finish turns a group and its removed ranges (SPAN, in units) into rows of ``schema``."""
+    most = HOT if hot is None else hot
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(docs[text_col])), F.lit(0)).alias("b")).first()["b"]
     n_groups = max(shuffle_partitions(spark), -(-total // GROUP_BYTES))
-    n_shards = n_groups
+    n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
+    per_bucket = min(-(-total // (n_buckets * SHARD_BYTES[w.unit])) or 1, 1 << 15)
+    n_shards = n_buckets * per_bucket
     rk = F.xxhash64(docs[id_col], docs[text_col])
-    dealt = docs.withColumns({"_route_id": F.coalesce(docs[id_col].cast("long"), F.lit(FIRST)), "_route_key": rk, "_route_g": F.pmod(rk, F.lit(n_groups)).cast("int")})
+    dealt = ranked(docs, id_col, "r_id").withColumns({"r_key": rk, "r_g": F.pmod(rk, F.lit(n_groups)).cast("int")}).repartition(n_groups, "r_g")
 
     def ask(table: pa.Table) -> pa.Table:
-        g, keys = table["_route_g"][0].as_py(), [np.zeros(0, np.uint64)]
+        g, keys = table["r_g"][0].as_py(), [np.zeros(0, np.uint64)]
         for *_, key in Group(table, text_col, w).runs():
             keys.append(key)
         keys, count = np.unique(np.concatenate(keys), return_counts=True)
-        shard = (keys % U(n_shards)).astype(np.int64)
-        out = [(s, g, pack_sorted(keys[i]), np.minimum(count[i], 255).astype(np.uint8).tobytes()) for s, i in _by_shard(shard, n_shards)]
-        return _table(out, ["_route_s", "_route_g", "keys", "counts"])
+        bucket = (keys % U(n_shards)).astype(np.int64) // per_bucket
+        out = [(s, g, pack_sorted(keys[i]), np.minimum(count[i], 255).astype(np.uint8).tobytes()) for s, i in _by_shard(bucket, n_buckets)]
+        return _table(out, ["r_s", "r_g", "keys", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
         if not keys:
-            return _table([], ["_route_g", "keys"])
+            return _table([], ["r_g", "keys"])
         every = np.concatenate(keys)
         counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
         _, at = np.unique(every, return_inverse=True)
         total = np.bincount(at, weights=counts)[at]
         coded, shared = (every << U(1)) | (total >= most), total >= 2
         ends = np.cumsum([len(k) for k in keys])
-        out = [(g, pack_sorted(coded[b - len(k) : b][shared[b - len(k) : b]])) for g, k, b in zip(table["_route_g"].to_pylist(), keys, ends)]
-        return _table([x for x in out if x[1]], ["_route_g", "keys"])
+        out = [(g, pack_sorted(coded[b - len(k) : b][shared[b - len(k) : b]])) for g, k, b in zip(table["r_g"].to_pylist(), keys, ends)]
+        return _table([x for x in out if x[1]], ["r_g", "keys"])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["_route_s", "_route_g", "asks", "body", "spans"]
+        names = ["r_s", "r_g", "texts", "places", "body", "spans"]
         if not left.num_rows or not right.num_rows:
             return _table([], names)
-        g = left["_route_g"][0].as_py()
+        g = left["r_g"][0].as_py()
         coded = np.sort(np.concatenate([unpack_sorted(x) for x in right["keys"].to_pylist()]))
-        known, hot = coded >> U(1), (coded & U(1)).astype(bool)
-        group, metas, places = Group(left, text_col, w), [], []
+        known, is_hot = coded >> U(1), (coded & U(1)).astype(bool)
+        group, found = Group(left, text_col, w), []
         for part, row, start, local, place, n, key in group.runs():
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            ok = known[at] == key
-            row, start, local, place, n, key, is_hot = row[ok], start[ok], local[ok], place[ok], n[ok], key[ok], hot[at[ok]]
-            if not len(row):
-                continue
-            whole = grams(part, w.width)
-            if is_hot.any():  # one by one, dealt by the whole window
-                run = np.concatenate([np.flatnonzero(~is_hot), each := np.repeat(np.flatnonzero(is_hot), n[is_hot])])
-                step = np.zeros(len(run), np.int64)
-                step[len(run) - len(each) :] = np.arange(len(each)) - np.repeat(np.cumsum(n[is_hot]) - n[is_hot], n[is_hot])
-                row, start, local, place, n, key, is_hot = row[run], start[run] + step, local[run] + step, place[run] + step, n[run], key[run], is_hot[run]
-                n = np.where(is_hot, 1, n)
-                key = np.where(is_hot, (whole[local] >> U(POS)) | U(1 << 43), key)
-            meta = np.zeros(len(row), ASK)
-            meta["key"], meta["row"], meta["start"], meta["n"], meta["doc"] = key, row, start, n, group.ids[row]
-            meta["same"] = mix(whole[local] + mix(whole[local + n - 1] + n.astype(np.uint64))) >> U(16)  # only compared under one anchor
-            metas.append(meta)
-            places.append(place)
-        if not metas:
+            ok = np.flatnonzero(known[at] == key)
+            if len(ok):
+                sums, local, n, hot_ok = Sums(part), local[ok], n[ok], is_hot[at[ok]]
+                each = _ranges(local[hot_ok], n[hot_ok])  # windows of frequent anchors
+                found.append((row[ok], start[ok], place[ok], n, (key[ok] % U(n_shards)).astype(np.int64), sums.hashes(local, local + n + w.width - 1), hot_ok, sums.hashes(each, each + w.width)))
+        if not found:
             return _table([], names)
-        m, place = np.concatenate(metas), np.concatenate(places)
-        order = np.lexsort((m["start"], m["doc"], m["same"], m["key"]))
-        m, place = m[order], place[order]
-        lead = _leads(m)
-        head = np.maximum.accumulate(np.where(lead, np.arange(len(m)), 0))
-        later = m["doc"] > m["doc"][head]
-        if w.own:
-            later |= (m["doc"] == m["doc"][head]) & (m["start"] > m["start"][head])
-        m["has"] = lead
-        spans = np.zeros(int(later.sum()), SPAN)
-        for f in ("row", "start", "n"):
-            spans[f] = m[f][later]
-        m, place, units = m[~later], place[~later], group.units()
-        out = [(g % n_shards, g, b"", b"", merge_spans(spans).tobytes())]
-        for s, i in _by_shard((m["key"] % U(n_shards)).astype(np.int64), n_shards):
-            own = i[m["has"][i] == 1]
-            body = units[_ranges(place[own], m["n"][own].astype(np.int64) + w.width - 1)]
-            out.append((s, g, planes(m[i]), pack6(body) if w.unit == "word" else body.tobytes(), b""))
+        row, start, place, n, shard, same, hot_run = (np.concatenate([x[k] for x in found]) for k in range(7))
+        units, spans = group.units(), np.zeros(0, SPAN)
+        if hot_run.any():
+            window, h = np.concatenate([x[-1] for x in found]), np.flatnonzero(hot_run)
+            gone, at, step = _first(units, row[h], start[h], place[h], n[h], same[h], group.ids, w, method)
+            spans = merge_spans(gone)
+            keep, run = np.flatnonzero(~hot_run), h[at]
+            first = window[(np.cumsum(n[h]) - n[h])[at] + step]
+            row, start, place = (np.concatenate([x[keep], x[run] + y]) for x, y in ((row, 0), (start, step), (place, step)))
+            n, shard, same = np.concatenate([n[keep], np.ones(len(run), np.int64)]), np.concatenate([shard[keep], ((first >> U(POS)) % U(n_shards)).astype(np.int64)]), np.concatenate([same[keep], first])
+        del found
+        m, text = _texts(row, start, place, n, shard, same, group.ids)
+        text, m, body = _encoded(text, m, units, w, method)
+        out = [(g % n_buckets, g, b"", b"", b"", spans.tobytes())] if len(spans) else []
+        ends, load = np.append(0, np.cumsum(text["places"])), np.append(0, np.cumsum(method.lengths(text["n"])))
+        bucket = text["shard"] // per_bucket
+        cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(text))
+        for a, b in zip(cut[:-1], cut[1:]):
+            head = np.zeros(b - a, TEXT)
+            for f in ("n", "places", "same"):
+                head[f] = text[f][a:b]
+            head["shard"] = text["shard"][a:b] - bucket[a] * per_bucket
+            out.append((int(bucket[a]), g, planes(head), planes(m[ends[a] : ends[b]]), body[load[a] : load[b]].tobytes(), b""))
         return _table(out, names)
 
     def judge(table: pa.Table) -> pa.Table:
-        out, metas, bodies, froms = [], [], [], []
-        for g, asks, body, spans in zip(*(table[c].to_pylist() for c in ("_route_g", "asks", "body", "spans"))):
+        out, rows = [], []
+        for g, texts, places, body, spans in zip(*(table[c].to_pylist() for c in ("r_g", "texts", "places", "body", "spans"))):
             if spans:
                 out.append((g, spans))
-            if asks:
-                metas.append(unplane(asks, ASK))
-                bodies.append(body)
-                froms.append(g)
-        if metas:
-            out += list(_verdicts(metas, bodies, froms, w, decide))
-        return _table(out, ["_route_g", "spans"])
+            if texts:
+                rows.append((g, unplane(texts, TEXT), unplane(places, PLACE), body))
+        rows.sort(key=lambda x: x[0])  # one order, however the rows arrived
+        if rows:
+            out += [(g, s.tobytes()) for g, s in _verdicts(rows, w, method)]
+        return _table(out, ["r_g", "spans"])
 
     def done(left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, text_col, w)
@@ -305,16 +328,16 @@ def repeated(docs: DataFrame, w: Windows, decide: Decide, finish: Finish, schema
         release()
         return out
 
-    asked = dealt.groupBy("_route_g").applyInArrow(ask, "_route_s int, _route_g int, keys binary, counts binary")
-    replies = asked.groupBy("_route_s").applyInArrow(count, "_route_g int, keys binary")
-    sent = dealt.groupBy("_route_g").cogroup(replies.groupBy("_route_g")).applyInArrow(send, "_route_s int, _route_g int, asks binary, body binary, spans binary")
-    verdicts = sent.groupBy("_route_s").applyInArrow(judge, "_route_g int, spans binary")
-    return dealt.groupBy("_route_g").cogroup(verdicts.groupBy("_route_g")).applyInArrow(done, schema)
+    asked = dealt.groupBy("r_g").applyInArrow(ask, "r_s int, r_g int, keys binary, counts binary").repartition(n_buckets, "r_s")
+    replies = asked.groupBy("r_s").applyInArrow(count, "r_g int, keys binary").repartition(n_groups, "r_g")
+    sent = dealt.groupBy("r_g").cogroup(replies.groupBy("r_g")).applyInArrow(send, "r_s int, r_g int, texts binary, places binary, body binary, spans binary").repartition(n_buckets, "r_s")
+    verdicts = sent.groupBy("r_s").applyInArrow(judge, "r_g int, spans binary").repartition(n_groups, "r_g")
+    return dealt.groupBy("r_g").cogroup(verdicts.groupBy("r_g")).applyInArrow(done, schema)
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     release()  # a group is done
-    kinds = [pa.int32() if n in ("_route_s", "_route_g") else pa.binary() for n in names]
+    kinds = [pa.int32() if n in ("r_s", "r_g") else pa.binary() for n in names]
     columns = zip(*rows) if rows else [[] for _ in names]
     return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
@@ -324,11 +347,57 @@ def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _leads(m: np.ndarray) -> np.ndarray:
-    """Flags of the first of each distinct segment, in sorted order."""
-    lead = np.ones(len(m), bool)
-    lead[1:] = (m["same"][1:] != m["same"][:-1]) | (m["key"][1:] != m["key"][:-1])
-    return lead
+def _texts(row: np.ndarray, start: np.ndarray, place: np.ndarray, n: np.ndarray, shard: np.ndarray, same: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places by segment, in order of place; and the distinct segments of a group, by shard."""
+    order = np.lexsort((start, ids[row], n, same, shard))
+    row, start, n, shard, same = row[order], start[order], n[order], shard[order], same[order]
+    lead = np.ones(len(row), bool)
+    lead[1:] = (same[1:] != same[:-1]) | (shard[1:] != shard[:-1]) | (n[1:] != n[:-1])
+    head = np.flatnonzero(lead)
+    m = np.zeros(len(row), PLACE)
+    m["doc"], m["row"], m["start"] = ids[row], row, start
+    text = np.zeros(len(head), np.dtype([("shard", "<i8"), ("n", "<i8"), ("places", "<i8"), ("same", "<u8"), ("first", "<i8"), ("at", "<i8")]))
+    text["shard"], text["n"], text["same"], text["first"], text["at"] = shard[head], n[head], same[head], head, place[order][head]
+    text["places"] = np.diff(np.append(head, len(row)))
+    return m, text
+
+
+def _encoded(text: np.ndarray, m: np.ndarray, units: np.ndarray, w: Windows, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order, body = method.encode(units[_ranges(text["at"], text["n"] + w.width - 1)], np.append(0, np.cumsum(text["n"] + w.width - 1)), text["shard"])
+    return text[order], m[_ranges(text["first"][order], text["places"][order])], body
+
+
+def _gone(best_doc: np.ndarray, best_start: np.ndarray, doc: np.ndarray, start: np.ndarray, own: bool) -> np.ndarray:
+    gone = best_doc < doc
+    return gone | ((best_doc == doc) & (best_start < start)) if own else gone
+
+
+def _occurrences(m: np.ndarray, n: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments with n windows and some places each: place, step and window of every occurrence of a window."""
+    per, base = np.repeat(n, places), np.repeat(np.cumsum(n) - n, places)
+    step = _ranges(np.zeros(len(m), np.int64), per)
+    return np.repeat(np.arange(len(m)), per), step, np.repeat(base, per) + step
+
+
+def _first(units: np.ndarray, row: np.ndarray, start: np.ndarray, place: np.ndarray, n: np.ndarray, same: np.ndarray, ids: np.ndarray, w: Windows, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The method over the runs of one group: windows that occur earlier in it (SPAN), and (run, step) of the first ones."""
+    m, text = _texts(row, start, place, n, np.zeros(len(row), np.int64), same, ids)
+    text, m, body = _encoded(text, m, units, w, method)
+    first = m[np.cumsum(text["places"]) - text["places"]]
+    best_doc, best_start = method.decide(body, text["n"], np.zeros(len(text), np.int64), text["same"], first["doc"], first["start"].astype(np.int64))
+    each, step, win = _occurrences(m, text["n"], text["places"])
+    at = m["start"][each].astype(np.int64) + step
+    gone = _gone(best_doc[win], best_start[win], m["doc"][each], at, w.own)
+    spans = np.zeros(int(gone.sum()), SPAN)
+    spans["row"], spans["start"], spans["n"] = m["row"][each[gone]], at[gone], 1
+    # of those that stay, rows of one id repeat each other: one of each is sent, and its row stands for itself only
+    stay = np.flatnonzero(~gone)
+    run = np.empty(len(m), np.int64)
+    key = m["row"].astype(np.int64) << 32 | m["start"].astype(np.int64)
+    given = row.astype(np.int64) << 32 | start.astype(np.int64)
+    by = np.argsort(given)
+    run = by[np.searchsorted(given[by], key)]
+    return spans, run[each[stay]], step[stay]
 
 
 def merge_spans(spans: np.ndarray) -> np.ndarray:
@@ -345,57 +414,34 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verdicts(metas: list[np.ndarray], bodies: list[bytes], froms: list[int], w: Windows, decide: Decide) -> Iterator[tuple[int, bytes]]:
-    meta = np.concatenate(metas)
-    g = np.repeat(np.array(froms), [len(m) for m in metas])
-    units = unpack6(b"".join(bodies)) if w.unit == "word" else np.frombuffer(b"".join(bodies), np.uint8)
-    lens = np.where(meta["has"] == 1, meta["n"].astype(np.int64) + w.width - 1, 0)
-    begin = np.cumsum(lens) - lens
-    order = np.lexsort((meta["start"], meta["doc"], 1 - meta["has"], meta["same"], meta["key"]))
-    m = meta[order]
-    lead = _leads(m)
-    # one text per distinct segment; leaders carry a body and the earliest place of those that do
-    text_of = np.cumsum(lead) - 1
-    head = np.flatnonzero(lead)
-    t_begin, t_n, t_key = begin[order][head], m["n"][head].astype(np.int64), m["key"][head]
-    t_doc, t_start = m["doc"][head].copy(), m["start"][head].astype(np.int64)
-    # windows of all texts: the earliest place so far is that of their own text
-    w_off = np.concatenate([[0], np.cumsum(t_n)])
-    w_text = np.repeat(np.arange(len(head)), t_n)
-    best_doc, best_start = t_doc[w_text], t_start[w_text] + np.arange(len(w_text)) - w_off[w_text]
-    key_new = np.ones(len(head), bool)
-    key_new[1:] = t_key[1:] != t_key[:-1]
-    size = np.diff(np.append(np.flatnonzero(key_new), len(head)))
-    many = np.flatnonzero(np.repeat(size, size) > 1)  # anchors with one distinct segment are decided
-    cuts = np.flatnonzero(np.r_[True, t_key[many][1:] != t_key[many][:-1]]) if len(many) else np.zeros(0, np.int64)
-    lengths = t_n[many] + w.width - 1
-    load = np.concatenate([[0], np.cumsum(lengths)])
-    a = 0
-    while a < len(many):  # whole anchors, about BATCH units at a time
-        b = int(np.searchsorted(load, load[a] + BATCH[w.unit], "right")) - 1
-        k = np.searchsorted(cuts, b, "right") - 1
-        b = int(cuts[k]) if b < len(many) else len(many)
-        if b <= a:
-            nxt = np.searchsorted(cuts, a, "right")
-            b = int(cuts[nxt]) if nxt < len(cuts) else len(many)
-        t = many[a:b]
-        n = lengths[a:b]
-        off = np.concatenate([[0], np.cumsum(n)])
-        win = _ranges(w_off[t], t_n[t])
-        best_doc[win], best_start[win] = decide(units[_ranges(t_begin[t], n)], off, t_doc[t], t_start[t])
-        a = b
-    # every occurrence, window by window
-    n = m["n"].astype(np.int64)
-    each = np.repeat(np.arange(len(m)), n)
-    step = _ranges(np.zeros(len(m), np.int64), n)
-    win = w_off[text_of[each]] + step
-    start = m["start"][each].astype(np.int64) + step
-    gone = best_doc[win] < m["doc"][each]
-    if w.own:
-        gone |= (best_doc[win] == m["doc"][each]) & (best_start[win] < start)
-    each, start = each[gone], start[gone]
-    spans = np.zeros(len(each), SPAN)
-    spans["row"], spans["start"], spans["n"] = m["row"][each], start, 1
-    owner = g[order][each]
-    for x in np.unique(owner):
-        yield int(x), merge_spans(spans[owner == x]).tobytes()
+def _verdicts(rows: list[tuple[int, np.ndarray, np.ndarray, bytes]], w: Windows, method: Method) -> Iterator[tuple[int, np.ndarray]]:
+    """rows: group, segments, places and body. Shard by shard, the windows of each group that occur earlier."""
+    text, m = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+    source = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    body = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+    n, places = text["n"].astype(np.int64), text["places"].astype(np.int64)
+    size = method.lengths(n)
+    begin, at = np.cumsum(size) - size, np.cumsum(places) - places
+    order = np.argsort(text["shard"], kind="stable")
+    shard = text["shard"][order]
+    cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        t = order[a:b]
+        first = m[at[t]]
+        best_doc, best_start = method.decide(body[_ranges(begin[t], size[t])], n[t], source[t], text["same"][t], first["doc"], first["start"].astype(np.int64))
+        mine = m[_ranges(at[t], places[t])]
+        each, step, win = _occurrences(mine, n[t], places[t])
+        start = mine["start"][each].astype(np.int64) + step
+        gone = np.flatnonzero(_gone(best_doc[win], best_start[win], mine["doc"][each], start, w.own))
+        spans = np.zeros(len(gone), np.dtype([("source", "<u4"), ("row", "<u4"), ("start", "<u4")]))
+        spans["source"], spans["row"], spans["start"] = np.repeat(source[t], places[t])[each[gone]], mine["row"][each[gone]], start[gone]
+        found.append(spans)
+    spans = np.concatenate(found)
+    spans = spans[np.argsort(spans["source"], kind="stable")]
+    cuts = np.searchsorted(spans["source"], np.arange(len(rows) + 1))
+    for k in np.flatnonzero(np.diff(cuts)):
+        x = spans[cuts[k] : cuts[k + 1]]
+        one = np.zeros(len(x), SPAN)
+        one["row"], one["start"], one["n"] = x["row"], x["start"], 1
+        yield rows[k][0], merge_spans(one)

@@ -2,18 +2,25 @@
 
 A word is removed if it lies in a window of ``width`` words whose sequence also
 starts earlier (in a document of a smaller id, or earlier in the same one).
-``routing`` deals the pieces of text in which that can happen at all to shards
-by anchor, so the automata of a shard are of bounded size and go only to the
-task that streams that shard's pieces; they are not broadcast to every
-executor, for together they grow with the corpus. A shard inserts its distinct
-pieces in order of place into a suffix automaton whose states keep the earliest
-end of their strings, then streams the pieces through it: wherever the
-matching statistic reaches ``width``, the state of the last ``width`` words
-tells where they occurred first.
+The corpus is its own reference, so the automata of its shards are together as
+large as the corpus; broadcasting all of them to every task would cost shards
+times corpus. So ``routing`` deals the pieces of text in which a window can
+repeat at all to the shard that owns their anchor, and only the documents that
+hold something of a shard are streamed through its automaton. A shard inserts
+every piece it got, in order of place, into one suffix automaton whose states keep
+the earliest end of their strings, then streams the pieces through it: wherever
+the matching statistic reaches ``width``, the state of the last ``width`` words
+tells where they occurred first, and that alone decides. Of an anchor with
+thousands of occurrences each group of documents has an automaton of its own
+first. A shard is some 256 KB of text, so an automaton is of bounded size.
+
+Words are told apart by 48 bits of their hash, in windows of 20 of one shard.
 
 Defined cases: a null text has no words; a null id sorts before all; rows of one id
 count as one document, so equal places do not remove each other and repeated
-rows get equal results; texts shorter than a window are kept; extra columns are left alone.
+rows get equal results; texts shorter than a window are kept; a text of any
+length is read in overlapping parts of a million words; ids may be of any type that
+sorts; columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .routing import Group, Windows, repeated
+from .routing import Group, Windows, pack6, repeated, unpack6
+from .session import named, plain
 
 WIDTH, GRAM = 20, 8
 
@@ -97,26 +105,34 @@ def first_ends(words: list[int], off: list[int], width: int) -> list[int]:
     return out
 
 
-def decider(width: int):
-    def decide(units: np.ndarray, off: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Automata:
+    """One automaton per shard, over the words of all its segments."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def lengths(self, n: np.ndarray) -> np.ndarray:
+        return 6 * (n + self.width - 1)
+
+    def encode(self, units: np.ndarray, off: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(shard)), np.frombuffer(pack6(units), np.uint8)
+
+    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        units, words = unpack6(body.tobytes()), n + self.width - 1
+        off = np.cumsum(words) - words
         order = np.lexsort((start, doc))
-        n = np.diff(off)[order]
-        moved = np.concatenate([[0], np.cumsum(n)])
-        words = units[np.repeat(off[:-1][order] - moved[:-1], n) + np.arange(moved[-1])].tolist()
-        ends = np.array(first_ends(words, moved.tolist(), width), np.int64)
+        size = words[order]
+        moved = np.concatenate([[0], np.cumsum(size)])
+        ends = np.array(first_ends(units[np.repeat(off[order] - moved[:-1], size) + np.arange(moved[-1])].tolist(), moved.tolist(), self.width), np.int64)
         text = np.searchsorted(moved, ends, "right") - 1
-        best_doc = doc[order][text]
-        best_start = start[order][text] + ends - moved[text] - width + 1
-        # back to the given order of texts
-        count = n - width + 1
+        best_doc, best_start = doc[order][text], start[order][text] + ends - moved[text] - self.width + 1
+        # back to the given order of segments
+        count = n[order]
         at = np.empty(len(order), np.int64)
         at[order] = np.cumsum(count) - count
-        own = np.diff(off) - width + 1
-        index = np.repeat(at - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        index = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return best_doc[index], best_start[index]
 
-    return decide
-
 
 def covered(spans: np.ndarray, row_off: np.ndarray, lo: int, hi: int, width: int, n: int) -> np.ndarray:
     """Flags of the units of rows lo to hi that lie in a removed window."""
@@ -131,7 +147,7 @@ def covered(spans: np.ndarray, row_off: np.ndarray, lo: int, hi: int, width: int
 def removal(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     w = Windows("word", width, gram, own=True)
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    docs = named(docs, doc_id=id_col, text=text_col)
 
     def finish(group: Group, spans: np.ndarray) -> pa.Table:
         words, removed, digest = [], [], []
@@ -152,13 +168,16 @@ def removal(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
         count = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64))
         return pa.Table.from_arrays([group.table["doc_id"], count(words), count(removed), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return repeated(docs, w, decider(width), finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string", "doc_id", "text")
+    return repeated(docs, w, Automata(width), finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string", "doc_id", "text")
 
 
 def clean(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed words, and the space after each, cut from the text; rows left without a word go."""
     w = Windows("word", width, gram, own=True)
     names = docs.columns
+    docs = plain(docs)
+    fresh = docs.columns
+    text_col, id_col = (f"c{names.index(c)}" for c in (text_col, id_col))
 
     def finish(group: Group, spans: np.ndarray) -> pa.Table:
         texts, left = [], []
@@ -175,9 +194,9 @@ def clean(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "
             texts += [text[a:b].decode() for a, b in zip(at[:-1], at[1:])]
             removed = np.bincount(s.doc[gone], minlength=s.n)
             left.append((removed == 0) | (removed < s.words))
-        table = group.table.select(names)
+        table = group.table.select(fresh)
         column = pa.array(texts, table.schema.field(text_col).type, mask=np.array(table[text_col].is_null().to_pylist(), bool) if texts else None)
-        table = table.set_column(names.index(text_col), table.schema.field(text_col), column)
+        table = table.set_column(fresh.index(text_col), table.schema.field(text_col), column)
         return table.filter(pa.array(np.concatenate([np.zeros(0, bool), *left])))
 
-    return repeated(docs, w, decider(width), finish, docs.schema, id_col, text_col)
+    return repeated(docs, w, Automata(width), finish, docs.schema, id_col, text_col).toDF(*names)

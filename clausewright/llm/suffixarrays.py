@@ -2,18 +2,25 @@
 
 A byte is removed if it lies in a string of ``width`` bytes that also starts in
 a document of a smaller id. ``routing`` deals the pieces of text in which that
-can happen to tasks by anchor. There, the distinct pieces are put into blocks
-(shards), the transform of each is built on its own, and the blocks are merged
-by iterative interleave refinement: the interleave says for every merged
-position from which block the next suffix comes, and sorting it stably by the
-preceding symbols refines it by that many symbols of common prefix. No suffix
-is sorted again. Rounds take two symbols at a time, as long as the interleave
-changes and at most until ``width`` symbols are in order. Neighbours in the
-merged order that share ``width`` bytes form the repeated intervals; each takes
-the smallest document of its suffixes.
-
-Texts are cyclic with one end symbol each, so every transform is a permutation
-and the order of equal prefixes does not matter.
+can happen at all to shards by anchor. Each group of documents builds the
+transform of its distinct pieces for each shard and sends that, not the text. A
+shard merges the transforms of all groups by iterative interleave refinement:
+the interleave says for every merged place from which transform its next row
+comes. With the interleave in order by h symbols, a stable sort of its places by
+the rank of the h symbols that precede each (found through the transforms' last-
+to-first steps) puts it in order by 2h; no suffix is sorted again. The rounds are
+4, 8, 16, ... symbols, the last one as many as are missing to ``width``. What is
+kept of each round is which neighbours in the interleave share all symbols so
+far: after the last one these are the intervals of rows with a common prefix of
+``width``, and the least document of an interval decides on the windows in it.
+Windows and rows meet by walking each text backwards from its end symbol.
+
+Pieces that several groups sent alike are merged once: the later groups' rows of
+them leave their transforms first (a part of the rows of a transform is the
+transform of the texts they belong to), and their places count for the one kept.
+
+Texts are cyclic with one end symbol each, so every transform is a permutation.
+The end symbol is 0xFF, which no UTF-8 text holds.
 
 Defined cases: as in ``substrings``, but for bytes, and a document never removes its own bytes.
 """
@@ -26,115 +33,216 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .routing import Group, Windows, repeated
+from .routing import NEVER, Group, Windows, _ranges, repeated
+from .session import named
 from .substrings import covered
+from .text import U, mix
+
+WIDTH, GRAM = 50, 16
+END = 255
+#: Symbols that are sorted at once when transforms are built.
+SORT = 1 << 18
 
-WIDTH, GRAM = 50, 24
-BLOCKS = 2
 
+def order_of(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of small keys, and the keys in that order; bits: enough for a place."""
+    packed = (key.astype(np.uint64) << U(bits)) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & U((1 << bits) - 1)).view(np.int64), packed >> U(bits)
 
-def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Order and dense ranks of the keys; whether all differ."""
-    order = np.argsort(key)  # equal keys get equal ranks in any order
-    s = key[order]
-    new = np.zeros(len(s), np.int64)
-    new[1:] = s[1:] != s[:-1]
-    rank = np.empty(len(s), np.int64)
-    rank[order] = np.cumsum(new)
-    return order, rank, bool(len(s) == 0 or rank[order[-1]] == len(s) - 1)
+
+def classes(new: np.ndarray) -> np.ndarray:
+    out = np.empty(len(new) + 1, np.int32)
+    out[0] = 0
+    np.cumsum(new, out=out[1:])
+    return out
 
 
-def transform(sym: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of cyclic texts (symbols with one 0 at each end), and the position before each position."""
+def rotations(sym: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of cyclic texts (distinct, each with END at its end) in the order of their rotations."""
     n = len(sym)
-    text = np.repeat(np.arange(len(start)), size)
-    begin, length = start[text], size[text]
-    at = np.arange(n) - begin
-
-    def ahead(h: int) -> np.ndarray:
-        return begin + (at + h) % length
-
-    # seven symbols at once, then twice as many each round
-    key = np.zeros(n, np.uint64)
-    for j in range(7):
-        key = (key << np.uint64(9)) | sym[ahead(j)].astype(np.uint64)
-    order, rank, unique = _rank(key)
-    h, most = 7, int(size.max()) if len(size) else 0
-    while not unique and h < 2 * most:
-        order, rank, unique = _rank(rank * np.int64(n) + rank[ahead(h)])
+    bits = n.bit_length()
+    used = np.bincount(sym, minlength=256) > 0
+    code = np.cumsum(used).astype(np.uint8)[sym]
+    per = int(code.max()).bit_length()
+    ahead = np.arange(1, n + 1, dtype=np.int32)
+    ahead[begin + size - 1] = begin
+    # as many symbols as fit beside the place, one by one; then twice as many each round
+    key, h, most = code.astype(np.uint64), 1, int(size.max())
+    near = code
+    while per * (h + 1) + bits <= 64:
+        near = near[ahead]
+        key = (key << U(per)) | near
+        h += 1
+    order, s = order_of(key, bits)
+    jump, p, left = None, ahead, h
+    while left:  # h symbols ahead
+        if left & 1:
+            jump = p if jump is None else p[jump]
+        p, left = p[p], left >> 1
+    rank = np.empty(n, np.int32 if bits < 31 else np.int64)
+    rank[order] = c = classes(s[1:] != s[:-1])
+    while c[-1] < n - 1 and h < 2 * most:
+        if 3 * bits <= 64:  # sorted with the place inside the key
+            order, s = order_of((rank.astype(np.uint64) << U(bits)) | rank[jump].astype(np.uint64), bits)
+        else:
+            both = rank * np.int64(n) + rank[jump]
+            order = np.argsort(both)
+            s = both[order]
+        rank[order] = c = classes(s[1:] != s[:-1])
+        jump = jump[jump]
         h *= 2
-    return order, begin + (at - 1) % length
-
-
-def merge(blocks: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
-    """Interleave of the blocks (sa, pairs of preceding symbols by sa): the merged order of all suffixes, by ``width`` symbols."""
-    z = np.repeat(np.arange(len(blocks), dtype=np.uint8), [len(sa) for sa, _ in blocks])
-    pair = np.empty(len(z), np.uint16)
-    for _ in range(-(-width // 2)):
-        for b, (_, before) in enumerate(blocks):
-            pair[z == b] = before
-        refined = z[np.argsort(pair, kind="stable")]
-        if np.array_equal(refined, z):
-            break
-        z = refined
-    out = np.empty(len(z), np.int64)
-    for b, (sa, _) in enumerate(blocks):
-        out[z == b] = sa
-    return out
+    return order
+
+
+def transform(units: np.ndarray, size: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct texts and their transforms, one per shard, one after the other. Texts are listed as their end symbols rank."""
+    length = size + 1
+    begin = np.cumsum(length) - length
+    n = int(length.sum())
+    sym = np.full(n, END, np.uint8)
+    sym[np.arange(len(units)) + np.repeat(np.arange(len(size)), size)] = units
+    text = np.repeat(np.arange(len(size)), length)
+    order = rotations(sym, begin, length)
+    low, high = int(shard[0]), int(shard[-1])
+    if low != high:
+        by, _ = order_of(shard[text[order]] - low, n.bit_length())
+        order = order[by]
+    before = np.arange(-1, n - 1)
+    before[begin] = begin + length - 1
+    last = sym[before[order]]
+    ends = order[sym[order] == END]
+    return text[ends], last
+
+
+def steps(last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of transforms one after the other: first symbols, row of the next symbol and row of the symbol before, by row."""
+    n = len(last)
+    following, key = order_of((block.astype(np.uint64) << U(8)) | last, n.bit_length())
+    following = following.astype(np.int32)
+    back = np.empty(n, np.int32)
+    back[following] = np.arange(n, dtype=np.int32)
+    return (key & U(255)).astype(np.uint8), following, back
+
+
+def walk(first: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place in the text of every row, from the rows of the end symbols backwards, all texts abreast."""
+    text, at = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+    row = np.flatnonzero(first == END)
+    order = np.argsort(-size, kind="stable")
+    row, who, left = row[order], order, size[order]
+    text[row], at[row] = who, left
+    live = np.searchsorted(-left, 0, "left")  # texts by falling length: those with symbols left come first
+    step = 0
+    while live:
+        row = back[row[:live]]
+        step += 1
+        text[row], at[row] = who[:live], left[:live] - step
+        live = int(np.searchsorted(-left[:live], -step, "left"))
+    return text, at
+
+
+class Merged:
+    """The interleave of several transforms and its classes of equal prefixes."""
+
+    def __init__(self, last: np.ndarray, block: np.ndarray, width: int):
+        first, following, back = steps(last, block)
+        self.bits = bits = len(last).bit_length()
+        two = following[following]
+        four = (first.astype(np.uint64) << U(8)) | first[following]
+        four = (four << U(16)) | four[two]
+        if width < 4:
+            four >>= U(8 * (4 - width))
+        # the interleave by the first symbols
+        self.place, key = order_of(four, bits)
+        self.rank = np.empty(len(last), np.int32)
+        self.known, self.first, self.back = 4, first, back
+        self._keep(key[1:] != key[:-1])
+        jump = {1: back}
+        h = 1
+        while 4 * h <= width:  # no round takes more than half of the width
+            jump[2 * h] = jump[h][jump[h]]
+            h *= 2
+        while self.known < width:
+            step = min(self.known, width - self.known)
+            self.refine(step, jump)
+
+    def _keep(self, new: np.ndarray) -> None:
+        self.rank[self.place] = self.cls = classes(new)
+
+    def refine(self, step: int, jump: dict[int, np.ndarray]) -> None:
+        """From an order by ``known`` symbols to one by ``step`` more, those before each row."""
+        row, left, p = self.place, step, 1
+        while left:
+            if left & 1:
+                row = jump[p][row]
+            left >>= 1
+            p *= 2
+        order, head = order_of(self.rank[row], self.bits)
+        tail = self.cls[order]
+        self.place = row[order]
+        self._keep((head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+        self.known += step
+
+
+class Transforms:
+    """Transforms of the groups' segments, merged by shard."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def lengths(self, n: np.ndarray) -> np.ndarray:
+        return n + self.width
 
+    def encode(self, units: np.ndarray, off: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, orders, bodies = np.diff(off), [], []
+        edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
+        a = 0
+        while a < len(edge) - 1:  # whole shards, about SORT symbols at a time
+            b = max(a + 1, int(np.searchsorted(off[edge], off[edge[a]] + SORT, "right")) - 1)
+            lo, hi = edge[a], edge[b]
+            order, last = transform(units[off[lo] : off[hi]], size[lo:hi], shard[lo:hi])
+            orders.append(order + lo)
+            bodies.append(last)
+            a = b
+        return np.concatenate(orders), np.concatenate(bodies)
 
-def merged_order(units: np.ndarray, off: np.ndarray, width: int, n_blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merged suffix array over the texts with end symbols, the padded symbols, and each text's start in them."""
-    size = np.diff(off) + 1
-    start = np.concatenate([[0], np.cumsum(size)])[:-1]
-    used = np.unique(units)
-    code = np.zeros(256, np.uint16)
-    code[used] = np.arange(1, len(used) + 1)
-    sym = np.zeros(int(size.sum()), np.uint16)
-    sym[np.arange(len(units)) + np.repeat(np.arange(len(off) - 1), np.diff(off))] = code[units]
-    if len(used) > 255:
-        raise ValueError("more than 255 different bytes: not UTF-8")
-    cuts = np.unique(np.searchsorted(start, np.linspace(0, len(sym), n_blocks + 1)[:-1]))
-    cuts = cuts[cuts < len(start)]
-    blocks = []
-    for a, b in zip(cuts, np.append(cuts[1:], len(start))):
-        lo, hi = start[a], start[b] if b < len(start) else len(sym)
-        s = sym[lo:hi]
-        sa, back = transform(s, start[a:b] - lo, size[a:b])
-        one = back[sa]
-        blocks.append((sa + lo, s[back[one]] * np.uint16(len(used) + 1) + s[one]))
-    return merge(blocks, width), sym, start
-
-
-def decider(width: int, n_blocks: int = BLOCKS):
-    def decide(units: np.ndarray, off: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sa, sym, begin = merged_order(units, off, width, n_blocks)
-        n = np.diff(off)
-        text = np.repeat(np.arange(len(n)), n + 1)
-        inside = np.arange(len(sym)) - begin[text] + width <= n[text]  # a whole window starts here
-        sa = sa[inside[sa]]
-        # common prefixes of neighbours, eight bytes at a time
-        raw = np.zeros(len(sym) + 8, np.uint8)
-        raw[np.flatnonzero(sym)] = units
-        words = np.lib.stride_tricks.as_strided(raw.view(), (len(sym) + 1, 8), (1, 1))
-        eight = np.ascontiguousarray(words).view(np.uint64).reshape(-1)
-        same = np.ones(max(len(sa) - 1, 0), bool)
-        for j in [*range(0, width - 8, 8), width - 8] if width >= 8 else range(width):
-            column = (eight if width >= 8 else raw)[sa + j]
-            same &= column[1:] == column[:-1]
-        head = np.flatnonzero(np.append(True, ~same)) if len(sa) else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(doc[text[sa]], head) if len(sa) else np.zeros(0, np.int64)
-        best = np.zeros(len(sym), np.int64)
-        best[sa] = np.repeat(least, np.diff(np.append(head, len(sa))))
-        return best[inside], np.zeros(int(inside.sum()), np.int64)
-
-    return decide
+    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.lengths(n)
+        # equal segments of several groups: one stays, with the least document
+        key = mix(same + n.astype(np.uint64))
+        _, lead, of = np.unique(key, return_index=True, return_inverse=True)
+        least = np.full(len(lead), NEVER)
+        np.minimum.at(least, of, doc)
+        stays = np.zeros(len(n), bool)
+        stays[lead] = True
+        rows = np.repeat(block, size)
+        first, _, back = steps(body, rows)
+        text, at = walk(first, back, size - 1)
+        if len(lead) < len(n):
+            keep = stays[text]
+            body, rows, text, at = body[keep], rows[keep], text[keep], at[keep]
+        merged = Merged(body, rows, self.width)
+        # the windows: rows at the start of width symbols of their text
+        off = np.cumsum(n) - n
+        here = np.flatnonzero(at < n[text])
+        document = np.full(len(body), NEVER)
+        document[here] = least[of[text[here]]]
+        heads = np.flatnonzero(np.append(True, merged.cls[1:] != merged.cls[:-1]))
+        interval = np.minimum.reduceat(document[merged.place], heads)
+        best = np.full(int(n.sum()), NEVER)
+        best[off[text[here]] + at[here]] = interval[merged.rank[here]]
+        # windows of the segments that left are those of the one that stayed
+        if len(lead) < len(n):
+            twin = lead[of]
+            best = best[_ranges(off[twin], n)]
+        return best, np.zeros(len(best), np.int64)
 
 
 def removal(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     w = Windows("byte", width, gram, own=False)
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    docs = named(docs, doc_id=id_col, text=text_col)
 
     def finish(group: Group, spans: np.ndarray) -> pa.Table:
         removed, runs, digest = [], [], []
@@ -155,4 +263,4 @@ def removal(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str =
         count = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64))
         return pa.Table.from_arrays([group.table["doc_id"], pa.array(np.diff(group.off)), count(removed), count(runs), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeated(docs, w, decider(width), finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "doc_id", "text")
+    return repeated(docs, w, Transforms(width), finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "doc_id", "text")

@@ -92,6 +92,18 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+class Sums:
+    """Hashes of any ranges of a sequence of 64-bit values; equal ranges have equal hashes."""
+
+    def __init__(self, values: np.ndarray):
+        pw, self.inverse = _powers(len(values) + 1)
+        self.prefix = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * pw[: len(values)], out=self.prefix[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+
 class Slice:
     """Words, hashes and per-row sums of consecutive rows."""
 
@@ -112,15 +124,13 @@ class Slice:
         self.doc = np.searchsorted(off, self.start, "right") - 1
         self.words = np.bincount(self.doc, minlength=self.n)
         self.word_off = np.concatenate([[0], np.cumsum(self.words)])
-        self._prefix: np.ndarray | None = None
+        self._sums: Sums | None = None
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte ranges; equal ranges have equal hashes."""
-        pw, inv = _powers(len(self.buf) + 1)
-        if self._prefix is None:
-            self._prefix = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum(BYTE_HASH[self.buf] * pw[: len(self.buf)], out=self._prefix[1:])
-        return mix((self._prefix[end] - self._prefix[start]) * inv[start] + (end - start).astype(np.uint64))
+        if self._sums is None:
+            self._sums = Sums(BYTE_HASH[self.buf])
+        return self._sums.hashes(start, end)
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.start, self.end)

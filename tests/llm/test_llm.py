@@ -161,28 +161,84 @@ def removed_bytes(rows, width=50):
 
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_substrings(spark, docs, monkeypatch, hot):
-    """Also with anchors split that occur three times: the windows of frequent passages go one by one."""
+    """Also where anchors that occur three times are frequent: groups decide among themselves first."""
     rows, df = docs
-    monkeypatch.setattr(routing.repeated, "__defaults__", (*routing.repeated.__defaults__[:-1], hot))
+    monkeypatch.setattr(routing, "HOT", hot)
     assert Counter(tuple(r) for r in substrings.removal(df).collect()) == removed_words(rows)
     assert Counter(tuple(r) for r in suffixarrays.removal(df).collect()) == removed_bytes(rows)
 
 
-def test_substrings_edges(spark, docs, monkeypatch):
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_substrings_many_shards(spark, docs, monkeypatch, hot):
+    """Groups, buckets and shards of a few texts each."""
+    rows, df = docs
+    monkeypatch.setattr(routing, "HOT", hot)
+    for name, value in (("GROUP_BYTES", 4096), ("BUCKET_BYTES", 8192), ("SHARD_BYTES", {"word": 512, "byte": 512})):
+        monkeypatch.setattr(routing, name, value)
+    assert Counter(tuple(r) for r in substrings.removal(df).collect()) == removed_words(rows)
+    assert Counter(tuple(r) for r in suffixarrays.removal(df).collect()) == removed_bytes(rows)
+
+
+@pytest.mark.parametrize("op", [substrings, suffixarrays])
+def test_only_the_method_removes(spark, docs, monkeypatch, op):
+    """With a method that finds nothing, nothing is removed, copies and frequent passages included."""
+    _, df = docs
+    monkeypatch.setattr(routing, "HOT", 3)
+    known = op.Automata if op is substrings else op.Transforms
+
+    class Blind(known):
+        def decide(self, body, n, block, same, doc, start):
+            none = np.full(int(n.sum()), (1 << 63) - 1)
+            return none, none
+
+    monkeypatch.setattr(op, known.__name__, Blind)
+    assert op.removal(df).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_substrings_long_texts(spark):
+    """Texts of several parts of a million units: what repeats across the cuts, early in one and late in the other."""
+    rng = random.Random(12)
+    words = [f"{rng.random():.5f}" for _ in range(1_300_000)]
+    shared = words[1_048_500:1_048_700]
+    long = " ".join(words)
+    rows = [(1, long), (2, "x " + " ".join(shared) + " y"), (3, " ".join(rng.choices(words, k=150_000) + words[5:60]))]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(2)
+    assert Counter(tuple(r) for r in substrings.removal(df).collect()) == removed_words(rows)
+    got = {r["doc_id"]: r for r in suffixarrays.removal(df).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == len(" " + " ".join(shared) + " ") and got[3]["n_removed"] >= len(" ".join(words[5:60]))
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "date"])
+def test_ids_of_other_types(spark, docs, kind):
+    """Ids that are not integers: earlier is what sorts before."""
+    rows, df = docs
+    rows = [r for r in rows if r[0] is None or r[0] < 60]
+    names = {"string": lambda i: f"d{i * 7 % 61:03}", "decimal(20,2)": lambda i: i / 4 - 3, "date": lambda i: None}
+    if kind == "date":
+        as_id = F.expr("date_add(DATE'2020-01-01', CAST(doc_id AS INT))")
+        rank = {r[0]: r[0] for r in rows}
+    else:
+        told = spark.createDataFrame([(r[0], names[kind](r[0])) for r in rows if r[0] is not None], "i long, n string").select("i", F.col("n").cast(kind).alias("n"))
+        rank = {i: k for k, i in enumerate(r["i"] for r in told.orderBy("n").collect())}
+    df = df.where("doc_id IS NULL OR doc_id < 60")
+    new = df.withColumn("doc_id", as_id) if kind == "date" else df.join(told, df["doc_id"] == told["i"], "left").select(F.col("n").alias("doc_id"), "text", "lang", "source", "n_chars")
+    moved = [(None if r[0] is None else rank[r[0]], *r[1:]) for r in rows]
+    digest = lambda c: sorted(k[1:] for k in c.elements())
+    assert sorted(tuple(r)[1:] for r in substrings.removal(new).collect()) == digest(removed_words(moved))
+    assert sorted(tuple(r)[1:] for r in suffixarrays.removal(new).collect()) == digest(removed_bytes(moved))
+
+
+def test_substrings_edges(spark, docs):
     assert substrings.removal(empty(spark)).count() == 0 and suffixarrays.removal(empty(spark)).count() == 0
     rows, df = docs
-    kept = substrings.clean(df.withColumn("_g", F.lit(1)))
-    assert kept.columns == [*df.columns, "_g"]
+    clash = df.withColumns({"r_g": F.lit(9), "_route_g": F.lit(9), "c0": F.lit("x"), "a.b": F.lit(2), "row": F.lit(3)})
+    kept = substrings.clean(clash)
+    assert kept.columns == clash.columns and kept.schema == clash.schema
+    assert {tuple(r)[5:] for r in kept.collect()} == {(9, 9, "x", 2, 3)}
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert texts[100] is None and texts[101] == "" and 106 not in texts  # nothing is left of a whole copy
     words = Counter((k[0], k[1] - k[2]) for k in removed_words(rows).elements() if k[1] == 0 or k[1] > k[2])
     assert Counter((i, len(WORDS.findall(t or ""))) for i, t in ((r["doc_id"], r["text"]) for r in kept.collect())) == words
-    # parts of long texts meet where they were cut
-    monkeypatch.setattr(routing, "PIECE", 64)
-    long = [(i, t, *r) for i, t, *r in rows[:12]]
-    monkeypatch.setattr(routing, "GROUP_BYTES", 1 << 12)
-    g = routing.Group.__new__(routing.Group)
-    assert long and g is not None
 
 
 def test_automaton():
@@ -200,21 +256,35 @@ def test_automaton():
 
 
 def test_merged_transforms():
-    """The merged order sorts all suffixes by the width of the comparison."""
+    """Transforms of several blocks, merged: order and classes of all rows by the width, and the least document of every window."""
     rng = random.Random(4)
-    for _ in range(20):
-        texts = [bytes(rng.choices(b"ab", k=rng.randint(6, 30))) for _ in range(rng.randint(1, 9))]
-        units = np.frombuffer(b"".join(texts), np.uint8)
-        off = np.cumsum([0, *map(len, texts)])
-        sa, sym, start = suffixarrays.merged_order(units, off, 6, 3)
-        assert sorted(sa.tolist()) == list(range(len(sym)))
-        heads = []
-        for p in sa:
-            t = int(np.searchsorted(start, p, "right")) - 1
-            c = bytes(sym[start[t] : start[t] + len(texts[t]) + 1].astype(np.uint8))
-            q = p - start[t]
-            heads.append(((c[q:] + c[:q]) * 6)[:6])
-        assert heads == sorted(heads)
+    for _ in range(60):
+        width = rng.choice([3, 5, 6, 9, 18])
+        method = suffixarrays.Transforms(width)
+        texts, bodies, block = [], [], []
+        for b in range(rng.randint(1, 5)):
+            own = list({bytes(rng.choices(b"ab", k=rng.randint(width, width + 12))) for _ in range(rng.randint(1, 9))})
+            order, last = method.encode(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), np.zeros(len(own), np.int64))
+            texts += [own[i] for i in order]
+            block += [b] * len(own)
+            bodies.append(last)
+        n = np.array([len(t) - width + 1 for t in texts])
+        doc = np.array([rng.randint(0, 50) for _ in texts])
+        rows = np.repeat(np.array(block), method.lengths(n))
+        first, _, back = suffixarrays.steps(np.concatenate(bodies), rows)
+        text, at = suffixarrays.walk(first, back, n + width - 1)
+        merged = suffixarrays.Merged(np.concatenate(bodies), rows, width)
+        cyclic = [((texts[t] + b"\xff") * (width + 1))[p : p + width] for t, p in zip(text, at)]
+        heads = [cyclic[r] for r in merged.place]
+        assert heads == sorted(heads) and sorted(merged.place.tolist()) == list(range(len(rows)))
+        assert [a == b for a, b in zip(heads, heads[1:])] == (merged.cls[1:] == merged.cls[:-1]).tolist()
+        same = np.array([hash(t) & (1 << 62) - 1 for t in texts], np.uint64)
+        best, _ = method.decide(np.concatenate(bodies), n, np.array(block), same, doc, np.zeros(len(doc), np.int64))
+        least = {}
+        for t, d in zip(texts, doc):
+            for p in range(len(t) - width + 1):
+                least[t[p : p + width]] = min(least.get(t[p : p + width], 99), d)
+        assert best.tolist() == [least[t[p : p + width]] for t in texts for p in range(len(t) - width + 1)]
 
 
 # -- 4 hosts

@@ -5,38 +5,46 @@ integral part of that is taken as it is; the fractions are rounded together:
 documents meet in pairs, and words move at random from one's expected copies
 to the other's, in either direction with the odds that leave both
 expectations as they were, until one of the two is integral. The other one
-goes on to the next pair. A block of at most about ``BLOCK`` documents is a
-fold; the one fractional document that a block leaves meets those of other
-blocks, level by level, so a source of any size is reduced by a tree of
-equally small tasks, and its words differ from the target by less than one
-document. Draws are hashes of the documents, so reruns agree.
-
-Large documents come first: one with over 1/``HEAD`` of its source's words (so
-at most ``HEAD`` of them) meets the bundle of all smaller ones, moves words to
-or from it until it is integral, and so passes its rounding error on to them.
+goes on to the next pair. A block of about ``BLOCK`` documents is a fold, the
+largest first; the one fractional document that a block leaves meets those of
+other blocks, level by level, so a source of any size is reduced by a tree of
+equally small tasks.
+
+Documents meet others of their size: a rung holds those within a factor of
+eight, and rungs are reduced from the largest down. The last fractional
+document of a rung meets the bundle of all smaller documents of its source by the
+same rule: words move to or from the bundle, whose rate changes for it, until the
+document is integral, or the bundle is (at no copies or at the limit; then the
+document's last fraction is drawn). So what a source misses of its target is
+less than one document of its smallest rung, wherever the bundles are large enough, and
+every document's expected copies stay as they were. Rungs are few (one
+per factor of eight in size), whatever the number of documents. Draws are
+hashes of the documents, so reruns agree.
 
 Blocks are dealt by a hash of the row, and a source's number of blocks by its
 count, so a source with a third of all rows is spread like any other.
 
 Defined cases: a null text has size 0, a null source is a source of its own
-and comes last; rows that repeat are documents of their own where their
-positions in the block differ; empty documents take 0 words; an empty table
-gives no rows. The list of sources is gathered (one row each), documents are not.
+and comes last; rows that repeat are counted first and are documents of their own,
+numbered, in any blocks; documents of equal size meet in the order of a hash; a null id,
+or one of any type, is passed through; a text of any length is one number here; empty documents
+take 0 words; an empty table gives no rows; columns may have any names. The list of
+sources is sorted in one task (one row each), documents are not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import durable
-from .session import uniform
+from .session import named, uniform
 from .text import word_count
 
 BLOCK = 256
-HEAD = 500
 #: Tables of one row per source are broadcast up to this many.
 SOURCES = 100_000
 EPS = 1e-9
@@ -59,18 +67,32 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), limit:
     by = by.withColumns({"used": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "weights": F.sum("weight").over(ahead), "total": F.sum("source_size").over(Window.partitionBy())})
     # with all sources before this one at their limits, the water level of the rest
     by = by.withColumn("level", (F.col("total") - F.col("used")) / F.col("weights"))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(Window.partitionBy())["level"]
+    by = by.withColumn("at", F.row_number().over(every))  # sources of equal ratio: the first of them, before which fewest are at their limits
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("at", "level"))).over(Window.partitionBy())["level"]
     by = by.withColumn("level", level)
     return by.select("source", "source_size", "n_docs", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
-ITEM = "struct<key:bigint,row:bigint,size:bigint,p:double>"
-DONE = "struct<key:bigint,row:bigint,one:int>"
+def item_type(id_type: str) -> str:
+    return f"struct<size:bigint,key:bigint,row:bigint,doc_id:{id_type},base:bigint,p:double>"
+
+
+def done_type(id_type: str) -> str:
+    return f"struct<doc_id:{id_type},size:bigint,copies:bigint>"
+
+
+def _whole(p: Column) -> Column:
+    return (p < EPS) | (p > 1 - EPS)
+
 
+def _done(x: Column, p: Column) -> Column:
+    return F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), (x["base"] + F.when(p > 0.5, 1).otherwise(0)).alias("copies"))
 
-def _fold(items: Column, seed: int) -> Column:
-    """Rounds the fractions of an array of ITEM: struct of done (array of DONE) and rest (an ITEM or null)."""
-    zero = F.struct(F.array().cast(f"array<{DONE}>").alias("done"), F.lit(None).cast(ITEM).alias("rest"))
+
+def _fold(items: Column, id_type: str, seed: int) -> Column:
+    """Rounds the fractions of an array of items in order: struct of done (an array) and rest (an item or null)."""
+    none = F.lit(None).cast(item_type(id_type))
+    zero = F.struct(F.array().cast(f"array<{done_type(id_type)}>").alias("done"), none.alias("rest"))
 
     def step(s: Column, b: Column) -> Column:
         a = s["rest"]
@@ -78,91 +100,74 @@ def _fold(items: Column, seed: int) -> Column:
         up = F.least(sa * (1 - a["p"]), sb * b["p"])  # words that can move to a
         down = F.least(sa * a["p"], sb * (1 - b["p"]))  # and from it
         gain = F.when(uniform(a["key"], a["row"], b["key"], b["row"], seed=seed) * (up + down) < down, up).otherwise(-down)
-        pa, pb = a["p"] + gain / sa, b["p"] - gain / sb
-        done = lambda x, p: F.struct(x["key"].alias("key"), x["row"].alias("row"), F.when(p > 0.5, 1).otherwise(0).alias("one"))
-        rest = lambda x, p: F.struct(x["key"].alias("key"), x["row"].alias("row"), x["size"].alias("size"), p.alias("p"))
-        whole = lambda p: (p < EPS) | (p > 1 - EPS)
-        none = F.lit(None).cast(ITEM)
-        met = F.struct(pa.alias("pa"), pb.alias("pb"))
+        met = F.struct((a["p"] + gain / sa).alias("pa"), (b["p"] - gain / sb).alias("pb"))
+        rest = lambda x, p: F.struct(*[x[f].alias(f) for f in ("size", "key", "row", "doc_id", "base")], p.alias("p"))
         both = F.transform(F.array(met), lambda m: F.struct(
-            F.concat(s["done"], F.filter(F.array(F.when(whole(m["pa"]), done(a, m["pa"])), F.when(whole(m["pb"]), done(b, m["pb"]))), lambda x: x.isNotNull())).alias("done"),
-            F.when(~whole(m["pa"]), rest(a, m["pa"])).when(~whole(m["pb"]), rest(b, m["pb"])).otherwise(none).alias("rest"),
+            F.concat(s["done"], F.filter(F.array(F.when(_whole(m["pa"]), _done(a, m["pa"])), F.when(_whole(m["pb"]), _done(b, m["pb"]))), lambda x: x.isNotNull())).alias("done"),
+            F.when(~_whole(m["pa"]), rest(a, m["pa"])).when(~_whole(m["pb"]), rest(b, m["pb"])).otherwise(none).alias("rest"),
         ))
-        return F.when(a.isNull(), F.struct(s["done"].alias("done"), b.cast(ITEM).alias("rest"))).otherwise(both[0])
+        return F.when(a.isNull(), F.struct(s["done"].alias("done"), b.cast(item_type(id_type)).alias("rest"))).otherwise(both[0])
 
     return F.aggregate(items, zero, step)
 
 
-def _bundle(items: str, words: Column, size: Column, limit: float, seed: int) -> Column:
-    """Rounds documents in the given order, each against all that follow: struct of done, and the words and size left."""
-    zero = F.struct(F.array().cast("array<struct<key:bigint,doc_id:bigint,size:bigint,copies:bigint>>").alias("done"), words.cast("double").alias("words"), size.cast("double").alias("size"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = -x["less"]
-        rate = F.least(F.greatest(s["words"] / s["size"], F.lit(0.0)), F.lit(float(limit)))
-        one = F.when(uniform(x["key"], F.size(s["done"]), seed=seed) < rate - F.floor(rate), 1).otherwise(0)
-        c = F.when(rate - F.floor(rate) < EPS, F.floor(rate)).when(rate - F.floor(rate) > 1 - EPS, F.ceil(rate)).otherwise(F.floor(rate) + one)
-        return F.transform(F.array(c), lambda c: F.struct(F.concat(s["done"], F.array(F.struct(x["key"].alias("key"), x["doc_id"].cast("bigint").alias("doc_id"), n.alias("size"), c.alias("copies")))).alias("done"), (s["words"] - c * n).alias("words"), (s["size"] - n).alias("size")))[0]
-
-    return F.aggregate(items, zero, step)
+def _meet_bundle(state: DataFrame, limit: float, seed: int) -> DataFrame:
+    """The rule between a source's last document of a rung (rest, may be null) and the bundle of its smaller ones (words at ``rate``, size ``left``)."""
+    x, s = F.col("rest"), F.col("rest.size").cast("double")
+    up = F.least(s * (1 - x["p"]), F.col("rate") * F.col("left"))
+    down = F.least(s * x["p"], (F.lit(float(limit)) - F.col("rate")) * F.col("left"))
+    u = lambda salt: uniform(x["key"], x["row"], F.lit(salt), seed=seed)
+    gain = F.when(up + down <= 0, 0.0).when(u(1) * (up + down) < down, up).otherwise(-down)
+    state = state.withColumn("gain", F.when(x.isNull(), 0.0).otherwise(gain))
+    p = x["p"] + F.col("gain") / s
+    one = F.when(_whole(p), F.when(p > 0.5, 1.0).otherwise(0.0)).otherwise(F.when(u(2) < p, 1.0).otherwise(0.0))
+    rate = F.when(F.col("left") > 0, F.least(F.greatest(F.col("rate") - F.col("gain") / F.col("left"), F.lit(0.0)), F.lit(float(limit)))).otherwise(0.0)  # bounds against rounding only
+    return state.withColumn("last", F.when(x.isNotNull(), _done(x, one))).withColumn("rate", rate).drop("rest", "gain")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), limit: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), F.xxhash64(docs[id_col], docs[text_col], docs[source_col]).alias("key"))
-    # read three times below; a table of numbers, without the texts
-    rows = durable(rows)
-    goal = targets(rows.select("source", "size"), weights, limit)
-    goal = durable(goal)
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    docs = named(docs, doc_id=id_col, text=text_col, source=source_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("key"))
+    rows = rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n"))
+    # one row per document again, those that repeat numbered; a table of numbers, without the texts
+    rung = F.floor((F.length(F.bin("size")) - 1) / 3).cast("int")
+    rows = durable(rows.select("doc_id", "source", "size", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("row"), F.when(F.col("size") > 0, rung).otherwise(-1).alias("rung")))
+    goal = durable(targets(rows.select("source", "size"), weights, limit))
     few = goal.limit(SOURCES + 1).count() <= SOURCES
-    rows = rows.alias("a").join(F.broadcast(goal).alias("b") if few else goal.alias("b"), same).select("a.doc_id", "a.source", "a.size", "a.key", "b.source_size", "b.n_docs", "b.target")
-    heads = rows.where(F.col("size") * HEAD > F.col("source_size"))
-    heads = heads.groupBy("source", "source_size", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "key", "doc_id"))).alias("x"))
-    heads = durable(heads.withColumn("f", _bundle("x", F.col("target"), F.col("source_size"), limit, seed)))
-    rest = heads.select("source", F.col("f.words").alias("words"), F.col("f.size").alias("left"))
-    tail = rows.where(F.col("size") * HEAD <= F.col("source_size")).alias("a")
-    tail = tail.join(F.broadcast(rest).alias("b") if few else rest.alias("b"), same, "left").select("a.*", F.coalesce("b.words", "a.target").alias("words"), F.coalesce("b.left", F.col("a.source_size").cast("double")).alias("left"))
-    rate = F.when(F.col("left") > 0, F.least(F.greatest(F.col("words") / F.col("left"), F.lit(0.0)), F.lit(float(limit)))).otherwise(0.0)
-    fraction = F.col("rate") - F.floor("rate")
-    rows = tail.withColumn("rate", rate).withColumn("p", F.when((fraction < EPS) | (fraction > 1 - EPS) | (F.col("size") == 0), 0.0).otherwise(fraction))
-    rows = rows.withColumn("base", F.when(fraction > 1 - EPS, F.ceil("rate")).otherwise(F.floor("rate")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col("n_docs") / BLOCK)))
-    place = F.struct("key", F.lit(0).cast("long").alias("row"), "size", "p", "doc_id", "base")
-    groups = rows.groupBy("source", "block", "source_size", "target").agg(F.sort_array(F.collect_list(place)).alias("items"))
-    # repeated rows have equal keys: their places in the block tell them apart
-    groups = groups.withColumn("items", F.transform("items", lambda x, i: F.struct(x["key"].alias("key"), i.cast("long").alias("row"), x["size"].alias("size"), x["p"].alias("p"), x["doc_id"].alias("doc_id"), x["base"].alias("base"))))
-    # words move between neighbours: similar sizes meet
-    open_items = F.transform(F.array_sort(F.transform(F.filter("items", lambda x: x["p"] > 0), lambda x: F.struct(x["size"].alias("size"), x["key"].alias("key"), x["row"].alias("row"), x["p"].alias("p")))), lambda x: F.struct(x["key"].alias("key"), x["row"].alias("row"), x["size"].alias("size"), x["p"].alias("p")))
-    groups = durable(groups.withColumn("folded", _fold(open_items, seed)))
-    left, decided, level = groups.select("source", "folded.rest").where("rest IS NOT NULL"), None, 0
-    while True:
-        level += 1
-        n = left.groupBy("source").agg(F.count("*").alias("n"))
-        most = n.agg(F.max("n").alias("n")).first()["n"]
-        if most is None:
-            break
-        block = F.pmod(F.xxhash64("l.rest.key", "l.rest.row", F.lit(level)), F.ceil(F.col("n.n") / BLOCK))
-        keyed = left.alias("l").join(n.alias("n"), F.col("l.source").eqNullSafe(F.col("n.source"))).select("l.source", "l.rest", block.alias("block"))
-        folded = keyed.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("rest.size", "rest.key", "rest.row", "rest.p"))).alias("x"))
-        again = F.transform("x", lambda x: F.struct(x["key"].alias("key"), x["row"].alias("row"), x["size"].alias("size"), x["p"].alias("p")))
-        folded = durable(folded.select("source", _fold(again, seed + level).alias("f")))
-        part = folded.select(F.explode("f.done").alias("d"))
-        decided = part if decided is None else decided.unionByName(part)
-        left = folded.select("source", "f.rest").where("rest IS NOT NULL")
-        if most <= BLOCK:  # one block per source: its last fraction is drawn
-            one = F.when(uniform("rest.key", "rest.row", seed=seed) < F.col("rest.p"), 1).otherwise(0)
-            decided = decided.unionByName(left.select(F.struct(F.col("rest.key").alias("key"), F.col("rest.row").alias("row"), one.alias("one")).alias("d")))
-            break
-    top = heads.select("source", "source_size", "target", F.explode("f.done").alias("x")).select("x.doc_id", "source", "x.size", "source_size", "target", "x.copies", (F.col("x.size") * F.col("x.copies")).alias("taken"))
-    return _assemble(groups, decided).unionByName(top)
-
-
-def _assemble(groups: DataFrame, decided: DataFrame | None) -> DataFrame:
-    rows = groups.select("source", "source_size", "target", F.explode("items").alias("x")).select("source", "source_size", "target", "x.*")
-    done = groups.select(F.explode("folded.done").alias("d"))
-    if decided is not None:
-        done = done.unionByName(decided)
-    done = done.select("d.key", "d.row", "d.one")
-    out = rows.join(done, ["key", "row"], "left").withColumn("copies", (F.col("base") + F.coalesce("one", F.lit(0))).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    small = F.broadcast if few else (lambda df: df)
+    ladder = durable(rows.where("rung >= 0").groupBy("source", "rung").agg(F.count("*").alias("n"), F.sum("size").alias("held")))
+    rungs = [(r["rung"], r["n"]) for r in ladder.groupBy("rung").agg(F.max("n").alias("n")).orderBy(F.desc("rung")).collect()]  # at most 21
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    state = goal.select("source", "source_size", "target", rate.alias("rate"), F.col("source_size").alias("left"))
+    columns = ["source", "source_size", "target"]
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    parts = [rows.where("rung < 0").alias("a").join(small(goal).alias("b"), same).select("a.source", "b.source_size", "b.target", F.struct("a.doc_id", "a.size", F.lit(0).cast("long").alias("copies")).alias("d"))]
+    for rung, most in rungs:
+        held = ladder.where(F.col("rung") == rung).drop("rung")
+        at = state.alias("a").join(small(held).alias("b"), same).select("a.source", "source_size", "target", "rate", "n")
+        items = rows.where(F.col("rung") == rung).alias("a").join(small(at).alias("b"), same).select("a.doc_id", "a.size", "a.key", "a.row", "b.*")
+        fraction = F.col("rate") - F.floor("rate")
+        items = items.withColumns({"p": F.when(_whole(fraction), 0.0).otherwise(fraction), "base": F.when(fraction > 1 - EPS, F.ceil("rate")).otherwise(F.floor("rate"))})
+        parts.append(items.where("p = 0").select(*columns, F.struct("doc_id", "size", F.col("base").alias("copies")).alias("d")))
+        blocks = F.ceil(F.col("n") / BLOCK)
+        open_items = items.where("p > 0").select(*columns, blocks.alias("blocks"), F.pmod(F.xxhash64("key", "row", F.lit(seed)), blocks).alias("block"), F.struct("size", "key", "row", "doc_id", "base", "p").alias("x"))
+        level = 0
+        while True:
+            folded = open_items.groupBy(*columns, "blocks", "block").agg(F.sort_array(F.collect_list("x"), False).alias("x"))
+            folded = durable(folded.select(*columns, "blocks", "block", _fold(F.col("x"), kind, seed + level).alias("f")))
+            parts.append(folded.select(*columns, F.explode("f.done").alias("d")))
+            most, level = -(-most // BLOCK), level + 1
+            if most <= 1:
+                break
+            blocks = F.ceil(F.col("blocks") / BLOCK)
+            open_items = folded.where("f.rest IS NOT NULL").select(*columns, blocks.alias("blocks"), F.pmod(F.xxhash64("block", F.lit(seed + level)), blocks).alias("block"), F.col("f.rest").alias("x"))
+        rest = folded.select("source", "f.rest").where("rest IS NOT NULL")
+        state = state.alias("a").join(small(held).alias("b"), same, "left").select("a.source", "source_size", "target", "rate", (F.col("left") - F.coalesce("held", F.lit(0))).alias("left"))
+        state = state.alias("a").join(small(rest).alias("b"), same, "left").select("a.*", "b.rest")
+        state = durable(_meet_bundle(state, limit, seed))
+        parts.append(state.where("last IS NOT NULL").select(*columns, F.col("last").alias("d")))
+        state = state.drop("last")
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("d.doc_id", "source", "d.size", "source_size", "target", "d.copies", (F.col("d.size") * F.col("d.copies")).alias("taken"))

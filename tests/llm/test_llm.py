@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import chat, decontaminate, jaccard, licenses, mixing, quality, repetition, routing, substrings, suffixarrays, urls
+from clausewright.llm import chat, decontaminate, jaccard, licenses, mixing, quality, repetition, routing, session, substrings, suffixarrays, urls
 from clausewright.llm.text import Slice, cut, windows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -436,6 +436,73 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_fold(spark):
+    """The fold against a plain one with the same draws."""
+    rng = random.Random(17)
+    items = sorted(((rng.choice([1, 2, 5, 40, 300]), rng.getrandbits(40), 0, i, rng.randint(0, 2), rng.uniform(0.05, 0.95)) for i in range(14)), reverse=True)
+    table = spark.createDataFrame(items, "size long, key long, row long, doc_id int, base long, p double")
+    pairs = table.alias("a").join(table.alias("b"), F.col("a.key") != F.col("b.key")).select("a.key", "b.key", session.uniform("a.key", "a.row", "b.key", "b.row", seed=3))
+    draw = {(a, b): u for a, b, u in pairs.collect()}
+    done, rest = {}, None
+    for size, key, _, i, base, p in items:
+        if rest is None:
+            rest = [size, key, i, base, p]
+            continue
+        b = [size, key, i, base, p]
+        up, down = min(rest[0] * (1 - rest[4]), size * p), min(rest[0] * rest[4], size * (1 - p))
+        gain = up if draw[rest[1], key] * (up + down) < down else -down
+        rest[4] += gain / rest[0]
+        b[4] -= gain / size
+        left = []
+        for x in (rest, b):
+            if 1e-9 <= x[4] <= 1 - 1e-9:
+                left.append(x)
+            else:
+                done[x[2]] = x[3] + round(x[4])
+        assert len(left) <= 1
+        rest = left[0] if left else None
+    row = table.groupBy().agg(F.sort_array(F.collect_list(F.struct("size", "key", "row", "doc_id", "base", "p")), False).alias("x")).select(mixing._fold(F.col("x"), "int", 3).alias("f")).first()["f"]
+    assert {d["doc_id"]: d["copies"] for d in row["done"]} == done and (row["rest"] is None) == (rest is None)
+    assert rest is None or row["rest"]["doc_id"] == rest[2] and row["rest"]["p"] == pytest.approx(rest[4])
+    words = sum(i[0] * (i[4] + i[5]) for i in items)
+    size = {i[3]: i[0] for i in items}
+    assert sum(size[i] * c for i, c in done.items()) + (rest[0] * (rest[3] + rest[4]) if rest else 0) == pytest.approx(words)
+
+
+def test_mixing_expectations(spark):
+    """Over 600 sources of the same documents: copies are the rate on average, its floor or ceiling, and sums near the target."""
+    sizes = [2000, 1500, 900, 300, 290, 280, 60, 55, 50, 50, 20, 7, 7, 6, 5, 4, 3, 2, 1, 1]
+    df = spark.range(len(sizes)).select("id", F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") + 1).cast("int")).alias("n"))
+    df = df.crossJoin(spark.range(600).select(F.format_string("s%03d", "id").alias("source"), F.col("id").alias("s")))
+    df = df.select((F.col("s") * 100 + F.col("id")).alias("doc_id"), F.repeat(F.lit("w "), F.col("n")).alias("text"), "source")
+    out = mixing.mix(df, weights=(1.0, 2.0)).collect()
+    taken, copies = Counter(), {}
+    for r in out:
+        taken[r["source"], r["target"], r["source_size"]] += r["taken"]
+        copies.setdefault((r["target"] / r["source_size"], r["doc_id"] % 100), []).append(r["copies"])
+    assert len(copies) == 2 * len(sizes)
+    off = [n - t for (_, t, _), n in taken.items()]
+    assert {round(t / n, 9) for (_, t, n) in taken} == {round(2 / 3, 9), round(4 / 3, 9)}  # sources of equal size share by weight
+    assert sum(abs(x) <= 8 for x in off) > 0.6 * len(off) and max(map(abs, off)) < 2000 and abs(sum(off)) / len(off) < 40  # some bundles run out
+    for (rate, i), c in copies.items():
+        assert len(c) == 300 and abs(np.mean(c) - rate) < 4.5 * np.std(c) / 300**0.5 + 1e-9, (rate, i)
+        if sizes[i] >= 900:  # the first rung
+            assert set(c) <= {int(rate), int(rate) + 1}
+
+
+def test_mixing_edges(spark):
+    """Repeated rows are documents of their own, spread over blocks; ids of any type; clashing names; very long texts."""
+    rows = [("a", "x y z", "s")] * 3000 + [("b", "w " * 300_000, "s"), (None, "q " * 50, "t"), ("c", None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string").withColumns({"size": F.lit("clash"), "key": F.lit(1), "n": F.lit(2), "a.b": F.lit(3)})
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows) and Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
+    assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(df.repartition(5)).collect()))
+    sums = Counter()
+    for r in out:
+        sums[r["source"], r["target"]] += r["taken"]
+    assert all(abs(n - t) <= max(0.01 * t, 50) for (_, t), n in sums.items())
+
+
 # -- 8 chat
 
 

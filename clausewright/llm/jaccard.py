@@ -12,27 +12,33 @@ whose sets have a Jaccard similarity of ``threshold`` or more, in steps:
    are chosen, and the sets split by their values there; a bucket of at most
    ``SMALL`` sets stops, larger ones split again, at most ``LEVELS`` times;
 3. buckets are brute-forced on the minhash values, with a margin for their
-   error; only a spanning forest of what may be similar leaves a task;
-4. within the components of those forests every pair of sets is compared
-   exactly. Links are counted where they are found, not listed; a spanning
-   forest of the exact links gives the classes.
+   error; only spanning stars of the clumps of what may be similar leave a task;
+4. the components of those stars are cut into blocks of at most ``EXACT`` sets,
+   sets of equal first minhash together, and a pair of blocks is compared,
+   set by set and exactly, only if sets of both were in one clump. Links are
+   counted where they are found, not listed; a spanning forest of the exact
+   links gives the classes.
 
 A pair at the threshold survives to depth 1 / 2 / 4 of one run with probability 0.63
-/ 0.47 / 0.31, so twelve runs find it with 0.999 / 0.999 / 0.99, and more similar
-pairs more often.
+/ 0.47 / 0.31 (``survival``); the number of runs follows from the target recall,
+as if all buckets had to split to the last level. More similar pairs, and those in
+small buckets, are found more often.
 
 No task gets more than a bounded number of sets: buckets that the paths cannot
 split (near copies by the thousand) and large components are cut into blocks, and
-each pair of blocks is a task of its own. The work in such a group grows with the
-square of its distinct texts, since each link is verified; rows do not.
+each pair of blocks is a task of its own. Where all texts of a large group are
+similar, each link is verified and the work grows with the square of the distinct
+texts; where similarity only chains, with the pairs of blocks that meet. Rows do not grow.
 
 Defined cases: a null or blank text has no set and is its own class; rows of
 equal sets are linked, whatever their ids; a null id ranks before all others;
-an empty table gives no rows; extra columns are left alone.
+ids may be of any type that sorts; a text of any length is one set, cut into
+words at once; an empty table gives no rows; columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +46,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, durable
-from .session import FIRST
+from ..operators.graph import components, written
+from .session import named, plain, ranked
 from .text import Slice, U, cut, mix, trimmed, windows, within
 
 WIDTH, THRESHOLD = 5, 0.8
-COORDS, RUNS, LEVELS, SMALL, BLOCK = 64, 12, 4, 128, 1024
+#: Of pairs at the threshold, in buckets that split to the last level.
+RECALL = 0.985
+COORDS, LEVELS, SMALL, BLOCK = 64, 4, 128, 1024
+#: Buckets above SMALL (16 bytes each) are broadcast up to this many; beyond, they are joined.
+LARGE_PATHS = 200_000
 #: Sets, and shingles, of one block of an exact comparison.
 EXACT, BLOCK_SHINGLES = 512, 400_000
 STRIP = 256
@@ -97,6 +107,19 @@ def minhashes(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+def survival(levels: int) -> float:
+    """Probability that a pair at the threshold shares a path of this depth: one child each on average, a Poisson number of them."""
+    q = 1.0
+    for _ in range(levels):
+        q = 1 - math.exp(-q)
+    return q
+
+
+def runs_for(recall: float, levels: int = LEVELS) -> int:
+    """Independent runs that find a pair at the threshold with the given probability."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(levels))))
+
+
 def children(paths: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """For rows at nodes of the tree: row and child of each chosen coordinate."""
     coord = np.arange(COORDS, dtype=np.uint64) * U(0xD1B54A32D192ED03)
@@ -141,7 +164,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
 
 
 def candidates(nodes: DataFrame, threshold: float, runs: int, levels: int) -> DataFrame:
-    """Edges (u, v) between sets that may be similar: spanning forests of the buckets. nodes: (k, sketch)."""
+    """Stars (u, v, clump) of what may be similar in a bucket: v is the least of its clump. nodes: (k, sketch)."""
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,13 +178,17 @@ def candidates(nodes: DataFrame, threshold: float, runs: int, levels: int) -> Da
     at = nodes.select(F.explode(F.array(*roots)).alias("path"), "k", "sketch")
     small = None
     for level in range(1, levels + 1):
-        rows = durable(at.mapInArrow(trimmed(descend), "path long, k long"))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        sized = durable(rows.join(sizes, "path"))
-        done = sized if level == levels else sized.where(F.col("n") <= SMALL)
+        rows = written(at.mapInArrow(trimmed(descend), "path long, k long"))
+        sizes = written(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        over = sizes.where(F.col("n") > SMALL)
+        # rows of large buckets leave before the others are joined by bucket: no join key holds many rows
+        over = F.broadcast(over) if over.limit(LARGE_PATHS + 1).count() <= LARGE_PATHS else over
+        large = written(rows.join(over, "path"))
+        done = written(rows.join(over.select("path"), "path", "left_anti").join(sizes, "path"))
         small = done if small is None else small.unionByName(done)
-        large = sized.where(F.col("n") > SMALL)
-        if level == levels or not large.limit(1).count():
+        if level == levels:
+            small = small.unionByName(large)
+        elif not large.limit(1).count():
             break
         at = large.join(nodes, "k").select("path", "k", "sketch")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -183,20 +210,22 @@ def candidates(nodes: DataFrame, threshold: float, runs: int, levels: int) -> Da
                 label = _forest(same >= margin)
                 moved = np.flatnonzero(label != np.arange(n))
                 if len(moved):
-                    found.append(np.stack([k[moved], k[label[moved]]]))
+                    here = np.array([g.column(c)[0].as_py() for c in range(3)], np.int64).view(np.uint64)
+                    clump = mix(mix(here[:1] + mix(here[1:2] << U(32) | here[2:])) + label[moved].astype(np.uint64))
+                    found.append(np.stack([k[moved], k[label[moved]], clump.view(np.int64)]))
             if sum(x.shape[1] for x in found) > 50_000:
-                yield _pairs(found)
+                yield _stars(found)
                 found = []
         if found:
-            yield _pairs(found)
+            yield _stars(found)
 
     dealt = units.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
-    return dealt.mapInArrow(trimmed(brute), "u long, v long")
+    return dealt.mapInArrow(trimmed(brute), "u long, v long, clump long")
 
 
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    e = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["u", "v"])
+def _stars(found: list[np.ndarray]) -> pa.RecordBatch:
+    e = np.concatenate(found, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in e], ["u", "v", "clump"])
 
 
 def overlap(sets: list[np.ndarray]) -> np.ndarray:
@@ -225,22 +254,21 @@ def overlap(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, runs: int = RUNS, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, class_id, n_links, n_shingles.
 
     class_id is the least id of the texts connected by links; n_links counts the
     other rows with a set of the given similarity, copies included.
     """
-    out = _linked(docs, width, threshold, runs, levels, id_col, text_col, False)
-    own = F.coalesce("class_id", "id")
-    return out.select("doc_id", F.when(own != FIRST, own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_shingles").cast("long").alias("n_shingles"))
+    out = _linked(named(docs, doc_id=id_col, text=text_col), width, threshold, runs_for(recall, levels), levels)
+    own = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_shingles").cast("long").alias("n_shingles"))
 
 
-def _linked(docs: DataFrame, width: int, threshold: float, runs: int, levels: int, id_col: str, text_col: str, tell: bool) -> DataFrame:
-    """The rows with id, n_shingles, class_id and n_links (null: no set); to tell also t, a hash of the text, and first, the least (id, t) of the class."""
-    docs = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(FIRST)).alias("id"), docs[text_col].alias("text"), *([F.xxhash64(docs[text_col]).alias("t")] if tell else []))
-    more = ["t"] if tell else []
+def _linked(docs: DataFrame, width: int, threshold: float, runs: int, levels: int) -> DataFrame:
+    """The rows (doc_id, text) with id (rank), t (hash of the text), n_shingles, first (least id, t, doc_id of the class) and n_links (both null: no set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = ranked(docs, "doc_id", "id").select("doc_id", "id", "text", F.xxhash64("text").alias("t"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,49 +278,65 @@ def _linked(docs: DataFrame, width: int, threshold: float, runs: int, levels: in
                 at = np.cumsum(np.diff(off) > 0) - 1
                 full = np.diff(off) > 0
                 cells = [data[i].tobytes() if f else None for i, f in zip(at, full)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(set_keys(h, off)), pa.array(np.diff(off)), pa.array(cells, pa.binary()), *(batch.column(3).slice(a, b - a) for _ in more)], ["doc_id", "id", "k", "n", "sketch", *more])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 1, 3)), pa.array(set_keys(h, off)), pa.array(np.diff(off)), pa.array(cells, pa.binary())], ["doc_id", "id", "t", "k", "n", "sketch"])
 
-    rows = durable(docs.mapInArrow(trimmed(sketch), f"doc_id {kind}, id long, k long, n long, sketch binary{', t long' if tell else ''}"))
-    nodes = durable(rows.where("k >= 0").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *([F.min(F.struct("id", "t")).alias("first")] if tell else [])))
-    loose = components(candidates(nodes.select("k", "sketch"), threshold, runs, levels))
-    exact = durable(_verify(docs, nodes, loose, width, threshold))
+    rows = written(docs.mapInArrow(trimmed(sketch), f"doc_id {kind}, id long, t long, k long, n long, sketch binary"))
+    nodes = written(rows.where("k >= 0").groupBy("k").agg(F.min(F.struct("id", "t", "doc_id")).alias("first"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    stars = written(candidates(nodes.select("k", "sketch"), threshold, runs, levels))
+    exact = written(_verify(docs, nodes, stars, width, threshold))
     classes = components(exact.where("v IS NOT NULL").select("u", "v"))
     count = exact.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "k")
-    named = nodes.join(classes.withColumnRenamed("node", "k"), "k", "left").select("k", "id", "members", F.coalesce("label", "k").alias("label"), *(["first"] if tell else []))
-    least = named.groupBy("label").agg(F.min("id").alias("class_id"), *([F.min("first").alias("least")] if tell else []))
-    by_node = named.join(least, "label").join(count, "k", "left").select("k", "class_id", *([F.col("least").alias("first")] if tell else []), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "id", "k", F.col("n").alias("n_shingles"), *more).join(by_node, "k", "left")
-
-
-def _verify(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(u, v, links): for each set of a loose component its links per task, and an edge of the task's exact spanning forest or null."""
-    member = nodes.select("k", "id", "members", "n").join(loose.withColumnRenamed("node", "k"), "k")
-    size = member.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    of = F.greatest(F.ceil(F.col("c") / EXACT), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    member = member.join(size, "label").select("k", "id", "members", "label", of.alias("of"))
-    texts = docs.select("id", "text").join(member, "id").select("text", "k", "members", "label", "of")
+    with_label = nodes.join(classes.withColumnRenamed("node", "k"), "k", "left").select("k", "members", F.coalesce("label", "k").alias("label"), "first")
+    least = with_label.groupBy("label").agg(F.min("first").alias("least"))
+    by_node = with_label.join(least, "label").join(count, "k", "left").select("k", F.col("least").alias("first"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "id", "t", "k", F.col("n").alias("n_shingles")).join(by_node, "k", "left")
+
+
+def _blocks(nodes: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, members, first, block) of the sets of loose components, and the pairs of blocks (x <= y) to compare."""
+    loose = components(stars.select("u", "v"))
+    member = nodes.select("k", "members", "n", "first", F.substring("sketch", 1, 4).alias("c0")).join(loose.withColumnRenamed("node", "k"), "k")
+    parts = F.greatest(F.ceil(F.col("c") / EXACT), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    size = member.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", parts.alias("of"))
+    # a large component: cells of equal first minhash, and those that are too large cut again
+    member = member.join(size, "label").withColumn("cell", F.pmod(F.xxhash64("c0"), F.col("of")).cast("int"))
+    size = member.groupBy("label", "cell").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", "cell", parts.alias("parts"))
+    member = member.join(size, ["label", "cell"]).withColumn("block", F.xxhash64("label", "cell", F.pmod(F.xxhash64("k"), F.col("parts"))))
+    member = written(member.withColumn("whole", (F.col("of") == 1) & (F.col("parts") == 1)).select("k", "members", "first", "block", "whole"))
+    cut_up = member.where("NOT whole").select("k", "block")
+    met = stars.select("clump", F.col("u").alias("k")).unionByName(stars.select("clump", F.col("v").alias("k")).distinct()).join(cut_up, "k").select("clump", "block").distinct()
+    met = written(met)
+    pairs = met.withColumnRenamed("block", "x").join(met.withColumnRenamed("block", "y"), "clump").where("x < y").select("x", "y").distinct()
+    own = member.select(F.col("block").alias("x"), F.col("block").alias("y")).distinct()
+    return member, own.unionByName(pairs)
+
+
+def _verify(docs: DataFrame, nodes: DataFrame, stars: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(u, v, links): for each set its links per task, and an edge of the task's exact spanning forest or null."""
+    member, pairs = _blocks(nodes, stars)
+    texts = docs.select("id", "t", "text").join(member.select(F.col("first.id").alias("id"), F.col("first.t").alias("t"), "k", "members", "block"), ["id", "t"]).select("text", "k", "members", "block")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, s in cut(batch.column(0)):
                 h, off = shingles(s, width)
                 part = batch.slice(a, b - a)
-                ok = np.flatnonzero(set_keys(h, off) == part.column(1).to_numpy())  # the text of this set, if ids repeat
+                ok = np.flatnonzero(set_keys(h, off) == part.column(1).to_numpy())
                 cells = pa.array([np.sort(h[off[i] : off[i + 1]]).tobytes() for i in ok], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(ok)) for c in (3, 4, 1, 2)), cells], ["label", "of", "k", "members", "set"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(ok)) for c in (3, 1, 2)), cells], ["block", "k", "members", "set"])
 
-    ready = texts.mapInArrow(trimmed(sets), "label long, of int, k long, members long, set binary")
-    ready = ready.withColumn("b", F.pmod(F.xxhash64("k"), F.col("of")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    units = ready.select("label", F.least("b", "j").alias("x"), F.greatest("b", "j").alias("y"), "b", "k", "members", "set")
+    ready = texts.mapInArrow(trimmed(sets), "block long, k long, members long, set binary")
+    ends = pairs.select(F.col("x").alias("block"), "x", "y").unionByName(pairs.where("x < y").select(F.col("y").alias("block"), "x", "y"))
+    units = ready.join(ends, "block").select("x", "y", "block", "k", "members", "set")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, n = [], [], []
-        for g in _grouped(batches, 3):
-            k, at = np.unique(g.column(4).to_numpy(), return_index=True)
+        for g in _grouped(batches, 2):
+            k, at = np.unique(g.column(3).to_numpy(), return_index=True)
             if len(k) > 1:
-                block = g.column(3).to_numpy()[at]
-                members = g.column(5).to_numpy()[at]
-                cells = g.column(6).to_pylist()
+                block = g.column(2).to_numpy()[at]
+                members = g.column(4).to_numpy()[at]
+                cells = g.column(5).to_pylist()
                 own = [np.frombuffer(cells[i], np.uint64) for i in at]
                 both = overlap(own)
                 size = np.array([len(x) for x in own], np.float64)
@@ -301,7 +345,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, thr
                     part = both[i : i + STRIP].astype(np.float64)
                     near[i : i + STRIP] = part >= threshold * (size[i : i + STRIP, None] + size[None, :] - part) - 1e-9
                 np.fill_diagonal(near, False)
-                if g.column(1)[0].as_py() != g.column(2)[0].as_py():
+                if g.column(0)[0].as_py() != g.column(1)[0].as_py():
                     near &= block[:, None] != block[None, :]  # pairs within a block have a task of their own
                 some = np.flatnonzero(near.any(axis=1))
                 label = _forest(near.copy())
@@ -314,19 +358,21 @@ def _verify(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, thr
         if u:
             yield _counted(u, v, n)
 
-    return units.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y").mapInArrow(trimmed(compare), "u long, v long, links long")
+    return units.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(trimmed(compare), "u long, v long, links long")
 
 
 def _counted(u: list, v: list, n: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, n)], ["u", "v", "links"])
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
     """``docs`` with one row of each class, that of the least id; of rows of one id in a class, any one text.
 
     Rows are told apart by id and text, so ids may repeat or be null; repeated rows and rows without a set stay once.
     """
-    found = _linked(docs, width, threshold, runs, levels, id_col, text_col, True)
-    gone = found.where(F.struct("id", "t") != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("t").alias("_gone_text")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text_col]) == F.col("_gone_text")), "left_anti")
-    return kept.dropDuplicates([id_col, text_col])
+    rows = plain(docs)
+    own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    found = _linked(rows.select(F.col(own).alias("doc_id"), F.col(text).alias("text")), width, threshold, runs_for(recall, levels), levels)
+    gone = found.where("first IS NOT NULL AND (id <> first.id OR t <> first.t)").select(F.col("doc_id").alias("g_id"), F.col("t").alias("g_t")).distinct()
+    kept = rows.join(gone, rows[own].eqNullSafe(F.col("g_id")) & (F.xxhash64(rows[text]) == F.col("g_t")), "left_anti")
+    return kept.dropDuplicates([own, text]).toDF(*docs.columns)

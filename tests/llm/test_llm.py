@@ -98,12 +98,75 @@ def test_jaccard_large_groups(spark, monkeypatch):
         w = list(base)
         w[i % 60] = f"n{i}"
         rows.append((i, " ".join(w), "en", "a", 0))
-    for name, value in (("SMALL", 8), ("BLOCK", 16), ("EXACT", 9), ("STRIP", 7), ("BLOCK_SHINGLES", 3000)):
-        monkeypatch.setattr(jaccard, name, value)
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(1)).withColumn("k", F.lit("clash"))
+    for name, value in (("SMALL", 8), ("BLOCK", 16), ("EXACT", 9), ("BLOCK_SHINGLES", 3000)):
+        monkeypatch.setattr(jaccard, name, value)  # all read on the driver
+    clash = {"id": F.lit(1), "k": F.lit("clash"), "_gone": F.lit(2), "t": F.lit(3), "c0": F.lit(4), "a.b": F.lit(5)}
+    df = spark.createDataFrame(rows, SCHEMA).withColumns(clash)
     got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.links(df).collect())
     assert got == classes(rows)
-    assert [r["doc_id"] for r in jaccard.representatives(df).collect()] == [0]
+    monkeypatch.setattr(jaccard, "LARGE_PATHS", 0)
+    kept = jaccard.representatives(df)
+    assert kept.columns == df.columns and [tuple(r)[5:] for r in kept.collect()] == [(1, "clash", 2, 3, 4, 5)] and kept.first()["doc_id"] == 0
+
+
+def test_forest(monkeypatch):
+    """Strips of any height give the same components."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 13, 60):
+        near = rng.random((n, n)) < 1.2 / n
+        near |= near.T
+        want = jaccard._forest(near.copy()).tolist()
+        monkeypatch.setattr(jaccard, "STRIP", 7)
+        assert jaccard._forest(near.copy()).tolist() == want
+        assert all(want[i] == want[j] for i, j in zip(*np.nonzero(near))) and all(want[x] == x <= i for i, x in enumerate(want))
+        monkeypatch.undo()
+
+
+def test_jaccard_chain(spark, monkeypatch):
+    """A chain of texts, each like the next only, in many blocks: pairs of blocks that do not meet are not compared."""
+    rng = random.Random(21)
+    words = [f"{rng.random():.6f}" for _ in range(3000)]
+    rows = [(i, " ".join(words[9 * i : 9 * i + 150]), "en", "a", 0) for i in range(300)]
+    monkeypatch.setattr(jaccard, "EXACT", 10)
+    compared = []
+    blocks = jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda *x: compared.append(out := blocks(*x)) or out)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.links(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == classes(rows)
+    member, pairs = compared[0]
+    n = member.select("block").distinct().count()
+    assert n >= 25 and pairs.count() < n * n / 4
+
+
+def test_jaccard_recall(spark):
+    """3,000 texts in buckets that must split: pairs at 0.80 to 0.85 in a crowd of common openings."""
+    assert [round(jaccard.survival(k), 2) for k in (1, 2, 4)] == [0.63, 0.47, 0.31] and jaccard.runs_for(0.985) == 12 and jaccard.runs_for(0.9) == 7
+    rng = random.Random(31)
+    common = [f"c{k}" for k in range(60)]
+    rows, pairs = [], []
+    for i in range(1500):  # all texts share a third of their shingles: no bucket at the root is small
+        own = [f"{rng.random():.6f}" for _ in range(90)]
+        at = rng.choice([13, 14, 15, 16, 17])
+        other = own[: -at] + [f"{rng.random():.6f}" for _ in range(at - 1)]
+        rows += [(2 * i, " ".join(common + own), "en", "a", 0), (2 * i + 1, " ".join(common + other), "en", "a", 0)]
+        sets = [shingle_set(r[1]) for r in rows[-2:]]
+        j = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        pairs.append((2 * i, j))
+    near = {i for i, j in pairs if j >= 0.8}
+    assert len(near) > 1000 and sum(0.8 <= j < 0.87 for _, j in pairs) > 1000
+    got = {r["doc_id"]: r for r in jaccard.links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = sum(got[i]["n_links"] == 1 and got[i + 1]["class_id"] == i for i in near)
+    assert found >= 0.95 * len(near), found / len(near)
+    assert all(got[i]["n_links"] == got[i + 1]["n_links"] == 0 for i, j in pairs if j < 0.8)
+
+
+def test_jaccard_ids(spark):
+    """Ids that are no numbers, a null one, repeated rows, and a text of 400,000 words."""
+    rng = random.Random(8)
+    long = [f"{rng.random():.5f}" for _ in range(400_000)]
+    rows = [("d2", " ".join(long)), ("d1", " ".join([*long, "more"])), ("d2", "a b c d e f"), ("d9", "a b c d e f"), (None, "x y z"), ("d3", "x y z"), ("d3", "x y z"), ("e", None), ("f", "")]
+    got = sorted(((r["doc_id"] or "", r["class_id"] or "", r["n_links"]) for r in jaccard.links(spark.createDataFrame(rows, "doc_id string, text string")).collect()))
+    assert got == sorted([("d2", "d1", 1), ("d1", "d1", 1), ("d2", "d2", 1), ("d9", "d2", 1), ("", "", 2), ("d3", "", 2), ("d3", "", 2), ("e", "e", 0), ("f", "f", 0)])
 
 
 def test_representatives(spark):

@@ -434,8 +434,11 @@ def _verdicts(rows: list[tuple[int, np.ndarray, np.ndarray, bytes]], w: Windows,
         each, step, win = _occurrences(mine, n[t], places[t])
         start = mine["start"][each].astype(np.int64) + step
         gone = np.flatnonzero(_gone(best_doc[win], best_start[win], mine["doc"][each], start, w.own))
-        spans = np.zeros(len(gone), np.dtype([("source", "<u4"), ("row", "<u4"), ("start", "<u4")]))
-        spans["source"], spans["row"], spans["start"] = np.repeat(source[t], places[t])[each[gone]], mine["row"][each[gone]], start[gone]
+        each, start = each[gone], start[gone]
+        run = np.flatnonzero(np.append(True, (each[1:] != each[:-1]) | (start[1:] != start[:-1] + 1))) if len(gone) else gone
+        spans = np.zeros(len(run), np.dtype([("source", "<u4"), ("row", "<u4"), ("start", "<u4"), ("n", "<u4")]))
+        spans["source"], spans["row"], spans["start"] = np.repeat(source[t], places[t])[each[run]], mine["row"][each[run]], start[run]
+        spans["n"] = np.diff(np.append(run, len(gone)))
         found.append(spans)
     spans = np.concatenate(found)
     spans = spans[np.argsort(spans["source"], kind="stable")]
@@ -443,5 +446,6 @@ def _verdicts(rows: list[tuple[int, np.ndarray, np.ndarray, bytes]], w: Windows,
     for k in np.flatnonzero(np.diff(cuts)):
         x = spans[cuts[k] : cuts[k + 1]]
         one = np.zeros(len(x), SPAN)
-        one["row"], one["start"], one["n"] = x["row"], x["start"], 1
+        for f in ("row", "start", "n"):
+            one[f] = x[f]
         yield rows[k][0], merge_spans(one)

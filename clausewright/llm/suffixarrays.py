@@ -6,13 +6,14 @@ can happen at all to shards by anchor. Each group of documents builds the
 transform of its distinct pieces for each shard and sends that, not the text. A
 shard merges the transforms of all groups by iterative interleave refinement:
 the interleave says for every merged place from which transform its next row
-comes. With the interleave in order by h symbols, a stable sort of its places by
-the rank of the h symbols that precede each (found through the transforms' last-
-to-first steps) puts it in order by 2h; no suffix is sorted again. The rounds are
-4, 8, 16, ... symbols, the last one as many as are missing to ``width``. What is
-kept of each round is which neighbours in the interleave share all symbols so
-far: after the last one these are the intervals of rows with a common prefix of
-``width``, and the least document of an interval decides on the windows in it.
+comes. It starts as a stable sort of all rows by their first four symbols, one
+transform after the other; each round refines the classes of equal prefixes in it
+by the ranks of the rows as many symbols on (found through the transforms'
+first-to-last steps): 4, 8, 16, ... symbols, the last round as many as are missing
+to ``width``. A class of one row has its place for good and takes no part in later
+rounds, nor do rows whose text ends before; no suffix is sorted again. What is
+left of the rounds is which rows share a prefix of ``width``: these are the
+repeated intervals, and the least document of an interval decides on its windows.
 Windows and rows meet by walking each text backwards from its end symbol.
 
 Pieces that several groups sent alike are merged once: the later groups' rows of
@@ -51,46 +52,71 @@ def order_of(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (packed & U((1 << bits) - 1)).view(np.int64), packed >> U(bits)
 
 
-def classes(new: np.ndarray) -> np.ndarray:
-    out = np.empty(len(new) + 1, np.int32)
-    out[0] = 0
-    np.cumsum(new, out=out[1:])
-    return out
+def heads(new: np.ndarray) -> np.ndarray:
+    """For each place of a sorted list the first place of its class; new flags all classes but the first."""
+    out = np.zeros(len(new) + 1, np.int64)
+    out[1:] = np.where(new, np.arange(1, len(new) + 1), 0)
+    return np.maximum.accumulate(out)
 
 
-def rotations(sym: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All places of cyclic texts (distinct, each with END at its end) in the order of their rotations."""
+def shared(new: np.ndarray) -> np.ndarray:
+    """Flags of the places whose class has more than one member."""
+    return ~(np.append(True, new) & np.append(new, True))
+
+
+def split(rows: np.ndarray, rank: np.ndarray, ahead: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Refines the classes of some rows by the rank of others: the rows in their new order, their places, and flags of classes that are still shared.
+
+    A rank is the place where a class begins, so classes of one member keep theirs for good.
+    """
+    short = len(rows).bit_length()
+    if 2 * bits + short <= 64:  # sorted with the place inside the key
+        order, key = order_of((rank[rows].astype(np.uint64) << U(bits)) | rank[ahead].astype(np.uint64), short)
+        old = (key >> U(bits)).view(np.int64)
+        new = key[1:] != key[:-1]
+    else:
+        a, b = rank[rows], rank[ahead]
+        order = np.lexsort((b, a))
+        old, b = a[order].astype(np.int64), b[order]
+        new = (old[1:] != old[:-1]) | (b[1:] != b[:-1])
+    rows = rows[order]
+    begin = heads(old[1:] != old[:-1])
+    rank[rows] = old + heads(new) - begin
+    return rows, old + np.arange(len(rows)) - begin, shared(new)
+
+
+def rotations(sym: np.ndarray, begin: np.ndarray, size: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """All places of cyclic texts (distinct in their shard, each with END at its end) in the order of shards (from 0, rising) and rotations."""
     n = len(sym)
     bits = n.bit_length()
     used = np.bincount(sym, minlength=256) > 0
     code = np.cumsum(used).astype(np.uint8)[sym]
     per = int(code.max()).bit_length()
-    ahead = np.arange(1, n + 1, dtype=np.int32)
-    ahead[begin + size - 1] = begin
-    # as many symbols as fit beside the place, one by one; then twice as many each round
-    key, h, most = code.astype(np.uint64), 1, int(size.max())
-    near = code
-    while per * (h + 1) + bits <= 64:
-        near = near[ahead]
-        key = (key << U(per)) | near
-        h += 1
-    order, s = order_of(key, bits)
-    jump, p, left = None, ahead, h
-    while left:  # h symbols ahead
-        if left & 1:
-            jump = p if jump is None else p[jump]
-        p, left = p[p], left >> 1
+    text = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    # as many symbols as fit beside the shard and the place; then twice as many each round, for those that still share a class
+    h = max(1, (64 - bits - int(shard[-1]).bit_length()) // per)
+    key = np.repeat(shard.astype(np.uint64), size)
+    wide = np.append(code, np.resize(code, h)).astype(np.uint64)
+    for j in range(h):
+        key <<= U(per)
+        key |= wide[j : j + n]
+    near = (begin + size)[:, None] - np.arange(1, h)[None, :]  # the last places of each text go on at its begin
+    near = near[near >= begin[:, None]]
+    t = text[near]
+    tail = shard[t].astype(np.uint64)
+    for j in range(h):
+        tail = (tail << U(per)) | code[begin[t] + (near - begin[t] + j) % size[t]]
+    key[near] = tail
+    order, key = order_of(key, bits)
+    new = key[1:] != key[:-1]
     rank = np.empty(n, np.int32 if bits < 31 else np.int64)
-    rank[order] = c = classes(s[1:] != s[:-1])
-    while c[-1] < n - 1 and h < 2 * most:
-        if 3 * bits <= 64:  # sorted with the place inside the key
-            order, s = order_of((rank.astype(np.uint64) << U(bits)) | rank[jump].astype(np.uint64), bits)
-        else:
-            both = rank * np.int64(n) + rank[jump]
-            order = np.argsort(both)
-            s = both[order]
-        rank[order] = c = classes(s[1:] != s[:-1])
-        jump = jump[jump]
+    rank[order] = heads(new)
+    open_rows, most = order[shared(new)], int(size.max())
+    while len(open_rows) and h < 2 * most:
+        t = text[open_rows]
+        rows, at, still = split(open_rows, rank, begin[t] + (open_rows - begin[t] + h) % size[t], bits)
+        order[at] = rows
+        open_rows = rows[still]
         h *= 2
     return order
 
@@ -99,20 +125,17 @@ def transform(units: np.ndarray, size: np.ndarray, shard: np.ndarray) -> tuple[n
     """Order of distinct texts and their transforms, one per shard, one after the other. Texts are listed as their end symbols rank."""
     length = size + 1
     begin = np.cumsum(length) - length
-    n = int(length.sum())
-    sym = np.full(n, END, np.uint8)
-    sym[np.arange(len(units)) + np.repeat(np.arange(len(size)), size)] = units
-    text = np.repeat(np.arange(len(size)), length)
-    order = rotations(sym, begin, length)
-    low, high = int(shard[0]), int(shard[-1])
-    if low != high:
-        by, _ = order_of(shard[text[order]] - low, n.bit_length())
-        order = order[by]
-    before = np.arange(-1, n - 1)
-    before[begin] = begin + length - 1
-    last = sym[before[order]]
-    ends = order[sym[order] == END]
-    return text[ends], last
+    end = begin + size
+    inner = np.ones(int(length.sum()), bool)
+    inner[end] = False
+    sym = np.full(len(inner), END, np.uint8)
+    sym[inner] = units
+    order = rotations(sym, begin, length, np.cumsum(np.append(0, shard[1:] != shard[:-1])))
+    before = np.empty(len(sym), np.uint8)
+    before[1:] = sym[:-1]
+    before[begin] = END
+    owner = np.searchsorted(end, order[~inner[order]])
+    return owner, before[order]
 
 
 def steps(last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,10 +150,10 @@ def steps(last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def walk(first: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and place in the text of every row, from the rows of the end symbols backwards, all texts abreast."""
-    text, at = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+    text, at = np.empty(len(first), np.int32), np.empty(len(first), np.int32)
     row = np.flatnonzero(first == END)
-    order = np.argsort(-size, kind="stable")
-    row, who, left = row[order], order, size[order]
+    order = np.argsort(-size, kind="stable").astype(np.int32)
+    row, who, left = row[order], order, size[order].astype(np.int32)
     text[row], at[row] = who, left
     live = np.searchsorted(-left, 0, "left")  # texts by falling length: those with symbols left come first
     step = 0
@@ -143,45 +166,41 @@ def walk(first: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndar
 
 
 class Merged:
-    """The interleave of several transforms and its classes of equal prefixes."""
-
-    def __init__(self, last: np.ndarray, block: np.ndarray, width: int):
-        first, following, back = steps(last, block)
-        self.bits = bits = len(last).bit_length()
-        two = following[following]
-        four = (first.astype(np.uint64) << U(8)) | first[following]
-        four = (four << U(16)) | four[two]
+    """The interleave of several transforms, as far as it tells equal prefixes of ``width`` symbols apart.
+
+    rank: place in the interleave where the class of a row begins. reach: how many symbols a row has before its end symbol; rows
+    with fewer than a round looks at need no place in it.
+    """
+
+    def __init__(self, first: np.ndarray, following: np.ndarray, reach: np.ndarray, width: int):
+        self.bits = len(first).bit_length()
+        self.following, self.reach = following, reach
+        self.two = following[following]
+        self.four = self.two[self.two]
+        key = (first.astype(np.uint64) << U(8)) | first[following]
+        key = (key << U(16)) | key[self.two]
         if width < 4:
-            four >>= U(8 * (4 - width))
-        # the interleave by the first symbols
-        self.place, key = order_of(four, bits)
-        self.rank = np.empty(len(last), np.int32)
-        self.known, self.first, self.back = 4, first, back
-        self._keep(key[1:] != key[:-1])
-        jump = {1: back}
-        h = 1
-        while 4 * h <= width:  # no round takes more than half of the width
-            jump[2 * h] = jump[h][jump[h]]
-            h *= 2
+            key >>= U(8 * (4 - width))
+        # the interleave by the first symbols: a stable sort of all rows, transform after transform
+        order, key = order_of(key, self.bits)
+        new = key[1:] != key[:-1]
+        self.rank = np.empty(len(first), np.int32 if self.bits < 31 else np.int64)
+        self.rank[order] = heads(new)
+        self.open_rows, self.known = order[shared(new)], 4
         while self.known < width:
-            step = min(self.known, width - self.known)
-            self.refine(step, jump)
-
-    def _keep(self, new: np.ndarray) -> None:
-        self.rank[self.place] = self.cls = classes(new)
-
-    def refine(self, step: int, jump: dict[int, np.ndarray]) -> None:
-        """From an order by ``known`` symbols to one by ``step`` more, those before each row."""
-        row, left, p = self.place, step, 1
-        while left:
-            if left & 1:
-                row = jump[p][row]
-            left >>= 1
-            p *= 2
-        order, head = order_of(self.rank[row], self.bits)
-        tail = self.cls[order]
-        self.place = row[order]
-        self._keep((head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+            self.refine(min(self.known, width - self.known))
+
+    def refine(self, step: int) -> None:
+        """From classes of ``known`` symbols to those of ``step`` more: by the rank of the rows that far on."""
+        rows = self.open_rows[self.reach[self.open_rows] >= self.known + step]
+        ahead = rows
+        for jump, n in ((self.four, step // 4), (self.two, step // 2 % 2), (self.following, step % 2)):
+            for _ in range(n):
+                ahead = jump[ahead]
+        if len(rows):
+            rows, _, still = split(rows, self.rank, ahead, self.bits)
+            rows = rows[still]
+        self.open_rows = rows
         self.known += step
 
 
@@ -216,26 +235,25 @@ class Transforms:
         np.minimum.at(least, of, doc)
         stays = np.zeros(len(n), bool)
         stays[lead] = True
-        rows = np.repeat(block, size)
-        first, _, back = steps(body, rows)
+        first, following, back = steps(body, np.repeat(block, size))
         text, at = walk(first, back, size - 1)
         if len(lead) < len(n):
-            keep = stays[text]
-            body, rows, text, at = body[keep], rows[keep], text[keep], at[keep]
-        merged = Merged(body, rows, self.width)
-        # the windows: rows at the start of width symbols of their text
-        off = np.cumsum(n) - n
+            keep = np.flatnonzero(stays[text])
+            moved = np.empty(len(body), np.int32)
+            moved[keep] = np.arange(len(keep), dtype=np.int32)
+            first, following, text, at = first[keep], moved[following[keep]], text[keep], at[keep]
+        merged = Merged(first, following, size[text] - 1 - at, self.width)
+        # the windows: rows with width symbols of their text ahead
         here = np.flatnonzero(at < n[text])
-        document = np.full(len(body), NEVER)
-        document[here] = least[of[text[here]]]
-        heads = np.flatnonzero(np.append(True, merged.cls[1:] != merged.cls[:-1]))
-        interval = np.minimum.reduceat(document[merged.place], heads)
+        rank, owner = merged.rank[here], text[here]
+        interval = np.full(len(first), NEVER)
+        np.minimum.at(interval, rank, least[of[owner]])
         best = np.full(int(n.sum()), NEVER)
-        best[off[text[here]] + at[here]] = interval[merged.rank[here]]
+        best[(np.cumsum(n) - n)[owner] + at[here]] = interval[rank]
         # windows of the segments that left are those of the one that stayed
         if len(lead) < len(n):
             twin = lead[of]
-            best = best[_ranges(off[twin], n)]
+            best = best[_ranges((np.cumsum(n) - n)[twin], n)]
         return best, np.zeros(len(best), np.int64)
 
 

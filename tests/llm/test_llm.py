@@ -334,13 +334,15 @@ def test_merged_transforms():
         n = np.array([len(t) - width + 1 for t in texts])
         doc = np.array([rng.randint(0, 50) for _ in texts])
         rows = np.repeat(np.array(block), method.lengths(n))
-        first, _, back = suffixarrays.steps(np.concatenate(bodies), rows)
+        first, following, back = suffixarrays.steps(np.concatenate(bodies), rows)
         text, at = suffixarrays.walk(first, back, n + width - 1)
-        merged = suffixarrays.Merged(np.concatenate(bodies), rows, width)
-        cyclic = [((texts[t] + b"\xff") * (width + 1))[p : p + width] for t, p in zip(text, at)]
-        heads = [cyclic[r] for r in merged.place]
-        assert heads == sorted(heads) and sorted(merged.place.tolist()) == list(range(len(rows)))
-        assert [a == b for a, b in zip(heads, heads[1:])] == (merged.cls[1:] == merged.cls[:-1]).tolist()
+        reach = (n + width - 1)[text] - at
+        merged = suffixarrays.Merged(first, following, reach, width)
+        whole = [r for r in range(len(rows)) if reach[r] >= width]  # rows of whole windows
+        heads = {r: texts[text[r]][at[r] : at[r] + width] for r in whole}
+        by_rank = sorted(whole, key=lambda r: merged.rank[r])
+        assert [heads[r] for r in by_rank] == sorted(heads.values())
+        assert all((heads[x] == heads[y]) == (merged.rank[x] == merged.rank[y]) for x, y in zip(by_rank, by_rank[1:]))
         same = np.array([hash(t) & (1 << 62) - 1 for t in texts], np.uint64)
         best, _ = method.decide(np.concatenate(bodies), n, np.array(block), same, doc, np.zeros(len(doc), np.int64))
         least = {}

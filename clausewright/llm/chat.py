@@ -14,9 +14,17 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts every
 string can occur in them, and reading removes it again; line breaks and
 backslashes of a role are escaped as well.
 
+Tokens are those of a rank file that the driver reads and broadcasts (about a
+megabyte), so it need not lie on the executors. Runs of blanks are counted in
+parts of at most ``BLANKS``: the splitter's own look-ahead fails on longer ones.
+
 Defined cases: a null text or role is empty; a null conversation is one
-conversation; equal turn numbers are ordered by role and text; rows that
-repeat are turns of their own; extra columns are ignored.
+conversation, so all rows without an id are; ids may be of any type that sorts; equal turn
+numbers are ordered by role and text, rows that repeat are turns of their own; a
+text of any length is one turn, alone in its window if it is over the budget; an
+empty table gives no rows; extra columns are ignored, whatever their names.
+One conversation is formatted by one task, as a stream: its time grows with the
+conversation, its memory with one window and the longest turn.
 """
 
 from __future__ import annotations
@@ -30,6 +38,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .session import named
 from .text import trimmed
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -54,16 +63,25 @@ def unescape_role(s: str) -> str:
     return re.sub(r"\\(\\|n)", lambda m: "\n" if m[1] == "n" else "\\", unescape(s))
 
 
-def counter(vocabulary: str | None) -> Callable[[list[str]], list[int]]:
-    """Token counts by a tiktoken rank file, or by words and signs if there is none."""
-    if vocabulary is None:
+BLANKS = 1000
+LONG_BLANKS = re.compile(r"\s{%d}" % BLANKS)
+
+
+def parts(text: str) -> list[str]:
+    """The text cut after every BLANKS blanks in a row."""
+    ends = [m.end() for m in LONG_BLANKS.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]) if a < b]
+
+
+def counter(ranks: bytes | None) -> Callable[[list[str]], list[int]]:
+    """Token counts by the content of a tiktoken rank file, or by words and signs if there is none."""
+    if ranks is None:
         return lambda texts: [len(re.findall(r"\w+|[^\w\s]", t)) for t in texts]
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+    enc = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=table, special_tokens={})
+    return lambda texts: [sum(len(enc.encode_ordinary(x)) for x in parts(t)) if len(t) > BLANKS else len(enc.encode_ordinary(t)) for t in texts]
 
 
 class _Open:
@@ -117,15 +135,19 @@ class _Open:
 def format_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 256, vocabulary: str | None = None, target_roles: tuple[str, ...] = ("assistant",), system_roles: tuple[str, ...] = ("system",)) -> DataFrame:
     """Windows of each conversation, in order within a partition.
 
-    ``turns`` has conv_id, turn, role and text. loss holds the code point
+    ``turns`` has conv_id, turn, role and text; vocabulary is the path of a rank file on the driver. loss holds the code point
     ranges of text that are trained on: the escaped texts of new target turns.
     """
-    rows = turns.select("conv_id", "turn", "role", "text")
+    rows = named(turns, conv_id="conv_id", turn="turn", role="role", text="text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = WINDOWS.format(id=rows.schema["conv_id"].dataType.simpleString())
+    ranks = None
+    if vocabulary is not None:
+        with open(vocabulary, "rb") as f:
+            ranks = turns.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, state, arrow = counter(vocabulary), None, None
+        count, state, arrow = counter(ranks and ranks.value), None, None
         for batch in batches:
             arrow = arrow or pa.schema([("conv_id", batch.schema.field(0).type), ("window", pa.int64()), ("text", pa.string()), ("n_repeated", pa.int64()), ("n_turns", pa.int64()), ("n_tokens", pa.int64()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
             for a in range(0, batch.num_rows, 1000):

@@ -7,13 +7,16 @@ half as long, looked up in the set of window hashes, and each hit is verified
 on the words themselves. One narrow pass over the texts, built-in expressions
 only; what is dealt out afterwards is one row per document and verified window.
 
-The hash set is part of the plan while the benchmark has at most
-``SET_WINDOWS`` windows (counted first); beyond that the windows of the
-documents are joined with those of the benchmark by hash.
-
-Defined cases: a null text or item has no words; a null doc_id stays null;
-rows that repeat are judged alike and each returned; items of equal text all
-count; an empty benchmark hits nothing; extra columns are left alone.
+The hash set is part of the plan, and so of what is broadcast with the tasks, while
+the benchmark has at most ``SET_WINDOWS`` windows (counted first); beyond that the
+windows of the documents are joined with those of the benchmark by hash. Hashes
+are of words in full lower case, which can only add candidates: either way every hit is
+verified on the words as they are (A-Z lower-cased).
+
+Defined cases: a null text or item has no words; a null doc_id stays null, ids may be of any
+type; rows that repeat are judged alike and each returned; items of equal text all
+count; a text of any length is one array of words; an empty benchmark hits nothing, an empty
+table gives no rows; extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import durable
+from .session import named, plain
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -56,13 +62,14 @@ def _spell(start: Column, n: Column) -> Column:
 
 def benchmark_windows(items: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(w, n, h, items): each distinct window, its length, hash and sorted items."""
-    rows = _words(items.select(items[id_col].cast("string").alias("item"), items[text_col].alias("_t")), "_t").where("size(_w) > 0")
+    rows = _words(named(items, item=id_col, _t=text_col).withColumn("item", F.col("item").cast("string")), "_t").where("size(_w) > 0")
     rows = _roll(rows, list(range(1, n + 1)))
     hashes = F.when(F.size("_w") >= n, F.col(f"_w{n}"))
     for k in range(n - 1, 0, -1):
         hashes = hashes.when(F.size("_w") == k, F.col(f"_w{k}"))
     rows = rows.select("item", "_w", F.least(F.size("_w"), F.lit(n)).alias("n"), F.posexplode(hashes).alias("at", "h"))
-    return rows.select("item", "n", "h", _spell(F.col("at"), F.col("n")).alias("w")).groupBy("w", "n", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # read several times: kept
+    return durable(rows.select("item", "n", "h", _spell(F.col("at"), F.col("n")).alias("w")).groupBy("w", "n", "h").agg(F.sort_array(F.collect_set("item")).alias("items")))
 
 
 def _found(k: int, hashes: list[int]) -> Column:
@@ -76,7 +83,7 @@ def _placed(k: int) -> Column:
 
 
 def judged(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs with _w (words), _hits (array of verified n, at and w), and the benchmark's windows."""
+    """docs (plain column names) with _w (words), _hits (array of candidates: n, at and w), and the benchmark's windows."""
     windows = benchmark_windows(items, n, item_id, item_text)
     lengths = [r["n"] for r in windows.select("n").distinct().orderBy("n").collect()]  # at most n values
     count = windows.limit(SET_WINDOWS + 1).count()
@@ -111,12 +118,14 @@ def _covered(hits: str) -> Column:
 
 def report(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows, windows = judged(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), items, n, "text", item_id, item_text)
+    rows, windows = judged(named(docs, doc_id=id_col, text=text_col), items, n, "text", item_id, item_text)
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), F.size("_w").cast("long").alias("n_words"), "_hits")
     spelled = F.array_distinct(F.transform("_hits", lambda c: c["w"]))
     rows = rows.select("doc_id", "_key", "n_words", "_hits", F.posexplode_outer(spelled).alias("k", "w"))
     small = windows.limit(SET_WINDOWS + 1).count() <= SET_WINDOWS
     right = windows.select("w", "items")
+    # rows without a candidate look up what no window is, each its own: they are not dealt to one task
+    rows = rows.withColumn("w", F.coalesce("w", F.concat(F.lit(" "), F.col("_key").cast("string"))))
     rows = rows.join(F.broadcast(right) if small else right, "w", "left")
     out = rows.groupBy("doc_id", "_key").agg(
         F.first("n_words").alias("n_words"),
@@ -132,14 +141,13 @@ def report(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", remove: str = "documents") -> DataFrame:
-    """``docs`` without contaminated documents, or (remove="spans") without the hit words and the gaps before them.
-
-    Columns of ``docs`` may have any names but those that start with an underscore.
-    """
+    """``docs`` without contaminated documents, or (remove="spans") without the hit words and the gaps before them."""
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
+    given, text_col = docs.columns, f"c{docs.columns.index(text_col)}"
+    docs = plain(docs)
+    names = docs.columns
     rows, windows = judged(docs, items, n, text_col, item_id, item_text)
-    names = [F.col(f"`{c}`") for c in docs.columns]
     rows = rows.select(*names, "_hits", F.xxhash64(*names).alias("_key"))
     if windows.limit(SET_WINDOWS + 1).count() <= SET_WINDOWS:
         spelled = [r["w"] for r in windows.select("w").collect()]  # at most SET_WINDOWS rows
@@ -152,8 +160,8 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text"
     if remove == "documents":
         # through a generator, below which no filter moves: there it would repeat the hashes for each use of them
         clean_rows = rows.select(*names, F.explode(F.array(F.size("_hits"))).alias("_n"))
-        return clean_rows.where("_n = 0").select(*names)
-    pieces = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(GAP + WORD), F.lit(0))
+        return clean_rows.where("_n = 0").select(*names).toDF(*given)
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(GAP + WORD), F.lit(0))
     left = F.filter(pieces, lambda p, i: ~F.exists("_hits", lambda c: (i >= c["at"]) & (i < c["at"] + c["n"])))
-    text = F.concat(F.array_join(left, ""), F.regexp_extract(F.col(f"`{text_col}`"), GAP + "$", 0))
-    return rows.select(*[F.when(F.size("_hits") > 0, text).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.concat(F.array_join(left, ""), F.regexp_extract(F.col(text_col), GAP + "$", 0))
+    return rows.select(*[F.when(F.size("_hits") > 0, text).otherwise(F.col(c)).alias(c) if c == text_col else c for c in names]).toDF(*given)

@@ -12,8 +12,10 @@ its title and without what follows its terms. Whole texts are looked up: a
 notice or licence inside a longer text is not found.
 
 Defined cases: a null text counts as empty; an empty canonical form has no
-licence; repeated rows are each looked up; licences of equal digest resolve to
-the first name; an empty known table leaves every licence null.
+licence; repeated rows are each looked up; ids may be of any type; a text of any
+length is put in form whole; licences of equal digest resolve to the first name; an
+empty known table leaves every licence null, an empty table gives no rows; extra columns are
+left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import named
+
 BROADCAST_ROWS = 10_000
 
 # Equivalent spellings, as the SPDX matching guidelines list them.
@@ -111,7 +115,8 @@ def canonical(text: Column) -> Column:
     # one pass for all spellings: only texts that hold one of them go through the chain
     chained = out
     for pattern, by in middle:
-        chained = F.regexp_replace(chained, pattern, by.replace("\\1", "$1").replace("\\2", "$2"))
+        # the blank after a word is left for the next one: words may follow each other
+        chained = F.regexp_replace(chained, pattern.replace("( |$)", "(?= |$)"), by.replace("\\1", "$1").replace("\\2", ""))
     out = F.when(out.rlike("(^| )(" + "|".join(a for a, _ in SPELLINGS) + ")( |$)"), chained).otherwise(out)
     return F.regexp_replace(out, tail[0], tail[1])
 
@@ -152,8 +157,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``known`` has columns digest and license, one row per digest.
     """
-    form = canonical(docs[text_col])
-    rows = docs.select(docs[id_col].alias("doc_id"), form.alias("form"))
+    rows = named(docs, doc_id=id_col, text=text_col).select("doc_id", canonical(F.col("text")).alias("form"))
     rows = rows.select("doc_id", F.when(F.col("form") == "", 0).otherwise(F.length(F.regexp_replace("form", "[^ ]+", "")) + 1).cast("long").alias("canonical_words"), F.sha2("form", 256).alias("digest"))
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(known) if small else known, "digest", "left").select("doc_id", "canonical_words", "digest", "license")

@@ -33,14 +33,14 @@ g AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share
 t(host, seed, k, score) AS (
   SELECT host, a / sum(a) OVER () AS seed, 0, 0.15 * a / sum(a) OVER () FROM c
   UNION ALL
-  SELECT host, seed, k + 1, 0.15 * seed + 0.85 * coalesce((SELECT sum(x.score * f.share) FROM t x JOIN f ON f.src = x.host WHERE f.dst = t.host), 0) FROM t WHERE k < 10),
+  SELECT host, seed, k + 1, 0.15 * seed + 0.85 * coalesce((SELECT sum(x.score * f.share) FROM t x JOIN f ON f.src = x.host WHERE f.dst = t.host), 0) FROM t WHERE k < 130),
 d(host, seed, k, score) AS (
   SELECT host, b / sum(b) OVER () AS seed, 0, 0.15 * b / sum(b) OVER () FROM c
   UNION ALL
-  SELECT host, seed, k + 1, 0.15 * seed + 0.85 * coalesce((SELECT sum(x.score * g.share) FROM d x JOIN g ON g.src = x.host WHERE g.dst = d.host), 0) FROM d WHERE k < 10)
+  SELECT host, seed, k + 1, 0.15 * seed + 0.85 * coalesce((SELECT sum(x.score * g.share) FROM d x JOIN g ON g.src = x.host WHERE g.dst = d.host), 0) FROM d WHERE k < 130)
 SELECT page_id, j.host, path, rule, round(coalesce(t.score, 0), 12) AS trust, round(coalesce(d.score, 0), 12) AS distrust,
   coalesce(v, CASE WHEN round(coalesce(d.score, 0), 12) > round(coalesce(t.score, 0), 12) THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN (SELECT * FROM t WHERE k = 10) t ON t.host = j.host LEFT JOIN (SELECT * FROM d WHERE k = 10) d ON d.host = j.host
+FROM j LEFT JOIN (SELECT * FROM t WHERE k = 130) t ON t.host = j.host LEFT JOIN (SELECT * FROM d WHERE k = 130) d ON d.host = j.host
 """
 
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

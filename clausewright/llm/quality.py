@@ -5,16 +5,19 @@ to ``1 << BITS`` places. Their class counts are summed over all labelled rows;
 the log ratio of the smoothed class counts scales each indicator. The linear
 model on the scaled indicators is fitted by dual coordinate descent, on the
 driver, on a bounded sample: the ``MAX_TRAIN`` training rows with the smallest
-hash of their id, half of them of each class where there are enough. A
-logistic curve through held-back margins makes scores of margins, and
-balanced classes make a score of 0.5 a toss-up whatever the label rates are.
+hash of their id, half of them of each class where there are enough (one row of
+each id, whatever the repeats). A logistic curve through held-back margins, in which
+the classes weigh as their numbers of labelled rows, makes scores of margins: a
+score is about the share of rows like this one that are labelled 1.
 
 Scoring is one narrow pass over whole texts; the weights are one array of fixed size.
 
 Defined cases: a null or empty text has no features and scores by the bias
 alone; rows whose label is null, and labels of unknown documents, do not
-train; repeated labels of a row count each; without rows of both classes
-every score is 0.5; extra columns are left alone.
+train; repeated labels of a row, and rows of one labelled id, count each in the class
+counts; ids may be of any type; a text of any length is scored whole; without rows of both
+classes every score is 0.5; an empty table gives no rows; extra columns are left
+alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import named
 from .text import BYTE_HASH, Slice, U, cut, mix, trimmed
 
 BITS = 18
@@ -171,18 +175,19 @@ def train(labelled: DataFrame, sample: DataFrame, smooth: float = 1.0) -> Model:
 
 def split(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[DataFrame, DataFrame]:
     """The labelled rows whose crc32 of the id, as text, is no multiple of ``folds``; and a bounded sample of them."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND _id IS NOT NULL").where(F.crc32(F.col("_id").cast("string")) % folds != 0)
-    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
-    few = [known.where(F.col("label") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_train // 2) for k in (0, 1)]
-    sample = texts.join(F.broadcast(few[0].unionByName(few[1])), "_id")  # at most max_train rows
+    known = named(labels, r_id=id_col, label=label_col).withColumn("label", F.col("label").cast("int")).where("label IN (0, 1) AND r_id IS NOT NULL").where(F.crc32(F.col("r_id").cast("string")) % folds != 0)
+    texts = named(docs, r_id=id_col, text=text_col)
+    few = [known.where(F.col("label") == k).distinct().orderBy(F.xxhash64("r_id"), "r_id").limit(max_train // 2) for k in (0, 1)]
+    # one row of each id and label: at most max_train, however often an id repeats
+    sample = texts.join(F.broadcast(few[0].unionByName(few[1])), "r_id").groupBy("r_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     few_labels = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return texts.join(F.broadcast(known) if few_labels else known.hint("merge"), "_id"), sample
+    return texts.join(F.broadcast(known) if few_labels else known.hint("merge"), "r_id"), sample
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row: doc_id, score, predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 1 << BITS numbers
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    docs = named(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,8 +7,9 @@ the share inside lines that repeat an earlier line. Everything is vectorised ove
 no row depends on another, so there is no shuffle and no skew.
 
 Defined cases: a null or blank text has no words, all counts are 0 and it
-fails the base rule; rows that repeat are judged alike, each on its own; extra
-columns, whatever their names, are left alone.
+fails the base rule; rows that repeat are judged alike, each on its own; a share equal to its
+limit is kept; ids may be null or of any type; a text of any length is one slice; an empty table
+gives no rows; extra columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .session import named, plain
 from .text import Slice, U, cut, mix, trimmed, windows, within
 
 #: Largest share of word characters inside n-grams that occurred before in the text.
@@ -97,7 +99,7 @@ OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per row of ``docs``: its id and the columns of OUT."""
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    docs = named(docs, doc_id=id_col, text=text_col)
     names = [x.split()[0] for x in OUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,4 +122,5 @@ def keep(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    rows = plain(docs)
+    return rows.mapInArrow(trimmed(run), rows.schema).toDF(*docs.columns)

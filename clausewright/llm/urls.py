@@ -12,8 +12,10 @@ Mass that reaches a host without links is not dealt out again. Relative links
 stay on their host and are no edges.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits
-no rule and is judged as the empty host; a null html has no links; repeated
-rows are judged alike; with no rules every host is unreached and allowed.
+no rule and is judged as the empty host; a null html has no links; ids may be null or of any
+type; repeated rows are judged alike, and each counts; equal trust and distrust allow, so with
+no rules every host is allowed; a page of any length is searched whole; an empty table
+gives no rows; extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import durable
+from .session import named
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -102,12 +105,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, iterations: in
 
 def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """One row per page: its id, host, path, rule, trust, distrust and verdict."""
-    base = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
+    pages = named(pages, page_id=id_col, url=url_col, html=html_col)
+    base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = (_chained if len(rules) <= CHAINED_RULES else _joined)(base, rules)
     counts = ruled.groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
     counts = durable(counts)
     total = counts.agg(F.coalesce(F.sum("allowed"), F.lit(0)).alias("a"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
-    links = pages.select(host_of(pages[url_col]).alias("src"), F.explode(F.regexp_extract_all(pages[html_col], F.lit(LINK), F.lit(1))).alias("dst"))
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
     links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst")
     links = durable(links.groupBy("src", "dst").count())
     forward = links.join(links.groupBy("src").agg(F.sum("count").alias("total")), "src").select("src", "dst", (F.col("count") / F.col("total")).alias("share"))

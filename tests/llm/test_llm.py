@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter
 from importlib import resources
 
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import chat, decontaminate, jaccard, licenses, mixing, quality, repetition, routing, session, substrings, suffixarrays, urls
+from clausewright.llm import chat, decontaminate, jaccard, licenses, mixing, quality, queries, repetition, routing, session, substrings, suffixarrays, urls
 from clausewright.llm.text import Slice, cut, windows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -380,16 +381,16 @@ def test_distrust_reversed(spark):
 
 
 def test_long_paths_and_cycles(spark):
-    """A chain of 15 hosts in front of a blocked one, and a cycle of two, against the closed form; a bound that is too low is an error."""
+    """A chain of 24 hosts in front of a blocked one, and a cycle of two, against the closed form; a bound that is too low is an error."""
     link = lambda h: f'<a href="http://{h}/">'
-    rows = [(0, "http://spam.com/de/1", "")] + [(i, f"http://h{i}.net/", link(f"h{i - 1}.net" if i > 1 else "spam.com")) for i in range(1, 16)]
-    rows += [(20, "http://a.org/", link("b.info")), (21, "http://b.info/", link("a.org"))]
+    rows = [(0, "http://spam.com/de/1", "")] + [(i, f"http://h{i}.net/", link(f"h{i - 1}.net" if i > 1 else "spam.com")) for i in range(1, 25)]
+    rows += [(30, "http://a.org/", link("b.info")), (31, "http://b.info/", link("a.org"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     rules = (("com/de/", "block"), ("org/", "allow"))
     got = {r["page_id"]: r for r in urls.judge(pages, rules).collect()}
-    for i in range(1, 16):
+    for i in range(1, 25):
         assert got[i]["verdict"] == "block" and got[i]["distrust"] == pytest.approx(0.15 * 0.85**i, abs=1e-8)
-    assert got[20]["trust"] == pytest.approx(0.15 / (1 - 0.85**2), abs=1e-8) and got[21]["trust"] == pytest.approx(0.85 * 0.15 / (1 - 0.85**2), abs=1e-8)
+    assert got[30]["trust"] == pytest.approx(0.15 / (1 - 0.85**2), abs=1e-8) and got[31]["trust"] == pytest.approx(0.85 * 0.15 / (1 - 0.85**2), abs=1e-8)
     with pytest.raises(RuntimeError):
         urls.judge(pages, rules, iterations=10)
 
@@ -442,6 +443,8 @@ def test_decontamination_verified(spark, monkeypatch, bound):
     rows = [(1, "vor DAS GRÖßTE ÜBER DEN éCOLE ALLE nach"), (2, "so one two THREE, four five end"), (3, "x das größte Über den École alle / two three four five six y"), (4, None), (5, "nothing"), (2, "so one two THREE, four five end")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("w", F.lit("clash"))
     assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench, n=5).collect()) == [1, 4, 5]
+    told = Counter((r["doc_id"], r["contaminated"], r["n_hit"]) for r in decontaminate.report(df, bench, n=5).collect())
+    assert told == Counter({(1, False, 0): 1, (2, True, 5): 2, (3, True, 5): 1, (4, False, 0): 1, (5, False, 0): 1})
     cut_text = sorted((r["doc_id"], r["text"] or "-") for r in decontaminate.clean(df, bench, n=5, remove="spans").collect())
     assert cut_text == [(1, rows[0][1]), (2, "so end"), (2, "so end"), (3, "x das größte Über den École alle y"), (4, "-"), (5, "nothing")]
 
@@ -466,6 +469,104 @@ def test_classifier(spark):
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def py_mix(h):
+    m = (1 << 64) - 1
+    h = ((h ^ h >> 31) * 0x9E3779B97F4A7C15) & m
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) & m
+    return h ^ h >> 31
+
+
+def py_features(text):
+    """Places of the byte 1- to 3-grams and of the words of a text, one by one."""
+    from clausewright.llm.text import BYTE_HASH
+
+    m, out = (1 << 64) - 1, set()
+    b = text.encode()
+    for n in (1, 2, 3):
+        for p in range(len(b) - n + 1):
+            h = n
+            for x in b[p : p + n]:
+                h = (h * 0x9FB21C651E98DF25 + int(BYTE_HASH[x])) & m
+            out.add(py_mix(h) >> 64 - quality.BITS)
+    for w in WORDS.findall(text):
+        x = w.encode()
+        h = int(Slice(np.frombuffer(x, np.uint8), np.array([0, len(x)])).word_hashes()[0])
+        out.add(py_mix(h ^ 0x5851F42D4C957F2D) >> 64 - quality.BITS)
+    return out
+
+
+def test_classifier_by_hand(spark, tmp_path):
+    """Class ratios counted apart, the dual solution against a plain solver, and scores put together from them."""
+    rng = random.Random(16)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(2, 6))) for _ in range(80)]
+    texts = [" ".join(rng.choices(words[:60] if i % 2 else words[20:], k=rng.choice([0, 3, 12, 30]))) for i in range(90)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    labelled, sample = quality.split(docs, labels)
+    learnt = sorted(r["r_id"] for r in labelled.collect())
+    assert learnt == sorted(r["r_id"] for r in sample.collect()) == [i for i in range(90) if zlib.crc32(str(i).encode()) % 5]
+    model = quality.train(labelled, sample)
+    found = [py_features(t) for t in texts]
+    count, n = np.ones((2, 1 << quality.BITS)), [0, 0]
+    for i in learnt:
+        n[i % 2] += 1
+        count[i % 2][list(found[i])] += 1
+    ratio = np.log(count[1] / (n[1] + 2)) - np.log(count[0] / (n[0] + 2))
+    assert np.allclose(np.sqrt(model.square), abs(ratio))
+    # a plain solver of the same problem: the dual by projected gradient steps
+    used = sorted(set().union(*found))
+    at = {f: k for k, f in enumerate(used)}
+    x = np.zeros((len(learnt), len(used) + 1))
+    for r, i in enumerate(learnt):
+        x[r, [at[f] for f in found[i]]] = ratio[sorted(found[i], key=at.get)] if found[i] else 0
+        x[r, [at[f] for f in found[i]]] = [ratio[f] for f in found[i]]
+        x[r] /= np.sqrt((x[r] ** 2).sum()) or 1
+        x[r, -1] = 1
+    y = np.array([1.0 if i % 2 else -1.0 for i in learnt])
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    a, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20000):
+        a = np.clip(a - step * (q @ a - 1), 0, 1)
+    primal = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    best = primal((a * y) @ x)
+    w, bias = quality.hinge([np.array(sorted(found[i]), np.int64) for i in learnt], y, ratio, epochs=400)
+    got = primal(np.append(w[used], bias))
+    assert got <= best * 1.01 + 1e-6 and abs(best - (a.sum() - 0.5 * a @ q @ a)) < 0.01 * best
+    # the scores of the fitted model, from its weights
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for i in range(90):
+        f = sorted(found[i])
+        norm = np.sqrt((ratio[f] ** 2).sum()) or 1
+        margin = sum(model.product[f]) / norm + model.bias
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))))
+
+
+def test_classifier_held_out(spark):
+    """On the labelled rows of the test tables: held-out labels, lang, source and doc_id change nothing, and the score tells the classes apart."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.train(*quality.split(docs, labels))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    other = quality.train(*quality.split(docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")}), labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))))
+    assert np.array_equal(model.product, other.product) and (model.bias, model.slope, model.offset) == (other.bias, other.slope, other.offset)
+    moved = quality.score(docs.withColumn("doc_id", F.col("doc_id") + 7), model).select(F.col("doc_id") - 7, "score").collect()
+    rows = quality.score(docs, model)
+    assert sorted(map(tuple, moved)) == sorted(map(tuple, rows.select("doc_id", "score").collect()))
+    got = rows.join(labels, "doc_id").where(held).where("quality IS NOT NULL").select("quality", "score", "predicted").toPandas()
+    one, zero = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
+    area = (one[:, None] > zero[None, :]).mean() + 0.5 * (one[:, None] == zero[None, :]).mean()
+    assert len(one) > 5 and len(zero) > 5 and area > 0.8, (len(one), len(zero), area)
+
+
+def test_classifier_sample_is_bounded(spark):
+    """A labelled id on very many rows trains on one of them."""
+    rows = [(5 if i else 6, f"text {i}", "en", "a", 0) for i in range(3000)] + [(i, f"other {i}", "en", "a", 0) for i in range(100, 140)]
+    labels = [(i, i % 2, 0) for i in [5, 6, *range(100, 140)]] + [(5, 1, 0)]
+    df, known = spark.createDataFrame(rows, SCHEMA).withColumns({"r_id": F.lit(1), "label": F.lit(2), "quality": F.lit(3)}), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    labelled, sample = quality.split(df, known, max_train=12)
+    assert labelled.count() > 2900 and sample.count() <= 12 and sample.groupBy("r_id", "label").count().where("count > 1").count() == 0
+
+
 # -- 7 mixing
 
 
@@ -605,6 +706,22 @@ def test_chat(spark):
     assert chat.digests(chat.format_windows(df.limit(0))).count() == 0
 
 
+def test_chat_vocabulary(spark):
+    """The registered vocabulary: known counts, and texts of two million blanks or letters."""
+    with open(queries.VOCABULARY, "rb") as f:
+        count = chat.counter(f.read())
+    one, two = count([" " * chat.BLANKS])[0], count([" " * (2 * chat.BLANKS)])[0]
+    assert count(["", "a", "the the"]) == [0, 1, 2] and two == 2 * one and count(["x" + "\n" * 3000 + "y"])[0] > 2
+    assert "".join(chat.parts(" " * 2500 + "a" + "\t" * 1000)) == " " * 2500 + "a" + "\t" * 1000 and [len(x) for x in chat.parts(" " * 2500 + "a")] == [1000, 1000, 501]
+    long = [" " * 2_000_000, "\n" * 1_000_000 + "a" * 1000, "word " * 100_000, " \t\n" * 300_000]
+    rows = [("c", 2 * t + k, ["user", "assistant"][k], x if k else "hi") for t, x in enumerate(long) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumns({"window": F.lit(1), "loss": F.lit(2), "a.b": F.lit(3)})
+    got = chat.digests(chat.format_windows(df, vocabulary=queries.VOCABULARY)).collect()
+    said = "".join(long)
+    assert len(got) == 1 and (got[0]["conv_id"], got[0]["n_turns"], got[0]["loss_chars"]) == ("c", 8, len(said))
+    assert got[0]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 # -- 9 licences
 
 
@@ -697,3 +814,45 @@ def test_slices():
     s = Slice(np.frombuffer(b"ab ab b", np.uint8), np.array([0, 7]))
     h = s.word_hashes()
     assert h[0] == h[1] != h[2] and windows(h, 2)[0] != windows(h, 2)[1]
+
+
+@pytest.mark.parametrize("bound", [20_000, 0])
+def test_names_ids_and_length(spark, monkeypatch, bound):
+    """Text ids, a null one, repeated rows, two megabytes in one text, and extra columns that clash with any inner name, on both sides of every switch."""
+    for module, name in ((decontaminate, "SET_WINDOWS"), (quality, "BROADCAST_LABELS"), (licenses, "BROADCAST_ROWS"), (urls, "BROADCAST_HOSTS"), (mixing, "SOURCES")):
+        monkeypatch.setattr(module, name, bound)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefg", k=6)) for _ in range(4000)]
+    long = " ".join(rng.choices(words, k=300_000))
+    leak = long.split()[200_000:200_012]
+    rows = [("a", long), (None, "x y"), ("b", licenses.KNOWN["ISC"]), ("b", licenses.KNOWN["ISC"]), ("c", "so " + " ".join(leak) + " on"), ("d", None), ("e", "")]
+    clash = "w items _hits _t _key _w _h1 n h at item k id form digest license size row label r_id c0 c1 a.b count doc text2 src dst host rate page url_".split()
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(i) for i, c in enumerate(clash)}).withColumn("source", F.lit("s")).withColumn("url", F.lit("http://h.org/"))
+    bench = spark.createDataFrame([("i", " ".join(leak))], "item_id string, text string").withColumn("item", F.lit(1)).withColumn("_t", F.lit(2))
+    hit = Counter((r["doc_id"], r["contaminated"]) for r in decontaminate.report(df, bench).collect())
+    assert hit == Counter({("a", True): 1, (None, False): 1, ("b", False): 2, ("c", True): 1, ("d", False): 1, ("e", False): 1})
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter({None: 1, "b": 2, "d": 1, "e": 1})
+    assert {tuple(r)[2:] for r in kept.collect()} == {(*range(len(clash)), "s", "http://h.org/")}
+    spans = decontaminate.clean(df, bench, remove="spans")
+    assert spans.columns == df.columns and {r["doc_id"]: r["text"] for r in spans.collect()}["c"] == "so on"
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1), ("e", 0)], "doc_id string, quality int").withColumn("r_id", F.lit(1))
+    scored = quality.score(df, quality.train(*quality.split(df, labels))).collect()
+    assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored)
+    found = Counter((r["doc_id"], r["license"]) for r in licenses.scan(df, licenses.known_digests(spark)).collect())
+    assert found["b", "ISC"] == 2 and sum(found.values()) == len(rows) and found["a", None] == 1
+    kept = repetition.keep(df)
+    assert kept.columns == df.columns and repetition.score(df).count() == len(rows)
+    assert {r["doc_id"]: r["n_words"] for r in repetition.score(df).collect()}["a"] == 300_000
+    pages = urls.judge(df, (("org/", "block"),), id_col="doc_id", html_col="text").collect()
+    assert len(pages) == len(rows) and {r["verdict"] for r in pages} == {"block"}
+    assert len(mixing.mix(df).collect()) == len(rows)
+
+
+def test_adjacent_spellings(spark):
+    """Words with another spelling that follow each other, against a plain replacement word by word."""
+    text = "Licence licence LICENCE favour favour; labour favour programme\nlicence"
+    other = dict((a, b) for a, b in licenses.SPELLINGS if " " not in a)
+    want = " ".join(other.get(w, w) for w in re.findall("[a-z]+", text.lower()))
+    got = spark.createDataFrame([(text,)], "t string").select(licenses.canonical(F.col("t")).alias("c")).first()["c"]
+    assert got == want == "license license license favor favor labor favor program license"

@@ -184,17 +184,17 @@ def candidates(nodes: DataFrame, threshold: float, runs: int, levels: int) -> Da
         # rows of large buckets leave before the others are joined by bucket: no join key holds many rows
         over = F.broadcast(over) if over.limit(LARGE_PATHS + 1).count() <= LARGE_PATHS else over
         large = written(rows.join(over, "path"))
-        done = written(rows.join(over.select("path"), "path", "left_anti").join(sizes, "path"))
+        done = written(rows.join(over.select("path"), "path", "left_anti").join(sizes.hint("merge"), "path"))
         small = done if small is None else small.unionByName(done)
         if level == levels:
             small = small.unionByName(large)
         elif not large.limit(1).count():
             break
-        at = large.join(nodes, "k").select("path", "k", "sketch")
+        at = large.join(nodes.hint("merge"), "k").select("path", "k", "sketch")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     units = small.withColumn("of", blocks).withColumn("b", F.pmod(F.xxhash64("k"), F.col("of")).cast("int"))
     units = units.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    units = units.select("path", F.least("b", "j").alias("x"), F.greatest("b", "j").alias("y"), "k").join(nodes.select("k", "sketch"), "k").select("path", "x", "y", "k", "sketch")
+    units = units.select("path", F.least("b", "j").alias("x"), F.greatest("b", "j").alias("y"), "k").join(nodes.select("k", "sketch").hint("merge"), "k").select("path", "x", "y", "k", "sketch")
     margin = int(COORDS * threshold - 3 * np.sqrt(COORDS * threshold * (1 - threshold)))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,27 +286,27 @@ def _linked(docs: DataFrame, width: int, threshold: float, runs: int, levels: in
     exact = written(_verify(docs, nodes, stars, width, threshold))
     classes = components(exact.where("v IS NOT NULL").select("u", "v"))
     count = exact.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "k")
-    with_label = nodes.join(classes.withColumnRenamed("node", "k"), "k", "left").select("k", "members", F.coalesce("label", "k").alias("label"), "first")
+    with_label = nodes.join(classes.withColumnRenamed("node", "k").hint("merge"), "k", "left").select("k", "members", F.coalesce("label", "k").alias("label"), "first")
     least = with_label.groupBy("label").agg(F.min("first").alias("least"))
-    by_node = with_label.join(least, "label").join(count, "k", "left").select("k", F.col("least").alias("first"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "id", "t", "k", F.col("n").alias("n_shingles")).join(by_node, "k", "left")
+    by_node = with_label.join(least.hint("merge"), "label").join(count.hint("merge"), "k", "left").select("k", F.col("least").alias("first"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "id", "t", "k", F.col("n").alias("n_shingles")).join(by_node.hint("merge"), "k", "left")
 
 
 def _blocks(nodes: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(k, members, first, block) of the sets of loose components, and the pairs of blocks (x <= y) to compare."""
     loose = components(stars.select("u", "v"))
-    member = nodes.select("k", "members", "n", "first", F.substring("sketch", 1, 4).alias("c0")).join(loose.withColumnRenamed("node", "k"), "k")
+    member = nodes.select("k", "members", "n", "first", F.substring("sketch", 1, 4).alias("c0")).join(loose.withColumnRenamed("node", "k").hint("merge"), "k")
     parts = F.greatest(F.ceil(F.col("c") / EXACT), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     size = member.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", parts.alias("of"))
     # a large component: cells of equal first minhash, and those that are too large cut again
-    member = member.join(size, "label").withColumn("cell", F.pmod(F.xxhash64("c0"), F.col("of")).cast("int"))
+    member = member.join(size.hint("merge"), "label").withColumn("cell", F.pmod(F.xxhash64("c0"), F.col("of")).cast("int"))
     size = member.groupBy("label", "cell").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", "cell", parts.alias("parts"))
-    member = member.join(size, ["label", "cell"]).withColumn("block", F.xxhash64("label", "cell", F.pmod(F.xxhash64("k"), F.col("parts"))))
+    member = member.join(size.hint("merge"), ["label", "cell"]).withColumn("block", F.xxhash64("label", "cell", F.pmod(F.xxhash64("k"), F.col("parts"))))
     member = written(member.withColumn("whole", (F.col("of") == 1) & (F.col("parts") == 1)).select("k", "members", "first", "block", "whole"))
     cut_up = member.where("NOT whole").select("k", "block")
-    met = stars.select("clump", F.col("u").alias("k")).unionByName(stars.select("clump", F.col("v").alias("k")).distinct()).join(cut_up, "k").select("clump", "block").distinct()
+    met = stars.select("clump", F.col("u").alias("k")).unionByName(stars.select("clump", F.col("v").alias("k")).distinct()).join(cut_up.hint("merge"), "k").select("clump", "block").distinct()
     met = written(met)
-    pairs = met.withColumnRenamed("block", "x").join(met.withColumnRenamed("block", "y"), "clump").where("x < y").select("x", "y").distinct()
+    pairs = met.withColumnRenamed("block", "x").join(met.withColumnRenamed("block", "y").hint("merge"), "clump").where("x < y").select("x", "y").distinct()
     own = member.select(F.col("block").alias("x"), F.col("block").alias("y")).distinct()
     return member, own.unionByName(pairs)
 
@@ -314,7 +314,7 @@ def _blocks(nodes: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _verify(docs: DataFrame, nodes: DataFrame, stars: DataFrame, width: int, threshold: float) -> DataFrame:
     """(u, v, links): for each set its links per task, and an edge of the task's exact spanning forest or null."""
     member, pairs = _blocks(nodes, stars)
-    texts = docs.select("id", "t", "text").join(member.select(F.col("first.id").alias("id"), F.col("first.t").alias("t"), "k", "members", "block"), ["id", "t"]).select("text", "k", "members", "block")
+    texts = docs.select("id", "t", "text").join(member.select(F.col("first.id").alias("id"), F.col("first.t").alias("t"), "k", "members", "block").hint("merge"), ["id", "t"]).select("text", "k", "members", "block")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +327,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, stars: DataFrame, width: int, thr
 
     ready = texts.mapInArrow(trimmed(sets), "block long, k long, members long, set binary")
     ends = pairs.select(F.col("x").alias("block"), "x", "y").unionByName(pairs.where("x < y").select(F.col("y").alias("block"), "x", "y"))
-    units = ready.join(ends, "block").select("x", "y", "block", "k", "members", "set")
+    units = ready.join(ends.hint("merge"), "block").select("x", "y", "block", "k", "members", "set")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, n = [], [], []

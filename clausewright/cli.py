@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True, help="folder")
     p.add_argument("--config")
+    p.add_argument("--second-pass", action="store_true", help="read documents whose report asks for it again")
     args = p.parse_args(argv)
     cfg = config.Config(args.config)
     spark = SparkSession.builder.getOrCreate()
@@ -32,13 +33,18 @@ def main(argv: list[str] | None = None) -> int:
             docx.with_file(stats, chunks).write.mode("overwrite").json(f"{args.output}/{sinks.run_name('stats', args.input)}")
         elif args.command == "discover-schema":
             schema = discovery.discovered_schema(pipeline.flat_chunks(chunks))
-            decided = gate.decide(schema.withColumn("document_format", F.lit("docx")))
+            decided = gate.decide(schema.withColumn("document_format", F.lit("docx")), cfg.gates())
             decided.join(stats, "doc_id").write.mode("overwrite").json(f"{args.output}/{sinks.run_name('schema', args.input)}")
         else:
-            run = pipeline.run(docx.read_blocks(spark, args.input), most=sizes[0], least=sizes[1])
+            blocks = docx.read_blocks(spark, args.input)
+            run = pipeline.run(blocks, config=cfg)
             if not run.gate.where("decision <> 'reject'").limit(1).count():
                 print("The gate rejects all documents", file=sys.stderr)
                 return 1
+            if args.second_pass:
+                run = pipeline.second_pass(run, blocks, config=cfg)
+            run.payload().select("value").write.mode("overwrite").text(f"{args.output}/{sinks.run_name('atomized', args.input)}")
+            run.skipped.write.mode("overwrite").json(f"{args.output}/{sinks.run_name('skipped', args.input)}")
             sinks.write_requirements(run.requirements, f"{args.output}/{sinks.run_name('requirements', args.input)}")
             run.report.write.mode("overwrite").json(f"{args.output}/{sinks.run_name('report', args.input)}")
             run.insights.write.mode("overwrite").json(f"{args.output}/{sinks.run_name('insights', args.input)}")

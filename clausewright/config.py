@@ -18,7 +18,7 @@ DEFAULTS: dict[str, Any] = {
     },
     "confidence_gate": {"thresholds": {k: {"auto_accept": a, "human_review": h} for k, (a, h) in dims.GATES.items()}},
     "deduplication": {"jaccard_similarity_threshold": dims.DUPLICATE_SIMILARITY},
-    "llm": {"temperature": 0.0, "temperature_retry": 0.1, "max_tokens": 4096},
+    "llm": {"temperature": 0.0, "temperature_retry": 0.1, "temperature_first": 0.1, "temperature_second": 0.0, "max_tokens": 4096},
 }
 
 
@@ -50,3 +50,15 @@ class Config:
 
     def section(self, key: str) -> dict:
         return self.get(key, {})
+
+    def gates(self) -> dict[str, tuple[float, float]]:
+        """(auto_accept, human_review) by document format."""
+        return {k: (float(v["auto_accept"]), float(v["human_review"])) for k, v in self.section("confidence_gate.thresholds").items()}
+
+    def pass_thresholds(self) -> dict[int, float]:
+        at = self.section("atomizer.confidence_thresholds")
+        return {1: float(at["pass1"]), 2: float(at["pass2"])}
+
+    def temperatures(self) -> tuple[float, float]:
+        """Of the first pass and of the second."""
+        return float(self.get("llm.temperature_first", 0.1)), float(self.get("llm.temperature_second", 0.0))

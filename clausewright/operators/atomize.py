@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,21 +91,21 @@ def parent_link(reqs: DataFrame, chunk_index: DataFrame) -> DataFrame:
     return reqs.join(chunk_index.withColumnRenamed("component_id", "parent_component_id"), ["doc_id", "source_chunk_id"], "left")
 
 
-def with_fragment(df: DataFrame) -> DataFrame:
-    hit = starts_with_any(F.lower("rule_description"), dims.REQUIREMENT_PRONOUNS)
+def with_fragment(df: DataFrame, pronouns: Sequence[str] = dims.REQUIREMENT_PRONOUNS) -> DataFrame:
+    hit = starts_with_any(F.lower("rule_description"), tuple(pronouns))
     return df.withColumns({"fragment_warning": hit, "fragment_reason": F.when(hit, "starts_with_demonstrative_pronoun")})
 
 
-def pass_threshold(iteration: Column) -> Column:
-    return F.when(iteration == 2, dims.PASS_THRESHOLDS[2]).otherwise(dims.PASS_THRESHOLDS[1])
+def pass_threshold(iteration: Column, thresholds: Mapping[int, float] = dims.PASS_THRESHOLDS) -> Column:
+    return F.when(iteration == 2, thresholds[2]).otherwise(thresholds[1])
 
 
-def validate_and_adjust(reqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_and_adjust(reqs: DataFrame, thresholds: Mapping[int, float] = dims.PASS_THRESHOLDS, pronouns: Sequence[str] = dims.REQUIREMENT_PRONOUNS) -> tuple[DataFrame, DataFrame]:
     """Requirements repaired, scored, filtered and enriched; and those rejected as inference. Narrow throughout."""
     scored = with_confidence(with_repair(reqs))
     rejected = scored.where("grounding_classification = 'INFERENCE'")
-    kept = scored.where("grounding_classification <> 'INFERENCE'").where(F.col("confidence") >= pass_threshold(F.col("extraction_iteration")))
-    kept = with_fragment(kept)
+    kept = scored.where("grounding_classification <> 'INFERENCE'").where(F.col("confidence") >= pass_threshold(F.col("extraction_iteration"), thresholds))
+    kept = with_fragment(kept, pronouns)
     scalars = F.map_filter(F.try_variant_get("a", F.lit("$"), "map<string,string>"), lambda k, v: v.isNotNull())
     kept = kept.withColumn("verbs", verbs.replace_vague(F.col("rule_description"), scalars))
     kept = kept.withColumn("actionable_description", F.when(F.col("verbs.has_vague_verbs"), F.col("verbs.replaced")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from .. import dims
 from ..functions.text import fixed
 
 
-def _threshold(fmt: Column, i: int) -> Column:
-    out = F.lit(dims.GATES["default"][i])
-    for name, values in dims.GATES.items():
+def _threshold(fmt: Column, i: int, gates: Mapping[str, tuple[float, float]]) -> Column:
+    out = F.lit(gates["default"][i])
+    for name, values in gates.items():
         if name != "default":
             out = F.when(fmt == name, F.lit(values[i])).otherwise(out)
     return out
@@ -21,14 +23,15 @@ def _percent(x: Column) -> Column:
     return F.concat(fixed(x * 100, 1), F.lit("%"))
 
 
-def decide(df: DataFrame) -> DataFrame:
+def decide(df: DataFrame, gates: Mapping[str, tuple[float, float]] = dims.GATES) -> DataFrame:
     """Adds auto_accept, human_review, failing_checks, conditional_flags, decision and rationale.
 
     Needs document_format and avg_confidence (null: no schema). If the columns
     total_requirements, schema_issues, coverage_ratio, testability_issues and
     hallucination_flags are there and not null, they are checked as well.
+    gates: (auto_accept, human_review) by format.
     """
-    df = df.withColumns({"auto_accept": _threshold(F.col("document_format"), 0), "human_review": _threshold(F.col("document_format"), 1)})
+    df = df.withColumns({"auto_accept": _threshold(F.col("document_format"), 0, gates), "human_review": _threshold(F.col("document_format"), 1, gates)})
     avg = F.col("avg_confidence")
     text = lambda c: F.col(c).cast("string")
     low = F.concat(F.lit("avg_confidence="), fixed(avg, 3), F.lit(" < "))

@@ -407,7 +407,7 @@ SQL: dict[str, str] = {
     "skip_records": f"{REQ} SELECT CASE k % 4 WHEN 1 THEN 'parse_error' WHEN 2 THEN 'no_extractable_content' ELSE 'llm_error' END AS skip_reason, count(*) AS n, count(DISTINCT source_chunk_id) AS chunks FROM r WHERE k % 4 > 0 GROUP BY 1",
     "error_classes": "SELECT CASE event_id % 6 WHEN 0 THEN 'API_OVERLOADED' WHEN 1 THEN 'RATE_LIMIT' WHEN 2 THEN 'AUTH_FAILED' WHEN 3 THEN 'INVALID_RESPONSE' ELSE 'OTHER' END AS error_type, event_id % 6 NOT IN (2, 5) AS is_retryable, count(*) AS n FROM events GROUP BY ALL",
     "manifest_entries": "SELECT o_orderkey, 'Part ' || o_orderkey || ' - ' || strftime(o_orderdate, '%Y-%m-%d %H:%M') AS label, strftime(o_orderdate, '%Y-%m-%dT%H:%M:00') AS timestamp FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'requirements_Part_' || o_orderkey, NULL FROM orders WHERE o_orderkey % 3 = 0",
-    "upsert_latest": "SELECT c_custkey::VARCHAR AS requirement_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0",
+    "upsert_latest": "WITH n AS (SELECT (c_custkey + 100)::VARCHAR AS requirement_id, 'new' AS v FROM customer) SELECT * FROM n UNION ALL SELECT c_custkey::VARCHAR, c_mktsegment FROM customer WHERE c_custkey::VARCHAR NOT IN (SELECT requirement_id FROM n)",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
     "normalize_text": r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS x FROM documents)
 SELECT doc_id, length(x)::INT AS n, sha256(x) AS sha FROM n""",

@@ -1,15 +1,17 @@
-"""The whole flow as lazy DataFrames: blocks, chunks, schema, gate, batches, requirements, report, insights."""
+"""The whole flow as lazy DataFrames: blocks, chunks, schema, gate, components, batches, requirements, report, insights."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..operators import atomize, chunking, components, discovery, evaluate, gate, insights
 from ..operators.graph import durable
-from ..sources.extractor import Extractor, batch_prompts, deterministic, extract
+from ..sources import prompts, sinks
+from ..sources.extractor import Extractor, deterministic, extract
 
 
 @dataclass
@@ -20,41 +22,87 @@ class Run:
     stats: DataFrame
     schema: DataFrame
     gate: DataFrame
+    components: DataFrame | None
+    missing_references: DataFrame | None
     members: DataFrame
+    prompts: DataFrame
     requirements: DataFrame
     rejected: DataFrame
     skipped: DataFrame
+    metadata: DataFrame
     report: DataFrame
     insights: DataFrame
 
+    def payload(self) -> DataFrame:
+        """(doc_id, value): the published JSON object of each document."""
+        return sinks.payload(self.requirements, self.metadata, self.gate, self.insights, self.skipped)
+
 
 def flat_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks with the fields of their annotations as columns."""
     return chunks.select("*", "annotations.record_type", "annotations.record_id", "annotations.incomplete_record")
 
 
-def run(blocks: DataFrame, extractor: Extractor = deterministic, most: int = 3000, least: int = 50, iteration: int = 1, parsed_components: DataFrame | None = None) -> Run:
-    """Documents whose gate rejects them give no requirements. Responses are checkpointed: they need not repeat."""
-    chunks, stats = chunking.chunk_blocks(blocks, most, least)
+def read_components(flat: DataFrame, chunks: DataFrame, schemas: DataFrame, extractor: Extractor) -> DataFrame:
+    """Components by record type from the responses to their prompts. Types other than the three known ones are left out."""
+    asked = prompts.component_prompts(flat, schemas).where(F.col("record_type").isin(*components.CHECKED))
+    responses = durable(extract(asked, extractor, "doc_id", "record_type"))
+    return components.parse(responses.where("content IS NOT NULL"), chunks)
+
+
+def run(
+    blocks: DataFrame, extractor: Extractor = deterministic, most: int | None = None, least: int | None = None, iteration: int = 1, parsed_components: DataFrame | None = None,
+    component_extractor: Extractor | None = None, schema: DataFrame | None = None, config: Config | None = None,
+) -> Run:
+    """Documents whose gate rejects them give no requirements; those without a schema are rejected. Responses are checkpointed: they need not repeat.
+
+    schema: schema maps found otherwise (by a model, or cached) in place of those from statistics; component_extractor reads
+    components from their prompts; iteration 2 has its own prompt, temperature and threshold; config sets sizes and thresholds.
+    """
+    cfg = config or Config()
+    chunks, stats = chunking.chunk_blocks(blocks, most or cfg.get("preprocessing.max_chunk_chars"), least or cfg.get("preprocessing.min_chunk_chars"))
     flat = flat_chunks(chunks)
-    schema = discovery.discovered_schema(flat)
-    judged = gate.decide(chunks.select("doc_id").distinct().join(schema, "doc_id", "left").withColumns({"document_format": F.lit("docx"), "avg_confidence": F.coalesce("avg_confidence", F.lit(0.5))}))
+    schema = discovery.discovered_schema(flat) if schema is None else schema
+    judged = gate.decide(chunks.select("doc_id").distinct().join(schema, "doc_id", "left").withColumn("document_format", F.lit("docx")), cfg.gates())
     open_docs = judged.where("decision <> 'reject'").select("doc_id")
-    members = chunking.build_batches(flat.join(open_docs, "doc_id", "left_semi"))
+    open_flat = flat.join(open_docs, "doc_id", "left_semi")
+    if parsed_components is None and component_extractor is not None:
+        parsed_components = read_components(open_flat, chunks, judged, component_extractor)
+    members = chunking.build_batches(open_flat, budget=cfg.get("atomizer.batch_processing.max_batch_chars"))
     named = members.join(chunks.select("doc_id", F.col("position").cast("long").alias("pos"), "chunk_id", "source_location"), ["doc_id", "pos"])
-    responses = durable(extract(batch_prompts(members, chunks), extractor, "doc_id", "batch_id"))
+    asked = prompts.requirement_prompts(members, flat, judged, iteration, temperatures=cfg.temperatures())
+    responses = durable(extract(asked, extractor, "doc_id", "batch_id"))
     items, status = atomize.parse_items(responses.where("content IS NOT NULL"))
-    atomize.check_failures(named, status)
-    found = atomize.requirements(items, named, iteration=iteration)
+    atomize.check_failures(named, status, cfg.get("atomizer.failure_handling.batch_failure_threshold"))
+    found = atomize.requirements(items, named, prompt_version=prompts.version_of(iteration), iteration=iteration)
     # numbered in order once, and written: the numbers do not change when a task is repeated later
     found = durable(found.orderBy("doc_id", "batch_id", "item_ord").withColumn("req_no", F.monotonically_increasing_id()))
-    unique = durable(atomize.deduplicate(found))
+    unique = durable(atomize.deduplicate(found, cfg.get("deduplication.jaccard_similarity_threshold")))
     if parsed_components is not None:
         unique = atomize.parent_link(unique, components.chunk_index(parsed_components, "doc_id"))
-    kept, rejected = atomize.validate_and_adjust(unique)
+    kept, rejected = atomize.validate_and_adjust(unique, cfg.pass_thresholds(), cfg.get("atomizer.fragment_detection.pronouns"))
     kept = durable(kept.withColumn("a_json", F.to_json("a")).drop("a")).withColumn("a", F.parse_json("a_json"))
     skips = atomize.skipped(named, status, found)
-    report = evaluate.report(chunks.select("doc_id", "chunk_id"), kept)
+    missing = None if parsed_components is None else components.missing_references(parsed_components, "doc_id")
+    return _summed(Run(chunks, stats, schema, judged, parsed_components, missing, members, asked, kept, rejected, skips, skips, skips, skips))
+
+
+def _summed(r: Run) -> Run:
+    """With metadata, report and insights of what was kept."""
+    kept = r.requirements
+    metadata = atomize.extraction_metadata(kept, r.chunks, r.skipped, r.rejected, "doc_id")
+    listed = r.skipped.groupBy("doc_id").agg(F.count_distinct("chunk_id").alias("listed"))
+    report = evaluate.report(r.chunks.select("doc_id", "chunk_id"), kept, listed)
     totals = insights.counts(kept.withColumn("data_source", F.try_variant_get("a", F.lit("$.data_source"), "string")), "doc_id")
     summary = insights.confidence_tiers(insights.quality(totals)).withColumn("recommendations", insights.recommendations())
-    return Run(chunks, stats, schema, judged, named, kept, rejected, skips, report, summary)
+    return replace(r, metadata=metadata, report=report, insights=summary)
+
+
+def second_pass(first: Run, blocks: DataFrame, extractor: Extractor = deterministic, **options) -> Run:
+    """The documents whose report asks for another try, read again with the second prompt; the others stay as they are."""
+    again = durable(first.report.where("is_retryable").select("doc_id"))
+    if not again.limit(1).count():
+        return first
+    part = run(blocks.join(again, "doc_id", "left_semi"), extractor, iteration=2, **options)
+    mixed = lambda a, b: a.join(again, "doc_id", "left_anti").unionByName(b, allowMissingColumns=True)
+    return _summed(replace(first, requirements=mixed(first.requirements, part.requirements), rejected=mixed(first.rejected, part.rejected), skipped=mixed(first.skipped, part.skipped), prompts=mixed(first.prompts, part.prompts)))

@@ -214,9 +214,9 @@ def control_type_parts(spark, d):
 
 @query
 def parent_link(spark, d):
-    index = components.chunk_index(_components(spark, d))
-    out = reqs(spark, d).join(index.withColumnRenamed("component_id", "parent_component_id"), "source_chunk_id", "left")
-    return out.select("k", "parent_component_id")
+    """The components are those of one document, which all requirements are taken to be of."""
+    index = components.chunk_index(_components(spark, d).withColumn("doc_id", F.lit("all")), "doc_id")
+    return atomize.parent_link(reqs(spark, d).withColumn("doc_id", F.lit("all")), index).select("k", "parent_component_id")
 
 
 @query
@@ -269,11 +269,12 @@ def fragment_flags(spark, d):
 
 @query
 def extraction_metadata(spark, d):
+    """Of documents that keep a requirement; a requirement row stands for a chunk."""
     r = reqs(spark, d, views.SCORED)
     kept = r.where("grounding_classification <> 'INFERENCE'").where(F.col("confidence") >= atomize.pass_threshold(F.col("extraction_iteration")))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence")).join(
-        r.where("grounding_classification = 'INFERENCE'").groupBy("doc_id").agg(F.count("*").alias("rejected")), "doc_id", "left"
-    ).fillna(0, ["rejected"])
+    none = r.limit(0).select("doc_id", F.lit("").alias("chunk_id"))
+    out = atomize.extraction_metadata(kept, r, none, r.where("grounding_classification = 'INFERENCE'"), "doc_id")
+    return out.where("total_requirements_extracted > 0").select("doc_id", F.col("total_requirements_extracted").alias("n"), "avg_confidence", F.col("inference_rejected_count").alias("rejected"))
 
 
 @query
@@ -654,8 +655,8 @@ def manifest_entries(spark, d):
 @query
 def upsert_latest(spark, d):
     r = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("requirement_id"), F.col("c_mktsegment").alias("v"))
-    new = r.where("CAST(requirement_id AS INT) % 3 = 0").withColumn("v", F.lit("new"))
-    return sinks.latest(r.where("CAST(requirement_id AS INT) % 2 = 0"), new)
+    new = r.select((F.col("requirement_id").cast("long") + 100).cast("string").alias("requirement_id"), F.lit("new").alias("v"))
+    return sinks.latest(r, new)
 
 
 @query

@@ -1,12 +1,13 @@
 """Extractors: where text becomes JSON. Deterministic, recorded or injected.
 
-An extractor maps prompts to responses; it runs in the tasks, batch by batch, so
+An extractor maps prompts to responses (and is told the temperature, if it asks for one); it runs in the tasks, batch by batch, so
 it must be picklable. Responses are not repeatable in general: write them to a
 table, or checkpoint them, before anything is derived from them.
 """
 
 from __future__ import annotations
 
+import inspect
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -30,36 +31,49 @@ TYPE_WORDS = (
 )
 
 
+HEAD = re.compile(r"(?m)^=== CHUNK \[([^\]]+)\][^\n]*===\nLocation: [^\n]*\nHeading: [^\n]*\n\n")
+
+
 def deterministic(prompt: str) -> str:
-    """Sentences with a modal verb as requirements, typed by keywords. Lines "[id] text" are chunks."""
+    """Sentences of the chunks in a prompt that have a modal verb as requirements, typed by keywords."""
     out = []
-    for line in prompt.split("\n"):
-        m = re.match(r"\[([^\]]+)\] (.*)", line)
-        source, body = (m[1], m[2]) if m else ("", line)
-        for sentence in re.split(r"(?<=[.!?])\s+", body):
-            if MODAL.search(sentence):
-                kind = next(k for k, words in TYPE_WORDS if re.search(words, sentence, re.IGNORECASE))
-                out.append({"rule_type": kind, "rule_description": sentence.strip(), "grounded_in": sentence.strip(), "confidence": 0.8, "attributes": {}, "source_chunk_id": source})
+    heads = list(HEAD.finditer(prompt))
+    for m, end in zip(heads, [*(h.start() for h in heads[1:]), len(prompt)]):
+        for line in prompt[m.end() : end].split("\n"):
+            for sentence in re.split(r"(?<=[.!?])\s+", line.strip()):
+                if MODAL.search(sentence):
+                    kind = next(k for k, words in TYPE_WORDS if re.search(words, sentence, re.IGNORECASE))
+                    out.append({"rule_type": kind, "rule_description": sentence, "grounded_in": sentence, "confidence": 0.8, "attributes": {}, "source_chunk_id": m[1]})
     return json.dumps(out)
 
 
 def remote(call: Callable[[str], str], retries: int = 3, base: float = 2.0) -> Extractor:
-    """An injected call with retries."""
+    """An injected call with retries; it is given the temperature if it has a parameter of that name."""
+    if takes_temperature(call):
+        return lambda prompt, temperature: with_retries(lambda: call(prompt, temperature=temperature), retries, base)
     return lambda prompt: with_retries(lambda: call(prompt), retries, base)
 
 
+def takes_temperature(call: Callable) -> bool:
+    try:
+        return "temperature" in inspect.signature(call).parameters
+    except (TypeError, ValueError):
+        return False
+
+
 def extract(prompts: DataFrame, extractor: Extractor = deterministic, *keys: str) -> DataFrame:
     """(keys, content, error): the response to each prompt, or the class of its failure and no content."""
-    rows = prompts.select(*keys, "prompt")
+    warm = takes_temperature(extractor)
+    rows = prompts.select(*keys, "prompt", F.col("temperature") if "temperature" in prompts.columns else F.lit(0.0).alias("temperature"))
     names = [*keys, "content", "error"]
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             content, error = [], []
-            for prompt in pdf["prompt"]:
+            for prompt, temperature in zip(pdf["prompt"], pdf["temperature"]):
                 try:
-                    content.append(extractor(prompt))
+                    content.append(extractor(prompt, temperature=temperature) if warm else extractor(prompt))
                     error.append(None)
                 except CallError as e:
                     content.append(None)
@@ -73,10 +87,3 @@ def replay(prompts: DataFrame, recorded: DataFrame, *keys: str) -> DataFrame:
     """Recorded responses (keys, content) in place of calls."""
     return prompts.select(*keys).join(recorded, list(keys), "left").withColumn("error", F.when(F.col("content").isNull(), "NOT_RECORDED"))
 
-
-def batch_prompts(members: DataFrame, chunks: DataFrame, header: str = "") -> DataFrame:
-    """(doc_id, batch_id, prompt): the chunks of each batch, one line each, in order."""
-    rows = members.join(chunks.select("doc_id", F.col("position").cast("long").alias("pos"), "chunk_id", "content_text"), ["doc_id", "pos"])
-    line = F.concat(F.lit("["), F.col("chunk_id"), F.lit("] "), F.regexp_replace("content_text", r"\s+", " "))
-    grouped = rows.groupBy("doc_id", "batch_id").agg(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))).alias("x"))
-    return grouped.select("doc_id", "batch_id", F.concat(F.lit(header), F.array_join(F.transform("x", lambda y: y["line"]), "\n")).alias("prompt"))

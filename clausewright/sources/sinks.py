@@ -51,6 +51,27 @@ def write_requirements(reqs: DataFrame, path: str) -> None:
     reqs.select("doc_id", output_json(reqs).alias("value")).select("value").write.mode("overwrite").text(path)
 
 
+def payload(requirements: DataFrame, metadata: DataFrame, gates: DataFrame, insights: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(doc_id, value): one JSON object per document with extraction_metadata, gate_decision, summary, insights, skipped_chunks and requirements.
+
+    A document's requirements are one array, as the format has it: its size is that of the document.
+    """
+    level = F.coalesce(F.col("control_metadata.automated"), F.lit("manual"))
+    auto = [F.count_if(level == x).alias(x) for x in ("automated", "hybrid", "manual")]
+    rows = requirements.select("doc_id", "confidence", "control_metadata", "rule_type", F.struct("source_location", "requirement_id", output_json(requirements).alias("j")).alias("r"))
+    by_doc = rows.groupBy("doc_id").agg(F.count("*").alias("total_requirements"), F.round(F.avg("confidence"), 3).alias("avg_confidence"), *auto, F.transform(F.sort_array(F.collect_list("r")), lambda x: x["j"]).alias("js"))
+    skips = skipped.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "skip_reason", "detail"))).alias("skips"))
+    whole = lambda df, name: df.select("doc_id", F.to_json(F.struct(*[c for c in df.columns if c != "doc_id"])).alias(name))
+    gate = gates.select("doc_id", "decision", "score", "rationale", "failing_checks", "conditional_flags")
+    out = whole(gate, "gate_json").join(whole(metadata, "meta_json"), "doc_id", "left").join(whole(insights, "insight_json"), "doc_id", "left")
+    out = out.join(metadata.select("doc_id", "rule_type_distribution"), "doc_id", "left").join(by_doc, "doc_id", "left").join(skips, "doc_id", "left")
+    summary = F.to_json(F.struct(F.coalesce("total_requirements", F.lit(0)).alias("total_requirements"), F.coalesce("rule_type_distribution", F.create_map().cast("map<string,bigint>")).alias("by_rule_type"), F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"), F.struct(*[F.coalesce(x, F.lit(0)).alias(x) for x in ("automated", "hybrid", "manual")]).alias("automation_breakdown")))
+    none = F.lit("{}")
+    listed = F.coalesce(F.to_json("skips"), F.lit("[]"))
+    parts = {"extraction_metadata": F.coalesce("meta_json", none), "gate_decision": F.col("gate_json"), "summary": summary, "insights": F.coalesce("insight_json", none), "skipped_chunks": listed, "requirements": F.concat(F.lit("["), F.coalesce(F.array_join("js", ","), F.lit("")), F.lit("]"))}
+    return out.select("doc_id", F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]), F.lit("}")).alias("value"))
+
+
 def write_export(reqs: DataFrame, path: str) -> None:
     """The flat export as CSV with a header."""
     rows = reqs.withColumns({"applicable_fields": at.field(F.col("a"), "applicable_fields", "array<string>"), "data_source": at.field(F.col("a"), "data_source"), "control_type": at.field(F.col("a"), "control_type")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clausewright import errors
 from clausewright.config import Config
 from clausewright.plans import pipeline
-from clausewright.sources import docx, extractor, sinks
+from clausewright.sources import docx, extractor, prompts, sinks
 from clausewright.streaming import ingest
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -79,6 +79,91 @@ def test_flow(spark, tmp_path):
     assert spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "csv")).columns[0] == "Requirement ID"
 
 
+RECORDS = [*PARTS[:4], ("table", [["Policy ID", "P-001"], ["Owner", "Compliance"], ["Scope", "The bank shall verify balances within 30 days."]]), PARTS[5]]
+COMPONENTS = json.dumps([{"component_id": "P-001", "title": "Records", "related_controls": ["C-001", "C-009"], "related_risks": "R-001; "}])
+
+
+def test_prompts(spark, tmp_path):
+    """Prompts carry instructions, rule types, the schema, and chunks with their line breaks, ids and headings."""
+    write_docx(tmp_path / "a.docx", RECORDS)
+    run = pipeline.run(docx.read_blocks(spark, str(tmp_path / "a.docx")), most=500, least=10)
+    asked = run.prompts.orderBy("batch_id").collect()
+    text = "\n".join(r["prompt"] for r in asked)
+    assert all("Return a JSON array" in r["prompt"] and "update_timeline" in r["prompt"] and "Schema of the document (format docx)" in r["prompt"] and "{schema}" not in r["prompt"] for r in asked)
+    assert {r["temperature"] for r in asked} == {0.1} and "Heading: " in text and "Location: " in text
+    for c in run.chunks.collect():
+        assert f"=== CHUNK [{c['chunk_id']}] {c['chunk_type'].upper()}" in text and c["content_text"] in text  # whole, line breaks and all
+    assert any("\n" in c["content_text"] for c in run.chunks.collect())
+    parts = prompts.component_prompts(pipeline.flat_chunks(run.chunks), run.gate).collect()
+    assert [r["record_type"] for r in parts] == ["policy"] and "Record type: policy" in parts[0]["prompt"] and "P-001" in parts[0]["prompt"]
+    assert "first pass" in prompts.load("requirements", prompts.version_of(2)) and prompts.temperature_of(2) == 0.0
+    (tmp_path / "requirements").mkdir()
+    (tmp_path / "requirements" / "v1.0.yaml").write_text("system: 'Own words. {schema} End.'\n")
+    own = prompts.requirement_prompts(run.members, pipeline.flat_chunks(run.chunks), run.gate, folder=str(tmp_path)).first()["prompt"]
+    assert own.startswith("Own words. Schema of the document") and " End.\n\n=== CHUNK [" in own
+    with pytest.raises(KeyError):
+        prompts.load("nothing")
+
+
+def test_flow_with_recorded_responses(spark, tmp_path):
+    """From blocks to the published object with responses as a model gives them: components, links, skips, second pass."""
+    write_docx(tmp_path / "a.docx", RECORDS)
+    blocks = docx.read_blocks(spark, str(tmp_path / "a.docx"))
+
+    def components(prompt):
+        assert "You read governance records" in prompt and "Schema of the document" in prompt
+        return "Here they are: " + COMPONENTS
+
+    def answer(prompt, temperature):
+        ids = [m[1] for m in extractor.HEAD.finditer(prompt)]
+        said = "The bank shall verify balances within 30 days."
+        if "first pass" in prompt:
+            assert temperature == 0.0
+            return json.dumps([{"rule_type": "update_timeline", "rule_description": said, "grounded_in": said, "confidence": 0.9, "attributes": {"timeline": "30 days"}, "source_chunk_id": i} for i in ids if "record: POLICY" in prompt])
+        assert temperature == 0.1
+        return json.dumps([{"rule_type": "update_timeline", "rule_description": said, "grounded_in": said, "confidence": 0.9, "attributes": {}, "source_chunk_id": ids[0]}, {"rule_type": "no such type"}])
+
+    config = Config()
+    config.values = {**config.values, "preprocessing": {"max_chunk_chars": 500, "min_chunk_chars": 10}, "atomizer": {**config.values["atomizer"], "batch_processing": {**config.values["atomizer"]["batch_processing"], "max_batch_chars": 600}}}
+    run = pipeline.run(blocks, answer, component_extractor=components, config=config)
+    assert run.members.select("batch_id").distinct().count() > 1
+    found = run.components.collect()
+    assert [(r["component_id"], r["component_type"], r["related_controls"]) for r in found] == [("P-001", "policy", ["C-001", "C-009"])] and found[0]["source_chunk_id"]
+    assert {r["message"] for r in run.missing_references.collect()} == {f"Policy P-001 references missing {k}" for k in ("control C-001", "control C-009", "risk R-001")}
+    linked = run.requirements.where(F.col("source_chunk_id") == found[0]["source_chunk_id"]).collect()
+    assert all(r["parent_component_id"] == "P-001" for r in linked)
+    value = json.loads(run.payload().first()["value"])
+    assert list(value) == ["extraction_metadata", "gate_decision", "summary", "insights", "skipped_chunks", "requirements"]
+    n = run.requirements.count()
+    assert len(value["requirements"]) == value["summary"]["total_requirements"] == value["extraction_metadata"]["total_requirements_extracted"] == n > 0
+    assert value["gate_decision"]["decision"] == "human_review" and value["summary"]["by_rule_type"] == {"update_timeline": n} and sum(value["summary"]["automation_breakdown"].values()) == n
+    assert value["extraction_metadata"]["total_chunks_processed"] == run.chunks.count()
+    assert run.requirements.first()["prompt_version"] == "v1.0"
+    again = pipeline.second_pass(pipeline.replace(run, report=run.report.withColumn("is_retryable", F.lit(True))), blocks, answer, config=config, component_extractor=components)
+    kept = again.requirements.collect()
+    assert all(r["extraction_iteration"] == 2 and r["prompt_version"] == "v1.0_retry" and r["confidence"] >= 0.7 for r in kept)
+    assert again.report.count() == 1 and {r["skip_reason"] for r in again.skipped.collect()} <= {"no_extractable_content"}
+    assert pipeline.second_pass(pipeline.replace(run, report=run.report.withColumn("is_retryable", F.lit(False))), blocks).requirements is run.requirements
+
+
+def test_gate_of_schemas(spark, tmp_path):
+    """No schema: rejected. Fields of the discovered confidence: review. Entities without fields: rejected at 0. Settings move the thresholds."""
+    write_docx(tmp_path / "plain.docx", [("", "The bank must keep records of all balances.")])
+    write_docx(tmp_path / "fields.docx", PARTS)
+    read = docx.read_blocks(spark, str(tmp_path))
+    run = pipeline.run(read, most=500, least=10)
+    told = {r["doc_id"]: (r["decision"], r["failing_checks"]) for r in run.gate.collect()}
+    plain, fields = (next(v for k, v in told.items() if name in k) for name in ("plain", "fields"))
+    assert plain == ("reject", ["no_schema_map"]) and fields == ("human_review", [])
+    assert all("fields" in r["doc_id"] for r in run.requirements.select("doc_id").collect())
+    bare = run.schema.withColumn("avg_confidence", F.lit(0.0))
+    assert {r["decision"] for r in pipeline.run(read, most=500, least=10, schema=bare).gate.collect()} == {"reject"}
+    (tmp_path / "c.yaml").write_text("confidence_gate: {thresholds: {docx: {auto_accept: 0.4, human_review: 0.2}}}\natomizer: {confidence_thresholds: {pass1: 0.99}, fragment_detection: {pronouns: ['the bank']}}\n")
+    moved = pipeline.run(read, most=500, least=10, config=Config(tmp_path / "c.yaml"))
+    assert {r["decision"] for r in moved.gate.collect()} == {"accept", "reject"}
+    assert moved.requirements.where("confidence < 0.99").count() == 0
+
+
 def test_replay_and_remote(spark):
     prompts = spark.createDataFrame([(1, "a"), (2, "b")], "k int, prompt string")
     recorded = spark.createDataFrame([(1, "[]")], "k int, content string")

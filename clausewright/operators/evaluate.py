@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import attributes as at
 from ..functions.text import blank_tokens, contains_any, fixed
-from .dedup import dedup_ratio, similar_pairs
+from .dedup import dedup_ratio, pair_counts, similar_pairs
 
 
 def some(*tests: Column) -> Column:
@@ -122,6 +122,13 @@ def duplicates(reqs: DataFrame, key: str = "req_no", scope: str = "_scope", thre
     return similar_pairs(scoped, key, scope, blank_tokens(F.col("rule_description")), threshold)
 
 
+def duplicate_counts(reqs: DataFrame, key: str = "req_no", threshold: float = dims.DUPLICATE_SIMILARITY) -> DataFrame:
+    """(doc_id, duplicate_pairs): the number of those pairs, without making them."""
+    scoped = reqs.withColumn("_scope", F.concat_ws("|", "doc_id", "rule_type"))
+    counts = pair_counts(scoped, key, "_scope", blank_tokens(F.col("rule_description")), threshold)
+    return counts.groupBy(F.regexp_replace("_scope", r"\|[^|]*$", "").alias("doc_id")).agg(F.sum("pairs").alias("duplicate_pairs"))
+
+
 def enrichment_issues(reqs: DataFrame) -> DataFrame:
     """(requirement_id, issue_type, detail): scores that do not add up, template slips, unfounded mappings. Needs control_metadata and raw_total."""
     m = "control_metadata"
@@ -234,9 +241,8 @@ def report(chunks: DataFrame, reqs: DataFrame, listed_zero: DataFrame | None = N
     schema = schema_compliance(reqs)
     names = schema.select("doc_id", F.explode("missing_fields").alias("f")).groupBy("doc_id").agg(F.collect_set("f").alias("missing_names"))
     flags = hallucination(reqs).groupBy("doc_id").agg(F.count("*").alias("hallucination_flags"), F.count_if(F.col("risk") == "critical").alias("hallucination_critical"), F.count_if(F.col("risk") == "high").alias("hallucination_high"))
-    pairs = duplicates(reqs).select(F.regexp_replace("_scope", r"\|[^|]*$", "").alias("doc_id"))
     out = coverage(chunks, reqs, "doc_id").join(n(zero_chunks(chunks, reqs, "doc_id"), "zero_chunks"), key, "left")
-    parts = [main, n(testability(reqs), "testability_issues"), n(grounding(reqs), "grounding_issues"), schema.groupBy("doc_id").agg(F.count("*").alias("schema_issues"), F.count_if(F.col("severity") == "high").alias("schema_high")), names, flags, n(pairs, "duplicate_pairs")]
+    parts = [main, n(testability(reqs), "testability_issues"), n(grounding(reqs), "grounding_issues"), schema.groupBy("doc_id").agg(F.count("*").alias("schema_issues"), F.count_if(F.col("severity") == "high").alias("schema_high")), names, flags, duplicate_counts(reqs)]
     for part in parts:
         out = out.join(part, key, "left")
     counts = ["zero_chunks", "total_requirements", "avg_confidence", "testability_issues", "grounding_issues", "schema_issues", "schema_high", "hallucination_flags", "hallucination_critical", "hallucination_high", "duplicate_pairs"]

@@ -291,7 +291,7 @@ def duplicate_pairs(spark, d):
 @query
 def dedup_ratios(spark, d):
     r = reqs(spark, d)
-    pairs = evaluate.duplicates(r).groupBy(F.substring_index("_scope", "|", 1).alias("doc_id")).agg(F.count("*").alias("pairs"))
+    pairs = evaluate.duplicate_counts(r).withColumnRenamed("duplicate_pairs", "pairs")
     n = r.groupBy("doc_id").agg(F.count("*").alias("n")).join(pairs, "doc_id", "left").fillna(0, ["pairs"])
     return n.select("doc_id", "n", "pairs", F.round(dedup.dedup_ratio(F.col("n"), F.col("pairs")), 6).alias("dedup_ratio"))
 

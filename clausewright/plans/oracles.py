@@ -502,6 +502,20 @@ SELECT c_custkey, CASE WHEN len(failing) > 0 THEN 'reject' WHEN avg >= aa AND le
     "coverage": f"{REQ} SELECT (SELECT count(*) FROM documents) AS total_chunks, count(DISTINCT source_chunk_id) AS chunks_processed, round(count(DISTINCT source_chunk_id) / (SELECT count(*) FROM documents), 6) AS coverage_ratio FROM r",
     "zero_chunks": f"{REQ} SELECT 'c-' || doc_id AS chunk_id FROM documents WHERE 'c-' || doc_id NOT IN (SELECT source_chunk_id FROM r)",
     "unlabelled_documents": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "evaluation_report": f"""{SCORED}, {FLAGS}, {_dup},
+b AS (SELECT doc_id, count(*) AS n, count(DISTINCT source_chunk_id) AS chunks, max(extraction_iteration) AS pass FROM r GROUP BY 1),
+te AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {TESTABILITY} AS l FROM r) WHERE len(l) > 0 GROUP BY 1),
+gr AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {GROUNDING} AS l FROM r) WHERE len(l) > 0 GROUP BY 1),
+sc AS (SELECT doc_id, count(*) AS n, count(*) FILTER (len(l) >= 2) AS high FROM (SELECT doc_id, {canonical_errors()} AS l FROM r) WHERE len(l) > 0 GROUP BY 1),
+ha AS (SELECT doc_id, count(*) AS n, count(*) FILTER (risk = 'critical') AS critical, count(*) FILTER (risk = 'high') AS high FROM h GROUP BY 1),
+du AS (SELECT doc_id, count(*) AS n FROM pr GROUP BY 1),
+c AS (SELECT doc_id, b.chunks, b.n, b.pass, coalesce(te.n, 0) AS te, coalesce(gr.n, 0) AS gr, coalesce(sc.n, 0) AS sc, coalesce(sc.high, 0) AS sh, coalesce(ha.n, 0) AS ha, coalesce(ha.critical, 0) AS hc, coalesce(ha.high, 0) AS hh, coalesce(du.n, 0) AS du
+  FROM b LEFT JOIN te USING (doc_id) LEFT JOIN gr USING (doc_id) LEFT JOIN sc USING (doc_id) LEFT JOIN ha USING (doc_id) LEFT JOIN du USING (doc_id)),
+f AS (SELECT *, list_filter(['testability', 'grounding', 'schema', 'dedup', 'hallucination'], lambda x, i: [te > 5, gr > 3, sh > 3, (n - du) / n < 0.70, hc > 0 OR hh > 3][i]) AS found FROM c)
+SELECT doc_id, chunks AS total_chunks, chunks AS chunks_processed, n AS total_requirements, te AS testability_issues, gr AS grounding_issues, sc AS schema_issues, ha AS hallucination_flags, du AS duplicate_pairs,
+  CASE len(found) WHEN 0 THEN 'none' WHEN 1 THEN found[1] ELSE 'multi' END AS failure_type,
+  CASE WHEN hc > 0 THEN 'critical' WHEN te > 5 OR hh > 3 OR len(found) > 1 THEN 'high' WHEN len(found) = 1 THEN 'medium' ELSE 'low' END AS failure_severity,
+  NOT (hc > 0 OR hh > 3) AND (n - du) / n < 0.70 AND pass < 2 AS is_retryable FROM f""",
     "testability_issues": f"{REQ}, x AS (SELECT k, {TESTABILITY} AS l FROM r) SELECT k, array_to_string(l, '; ') AS issues, CASE WHEN len(l) > 1 THEN 'high' ELSE 'medium' END AS severity FROM x WHERE len(l) > 0",
     "grounding_issues": f"{SCORED}, x AS (SELECT k, confidence, grounded_in, {GROUNDING} AS l FROM r) SELECT k, array_to_string(l, '; ') AS issues, CASE WHEN trim(grounded_in) = '' OR confidence < 0.60 THEN 'high' ELSE 'medium' END AS severity FROM x WHERE len(l) > 0",
     "hallucination_flags": f"{SCORED}, {FLAGS} SELECT k, array_to_string(fl, '; ') AS flags, risk FROM h",

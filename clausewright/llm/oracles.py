@@ -108,9 +108,22 @@ SELECT doc_id, CASE WHEN form = '' THEN 0 ELSE length(regexp_replace(form, '[^ ]
 FROM d LEFT JOIN k ON k.digest = sha256(form)
 """
 
+_H = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+FILL_IN_MIDDLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT doc_id, t, n, {_H} FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, i) || '<S>' || substr(t, j + 1) || '<M>' || substr(t, i + 1, j - i)
+  ELSE '<S>' || substr(t, j + 1) || '<P>' || substr(t, 1, i) || '<M>' || substr(t, i + 1, j - i) END AS output FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN i END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END::BIGINT AS middle_chars,
+  sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
 SQL = {
     "op4_url_filters": URLS,
     "op5_benchmark_decontamination": CONTAMINATION,
     "op9_license_scans": LICENSES,
     "op10_quality_rules": REPETITION,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
 }

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licenses, mixing, quality, repetition, substrings, suffixarrays, urls
+from . import alignment, chat, decontaminate, fim, jaccard, licenses, mixing, quality, repetition, substrings, suffixarrays, urls
 from .text import read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SIDE_A, SIDE_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
@@ -58,6 +59,17 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return repetition.score(read_table(spark, d, "documents"))
 
 
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    out = alignment.align(read_table(spark, d, "documents"), SIDE_A, SIDE_B)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    out = fim.transform(read_table(spark, d, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": op1,
@@ -70,6 +82,8 @@ def queries() -> dict:
         "op8_chat_formatting": op8,
         "op9_license_scans": op9,
         "op10_quality_rules": op10,
+        "op11_token_alignment": op11,
+        "op12_fill_in_middle": op12,
     }
 
 

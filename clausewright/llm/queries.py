@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, fim, jaccard, licenses, mixing, quality, repetition, substrings, suffixarrays, urls
+from . import alignment, chat, covertree, decontaminate, fim, jaccard, licenses, mixing, quality, repetition, substrings, suffixarrays, urls
 from .text import read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -70,6 +70,10 @@ def op12(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return covertree.near_copies(read_table(spark, d, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": op1,
@@ -84,6 +88,7 @@ def queries() -> dict:
         "op10_quality_rules": op10,
         "op11_token_alignment": op11,
         "op12_fill_in_middle": op12,
+        "op13_embedding_near_dedup": op13,
     }
 
 

@@ -81,10 +81,10 @@ def check_failures(members: DataFrame, status: DataFrame, most: float = dims.BAT
 
 
 def deduplicate(reqs: DataFrame, threshold: float = dims.DUPLICATE_SIMILARITY) -> DataFrame:
-    """Near-duplicates of one document and rule type reduced to the one of highest confidence. Needs a unique, ordered long req_no."""
+    """Near-duplicates of one document and rule type reduced to the one of highest confidence. Needs an ordered long req_no, unique in its document."""
     reqs = reqs.withColumn("_scope", F.concat_ws("|", "doc_id", "rule_type"))
     kept = leaders(reqs, "req_no", "_scope", "model_confidence", content_tokens(F.col("rule_description")), threshold).where("kept")
-    return reqs.join(kept.select(F.col("key").alias("req_no")), "req_no", "left_semi").drop("_scope")
+    return reqs.join(kept.select("_scope", F.col("key").alias("req_no")), ["_scope", "req_no"], "left_semi").drop("_scope")
 
 
 def parent_link(reqs: DataFrame, chunk_index: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def schema_compliance(reqs: DataFrame) -> DataFrame:
 
 
 def duplicates(reqs: DataFrame, key: str = "req_no", scope: str = "_scope", threshold: float = dims.DUPLICATE_SIMILARITY) -> DataFrame:
-    """Pairs of requirements of one document and type with similar words; needs a unique, ordered key."""
+    """Pairs of requirements of one document and type with similar words; the key must be ordered and unique in its document."""
     scoped = reqs.withColumn(scope, F.concat_ws("|", "doc_id", "rule_type"))
     return similar_pairs(scoped, key, scope, blank_tokens(F.col("rule_description")), threshold)
 

@@ -372,6 +372,16 @@ RECOMMEND = some(
 _dup = f"""t AS (SELECT k, doc_id, rule_type, {BLANK} AS w FROM r),
 d AS (SELECT a.doc_id, a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) AS s, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.rule_type = b.rule_type AND a.k < b.k WHERE len(a.w) > 0 AND len(b.w) > 0),
 pr AS (SELECT doc_id, a, b, {half_up('s / u', 3)} AS similarity FROM d WHERE s >= 0.75 * u)"""
+LEADERS = f"""WITH RECURSIVE r AS ({views.SCORED}), t AS (SELECT k, doc_id, rule_type, confidence, {content('rule_description')} AS w FROM r),
+pr AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.rule_type = b.rule_type AND a.k < b.k
+ WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= {dims.DUPLICATE_SIMILARITY} * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+e AS (SELECT b AS k, list(a) AS early FROM pr GROUP BY 1),
+o AS (SELECT t.*, coalesce(early, []::BIGINT[]) AS early, row_number() OVER (PARTITION BY doc_id, rule_type ORDER BY k) AS i FROM t LEFT JOIN e USING (k)),
+f(doc_id, rule_type, i, ls) AS (SELECT DISTINCT doc_id, rule_type, 0::BIGINT, []::BIGINT[] FROM o UNION ALL
+ SELECT f.doc_id, f.rule_type, o.i, CASE WHEN list_has_any(ls, early) THEN ls ELSE list_append(ls, o.k) END FROM f JOIN o ON o.doc_id = f.doc_id AND o.rule_type = f.rule_type AND o.i = f.i + 1),
+z AS (SELECT doc_id, rule_type, arg_max(ls, i) AS ls FROM f GROUP BY 1, 2),
+l AS (SELECT k, confidence, CASE WHEN list_contains(ls, k) THEN k ELSE list_min(list_intersect(ls, early)) END AS leader FROM o JOIN z USING (doc_id, rule_type))
+SELECT k AS key, leader, k = first_value(k) OVER (PARTITION BY leader ORDER BY confidence DESC, k) AS kept FROM l"""
 _refs = f"comp AS ({views.COMPONENTS}), " + """
 rel AS (
   SELECT component_id AS src, component_type, 'related_controls' AS relation, 'control' AS target, related_controls AS x FROM comp WHERE component_type IN ('policy', 'risk')
@@ -475,6 +485,7 @@ SELECT c_custkey, CASE WHEN len(failing) > 0 THEN 'reject' WHEN avg >= aa AND le
     "data_sources": f"{REQ} SELECT k, {source()} AS data_source FROM r",
     "fragment_flags": f"{REQ} SELECT k, {starts(_desc, dims.REQUIREMENT_PRONOUNS)} AS requirement_fragment, {starts('lower(trim(split_part(rule_description, chr(46), 1)))', dims.CHUNK_PRONOUNS)} AS chunk_fragment FROM r",
     "extraction_metadata": f"{SCORED}, a AS (SELECT doc_id, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM r WHERE grounding_classification <> 'INFERENCE' AND confidence >= CASE extraction_iteration WHEN 2 THEN 0.70 ELSE 0.60 END GROUP BY 1) SELECT a.*, coalesce(b.rejected, 0) AS rejected FROM a LEFT JOIN (SELECT doc_id, count(*) AS rejected FROM r WHERE grounding_classification = 'INFERENCE' GROUP BY 1) b USING (doc_id)",
+    "dedup_leaders": LEADERS,
     "duplicate_pairs": f"{REQ}, {_dup} SELECT a, b, similarity FROM pr",
     "dedup_ratios": f"{REQ}, {_dup}, c AS (SELECT doc_id, count(*) AS pairs FROM pr GROUP BY 1) SELECT doc_id, n, coalesce(pairs, 0) AS pairs, round((n - coalesce(pairs, 0)) / n, 6) AS dedup_ratio FROM (SELECT doc_id, count(*) AS n FROM r GROUP BY 1) LEFT JOIN c USING (doc_id)",
     "token_jaccard": f"{PAIRS}, {evidence('p', 'conv_id, turn')} SELECT conv_id, turn, len(dt)::INT AS d, len(gt)::INT AS g, {J} AS jaccard FROM ev",

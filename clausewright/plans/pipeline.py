@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -75,8 +75,8 @@ def run(
     items, status = atomize.parse_items(responses.where("content IS NOT NULL"))
     atomize.check_failures(named, status, cfg.get("atomizer.failure_handling.batch_failure_threshold"))
     found = atomize.requirements(items, named, prompt_version=prompts.version_of(iteration), iteration=iteration)
-    # numbered in order once, and written: the numbers do not change when a task is repeated later
-    found = durable(found.orderBy("doc_id", "batch_id", "item_ord").withColumn("req_no", F.monotonically_increasing_id()))
+    # numbered within their documents, so that runs over different documents can be put together
+    found = durable(found.withColumn("req_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("batch_id", "item_ord")).cast("long")))
     unique = durable(atomize.deduplicate(found, cfg.get("deduplication.jaccard_similarity_threshold")))
     if parsed_components is not None:
         unique = atomize.parent_link(unique, components.chunk_index(parsed_components, "doc_id"))

@@ -280,7 +280,7 @@ def extraction_metadata(spark, d):
 @query
 def dedup_leaders(spark, d):
     r = reqs(spark, d, views.SCORED).withColumn("_scope", F.concat_ws("|", "doc_id", "rule_type"))
-    return dedup.leaders(r, "req_no", "_scope", "confidence", text.content_tokens(F.col("rule_description")))
+    return dedup.leaders(r, "req_no", "_scope", "confidence", text.content_tokens(F.col("rule_description"))).drop("_scope")
 
 
 @query

@@ -54,11 +54,11 @@ def write_requirements(reqs: DataFrame, path: str) -> None:
 def payload(requirements: DataFrame, metadata: DataFrame, gates: DataFrame, insights: DataFrame, skipped: DataFrame) -> DataFrame:
     """(doc_id, value): one JSON object per document with extraction_metadata, gate_decision, summary, insights, skipped_chunks and requirements.
 
-    A document's requirements are one array, as the format has it: its size is that of the document.
+    A document's requirements are one array in the order they were read (req_no), as the format has it: its size is that of the document.
     """
     level = F.coalesce(F.col("control_metadata.automated"), F.lit("manual"))
     auto = [F.count_if(level == x).alias(x) for x in ("automated", "hybrid", "manual")]
-    rows = requirements.select("doc_id", "confidence", "control_metadata", "rule_type", F.struct("source_location", "requirement_id", output_json(requirements).alias("j")).alias("r"))
+    rows = requirements.select("doc_id", "confidence", "control_metadata", "rule_type", F.struct("req_no", output_json(requirements).alias("j")).alias("r"))
     by_doc = rows.groupBy("doc_id").agg(F.count("*").alias("total_requirements"), F.round(F.avg("confidence"), 3).alias("avg_confidence"), *auto, F.transform(F.sort_array(F.collect_list("r")), lambda x: x["j"]).alias("js"))
     skips = skipped.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "skip_reason", "detail"))).alias("skips"))
     whole = lambda df, name: df.select("doc_id", F.to_json(F.struct(*[c for c in df.columns if c != "doc_id"])).alias(name))

@@ -122,6 +122,39 @@ def test_leaders_and_pairs(spark):
     assert pairs == {(i, j) for i in range(120) for j in range(i + 1, 120) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.75}
 
 
+def test_keys_repeat_in_other_groups(spark):
+    """Numbers are unique in their group only: counts, pairs and leaders are those of each group by itself."""
+    rows = [(k, g, t, 0.5 + k / 10) for g in "xyz" for k, t in enumerate(["a b c d", "a b c d", "a b c d e", "q r s"])]
+    df = spark.createDataFrame(rows, "k long, g string, t string, c double")
+    tokens = F.array_distinct(F.split("t", " "))
+    assert {(r["g"], r["pairs"]) for r in dedup.pair_counts(df, "k", "g", tokens).collect()} == {(g, 3) for g in "xyz"}
+    assert sorted((r["g"], r["a"], r["b"]) for r in dedup.similar_pairs(df, "k", "g", tokens).collect()) == [(g, a, b) for g in "xyz" for a, b in ((0, 1), (0, 2), (1, 2))]
+    got = sorted((r["g"], r["key"], r["leader"], r["kept"]) for r in dedup.leaders(df, "k", "g", "c", tokens).collect())
+    assert got == [(g, k, 0 if k < 3 else 3, k >= 2) for g in "xyz" for k in range(4)]
+
+
+def test_followers(spark):
+    """The first leaders of random graphs, and of chains and ladders in few rounds."""
+    import random
+
+    rng = random.Random(11)
+    graphs = {"sparse": [tuple(sorted(rng.sample(range(80), 2))) for _ in range(90)], "dense": [tuple(sorted(rng.sample(range(30), 2))) for _ in range(150)]}
+    graphs |= {"chain": [(i, i + 1) for i in range(5000)], "star": [(0, i) for i in range(1, 200)], "tail": [(0, 2), (1, 2), *((i, i + 1) for i in range(2, 900))]}
+    rows = [(g, a, b) for g, edges in graphs.items() for a, b in edges]
+    got = {(r["grp"], r["node"]): r["leader"] for r in dedup.followers(spark.createDataFrame(rows, "grp string, a long, b long")).collect()}
+    want = {}
+    for g, edges in graphs.items():
+        earlier = {}
+        for a, b in edges:
+            earlier.setdefault(b, set()).add(a)
+        for b in sorted(earlier):
+            led = [a for a in earlier[b] if (g, a) not in want]
+            if led:
+                want[g, b] = min(led)
+    assert got == want and want["chain", 4999] == 4998 and ("chain", 5000) not in want
+    assert dedup.followers(spark.createDataFrame([], "grp string, a long, b long")).count() == 0
+
+
 def test_dedup_ratio_may_be_negative(spark):
     assert spark.range(1).select(dedup.dedup_ratio(F.lit(3), F.lit(6)).alias("x")).first()["x"] == -1.0
 

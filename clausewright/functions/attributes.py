@@ -1,21 +1,51 @@
-"""Dynamic attributes: a VARIANT column of public fields, validated against the fixed schemas."""
+"""Dynamic attributes: a VARIANT column of public fields, validated against the fixed schemas.
+
+Functions that look at many fields decode the object once per row (``once``); those of a single field read it from the variant.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import ATTRIBUTES, CANONICAL, ENUMS, LEGACY, UNIT_KEYWORDS
 from .grounding import LIVE, NUMBER, Profile
-from .text import contains_any, half_up
+from .text import contains_any, half_up, let
+
+
+@dataclass(frozen=True)
+class Decoded:
+    """The types and the texts of an object's fields, two maps by name."""
+
+    kinds: Column
+    texts: Column
 
 
-def field(a: Column, name: str, kind: str = "string") -> Column:
+Fields = Column | Decoded
+
+
+def once(a: Fields, body: Callable[[Decoded], Column]) -> Column:
+    """``body`` of the fields of ``a``, which are decoded in one pass unless they are already."""
+    if isinstance(a, Decoded):
+        return body(a)
+    whole = lambda kind: F.try_variant_get(a, F.lit("$"), kind)
+    kinds = F.transform_values(whole("map<string,variant>"), lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
+    return let(F.struct(kinds.alias("kinds"), whole("map<string,string>").alias("texts")), lambda m: body(Decoded(m["kinds"], m["texts"])))
+
+
+def field(a: Fields, name: str, kind: str = "string") -> Column:
+    if isinstance(a, Decoded):
+        return a.texts[name] if kind == "string" else a.texts[name].try_cast(kind)
     return F.try_variant_get(a, F.lit(f"$.{name}"), kind)
 
 
-def kind_of(a: Column, name: str) -> Column:
+def kind_of(a: Fields, name: str) -> Column:
     """Name of the field's type; null if it is missing, VOID if it is null."""
+    if isinstance(a, Decoded):
+        return a.kinds[name]
     return F.schema_of_variant(field(a, name, "variant"))
 
 
@@ -25,51 +55,66 @@ def is_kind(kind: Column, code: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def present(a: Column, name: str) -> Column:
+def present(a: Fields, name: str) -> Column:
     """The key is there, whatever its value."""
     return kind_of(a, name).isNotNull()
 
 
-def has_value(a: Column, name: str) -> Column:
+def has_value(a: Fields, name: str) -> Column:
     kind = kind_of(a, name)
     return F.coalesce(kind != "VOID", F.lit(False))
 
 
-def truthy(a: Column, name: str) -> Column:
+def truthy(a: Fields, name: str) -> Column:
     """Neither missing, null, empty, zero nor false."""
-    kind, text = kind_of(a, name), field(a, name)
-    empty = F.when(kind == "STRING", text == "").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), field(a, name, "double") == 0).otherwise(text.isin("false", "[]", "{}"))
-    return has_value(a, name) & ~F.coalesce(empty, F.lit(False))
 
+    def of(a: Decoded) -> Column:
+        kind, text = kind_of(a, name), field(a, name)
+        empty = F.when(kind == "STRING", text == "").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), field(a, name, "double") == 0).otherwise(text.isin("false", "[]", "{}"))
+        return has_value(a, name) & ~F.coalesce(empty, F.lit(False))
+
+    return once(a, of)
 
-def missing_fields(a: Column, rule_type: Column) -> Column:
+
+def missing_fields(a: Fields, rule_type: Column) -> Column:
     """Required fields that are missing, or there with a wrong type."""
-    out = F.array(F.concat(F.lit("Unknown rule_type: "), rule_type))
-    for name, (required, _) in ATTRIBUTES.items():
-        tests = [F.when(~present(a, f), F.lit(f)).when(~is_kind(kind_of(a, f), code), F.lit(f"{f} (wrong type)")) for f, code in required.items()]
-        out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
-    return out
+
+    def of(a: Decoded) -> Column:
+        out = F.array(F.concat(F.lit("Unknown rule_type: "), rule_type))
+        for name, (required, _) in ATTRIBUTES.items():
+            tests = [F.when(~present(a, f), F.lit(f)).when(~is_kind(kind_of(a, f), code), F.lit(f"{f} (wrong type)")) for f, code in required.items()]
+            out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
+        return out
+
+    return once(a, of)
 
 
-def completeness(a: Column, rule_type: Column, profile: Profile = LIVE) -> Column:
-    out = F.lit(0.0)
-    for name, (required, _) in ATTRIBUTES.items():
-        right = sum((F.when(is_kind(kind_of(a, f), code), 1).otherwise(0) for f, code in required.items()), F.lit(0))
-        share = F.lit(profile.completeness).cast("decimal(10,6)") * right.cast("decimal(10,0)") / F.lit(len(required)).cast("decimal(10,0)")
-        out = F.when(rule_type == name, half_up(share, 3)).otherwise(out)
-    return out
+def completeness(a: Fields, rule_type: Column, profile: Profile = LIVE) -> Column:
+    def of(a: Decoded) -> Column:
+        out = F.lit(0.0)
+        for name, (required, _) in ATTRIBUTES.items():
+            right = sum((F.when(is_kind(kind_of(a, f), code), 1).otherwise(0) for f, code in required.items()), F.lit(0))
+            share = F.lit(profile.completeness).cast("decimal(10,6)") * right.cast("decimal(10,0)") / F.lit(len(required)).cast("decimal(10,0)")
+            out = F.when(rule_type == name, half_up(share, 3)).otherwise(out)
+        return out
 
+    return once(a, of)
 
-def canonical_errors(a: Column, rule_type: Column) -> Column:
+
+def canonical_errors(a: Fields, rule_type: Column) -> Column:
     """Required canonical fields that are missing, also under their older names; null for types without a canonical schema."""
-    out = F.lit(None).cast("array<string>")
-    for name, (required, _) in CANONICAL.items():
-        tests = [F.when(~_canonical_there(a, f), F.lit(f)) for f in required]
-        out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
-    return out
 
+    def of(a: Decoded) -> Column:
+        out = F.lit(None).cast("array<string>")
+        for name, (required, _) in CANONICAL.items():
+            tests = [F.when(~_canonical_there(a, f), F.lit(f)) for f in required]
+            out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
+        return out
+
+    return once(a, of)
 
-def _canonical_there(a: Column, name: str) -> Column:
+
+def _canonical_there(a: Fields, name: str) -> Column:
     """A value under the name, else under the first older name that is there."""
     older = F.lit(False)
     for x in reversed(LEGACY.get(name, ())):
@@ -77,7 +122,7 @@ def _canonical_there(a: Column, name: str) -> Column:
     return F.when(has_value(a, name), F.lit(True)).otherwise(older)
 
 
-def _canonical_text(a: Column, name: str) -> Column:
+def _canonical_text(a: Fields, name: str) -> Column:
     """Text of a canonical field if it is a string, older names included."""
     older = F.lit(None).cast("string")
     for x in reversed(LEGACY.get(name, ())):
@@ -85,48 +130,58 @@ def _canonical_text(a: Column, name: str) -> Column:
     return F.when(has_value(a, name), F.when(kind_of(a, name) == "STRING", field(a, name))).otherwise(older)
 
 
-def canonical_warnings(a: Column, rule_type: Column) -> Column:
+def canonical_warnings(a: Fields, rule_type: Column) -> Column:
     """Values of required fields outside their lists."""
-    out = F.array().cast("array<string>")
-    for name, lists in ENUMS.items():
-        tests = [F.when(~F.lower(_canonical_text(a, f)).isin(*allowed), F.concat(F.lit(f"{f}: '"), _canonical_text(a, f), F.lit("' not in enum"))) for f, allowed in lists.items() if f in CANONICAL[name][0]]
-        out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
-    return out
+
+    def of(a: Decoded) -> Column:
+        out = F.array().cast("array<string>")
+        for name, lists in ENUMS.items():
+            tests = [F.when(~F.lower(_canonical_text(a, f)).isin(*allowed), F.concat(F.lit(f"{f}: '"), _canonical_text(a, f), F.lit("' not in enum"))) for f, allowed in lists.items() if f in CANONICAL[name][0]]
+            out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
+        return out
+
+    return once(a, of)
 
 
-def compliance(a: Column, rule_type: Column, profile: Profile = LIVE) -> Column:
+def compliance(a: Fields, rule_type: Column, profile: Profile = LIVE) -> Column:
     """Full for a valid canonical schema, half for one error, else 0."""
-    n = F.size(canonical_errors(a, rule_type))
-    return F.when(n == 0, profile.compliance[0]).when(n == 1, profile.compliance[1]).otherwise(0.0)
+    return let(F.size(canonical_errors(a, rule_type)), lambda n: F.when(n == 0, profile.compliance[0]).when(n == 1, profile.compliance[1]).otherwise(0.0))
 
 
-def quantification(a: Column, description: Column) -> Column:
-    low = F.lower(description)
-    number = is_kind(kind_of(a, "threshold_value"), "n") | is_kind(kind_of(a, "threshold"), "n") | low.rlike(NUMBER)
-    unit = truthy(a, "threshold_unit") | truthy(a, "unit") | truthy(a, "threshold_direction") | contains_any(low, UNIT_KEYWORDS)
-    outcome = truthy(a, "exception_threshold") | truthy(a, "consequence") | truthy(a, "escalation")
-    hundredths = F.when(number, 10).otherwise(0) + F.when(unit, 5).otherwise(0) + F.when(outcome, 5).otherwise(0)
-    return hundredths / F.lit(100.0)
+def quantification(a: Fields, description: Column) -> Column:
+    def of(a: Decoded) -> Column:
+        low = F.lower(description)
+        number = is_kind(kind_of(a, "threshold_value"), "n") | is_kind(kind_of(a, "threshold"), "n") | low.rlike(NUMBER)
+        unit = truthy(a, "threshold_unit") | truthy(a, "unit") | truthy(a, "threshold_direction") | contains_any(low, UNIT_KEYWORDS)
+        outcome = truthy(a, "exception_threshold") | truthy(a, "consequence") | truthy(a, "escalation")
+        hundredths = F.when(number, 10).otherwise(0) + F.when(unit, 5).otherwise(0) + F.when(outcome, 5).otherwise(0)
+        return hundredths / F.lit(100.0)
 
+    return once(a, of)
 
-def canonical_normalized(a: Column, rule_type: Column) -> Column:
+
+def canonical_normalized(a: Fields, rule_type: Column) -> Column:
     """Map of the canonical fields that have a value to their texts: older names resolved, listed values lower-cased, optional fields copied."""
-    out = F.lit(None).cast("map<string,string>")
-    for name, (required, optional) in CANONICAL.items():
-        pairs = []
-        for f in required:
-            value = _canonical_value(a, f)
-            allowed = ENUMS.get(name, {}).get(f)
-            if allowed:
-                value = F.when(F.lower(value).isin(*allowed), F.lower(value)).otherwise(value)
-            pairs.append(F.struct(F.lit(f).alias("key"), value.alias("value")))
-        pairs += [F.struct(F.lit(f).alias("key"), field(a, f).alias("value")) for f in optional]
-        kept = F.filter(F.array(*pairs), lambda x: x["value"].isNotNull())
-        out = F.when(rule_type == name, F.map_from_entries(kept)).otherwise(out)
-    return out
-
-
-def _canonical_value(a: Column, name: str) -> Column:
+
+    def of(a: Decoded) -> Column:
+        out = F.lit(None).cast("map<string,string>")
+        for name, (required, optional) in CANONICAL.items():
+            pairs = []
+            for f in required:
+                value = _canonical_value(a, f)
+                allowed = ENUMS.get(name, {}).get(f)
+                if allowed:
+                    value = F.when(F.lower(value).isin(*allowed), F.lower(value)).otherwise(value)
+                pairs.append(F.struct(F.lit(f).alias("key"), value.alias("value")))
+            pairs += [F.struct(F.lit(f).alias("key"), field(a, f).alias("value")) for f in optional]
+            kept = F.filter(F.array(*pairs), lambda x: x["value"].isNotNull())
+            out = F.when(rule_type == name, F.map_from_entries(kept)).otherwise(out)
+        return out
+
+    return once(a, of)
+
+
+def _canonical_value(a: Fields, name: str) -> Column:
     older = F.lit(None).cast("string")
     for x in reversed(LEGACY.get(name, ())):
         older = F.when(present(a, x), field(a, x)).otherwise(older)

@@ -28,7 +28,7 @@ def single_words(text: Column) -> Column:
     return F.regexp_replace(text, r"(?iU)\b(\w+)\s+\1\b", "$1")
 
 
-def objective(a: Column, rule_type: Column) -> Column:
+def objective(a: at.Fields, rule_type: Column) -> Column:
     template = by_type(rule_type, dims.OBJECTIVES, F.lit(dims.DEFAULT_OBJECTIVE))
     return single_words(F.replace(template, F.lit("{applies_to}"), applies_to(a)))
 
@@ -48,7 +48,7 @@ def control_type(rule_type: Column, description: Column) -> Column:
     return out
 
 
-def measurement_type(a: Column, rule_type: Column) -> Column:
+def measurement_type(a: at.Fields, rule_type: Column) -> Column:
     return (
         F.when(at.truthy(a, "threshold_value") | at.truthy(a, "metric"), "quantitative")
         .when(at.truthy(a, "timeline_value"), "timeline")
@@ -57,14 +57,14 @@ def measurement_type(a: Column, rule_type: Column) -> Column:
     )
 
 
-def _first_of(a: Column, *names: str) -> Column:
+def _first_of(a: at.Fields, *names: str) -> Column:
     out = F.lit("")
     for name in reversed(names):
         out = F.when(at.present(a, name), F.coalesce(at.field(a, name), F.lit("None"))).otherwise(out)
     return out
 
 
-def test_procedure(a: Column, rule_type: Column, description: Column) -> Column:
+def test_procedure(a: at.Fields, rule_type: Column, description: Column) -> Column:
     """Template by control and measurement type, else the first of the control type, else the default."""
     control, measure = control_type(rule_type, description), measurement_type(a, rule_type)
     out, seen = F.lit(dims.DEFAULT_PROCEDURE), set()
@@ -80,7 +80,7 @@ def test_procedure(a: Column, rule_type: Column, description: Column) -> Column:
     return out
 
 
-def owner(a: Column, rule_type: Column) -> Column:
+def owner(a: at.Fields, rule_type: Column) -> Column:
     return F.when(at.truthy(a, "responsible_party"), at.field(a, "responsible_party")).otherwise(by_type(rule_type, dims.OWNERS, F.lit(dims.DEFAULT_OWNER)))
 
 
@@ -114,7 +114,7 @@ def systems(description: Column) -> Column:
     )
 
 
-def safe_number(a: Column, name: str, default: float) -> Column:
+def safe_number(a: at.Fields, name: str, default: float) -> Column:
     """A number or a numeric string, per cent sign allowed; the default otherwise."""
     kind = at.kind_of(a, name)
     text = F.trim(F.replace(at.field(a, name), F.lit("%"), F.lit("")))
@@ -122,7 +122,7 @@ def safe_number(a: Column, name: str, default: float) -> Column:
     return F.coalesce(value, F.lit(default))
 
 
-def exception_tiers(a: Column, rule_type: Column) -> Column:
+def exception_tiers(a: at.Fields, rule_type: Column) -> Column:
     """Map of tier to (condition, action, sla_remediation)."""
     t = safe_number(a, "threshold_value", 99.0)
     unit = F.when(at.present(a, "threshold_unit"), at.field(a, "threshold_unit")).otherwise("percent")
@@ -143,7 +143,7 @@ def exception_tiers(a: Column, rule_type: Column) -> Column:
     return F.when((rule_type == "data_quality_threshold") & unit.isin("percent", "%"), F.create_map(*pairs).cast(kind)).when(rule_type == "update_timeline", F.create_map(F.lit("breach"), breach).cast(kind)).otherwise(F.create_map().cast(kind))
 
 
-def metadata(a: Column, rule_type: Column, description: Column) -> Column:
+def metadata(a: at.Fields, rule_type: Column, description: Column) -> Column:
     """All of it as one struct."""
     s = systems(description)
     return F.struct(

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import DOMAIN_KEYWORDS, NEGATIONS
-from .text import count_contained, half_up
+from .text import count_contained, half_up, let
 
 NUMBER = r"\d+\.?\d*\s*%?"
 
@@ -44,20 +44,34 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def phrases(source: Column, target: Column, least: int = 3, most: int = 7) -> Column:
-    """Maximal phrases of ``source`` (least to most words) that occur in ``target``, in order of first place."""
+    """Maximal phrases of ``source`` (least to most words) that occur in ``target``, in order of first place.
+
+    A phrase may start and end inside a word of the target, but the words between stand there whole; so only places whose next word is
+    one of the target's are looked at, and from there a phrase grows word by word as long as the target holds it.
+    """
     words = F.filter(F.split(F.lower(source), r"\s+"), lambda x: x != "")
-    low = F.lower(target)
-
-    def from_place(i: Column) -> Column:
-        last = F.least(F.lit(most), F.size(words) - i)
-        sizes = F.when(last >= least, F.sequence(F.lit(least), F.greatest(last, F.lit(least)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(sizes, lambda n: F.array_join(F.slice(words, i + 1, n), " "))
-
-    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.flatten(F.transform(places, from_place)), lambda p: F.contains(low, p))
-    # a phrase inside one already kept is dropped, and drops those inside itself
-    step = lambda kept, p: F.when(F.exists(kept, lambda k: F.contains(k, p)), kept).otherwise(F.concat(F.filter(kept, lambda k: ~F.contains(p, k)), F.array(p)))
-    return F.aggregate(found, F.array().cast("array<string>"), step)
+    return let(F.struct(words.alias("words"), F.lower(target).alias("low")), lambda s: _maximal(s["words"], s["low"], least, most))
+
+
+def _maximal(words: Column, low: Column, least: int, most: int) -> Column:
+    text = lambda i, n: F.array_join(F.slice(words, i + 1, n), " ")
+
+    def grown(i: Column) -> Column:
+        """Words of the longest phrase from a place on that the target holds; least - 1 if there is none."""
+        sizes = F.sequence(F.lit(least), F.least(F.lit(most), F.size(words) - i))
+        return F.aggregate(sizes, F.lit(least - 1), lambda n, m: F.when((n == m - 1) & F.contains(low, text(i, m)), m).otherwise(n))
+
+    places = F.when(F.size(words) >= least, F.sequence(F.lit(0), F.size(words) - least)).otherwise(F.array().cast("array<int>"))
+    both = F.array_intersect(words, F.split(low, " "))
+    likely = let(both, lambda shared: F.filter(places, lambda i: F.array_contains(shared, words[i + 1])))
+    hits = F.filter(F.transform(likely, lambda i: F.struct(i.alias("i"), grown(i).alias("n"))), lambda h: h["n"] >= least)
+
+    def longest(found: Column) -> Column:
+        """Texts of the hits that do not lie in that of the place before."""
+        before = lambda h, k: let(F.get(found, k - 1), lambda b: F.coalesce((b["i"] == h["i"] - 1) & (b["n"] > h["n"]), F.lit(False)))
+        return F.array_distinct(F.transform(F.filter(found, lambda h, k: ~before(h, k)), lambda h: text(h["i"], h["n"])))
+
+    return let(let(hits, longest), lambda kept: F.filter(kept, lambda p: ~F.exists(kept, lambda q: (F.length(q) > F.length(p)) & F.contains(q, p))))
 
 
 def match_score(similarity: Column, n_phrases: Column, profile: Profile = LIVE) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from . import attributes as at
-from .text import first_match, lit_array, settled
+from .text import first_match, let, lit_array, settled
 
 #: Fields repaired by the first row of which a word occurs in the description.
 BY_WORDS = {
@@ -28,8 +28,8 @@ def number_in(text: Column) -> Column:
     return F.when(x != "", F.regexp_replace(x, r"\.$", ".0"))
 
 
-def repaired_value(name: str, description: Column, a: Column) -> Column:
-    """JSON of the repaired value of a missing field, null where it cannot be repaired."""
+def repaired_value(name: str, description: Column, timeline: Column) -> Column:
+    """JSON of the repaired value of a missing field, null where it cannot be repaired; timeline is the text of that attribute."""
     low = F.lower(description)
     if name in BY_WORDS:
         return _quoted(first_match(low, BY_WORDS[name]))
@@ -38,7 +38,7 @@ def repaired_value(name: str, description: Column, a: Column) -> Column:
     if name == "required_data_elements":
         return F.lit("[]")
     if name == "threshold_value":
-        return F.coalesce(number_in(at.field(a, "timeline")), number_in(low))
+        return F.coalesce(number_in(timeline), number_in(low))
     return F.lit(None).cast("string")
 
 
@@ -49,17 +49,15 @@ def _quoted(x: Column) -> Column:
 
 def applicable_fields(description: Column) -> Column:
     """Distinct fields whose patterns occur, in order of the patterns; null if none."""
-    low = F.lower(description)
-    found = [F.when(F.contains(low, F.lit(p)), F.lit(f)) for p, f in dims.FIELD_PATTERNS.items()]
-    out = F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return F.when(F.size(out) > 0, out)
+    found = lambda low: F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(f)) for p, f in dims.FIELD_PATTERNS.items()])
+    out = F.array_distinct(F.array_compact(let(F.lower(description), found)))
+    return let(out, lambda x: F.when(F.size(x) > 0, x))
 
 
 def data_source(description: Column, rule_type: Column) -> Column:
-    low = F.lower(description)
-    known = [F.when(F.contains(low, F.lit(p)), F.lit(s)) for p, s in dims.SOURCE_PATTERNS.items()]
+    known = lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(p)), F.lit(s)) for p, s in dims.SOURCE_PATTERNS.items()])
     by_type = [F.when(rule_type == t, F.lit(s)) for t, s in dims.TYPE_SOURCE.items()]
-    return F.coalesce(*known, *by_type)
+    return F.coalesce(let(F.lower(description), known), *by_type)
 
 
 def with_repair(df: DataFrame) -> DataFrame:
@@ -71,30 +69,25 @@ def with_repair(df: DataFrame) -> DataFrame:
     kind, d, a = F.col("rule_type"), F.col("rule_description"), F.col("a")
     df = settled(df.withColumn("missing_before", at.missing_fields(a, kind)))
     bad = F.size("missing_before") > 0
+    inferred = F.struct(F.when(~at.has_value(a, "applicable_fields"), applicable_fields(d)).alias("fields"), F.when(~at.has_value(a, "data_source"), data_source(d, kind)).alias("source"))
+    df = settled(df.withColumns({"_inferred": F.when(bad, inferred), "_timeline": F.when(bad, at.field(a, "timeline"))}))
     names = list(dict.fromkeys(f for required, _ in dims.ATTRIBUTES.values() for f in required))
-    entries = [F.when(F.array_contains("missing_before", name), F.struct(F.lit(name).alias("key"), repaired_value(name, d, a).alias("value"))) for name in names]
-    fixes = F.filter(F.array(*entries), lambda x: x["value"].isNotNull())
-    fields = F.when(~at.has_value(a, "applicable_fields"), applicable_fields(d))
-    source = F.when(~at.has_value(a, "data_source"), data_source(d, kind))
-    inferred = F.array(
-        F.struct(F.lit("applicable_fields").alias("key"), F.to_json(fields).alias("value")),
-        F.struct(F.lit("_applicable_fields_source").alias("key"), F.when(fields.isNotNull(), F.lit('"inferred"')).alias("value")),
-        F.struct(F.lit("data_source").alias("key"), F.when(source.isNotNull(), _quoted(source)).alias("value")),
-        F.struct(F.lit("_data_source_source").alias("key"), F.when(source.isNotNull(), F.lit('"inferred"')).alias("value")),
-    )
-    more = F.filter(inferred, lambda x: x["value"].isNotNull() & (x["value"] != ""))
-    df = settled(df.withColumn("_fix", F.when(bad, F.concat(fixes, more))))
+    pair = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
+    fixes = F.array(*[F.when(F.array_contains("missing_before", name), pair(name, repaired_value(name, d, F.col("_timeline")))) for name in names])
+    fields, source = F.col("_inferred.fields"), F.col("_inferred.source")
+    told = F.lit('"inferred"')
+    more = F.array(
+        pair("applicable_fields", F.to_json(fields)), pair("_applicable_fields_source", F.when(fields.isNotNull(), told)),
+        pair("data_source", F.when(source.isNotNull(), _quoted(source))), pair("_data_source_source", F.when(source.isNotNull(), told)),
+    )
+    known = lambda pairs: F.filter(pairs, lambda x: x["value"].isNotNull() & (x["value"] != ""))
+    fix = F.when(bad, F.concat(known(fixes), known(more)))
+    df = settled(df.withColumn("_fix", fix).drop("_inferred", "_timeline"))
     df = df.withColumn("repaired_fields", F.coalesce(F.transform(F.filter("_fix", lambda x: F.array_contains("missing_before", x["key"])), lambda x: x["key"]), lit_array([])))
-    # later keys of an object must not repeat earlier ones: old values of repaired keys go
-    old = F.from_json(F.to_json(a), "map<string,string>")
-    text = F.to_json(a)
-    body = F.regexp_replace(text, r"(?s)^\{|\}$", "")
-    parts = F.array_join(F.transform("_fix", lambda x: F.concat(F.lit('"'), x["key"], F.lit('":'), x["value"])), ",")
-    clash = F.exists("_fix", lambda x: F.array_contains(F.map_keys(old), x["key"]))
+    # repaired fields take the place of old ones
+    new = F.map_from_entries(F.transform("_fix", lambda x: F.struct(x["key"], F.try_parse_json(x["value"]))))
     kept = F.map_filter(F.try_variant_get(a, F.lit("$"), "map<string,variant>"), lambda k, _: ~F.exists("_fix", lambda x: x["key"] == k))
-    base = F.when(clash, F.regexp_replace(F.to_json(kept), r"(?s)^\{|\}$", "")).otherwise(body)
-    merged = F.concat(F.lit("{"), base, F.when((base != "") & (parts != ""), ",").otherwise(""), parts, F.lit("}"))
-    df = settled(df.withColumn("a", F.when(F.size("_fix") > 0, F.try_parse_json(merged)).otherwise(a)).drop("_fix"))
+    df = settled(df.withColumn("a", F.when(F.size("_fix") > 0, F.to_variant_object(F.map_concat(kept, new))).otherwise(a)).drop("_fix"))
     df = df.withColumn("missing_fields", at.missing_fields(F.col("a"), kind))
     status = F.when(F.size("missing_before") == 0, "valid").when(F.size("missing_fields") == 0, "repaired").otherwise("rejected")
     return df.withColumn("schema_status", status)

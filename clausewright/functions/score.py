@@ -13,7 +13,7 @@ from .text import fixed, half_up, score_tokens, settled
 def with_evidence(df: DataFrame, description: str = "rule_description", grounded_in: str = "grounded_in", profile: gr.Profile = gr.LIVE) -> DataFrame:
     """Adds description_words, grounded_words, intersection, jaccard_score, matched_phrases, phrase_count, grounding_match."""
     d, g = F.col(description), F.col(grounded_in)
-    df = df.withColumns({"_dt": score_tokens(d), "_gt": score_tokens(g), "_ph": gr.phrases(g, d)})
+    df = settled(df.withColumns({"_dt": score_tokens(d), "_gt": score_tokens(g), "_ph": gr.phrases(g, d)}))
     df = df.withColumns({"_j": gr.jaccard(F.col("_dt"), F.col("_gt")), "_empty": (F.size("_dt") == 0) | (F.size("_gt") == 0)})
     n = F.when(F.col("_empty"), 0).otherwise(F.size("_ph"))
     return df.withColumns(
@@ -36,15 +36,16 @@ def with_confidence(df: DataFrame, profile: gr.Profile = gr.LIVE) -> DataFrame:
     """
     a, kind, d, g = F.col("a"), F.col("rule_type"), F.col("rule_description"), F.col("grounded_in")
     df = with_evidence(df, profile=profile)
+    of_attributes = lambda m: F.struct(at.completeness(m, kind, profile).alias("completeness"), at.quantification(m, d).alias("quantification"), at.compliance(m, kind, profile).alias("schema_compliance"))
+    df = df.withColumn("_at", at.once(a, of_attributes))
     df = df.withColumns(
         {
-            "completeness": at.completeness(a, kind, profile),
-            "quantification": at.quantification(a, d),
-            "schema_compliance": at.compliance(a, kind, profile),
+            **{name: F.col(f"_at.{name}") for name in ("completeness", "quantification", "schema_compliance")},
             "coherence": gr.coherence(d, g),
             "domain_signals": gr.domain_signals(d, g, profile),
         }
-    )
+    ).drop("_at")
+    df = settled(df)
     parts = ("grounding_match", "completeness", "quantification", "schema_compliance", "coherence", "domain_signals")
     total = sum((F.col(p).cast("decimal(10,3)") for p in parts[1:]), F.col(parts[0]).cast("decimal(10,3)"))
     df = df.withColumn("raw_total", total.cast("double"))

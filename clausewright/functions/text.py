@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..dims import PAGE_PATTERN, STOP_WORDS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often and in whatever lambdas it is read."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lit_array(values: Iterable[str]) -> Column:
     values = list(values)
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")

@@ -36,8 +36,15 @@ def view(spark: SparkSession, d: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores, dealt out before the work per row; larger scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reqs(spark: SparkSession, d: str, sql: str = views.REQUIREMENTS) -> DataFrame:
-    return view(spark, d, sql).withColumn("a", F.try_parse_json("attributes"))
+    spread(table(spark, d, "orders").select("o_orderkey")).createOrReplaceTempView("orders")
+    return spark.sql(sql).withColumn("a", F.try_parse_json("attributes"))
 
 
 # -- text and ids

@@ -1,8 +1,13 @@
 """Functions against values worked out by hand."""
 
 import hashlib
+import random
+import re
+import time
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clausewright.functions import attributes as at
@@ -47,6 +52,52 @@ def test_phrases(spark, source, target, want):
     assert one(spark, grounding.phrases(F.col("s"), F.col("t")), s=source, t=target) == want
 
 
+def phrases_by_hand(source, target, least=3, most=7):
+    words, kept = [w for w in re.split(r"[ \t\n\x0b\f\r]+", source.lower()) if w], []
+    for i in range(len(words)):
+        for n in range(least, most + 1):
+            p = " ".join(words[i : i + n])
+            if i + n <= len(words) and p in target.lower() and not any(p in k for k in kept):
+                kept = [*(k for k in kept if k not in p), p]
+    return kept
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.text("ab \n", max_size=30), st.text("ab \n", max_size=40)), min_size=1, max_size=20))
+def test_phrases_of_any_texts(spark, pairs):
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(pairs)], "i int, s string, t string")
+    got = dict(df.select("i", grounding.phrases(F.col("s"), F.col("t")).alias("p")).collect())
+    assert got == {i: phrases_by_hand(s, t) for i, (s, t) in enumerate(pairs)}
+
+
+def test_phrases_of_long_texts(spark):
+    """Two texts of 20,000 words that share 50 passages and most of their words."""
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 3000)}" for _ in range(20_000)]
+    other = [f"w{rng.randint(0, 3000)}" for _ in range(20_000)]
+    shared = [[f"p{i}x{j}" for j in range(5)] for i in range(50)]
+    for i, passage in enumerate(shared):
+        words[400 * i : 400 * i + 5] = passage
+        other[390 * i + 7 : 390 * i + 12] = passage
+    began = time.monotonic()
+    got = one(spark, grounding.phrases(F.col("s"), F.col("t")), s=" ".join(words), t=" ".join(other))
+    assert {" ".join(p) for p in shared} <= set(got) and time.monotonic() - began < 60
+
+
+def test_decoded_once(spark):
+    """The decoded fields say what the variant says."""
+    j = '{"a": 0, "b": "x", "c": null, "d": [1, null], "e": {"f": 1}, "g": 0.50, "h": true, "i": 1e30, "j": "7.5"}'
+    names = [*"abcdefghijk"]
+    both = F.struct(
+        F.array(*[F.coalesce(at.kind_of(F.col("a"), n), F.lit("-")) for n in names]).alias("k"), at.once(F.col("a"), lambda m: F.array(*[F.coalesce(at.kind_of(m, n), F.lit("-")) for n in names])).alias("dk"),
+        F.array(*[at.field(F.col("a"), n) for n in names]).alias("t"), at.once(F.col("a"), lambda m: F.array(*[at.field(m, n) for n in names])).alias("dt"),
+    )
+    got = attributes(spark, j, both)
+    assert got["k"] == got["dk"] and got["t"] == got["dt"] and got["k"][10] == "-"
+    assert attributes(spark, "[1]", at.missing_fields(F.col("a"), F.lit("control_requirement"))) == ["control_type"]
+    assert attributes(spark, '{"threshold_value": 0.0}', at.truthy(F.col("a"), "threshold_value")) is False
+
+
 def test_match_score_and_class(spark):
     similarity = F.lit("0.4").cast("decimal(20,10)")
     assert one(spark, grounding.match_score(similarity, F.lit(1)), t="") == 0.23  # 0.2295, half up

@@ -1,10 +1,15 @@
 """Documents to chunks: block state machine, packing, table splits, batches.
 
-Order is data: every input has a position column, every output gets one.
+Order is data: every input has a position column, every output gets one. Folds over the rows of a
+document (packs of lines, batches of chunks) stream: no document is gathered into one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,9 @@ from .. import dims
 from ..functions.ids import chunk_id
 from ..functions.text import clean_paragraph, normalize_text, starts_with_any
 
+#: Rows that a streamed fold takes and gives at once.
+SENT = 4096
+ARROW = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string()}
 BLOCKS = "doc_id string, block_idx int, kind string, style string, has_numpr boolean, text string, table_data array<array<string>>"
 
 
@@ -42,11 +50,51 @@ def pack(blocks: Column, most: int, joint: str = "\n\n") -> Column:
     return F.transform(cuts, lambda c: F.struct(F.array_join(F.slice(blocks, c["first"] + 1, c["last"] - c["first"]), joint).alias("text"), (c["first"] + 1).alias("first"), c["last"].alias("last")))
 
 
+def folded(rows: DataFrame, keys: tuple[str, ...], order: list[str], fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``fold`` over the rows of each key, in order, as they pass: the keys and what it gives for the other columns.
+
+    Rows are dealt by key and sorted within their partitions, so a key of any size streams through one task that holds what the fold holds.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    rows = rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    names, told = [*keys, *(x.split()[0] for x in schema.split(", "))], [ARROW.get(x.split()[1]) for x in schema.split(", ")]
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.DataType] = []
+
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                kept[:] = [batch.schema.field(k).type for k in range(n)]
+                for a in range(0, batch.num_rows, SENT):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(a, SENT).columns))
+
+        groups = groupby(each(), lambda r: r[:n])
+        found = ((*key, *out) for key, group in groups for out in fold(r[n:] for r in group))
+        while part := list(islice(found, SENT)):
+            columns = list(zip(*part))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, [*kept, *told])], names)
+
+    return rows.mapInArrow(run, f"{kinds}, {schema}")
+
+
 def pack_blocks(blocks: DataFrame, most: int = dims.CHUNK_MAX, keys: tuple[str, ...] = ("doc_id",), pos: str = "pos", text: str = "text") -> DataFrame:
-    """Packs the ordered blocks of each key: keys, position, content_text."""
-    grouped = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(pos, text))).alias("b"))
-    packs = pack(F.transform("b", lambda x: x[text]), most)
-    return grouped.select(*keys, F.posexplode(packs).alias("position", "p")).select(*keys, (F.col("position") + 1).alias("position"), F.col("p.text").alias("content_text"))
+    """Packs the ordered blocks of each key: keys, position, content_text. A task holds one open pack."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held, size, at = [], 0, 1
+        for _, block in rows:
+            add = len(block) + (2 if held else 0)
+            if held and size + add > most:
+                yield at, "\n\n".join(held)
+                held, size, at, add = [], 0, at + 1, len(block)
+            held.append(block)
+            size += add
+        yield at, "\n\n".join(held)
+
+    rows = blocks.select(*keys, F.col(pos).alias("_pos"), F.coalesce(text, F.lit("")).alias("_text"))
+    return folded(rows, keys, ["_pos", "_text"], fold, "position int, content_text string")
 
 
 def table_text(table: Column) -> Column:
@@ -197,20 +245,23 @@ def build_batches(chunks: DataFrame, key: str = "doc_id", record_type: str = "re
     Annotated chunks come first, by record type; a chunk over the budget is a
     batch of its own; a batch that follows a full one starts with its last chunk.
     """
-    order = F.struct(F.col(record_type).isNull().alias("other"), F.coalesce(record_type, F.lit("")).alias("kind"), F.col(pos).cast("long").alias("pos"), F.col(size).cast("long").alias("size"))
-    grouped = chunks.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("c"))
-    kind = "struct<done:array<array<bigint>>,cur:array<bigint>,last:bigint,size:bigint>"
-    zero = F.struct(F.array().cast("array<array<bigint>>").alias("done"), F.array().cast("array<bigint>").alias("cur"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("size")).cast(kind)
-
-    def step(s: Column, c: Column) -> Column:
-        held, one = F.size(s["cur"]) > 0, F.array(c["pos"])
-        shut = F.when(held, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])
-        alone = F.struct(F.concat(shut, F.array(one)).alias("done"), F.array().cast("array<bigint>").alias("cur"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("size"))
-        start = F.when(held, F.concat(F.slice(s["cur"], -1, 1), one)).otherwise(one)
-        full = F.struct(shut.alias("done"), start.alias("cur"), c["size"].alias("last"), (F.when(held, s["last"]).otherwise(F.lit(0)) + c["size"]).alias("size"))
-        add = F.struct(s["done"].alias("done"), F.concat(s["cur"], one).alias("cur"), c["size"].alias("last"), (s["size"] + c["size"]).alias("size"))
-        return F.when(c["size"] > budget, alone.cast(kind)).when(s["size"] + c["size"] > budget, full.cast(kind)).otherwise(add.cast(kind))
-
-    batches = F.aggregate("c", zero, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]))
-    each = grouped.select(key, F.posexplode(batches).alias("batch_id", "members"))
-    return each.select(key, "batch_id", F.posexplode("members").alias("ord", "pos"))
+    rows = chunks.select(
+        key, F.col(record_type).isNull().alias("_other"), F.coalesce(record_type, F.lit("")).alias("_kind"), F.col(pos).cast("long").alias("_pos"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"),
+    )
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held, total, last, at = [], 0, 0, 0
+        for _, _, one, n in rows:
+            if held and (n > budget or total + n > budget):
+                yield from ((at, i, p) for i, p in enumerate(held))
+                at += 1
+                held, total = ([], 0) if n > budget else (held[-1:], last)
+            if n > budget:
+                yield at, 0, one
+                held, total, last, at = [], 0, 0, at + 1
+            else:
+                held.append(one)
+                total, last = total + n, n
+        yield from ((at, i, p) for i, p in enumerate(held))
+
+    return folded(rows, (key,), ["_other", "_kind", "_pos", "_size"], fold, "batch_id int, ord int, pos long")

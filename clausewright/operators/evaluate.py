@@ -8,12 +8,17 @@ transform that keeps the rows with issues; counts meet as one row per document.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import attributes as at
-from ..functions.text import blank_tokens, contains_any, fixed
+from ..functions.text import blank_tokens, contains_any, fixed, settled
+from .chunking import folded
 from .dedup import dedup_ratio, pair_counts, similar_pairs
 
 
@@ -47,9 +52,14 @@ def reconciled(ratio: Column, zero: Column, listed: Column, total: Column) -> Co
 
 
 def testability(reqs: DataFrame) -> DataFrame:
-    a, kind, low = F.col("a"), F.col("rule_type"), F.lower(F.coalesce("rule_description", F.lit("")))
+    issues = at.once(F.col("a"), lambda a: _testability_issues(a, F.col("rule_type"), F.lower(F.coalesce("rule_description", F.lit("")))))
+    out = settled(reqs.withColumn("issues", issues)).where(F.size("issues") > 0)
+    return out.withColumn("severity", F.when(F.size("issues") > 1, "high").otherwise("medium"))
+
+
+def _testability_issues(a: at.Decoded, kind: Column, low: Column) -> Column:
     no = lambda *names: ~_any([at.truthy(a, n) for n in names])
-    issues = some(
+    return some(
         F.when(kind == "unknown", "rule_type not mapped"),
         F.when((kind == "data_quality_threshold") & no("threshold_value", "metric_type", "metric"), "missing metric definition"),
         F.when((kind == "data_quality_threshold") & no("threshold_value"), "missing threshold_value (cannot test)"),
@@ -62,8 +72,6 @@ def testability(reqs: DataFrame) -> DataFrame:
         F.when(low.startswith("the term "), "appears to be a definition, not an obligation"),
         F.when(contains_any(low, dims.VAGUE_WORDS) & ~low.rlike(r"\p{Nd}"), "vague language without quantification"),
     )
-    out = reqs.withColumn("issues", issues).where(F.size("issues") > 0)
-    return out.withColumn("severity", F.when(F.size("issues") > 1, "high").otherwise("medium"))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -166,12 +174,39 @@ def by_type(reqs: DataFrame, *keys: str) -> DataFrame:
     return reqs.groupBy(*keys, "rule_type").agg(F.count("*").alias("n"))
 
 
-def schema_coverage(reqs: DataFrame, entities: DataFrame, attributes: str = "attributes") -> DataFrame:
-    """(doc_id, entity, n): requirements of the document that mention each entity label in description or attributes, zeros kept."""
+def schema_coverage(reqs: DataFrame, entities: DataFrame, attributes: str = "attributes", parts: int = 16) -> DataFrame:
+    """(doc_id, entity, n): requirements of the document that mention each entity label in description or attributes, zeros kept.
+
+    Labels and requirements of a document meet as one sorted stream, labels first: these become an automaton of all of them,
+    which reads every requirement once. A document's requirements are dealt to ``parts`` streams, each with its labels, and the counts are summed.
+    """
     text = F.lower(F.concat_ws(" ", F.col(attributes), F.coalesce("rule_description", F.lit(""))))
-    rows = reqs.select("doc_id", text.alias("text"), F.lit(1).alias("one"))
-    hit = (F.col("e.doc_id") == F.col("r.doc_id")) & F.contains(F.col("r.text"), F.lower("e.entity"))
-    return entities.alias("e").join(rows.alias("r"), hit, "left").groupBy("e.doc_id", "e.entity").agg(F.count("r.one").alias("n"))
+    label = entities.select("doc_id", "entity", F.lower("entity").alias("text")).distinct()
+    label = label.withColumns({"is_text": F.lit(False), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    said = reqs.select("doc_id", F.lit(None).cast(entities.schema["entity"].dataType).alias("entity"), text.alias("text"), F.lit(True).alias("is_text"), F.pmod(F.xxhash64(text), F.lit(parts)).cast("int").alias("part"))
+    rows = label.unionByName(said).select("doc_id", "part", "is_text", "entity", "text")
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        labels: dict[str, list] = {}
+        counts: Counter = Counter()
+        automaton, texts = None, 0
+        for is_text, entity, text in rows:
+            if not is_text:
+                labels.setdefault(text, []).append(entity)
+                continue
+            if automaton is None:
+                automaton = Automaton()
+                for x in labels:
+                    if x:
+                        automaton.add_word(x, x)
+                automaton.make_automaton()
+            texts += 1
+            counts.update({x for _, x in automaton.iter(text)} if len(automaton) else ())
+        for x, names in labels.items():
+            yield from ((e, 0 if x is None else counts[x] if x else texts) for e in names)
+
+    kind = entities.schema["entity"].dataType.simpleString()
+    return folded(rows, ("doc_id", "part"), ["is_text"], fold, f"entity {kind}, n long").groupBy("doc_id", "entity").agg(F.sum("n").alias("n"))
 
 
 def classify(df: DataFrame) -> DataFrame:

@@ -42,6 +42,37 @@ def test_batches(spark):
     assert run([(None, 10), ("risk", 10), ("policy", 10)]) == [[2, 1, 0]]
 
 
+def test_streamed_folds(spark, monkeypatch):
+    """Keys of many rows, in any order, through small batches: as by hand."""
+    import random
+
+    monkeypatch.setattr(chunking, "SENT", 7)
+    rng = random.Random(2)
+    lines = [(d, i, "x" * rng.randint(0, 9)) for d in ("p", "q", None) for i in range(60)] + [("one", 1, "long " * 30), ("null", 1, None)]
+    rng.shuffle(lines)
+    df = spark.createDataFrame(lines, "doc_id string, pos int, text string").repartition(3)
+    got = {}
+    for r in chunking.pack_blocks(df, 20).collect():
+        got.setdefault(r["doc_id"], {})[r["position"]] = r["content_text"]
+    want = {d: packs([t or "" for e, _, t in sorted(lines, key=lambda x: x[1]) if e == d], 20) for d in ("p", "q", None, "one", "null")}
+    assert {d: [x[i] for i in sorted(x)] for d, x in got.items()} == want and sorted(got["p"]) == list(range(1, len(got["p"]) + 1))
+
+
+def test_long_document_streams(spark):
+    """300,000 blocks of one document: time in proportion, no row of the whole."""
+    df = spark.range(300_000).select(F.lit("d").alias("doc_id"), F.col("id").alias("position"), F.lit(None).cast("string").alias("record_type"), F.lit(5).alias("char_count"))
+    r = chunking.build_batches(df, budget=100).agg(F.max("batch_id"), F.count("*"), F.max("ord")).first()
+    assert tuple(r) == ((300_000 - 20 + 18) // 19, 300_000 + (300_000 - 20 + 18) // 19, 19)
+
+
+def test_mentions(spark):
+    rows = [("d", "Account and accounts", "{}"), ("d", "nothing", '{"a": "ACCOUNT"}'), ("d", "count", None), ("e", "account", "{}"), ("f", "account", "{}")] + [("d", f"x{i} tor", "") for i in range(50)]
+    reqs = spark.createDataFrame(rows, "doc_id string, rule_description string, attributes string")
+    labels = spark.createDataFrame([("d", "Account"), ("d", "account"), ("d", "count"), ("d", "tor"), ("d", "absent"), ("d", ""), ("d", None), ("e", "Account"), ("e", "Account"), ("g", "x")], "doc_id string, entity string")
+    got = {(r["doc_id"], r["entity"]): r["n"] for r in evaluate.schema_coverage(reqs, labels, parts=3).collect()}
+    assert got == {("d", "Account"): 2, ("d", "account"): 2, ("d", "count"): 3, ("d", "tor"): 50, ("d", "absent"): 0, ("d", ""): 53, ("d", None): 0, ("e", "Account"): 1, ("g", "x"): 0}
+
+
 def test_split_table(spark):
     t = [["a", "b"], *[[str(i), "x" * 10] for i in range(5)]]
     df = spark.createDataFrame([(t,)], "t array<array<string>>")

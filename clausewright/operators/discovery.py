@@ -1,4 +1,4 @@
-"""Schema discovery without a model: samples, statistics and labels of annotated chunks.
+"""Schema discovery: samples, statistics and labels of annotated chunks, and the entities in a model's response.
 
 Chunks have doc_id, position, chunk_type, record_type, record_id,
 incomplete_record, table_data, col_count and char_count.
@@ -6,11 +6,12 @@ incomplete_record, table_data, col_count and char_count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.ids import schema_hash
+from ..functions.text import let
 
 
 def stratified_sample(chunks: DataFrame, per_type: int = dims.PER_TYPE_SAMPLE, total: int = dims.TOTAL_SAMPLE, key: str = "doc_id") -> DataFrame:
@@ -69,18 +70,45 @@ def infer_type(example):
     )
 
 
+FIELD = "struct<raw_label:string,inferred_type:string,confidence:double,example_values:array<string>>"
+ENTITIES = f"array<struct<discovered_label:string,record_count:bigint,fields:array<{FIELD}>>>"
+
+
 def discovered_schema(chunks: DataFrame, key: str = "doc_id", confidence: float = 0.5) -> DataFrame:
-    """One schema map per key from statistics and labels alone: key, entities, avg_confidence, schema_version."""
+    """One schema map per key from statistics and labels alone: key, entities, total_records_estimated, avg_confidence, schema_version."""
     labels = field_labels(chunks, key).withColumn("inferred_type", infer_type(F.col("example_value")))
     fields = labels.groupBy(key, "record_type").agg(
         F.sort_array(F.collect_list(F.struct("raw_label", "inferred_type", F.lit(confidence).alias("confidence"), F.array("example_value").alias("example_values")))).alias("fields")
     )
     entities = entity_stats(chunks, key).join(fields, [key, "record_type"], "full").fillna(0, ["unique_records"])
     entity = F.struct(F.upper("record_type").alias("discovered_label"), F.col("unique_records").alias("record_count"), F.coalesce("fields", F.array().cast(fields.schema["fields"].dataType)).alias("fields"))
-    out = entities.groupBy(key).agg(F.sort_array(F.collect_list(entity)).alias("entities"), F.sum("unique_records").alias("total_records_estimated"))
+    return schema_maps(entities.groupBy(key).agg(F.sort_array(F.collect_list(entity)).alias("entities")))
+
+
+def schema_maps(entities: DataFrame) -> DataFrame:
+    """Adds total_records_estimated, avg_confidence and schema_version to keys with entities."""
+    total = F.aggregate("entities", F.lit(0).cast("long"), lambda s, e: s + e["record_count"])
     values = F.flatten(F.transform("entities", lambda e: F.transform(e["fields"], lambda f: f["confidence"])))
     mean = F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)).otherwise(0.0)
-    return out.withColumn("avg_confidence", mean).withColumn("schema_version", schema_hash(F.to_json("entities")))
+    return entities.withColumns({"total_records_estimated": total, "avg_confidence": mean, "schema_version": schema_hash(F.to_json("entities"))})
+
+
+def read_entities(content: Column) -> Column:
+    """ENTITIES of a model's response; null if it is no object with an entity that has a label.
+
+    Entities without a label and fields without one are left out; counts below 0 become 0, confidences
+    outside [0, 1] or missing 0.5, missing types text.
+    """
+    told = F.from_json(F.to_json(F.try_variant_get(F.try_parse_json(content), F.lit("$.entities"), "variant")), ENTITIES)
+    label = lambda x, name: F.trim(F.coalesce(x[name], F.lit("")))
+    field = lambda f: F.struct(
+        label(f, "raw_label").alias("raw_label"), F.coalesce(F.nullif(label(f, "inferred_type"), F.lit("")), F.lit("text")).alias("inferred_type"),
+        F.when(f["confidence"].between(0.0, 1.0), f["confidence"]).otherwise(0.5).alias("confidence"), F.coalesce(f["example_values"], F.array().cast("array<string>")).alias("example_values"),
+    )
+    none = F.array().cast(f"array<{FIELD}>")
+    fields = lambda e: F.transform(F.filter(F.coalesce(e["fields"], none), lambda f: label(f, "raw_label") != ""), field)
+    entity = lambda e: F.struct(label(e, "discovered_label").alias("discovered_label"), F.greatest(F.coalesce(e["record_count"], F.lit(0)), F.lit(0)).cast("long").alias("record_count"), fields(e).alias("fields"))
+    return let(F.transform(F.filter(told, lambda e: label(e, "discovered_label") != ""), entity), lambda x: F.when(F.size(x) > 0, x))
 
 
 def avg_confidence(fields: DataFrame, confidence: str, *keys: str) -> DataFrame:

@@ -43,34 +43,61 @@ def flat_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select("*", "annotations.record_type", "annotations.record_id", "annotations.incomplete_record")
 
 
-def read_components(flat: DataFrame, chunks: DataFrame, schemas: DataFrame, extractor: Extractor) -> DataFrame:
+def read_components(flat: DataFrame, chunks: DataFrame, schemas: DataFrame, extractor: Extractor, prompt_folder: str | None = None) -> DataFrame:
     """Components by record type from the responses to their prompts. Types other than the three known ones are left out."""
-    asked = prompts.component_prompts(flat, schemas).where(F.col("record_type").isin(*components.CHECKED))
+    asked = prompts.component_prompts(flat, schemas, prompt_folder).where(F.col("record_type").isin(*components.CHECKED))
     responses = durable(extract(asked, extractor, "doc_id", "record_type"))
     return components.parse(responses.where("content IS NOT NULL"), chunks)
 
 
+def read_schemas(flat: DataFrame, extractor: Extractor, cache: str | None = None, config: Config | None = None, prompt_folder: str | None = None) -> DataFrame:
+    """Schema maps of documents as a model describes them, those from statistics where it gives none.
+
+    A response belongs to its prompt: those under ``cache`` are used again, and only documents whose prompts are not among them are asked about;
+    the valid ones among the new responses are added. Equal prompts are asked once.
+    """
+    cfg, spark = config or Config(), flat.sparkSession
+    picked = discovery.stratified_sample(flat, cfg.get("schema_discovery.max_chunks_per_entity_type"), cfg.get("schema_discovery.max_total_chunks"))
+    picked = picked.select("doc_id", "position").join(flat.select("doc_id", "position", "content_text"), ["doc_id", "position"])
+    asked = prompts.discovery_prompts(picked, discovery.entity_stats(flat, "doc_id"), discovery.field_labels(flat), prompt_folder, cfg.get("llm.temperature", 0.0))
+    asked = durable(asked.withColumn("key", F.sha2("prompt", 256)))
+    known = sinks.cached_responses(spark, cache)
+    missing = asked.dropDuplicates(["key"]).join(known, "key", "left_anti")
+    told = durable(extract(missing, extractor, "key").select("key", atomize.clean_content(F.col("content")).alias("content")))
+    valid = told.where(discovery.read_entities(F.col("content")).isNotNull())
+    if cache and valid.limit(1).count():
+        sinks.keep_responses(valid, cache)
+    read = known.unionByName(told).select("key", discovery.read_entities(F.col("content")).alias("entities")).where("entities IS NOT NULL")
+    by_model = discovery.schema_maps(asked.select("doc_id", "key").join(read, "key").drop("key"))
+    rest = discovery.discovered_schema(flat).join(by_model.select("doc_id"), "doc_id", "left_anti")
+    columns = ["doc_id", "entities", "total_records_estimated", "avg_confidence", "schema_version"]
+    return durable(by_model.select(*columns).unionByName(rest.select(*columns)))
+
+
 def run(
     blocks: DataFrame, extractor: Extractor = deterministic, most: int | None = None, least: int | None = None, iteration: int = 1, parsed_components: DataFrame | None = None,
     component_extractor: Extractor | None = None, schema: DataFrame | None = None, config: Config | None = None,
+    schema_extractor: Extractor | None = None, schema_cache: str | None = None, prompt_folder: str | None = None,
 ) -> Run:
     """Documents whose gate rejects them give no requirements; those without a schema are rejected. Responses are checkpointed: they need not repeat.
 
     schema: schema maps found otherwise (by a model, or cached) in place of those from statistics; component_extractor reads
-    components from their prompts; iteration 2 has its own prompt, temperature and threshold; config sets sizes and thresholds.
+    components from their prompts, schema_extractor schema maps from theirs, with a table of earlier responses at schema_cache;
+    prompt_folder has instructions of one's own; iteration 2 has its own prompt, temperature and threshold; config sets sizes and thresholds.
     """
     cfg = config or Config()
     chunks, stats = chunking.chunk_blocks(blocks, most or cfg.get("preprocessing.max_chunk_chars"), least or cfg.get("preprocessing.min_chunk_chars"))
     flat = flat_chunks(chunks)
-    schema = discovery.discovered_schema(flat) if schema is None else schema
+    if schema is None:
+        schema = discovery.discovered_schema(flat) if schema_extractor is None else read_schemas(flat, schema_extractor, schema_cache, cfg, prompt_folder)
     judged = gate.decide(chunks.select("doc_id").distinct().join(schema, "doc_id", "left").withColumn("document_format", F.lit("docx")), cfg.gates())
     open_docs = judged.where("decision <> 'reject'").select("doc_id")
     open_flat = flat.join(open_docs, "doc_id", "left_semi")
     if parsed_components is None and component_extractor is not None:
-        parsed_components = read_components(open_flat, chunks, judged, component_extractor)
+        parsed_components = read_components(open_flat, chunks, judged, component_extractor, prompt_folder)
     members = chunking.build_batches(open_flat, budget=cfg.get("atomizer.batch_processing.max_batch_chars"))
     named = members.join(chunks.select("doc_id", F.col("position").cast("long").alias("pos"), "chunk_id", "source_location"), ["doc_id", "pos"])
-    asked = prompts.requirement_prompts(members, flat, judged, iteration, temperatures=cfg.temperatures())
+    asked = prompts.requirement_prompts(members, flat, judged, iteration, prompt_folder, cfg.temperatures())
     responses = durable(extract(asked, extractor, "doc_id", "batch_id"))
     items, status = atomize.parse_items(responses.where("content IS NOT NULL"))
     atomize.check_failures(named, status, cfg.get("atomizer.failure_handling.batch_failure_threshold"))

@@ -7,6 +7,8 @@ table, or checkpoint them, before anything is derived from them.
 
 from __future__ import annotations
 
+import functools
+import importlib
 import inspect
 import json
 import re
@@ -47,20 +49,38 @@ def deterministic(prompt: str) -> str:
     return json.dumps(out)
 
 
-def remote(call: Callable[[str], str], retries: int = 3, base: float = 2.0) -> Extractor:
-    """An injected call with retries; it is given the temperature if it has a parameter of that name."""
+def remote(call: Callable[[str], str], retries: int = 3, base: float = 2.0, max_tokens: int | None = None) -> Extractor:
+    """An injected call with retries; it is given the temperature, and max_tokens, if it has parameters of those names."""
+    if max_tokens is not None and takes(call, "max_tokens"):
+        call = functools.partial(call, max_tokens=max_tokens)
     if takes_temperature(call):
         return lambda prompt, temperature: with_retries(lambda: call(prompt, temperature=temperature), retries, base)
     return lambda prompt: with_retries(lambda: call(prompt), retries, base)
 
 
-def takes_temperature(call: Callable) -> bool:
+def takes(call: Callable, name: str) -> bool:
     try:
-        return "temperature" in inspect.signature(call).parameters
+        return name in inspect.signature(call).parameters
     except (TypeError, ValueError):
         return False
 
 
+def takes_temperature(call: Callable) -> bool:
+    return takes(call, "temperature")
+
+
+def named(place: str | None, retries: int, base: float, max_tokens: int | None = None) -> Extractor | None:
+    """The function at ``module:name`` as a remote extractor; none for no place."""
+    if not place:
+        return None
+    module, _, name = place.partition(":")
+    try:
+        call = getattr(importlib.import_module(module), name)
+    except (ImportError, AttributeError, ValueError) as e:
+        raise ValueError(f"No extractor {place}: {e}") from e
+    return remote(call, retries, base, max_tokens)
+
+
 def extract(prompts: DataFrame, extractor: Extractor = deterministic, *keys: str) -> DataFrame:
     """(keys, content, error): the response to each prompt, or the class of its failure and no content."""
     warm = takes_temperature(extractor)

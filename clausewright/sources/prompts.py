@@ -64,7 +64,7 @@ def with_schema(node: str, version: str, context: Column, folder: str | None = N
     return F.concat(F.lit(before), F.coalesce(context, F.lit("")), F.lit(after)) if mark else F.concat(F.lit(before), F.coalesce(F.concat(F.lit("\n\n"), context), F.lit("")))
 
 
-def discovery_prompts(sampled: DataFrame, stats: DataFrame, labels: DataFrame) -> DataFrame:
+def discovery_prompts(sampled: DataFrame, stats: DataFrame, labels: DataFrame, folder: str | None = None, temperature: float = 0.0) -> DataFrame:
     """(doc_id, prompt): counts and labels by entity, then previews of the sampled chunks (doc_id, position, content_text)."""
     line = F.concat(F.lit("- "), "record_type", F.lit(": "), F.col("unique_records").cast("string"), F.lit(" records, "), F.col("full_records").cast("string"), F.lit(" full chunks"))
     entities = stats.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("entities"))
@@ -73,7 +73,7 @@ def discovery_prompts(sampled: DataFrame, stats: DataFrame, labels: DataFrame) -
     text = F.transform(F.sort_array(F.collect_list(F.struct("position", preview(F.col("content_text")).alias("t")))), lambda x: x["t"])
     chunks = sampled.groupBy("doc_id").agg(F.array_join(text, "\n---\n").alias("chunks"))
     out = chunks.join(entities, "doc_id", "left").join(fields, "doc_id", "left")
-    return out.select("doc_id", F.concat_ws("\n\n", F.lit(load("schema_discovery")), "entities", "fields", "chunks").alias("prompt"), F.lit(0.0).alias("temperature"))
+    return out.select("doc_id", F.concat_ws("\n\n", F.lit(load("schema_discovery", folder=folder)), "entities", "fields", "chunks").alias("prompt"), F.lit(float(temperature)).alias("temperature"))
 
 
 def extractable(chunks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 from datetime import datetime, timezone
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +123,22 @@ def cached_schema(spark: SparkSession, path: str, source_tool: str) -> DataFrame
         return found if found.limit(1).count() else None
     except Exception:
         return None
+
+
+RESPONSES = "key string, content string"
+
+
+def cached_responses(spark: SparkSession, path: str | None) -> DataFrame:
+    """Responses (key, content) that were kept under a path; none if there is no such table yet."""
+    try:
+        if path:
+            return spark.read.schema(RESPONSES).parquet(path).dropDuplicates(["key"])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], RESPONSES)
+
+
+def keep_responses(responses: DataFrame, path: str) -> None:
+    """Adds responses (key, content) to those under a path; keys that are there already should have been left out."""
+    responses.select("key", "content").write.mode("append").parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clausewright import errors
 from clausewright.config import Config
+from clausewright.operators import chunking
 from clausewright.plans import pipeline
 from clausewright.sources import docx, extractor, prompts, sinks
 from clausewright.streaming import ingest
@@ -146,6 +147,67 @@ def test_flow_with_recorded_responses(spark, tmp_path):
     assert pipeline.second_pass(pipeline.replace(run, report=run.report.withColumn("is_retryable", F.lit(False))), blocks).requirements is run.requirements
 
 
+def test_schemas_by_model_and_cache(spark, tmp_path):
+    """A model describes two documents and fails at one, which statistics describe; a second run asks about that one and new ones only."""
+    for name in ("one", "two", "bad"):
+        write_docx(tmp_path / f"{name}.docx", [*RECORDS, ("", f"The bank must keep the ledger of {name} for five years.")])
+    flat = pipeline.flat_chunks(chunking.chunk_blocks(docx.read_blocks(spark, str(tmp_path)), 500, 10)[0])
+    asked = spark.sparkContext.accumulator(0)
+    fields = [{"raw_label": "Owner", "inferred_type": "enum", "confidence": 0.9, "example_values": ["x"]}, {"raw_label": " "}, {"raw_label": "Scope", "confidence": 7}]
+
+    def describe(prompt):
+        asked.add(1)
+        assert prompt.startswith("You describe") and "POLICY" in prompt.upper()
+        if "ledger of bad" in prompt:
+            return "I cannot"
+        return "```json\n" + json.dumps({"entities": [{"discovered_label": "POLICY", "record_count": -3, "fields": fields}, {"record_count": 2}], "relationships": []}) + "\n```"
+
+    cache = str(tmp_path / "cache")
+    seen = {r["doc_id"]: r for r in pipeline.read_schemas(flat, describe, cache).collect()}
+    assert asked.value == 3 and spark.read.parquet(cache).count() == 2 and len(seen) == 3
+    one, bad = (next(r for k, r in seen.items() if name in k) for name in ("one", "bad"))
+    assert [(e["discovered_label"], e["record_count"], [(f["raw_label"], f["inferred_type"], f["confidence"]) for f in e["fields"]]) for e in one["entities"]] == [("POLICY", 0, [("Owner", "enum", 0.9), ("Scope", "text", 0.5)])]
+    assert one["avg_confidence"] == 0.7 and bad["avg_confidence"] == 0.5 and bad["entities"][0]["record_count"] == 1
+
+    def recorded(prompt):
+        assert "ledger of bad" in prompt or "ledger of new" in prompt
+        return describe(prompt)
+
+    write_docx(tmp_path / "new.docx", [*RECORDS, ("", "The bank must keep the ledger of new for five years.")])
+    more = pipeline.flat_chunks(chunking.chunk_blocks(docx.read_blocks(spark, str(tmp_path)), 500, 10)[0])
+    again = {r["doc_id"]: r["schema_version"] for r in pipeline.read_schemas(more, recorded, cache).collect()}
+    assert asked.value == 5 and len(again) == 4 and all(again[k] == r["schema_version"] for k, r in seen.items())
+    assert pipeline.read_schemas(flat.where("doc_id NOT LIKE '%bad%'"), lambda p: 1 / 0, cache).count() == 2
+
+
+def test_second_pass_of_some(spark, tmp_path):
+    """Three documents with the same sentences, one read again: numbers repeat between documents, counts are those of each."""
+    for name in "abc":
+        write_docx(tmp_path / f"{name}.docx", PARTS)
+    blocks = docx.read_blocks(spark, str(tmp_path))
+    first = pipeline.run(blocks, most=500, least=10)
+    assert len({tuple(r)[1:] for r in first.requirements.select("doc_id", "req_no", "rule_description").collect()}) * 3 == first.requirements.count()
+    retried = first.report.withColumn("is_retryable", F.col("doc_id").contains("b.docx"))
+    again = pipeline.second_pass(pipeline.replace(first, report=retried), blocks, most=500, least=10)
+    count = lambda run: {r["doc_id"]: (r["total_requirements"], r["duplicate_pairs"], r["dedup_ratio"], r["coverage_ratio"]) for r in run.report.collect()}
+    before, after = count(first), count(again)
+    assert len(set(before.values())) == 1 and all(after[k] == v for k, v in before.items() if "b.docx" not in k)
+    # the second pass asks for a confidence of 0.70
+    strong = first.requirements.where(F.col("doc_id").contains("b.docx") & (F.col("confidence") >= 0.7)).count()
+    assert {(v[0], v[1]) for k, v in after.items() if "b.docx" in k} == {(strong, next(iter(before.values()))[1])}
+    assert {r["doc_id"][-6:]: r["extraction_iteration"] for r in again.report.collect()} == {"a.docx": 1, "b.docx": 2, "c.docx": 1}
+
+
+def test_command_line_extractors(tmp_path, monkeypatch):
+    """Extractors by name, with retries and tokens from the settings."""
+    (tmp_path / "own_calls.py").write_text("def call(prompt, temperature, max_tokens):\n    return f'{prompt} {temperature} {max_tokens}'\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert extractor.named("own_calls:call", 1, 0.0, 77)("p", temperature=0.5) == "p 0.5 77"
+    assert extractor.named(None, 1, 0.0) is None
+    with pytest.raises(ValueError, match="No extractor own_calls:absent"):
+        extractor.named("own_calls:absent", 1, 0.0)
+
+
 def test_gate_of_schemas(spark, tmp_path):
     """No schema: rejected. Fields of the discovered confidence: review. Entities without fields: rejected at 0. Settings move the thresholds."""
     write_docx(tmp_path / "plain.docx", [("", "The bank must keep records of all balances.")])

@@ -1,6 +1,6 @@
 """Fill-in-middle transformation: texts cut in three at random code points and put in another order.
 
-A Split pre-tokenizer of the tokenizers library isolates every match of one code point; the
+A Split pre-tokenizer of the tokenizers library isolates single code points; the
 length of its offset array is the number of code points of a text, and the
 offset at a rank is where a slice ends. Nothing is trained. A text goes through it in segments of
 ``SEGMENT`` code points, so only one segment's offsets exist at a time. Ranks and
@@ -29,11 +29,12 @@ PREFIX, SUFFIX, MIDDLE = MARKS = ("<P>", "<S>", "<M>")
 #: Code points that are matched at once.
 SEGMENT = 256
 OUT = "n long, form string, prefix_chars long, middle_chars long, output string"
-_ONE = r"[\s\S]"
+#: Matches every second code point; isolated, those between are pieces of their own too, at half the matches.
+_ONE = r"[\s\S]\K[\s\S]"
 
 
 class Cuts:
-    """The isolated matches of a text, counted segment by segment."""
+    """The isolated code points of a text, counted segment by segment."""
 
     def __init__(self, text: str, split: Split):
         self.text, self.split = text, split
@@ -41,7 +42,7 @@ class Cuts:
         self.n = sum(self.counts)
 
     def offset(self, rank: int) -> int:
-        """Where the match of this rank (from 0) starts; the end of the text for rank n."""
+        """Where the code point of this rank (from 0) starts; the end of the text for rank n."""
         for k, count in enumerate(self.counts):
             if rank < count:
                 return k * SEGMENT + self.split.pre_tokenize_str(self.text[k * SEGMENT : (k + 1) * SEGMENT])[rank][1][0]

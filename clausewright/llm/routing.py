@@ -10,15 +10,15 @@ segment of text. The plan:
 1. ask: each group of documents names its anchors, each once with its count;
 2. count: a bucket of shards sums them and tells each group which of its anchors
    occur twice or more anywhere; all other windows are unique and go no further;
-3. send: each group sends the segments of those anchors, encoded by the method;
-   equal segments of a group are written once, with all of their places;
+3. send: each group sends the segments of those anchors, encoded by the method,
+   every occurrence with its place;
 4. decide: for each shard the method finds the least place of every window in
-   the segments that arrived; each place is compared with it, and the windows
-   that occur earlier return as ranges of starts;
+   the segments that arrived, and the windows that occur earlier return as ranges
+   of starts;
 5. finish: each group takes its own ranges and reads off the result.
 
-Hashes only deal segments out and spare equal bytes on the way. Whether a window
-goes is read from the method (``Method.decide``) and from nothing else.
+Hashes only deal segments out. No segment stands for another: each occurrence is
+read by the method, and whether a window goes is what ``Method.decide`` says of it.
 
 Groups are dealt by a hash of the row and hold about ``GROUP_BYTES`` of text, so
 no key of the data decides their size; there are as many tasks as groups, and as
@@ -26,8 +26,8 @@ many as buckets. A bucket holds the shards of about ``BUCKET_BYTES`` of text and
 is one row per group that has something for it, so rows are at most groups times
 buckets, and never more than segments. An anchor with ``HOT`` occurrences or more
 is decided in two steps: each group runs the method over its own segments of it
-first, and sends only the windows that are the first in the group, one by one,
-dealt by a hash of their content. So a passage in a third of all documents
+first, in parts of the size of a shard, and sends only the windows that are the
+first in their part, one by one, dealt by a hash of their content. So a passage in a third of all documents
 reaches its shards once per group. Documents cross the network once (Spark reuses
 that exchange); nothing is gathered on the driver but a sum. All steps are
 deterministic, so lost executors are replaced by recomputation.
@@ -58,7 +58,7 @@ HOT = 4096
 PIECE = 1 << 20
 POS = 21
 #: A run is at most width - gram + 1 windows: with one anchor they all hold it.
-TEXT = np.dtype([("shard", "<u2"), ("n", "<u2"), ("places", "<u4"), ("same", "<u8")])
+TEXT = np.dtype([("shard", "<u2"), ("n", "<u2")])
 PLACE = np.dtype([("doc", "<i8"), ("row", "<u4"), ("start", "<u4")])
 SPAN = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "<u4")])
 NEVER = (1 << 63) - 1
@@ -83,12 +83,12 @@ class Method(Protocol):
     def lengths(self, n: np.ndarray) -> np.ndarray: ...
 
     def encode(self, units: np.ndarray, off: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct segments of one group, by shard (rising): their order within their shards, and their bytes in that order."""
+        """The segments of one group, by shard (rising): their order within their shards, and their bytes in that order."""
 
-    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least (doc, start) of every window of every segment of a shard; NEVER where the method does not find the window.
 
-        Segments come by group (block, rising), as each was encoded, with their windows (n), least places (doc, start) and a hash (same).
+        Segments come by group (block, rising), as each was encoded, with their windows (n) and places (doc, start).
         """
 
 
@@ -251,7 +251,7 @@ def repeated(docs: DataFrame, w: Windows, method: Method, finish: Finish, schema
             keys.append(key)
         keys, count = np.unique(np.concatenate(keys), return_counts=True)
         bucket = (keys % U(n_shards)).astype(np.int64) // per_bucket
-        out = [(s, g, pack_sorted(keys[i]), np.minimum(count[i], 255).astype(np.uint8).tobytes()) for s, i in _by_shard(bucket, n_buckets)]
+        out = [(s, g, pack_sorted(keys[i]), planes(count[i].astype("<u4"))) for s, i in _by_shard(bucket, n_buckets)]
         return _table(out, ["r_s", "r_g", "keys", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
@@ -259,7 +259,7 @@ def repeated(docs: DataFrame, w: Windows, method: Method, finish: Finish, schema
         if not keys:
             return _table([], ["r_g", "keys"])
         every = np.concatenate(keys)
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
+        counts = np.concatenate([unplane(x, np.dtype("<u4")) for x in table["counts"].to_pylist()])
         _, at = np.unique(every, return_inverse=True)
         total = np.bincount(at, weights=counts)[at]
         coded, shared = (every << U(1)) | (total >= most), total >= 2
@@ -279,34 +279,39 @@ def repeated(docs: DataFrame, w: Windows, method: Method, finish: Finish, schema
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             ok = np.flatnonzero(known[at] == key)
             if len(ok):
-                sums, local, n, hot_ok = Sums(part), local[ok], n[ok], is_hot[at[ok]]
+                local, n, hot_ok = local[ok], n[ok], is_hot[at[ok]]
                 each = _ranges(local[hot_ok], n[hot_ok])  # windows of frequent anchors
-                found.append((row[ok], start[ok], place[ok], n, (key[ok] % U(n_shards)).astype(np.int64), sums.hashes(local, local + n + w.width - 1), hot_ok, sums.hashes(each, each + w.width)))
+                hashed = Sums(part).hashes(each, each + w.width) if len(each) else np.zeros(0, np.uint64)
+                found.append((row[ok], start[ok], place[ok], n, key[ok], hot_ok, hashed))
         if not found:
             return _table([], names)
-        row, start, place, n, shard, same, hot_run = (np.concatenate([x[k] for x in found]) for k in range(7))
-        units, spans = group.units(), np.zeros(0, SPAN)
+        row, start, place, n, key, hot_run, window = (np.concatenate([x[k] for x in found]) for k in range(7))
+        del found
+        units, spans, shard = group.units(), np.zeros(0, SPAN), (key % U(n_shards)).astype(np.int64)
         if hot_run.any():
-            window, h = np.concatenate([x[-1] for x in found]), np.flatnonzero(hot_run)
-            gone, at, step = _first(units, row[h], start[h], place[h], n[h], same[h], group.ids, w, method)
-            spans = merge_spans(gone)
-            keep, run = np.flatnonzero(~hot_run), h[at]
-            first = window[(np.cumsum(n[h]) - n[h])[at] + step]
+            h, gone, runs_, steps_ = np.flatnonzero(hot_run), [], [], []
+            for part in _batches(row, start, n, key, h, group.ids, w, method):
+                span, run, step = _first(units, row, start, place, n, part, group.ids, w, method)
+                gone.append(span)
+                runs_.append(run)
+                steps_.append(step)
+            spans, run, step = merge_spans(np.concatenate(gone)), np.concatenate(runs_), np.concatenate(steps_)
+            base = np.zeros(len(row), np.int64)
+            base[h] = np.cumsum(n[h]) - n[h]
+            first = window[base[run] + step]
+            keep = np.flatnonzero(~hot_run)
             row, start, place = (np.concatenate([x[keep], x[run] + y]) for x, y in ((row, 0), (start, step), (place, step)))
-            n, shard, same = np.concatenate([n[keep], np.ones(len(run), np.int64)]), np.concatenate([shard[keep], ((first >> U(POS)) % U(n_shards)).astype(np.int64)]), np.concatenate([same[keep], first])
-        del found
-        m, text = _texts(row, start, place, n, shard, same, group.ids)
-        text, m, body = _encoded(text, m, units, w, method)
+            n, shard = np.concatenate([n[keep], np.ones(len(run), np.int64)]), np.concatenate([shard[keep], ((first >> U(POS)) % U(n_shards)).astype(np.int64)])
+        order, body = _encoded(row, start, place, n, shard, group.ids, units, w, method)
+        text, m = np.zeros(len(order), TEXT), np.zeros(len(order), PLACE)
+        shard, m["doc"], m["row"], m["start"] = shard[order], group.ids[row[order]], row[order], start[order]
+        bucket = shard // per_bucket
+        text["shard"], text["n"] = shard - bucket * per_bucket, n[order]
         out = [(g % n_buckets, g, b"", b"", b"", spans.tobytes())] if len(spans) else []
-        ends, load = np.append(0, np.cumsum(text["places"])), np.append(0, np.cumsum(method.lengths(text["n"])))
-        bucket = text["shard"] // per_bucket
+        load = np.append(0, np.cumsum(method.lengths(n[order])))
         cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(text))
         for a, b in zip(cut[:-1], cut[1:]):
-            head = np.zeros(b - a, TEXT)
-            for f in ("n", "places", "same"):
-                head[f] = text[f][a:b]
-            head["shard"] = text["shard"][a:b] - bucket[a] * per_bucket
-            out.append((int(bucket[a]), g, planes(head), planes(m[ends[a] : ends[b]]), body[load[a] : load[b]].tobytes(), b""))
+            out.append((int(bucket[a]), g, planes(text[a:b]), planes(m[a:b]), body[load[a] : load[b]].tobytes(), b""))
         return _table(out, names)
 
     def judge(table: pa.Table) -> pa.Table:
@@ -347,24 +352,21 @@ def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _texts(row: np.ndarray, start: np.ndarray, place: np.ndarray, n: np.ndarray, shard: np.ndarray, same: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places by segment, in order of place; and the distinct segments of a group, by shard."""
-    order = np.lexsort((start, ids[row], n, same, shard))
-    row, start, n, shard, same = row[order], start[order], n[order], shard[order], same[order]
-    lead = np.ones(len(row), bool)
-    lead[1:] = (same[1:] != same[:-1]) | (shard[1:] != shard[:-1]) | (n[1:] != n[:-1])
-    head = np.flatnonzero(lead)
-    m = np.zeros(len(row), PLACE)
-    m["doc"], m["row"], m["start"] = ids[row], row, start
-    text = np.zeros(len(head), np.dtype([("shard", "<i8"), ("n", "<i8"), ("places", "<i8"), ("same", "<u8"), ("first", "<i8"), ("at", "<i8")]))
-    text["shard"], text["n"], text["same"], text["first"], text["at"] = shard[head], n[head], same[head], head, place[order][head]
-    text["places"] = np.diff(np.append(head, len(row)))
-    return m, text
+def _encoded(row: np.ndarray, start: np.ndarray, place: np.ndarray, n: np.ndarray, shard: np.ndarray, ids: np.ndarray, units: np.ndarray, w: Windows, method: Method) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the segments of a group by shard, as the method lists them, and their bytes."""
+    order = np.lexsort((start, ids[row], shard))
+    size = n[order] + w.width - 1
+    listed, body = method.encode(units[_ranges(place[order], size)], np.append(0, np.cumsum(size)), shard[order])
+    return order[listed], body
 
 
-def _encoded(text: np.ndarray, m: np.ndarray, units: np.ndarray, w: Windows, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order, body = method.encode(units[_ranges(text["at"], text["n"] + w.width - 1)], np.append(0, np.cumsum(text["n"] + w.width - 1)), text["shard"])
-    return text[order], m[_ranges(text["first"][order], text["places"][order])], body
+def _batches(row: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, some: np.ndarray, ids: np.ndarray, w: Windows, method: Method) -> Iterator[np.ndarray]:
+    """Some runs, anchor by anchor and in order of place, in parts of about the size of a shard."""
+    some = some[np.lexsort((start[some], ids[row[some]], key[some]))]
+    load = np.cumsum(method.lengths(n[some])) // SHARD_BYTES[w.unit]
+    cuts = np.append(np.flatnonzero(np.append(True, load[1:] != load[:-1])), len(some))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield some[a:b]
 
 
 def _gone(best_doc: np.ndarray, best_start: np.ndarray, doc: np.ndarray, start: np.ndarray, own: bool) -> np.ndarray:
@@ -372,32 +374,17 @@ def _gone(best_doc: np.ndarray, best_start: np.ndarray, doc: np.ndarray, start:
     return gone | ((best_doc == doc) & (best_start < start)) if own else gone
 
 
-def _occurrences(m: np.ndarray, n: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of segments with n windows and some places each: place, step and window of every occurrence of a window."""
-    per, base = np.repeat(n, places), np.repeat(np.cumsum(n) - n, places)
-    step = _ranges(np.zeros(len(m), np.int64), per)
-    return np.repeat(np.arange(len(m)), per), step, np.repeat(base, per) + step
-
-
-def _first(units: np.ndarray, row: np.ndarray, start: np.ndarray, place: np.ndarray, n: np.ndarray, same: np.ndarray, ids: np.ndarray, w: Windows, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The method over the runs of one group: windows that occur earlier in it (SPAN), and (run, step) of the first ones."""
-    m, text = _texts(row, start, place, n, np.zeros(len(row), np.int64), same, ids)
-    text, m, body = _encoded(text, m, units, w, method)
-    first = m[np.cumsum(text["places"]) - text["places"]]
-    best_doc, best_start = method.decide(body, text["n"], np.zeros(len(text), np.int64), text["same"], first["doc"], first["start"].astype(np.int64))
-    each, step, win = _occurrences(m, text["n"], text["places"])
-    at = m["start"][each].astype(np.int64) + step
-    gone = _gone(best_doc[win], best_start[win], m["doc"][each], at, w.own)
+def _first(units: np.ndarray, row: np.ndarray, start: np.ndarray, place: np.ndarray, n: np.ndarray, part: np.ndarray, ids: np.ndarray, w: Windows, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The method over some runs (part) of one group: windows that occur earlier in it (SPAN), and (run, step) of the first ones."""
+    row, start, place, n = row[part], start[part], place[part], n[part]
+    order, body = _encoded(row, start, place, n, np.zeros(len(part), np.int64), ids, units, w, method)
+    n, doc = n[order], ids[row[order]]
+    best_doc, best_start = method.decide(body, n, np.zeros(len(order), np.int64), doc, start[order])
+    each, step = np.repeat(order, n), _ranges(np.zeros(len(order), np.int64), n)
+    gone = _gone(best_doc, best_start, np.repeat(doc, n), start[each] + step, w.own)
     spans = np.zeros(int(gone.sum()), SPAN)
-    spans["row"], spans["start"], spans["n"] = m["row"][each[gone]], at[gone], 1
-    # of those that stay, rows of one id repeat each other: one of each is sent, and its row stands for itself only
-    stay = np.flatnonzero(~gone)
-    run = np.empty(len(m), np.int64)
-    key = m["row"].astype(np.int64) << 32 | m["start"].astype(np.int64)
-    given = row.astype(np.int64) << 32 | start.astype(np.int64)
-    by = np.argsort(given)
-    run = by[np.searchsorted(given[by], key)]
-    return spans, run[each[stay]], step[stay]
+    spans["row"], spans["start"], spans["n"] = row[each[gone]], start[each[gone]] + step[gone], 1
+    return spans, part[each[~gone]], step[~gone]
 
 
 def merge_spans(spans: np.ndarray) -> np.ndarray:
@@ -419,25 +406,25 @@ def _verdicts(rows: list[tuple[int, np.ndarray, np.ndarray, bytes]], w: Windows,
     text, m = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
     source = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     body = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-    n, places = text["n"].astype(np.int64), text["places"].astype(np.int64)
+    n = text["n"].astype(np.int64)
     size = method.lengths(n)
-    begin, at = np.cumsum(size) - size, np.cumsum(places) - places
+    begin = np.cumsum(size) - size
     order = np.argsort(text["shard"], kind="stable")
     shard = text["shard"][order]
     cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
     found = []
     for a, b in zip(cuts[:-1], cuts[1:]):
         t = order[a:b]
-        first = m[at[t]]
-        best_doc, best_start = method.decide(body[_ranges(begin[t], size[t])], n[t], source[t], text["same"][t], first["doc"], first["start"].astype(np.int64))
-        mine = m[_ranges(at[t], places[t])]
-        each, step, win = _occurrences(mine, n[t], places[t])
-        start = mine["start"][each].astype(np.int64) + step
-        gone = np.flatnonzero(_gone(best_doc[win], best_start[win], mine["doc"][each], start, w.own))
+        mine = m[t]
+        begins = mine["start"].astype(np.int64)
+        best_doc, best_start = method.decide(body[_ranges(begin[t], size[t])], n[t], source[t], mine["doc"], begins)
+        each = np.repeat(np.arange(len(t)), n[t])
+        start = _ranges(begins, n[t])
+        gone = np.flatnonzero(_gone(best_doc, best_start, mine["doc"][each], start, w.own))
         each, start = each[gone], start[gone]
         run = np.flatnonzero(np.append(True, (each[1:] != each[:-1]) | (start[1:] != start[:-1] + 1))) if len(gone) else gone
         spans = np.zeros(len(run), np.dtype([("source", "<u4"), ("row", "<u4"), ("start", "<u4"), ("n", "<u4")]))
-        spans["source"], spans["row"], spans["start"] = np.repeat(source[t], places[t])[each[run]], mine["row"][each[run]], start[run]
+        spans["source"], spans["row"], spans["start"] = source[t][each[run]], mine["row"][each[run]], start[run]
         spans["n"] = np.diff(np.append(run, len(gone)))
         found.append(spans)
     spans = np.concatenate(found)

@@ -7,12 +7,13 @@ large as the corpus; broadcasting all of them to every task would cost shards
 times corpus. So ``routing`` deals the pieces of text in which a window can
 repeat at all to the shard that owns their anchor, and only the documents that
 hold something of a shard are streamed through its automaton. A shard inserts
-every piece it got, in order of place, into one suffix automaton whose states keep
-the earliest end of their strings, then streams the pieces through it: wherever
-the matching statistic reaches ``width``, the state of the last ``width`` words
-tells where they occurred first, and that alone decides. Of an anchor with
-thousands of occurrences each group of documents has an automaton of its own
-first. A shard is some 256 KB of text, so an automaton is of bounded size.
+every piece it got, copies included, in order of place into one suffix automaton
+whose states keep the least place of their strings (passed up the suffix links),
+then streams the pieces through it: wherever the matching statistic reaches
+``width``, the state of the last ``width`` words tells where they occurred first,
+and that alone decides. Of an anchor with thousands of occurrences each group of
+documents has automata of its own first. A shard is some 256 KB of text and an anchor
+with more occurrences is cut, so an automaton is of bounded size.
 
 Words are told apart by 48 bits of their hash, in windows of 20 of one shard.
 
@@ -38,9 +39,9 @@ WIDTH, GRAM = 20, 8
 
 
 def automaton(words: list[int], off: list[int]) -> tuple[list[dict], list[int], list[int], list[int]]:
-    """Transitions, suffix links, lengths and earliest ends of the suffix automaton of several texts, inserted in order."""
+    """Transitions, suffix links and lengths of the suffix automaton of several texts, and the state of each prefix."""
     nxt: list[dict] = [{}]
-    link, length, first = [-1], [0], [-1]
+    link, length, state = [-1], [0], []
     for t in range(len(off) - 1):
         last = 0
         for i in range(off[t], off[t + 1]):
@@ -48,13 +49,14 @@ def automaton(words: list[int], off: list[int]) -> tuple[list[dict], list[int],
             q = nxt[last].get(c)
             if q is not None and length[q] == length[last] + 1:
                 last = q
+                state.append(last)
                 continue
             if q is None:
                 cur = len(nxt)
                 nxt.append({})
                 length.append(length[last] + 1)
-                first.append(i)
                 link.append(0)
+                state.append(cur)
                 p = last
                 while p >= 0 and c not in nxt[p]:
                     nxt[p][c] = cur
@@ -71,7 +73,6 @@ def automaton(words: list[int], off: list[int]) -> tuple[list[dict], list[int],
             copy = len(nxt)
             nxt.append(nxt[q].copy())
             length.append(length[p] + 1)
-            first.append(first[q])
             link.append(link[q])
             while p >= 0 and nxt[p].get(c) == q:
                 nxt[p][c] = copy
@@ -81,12 +82,30 @@ def automaton(words: list[int], off: list[int]) -> tuple[list[dict], list[int],
                 link[cur] = copy
             else:
                 last = copy
-    return nxt, link, length, first
-
-
-def first_ends(words: list[int], off: list[int], width: int) -> list[int]:
-    """For each window of each text, in order: the earliest end of an equal window."""
-    nxt, link, length, first = automaton(words, off)
+                state.append(last)
+    return nxt, link, length, state
+
+
+def least_ends(link: list[int], length: list[int], state: list[int], rank: list[int], width: int) -> list[int]:
+    """By state: the least rank of an end of its strings, for states that hold strings of ``width`` words."""
+    low = [len(rank)] * len(link)
+    for s, r in zip(state, rank):
+        if r < low[s]:
+            low[s] = r
+    # longer strings first; a state's ends are its own and those of the states that link to it
+    size, up = np.array(length), np.array(link)
+    inner = np.flatnonzero((size > width) & (size[up] >= width))
+    for s in inner[np.argsort(-size[inner], kind="stable")].tolist():
+        p = link[s]
+        if low[s] < low[p]:
+            low[p] = low[s]
+    return low
+
+
+def first_ends(words: list[int], off: list[int], width: int, rank: list[int] | None = None) -> list[int]:
+    """For each window of each text, in order: the least rank (by default the place) of the end of an equal window."""
+    nxt, link, length, state = automaton(words, off)
+    first = least_ends(link, length, state, list(range(len(words))) if rank is None else rank, width)
     out = []
     for t in range(len(off) - 1):
         v = size = 0
@@ -117,15 +136,19 @@ class Automata:
     def encode(self, units: np.ndarray, off: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.arange(len(shard)), np.frombuffer(pack6(units), np.uint8)
 
-    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         units, words = unpack6(body.tobytes()), n + self.width - 1
         off = np.cumsum(words) - words
         order = np.lexsort((start, doc))
         size = words[order]
         moved = np.concatenate([[0], np.cumsum(size)])
-        ends = np.array(first_ends(units[np.repeat(off[order] - moved[:-1], size) + np.arange(moved[-1])].tolist(), moved.tolist(), self.width), np.int64)
-        text = np.searchsorted(moved, ends, "right") - 1
-        best_doc, best_start = doc[order][text], start[order][text] + ends - moved[text] - self.width + 1
+        # places of all words; pieces of one id may overlap, where its rows differ
+        at_doc, at_start = np.repeat(doc[order], size), np.repeat(start[order] - moved[:-1], size) + np.arange(moved[-1])
+        by = np.lexsort((at_start, at_doc))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        ends = by[first_ends(units[np.repeat(off[order] - moved[:-1], size) + np.arange(moved[-1])].tolist(), moved.tolist(), self.width, rank.tolist())]
+        best_doc, best_start = at_doc[ends], at_start[ends] - self.width + 1
         # back to the given order of segments
         count = n[order]
         at = np.empty(len(order), np.int64)

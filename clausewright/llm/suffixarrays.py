@@ -3,7 +3,7 @@
 A byte is removed if it lies in a string of ``width`` bytes that also starts in
 a document of a smaller id. ``routing`` deals the pieces of text in which that
 can happen at all to shards by anchor. Each group of documents builds the
-transform of its distinct pieces for each shard and sends that, not the text. A
+transform of its pieces for each shard and sends that, not the text. A
 shard merges the transforms of all groups by iterative interleave refinement:
 the interleave says for every merged place from which transform its next row
 comes. It starts as a stable sort of all rows by their first four symbols, one
@@ -16,11 +16,11 @@ left of the rounds is which rows share a prefix of ``width``: these are the
 repeated intervals, and the least document of an interval decides on its windows.
 Windows and rows meet by walking each text backwards from its end symbol.
 
-Pieces that several groups sent alike are merged once: the later groups' rows of
-them leave their transforms first (a part of the rows of a transform is the
-transform of the texts they belong to), and their places count for the one kept.
+Equal pieces, of one group or of several, are texts of their own throughout: their rows
+meet in the intervals and nowhere else.
 
-Texts are cyclic with one end symbol each, so every transform is a permutation.
+Texts are cyclic with one end symbol each, so every transform is a permutation; rows of
+equal texts keep the order of the texts.
 The end symbol is 0xFF, which no UTF-8 text holds.
 
 Defined cases: as in ``substrings``, but for bytes, and a document never removes its own bytes.
@@ -34,10 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .routing import NEVER, Group, Windows, _ranges, repeated
+from .routing import NEVER, Group, Windows, repeated
 from .session import named
 from .substrings import covered
-from .text import U, mix
+from .text import U
 
 WIDTH, GRAM = 50, 16
 END = 255
@@ -86,7 +86,7 @@ def split(rows: np.ndarray, rank: np.ndarray, ahead: np.ndarray, bits: int) -> t
 
 
 def rotations(sym: np.ndarray, begin: np.ndarray, size: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """All places of cyclic texts (distinct in their shard, each with END at its end) in the order of shards (from 0, rising) and rotations."""
+    """All places of cyclic texts (each with END at its end) in the order of shards (from 0, rising), rotations and texts."""
     n = len(sym)
     bits = n.bit_length()
     used = np.bincount(sym, minlength=256) > 0
@@ -122,7 +122,7 @@ def rotations(sym: np.ndarray, begin: np.ndarray, size: np.ndarray, shard: np.nd
 
 
 def transform(units: np.ndarray, size: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of distinct texts and their transforms, one per shard, one after the other. Texts are listed as their end symbols rank."""
+    """Order of texts and their transforms, one per shard, one after the other. Texts are listed as their end symbols rank."""
     length = size + 1
     begin = np.cumsum(length) - length
     end = begin + size
@@ -226,34 +226,18 @@ class Transforms:
             a = b
         return np.concatenate(orders), np.concatenate(bodies)
 
-    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.lengths(n)
-        # equal segments of several groups: one stays, with the least document
-        key = mix(same + n.astype(np.uint64))
-        _, lead, of = np.unique(key, return_index=True, return_inverse=True)
-        least = np.full(len(lead), NEVER)
-        np.minimum.at(least, of, doc)
-        stays = np.zeros(len(n), bool)
-        stays[lead] = True
         first, following, back = steps(body, np.repeat(block, size))
         text, at = walk(first, back, size - 1)
-        if len(lead) < len(n):
-            keep = np.flatnonzero(stays[text])
-            moved = np.empty(len(body), np.int32)
-            moved[keep] = np.arange(len(keep), dtype=np.int32)
-            first, following, text, at = first[keep], moved[following[keep]], text[keep], at[keep]
         merged = Merged(first, following, size[text] - 1 - at, self.width)
         # the windows: rows with width symbols of their text ahead
         here = np.flatnonzero(at < n[text])
         rank, owner = merged.rank[here], text[here]
         interval = np.full(len(first), NEVER)
-        np.minimum.at(interval, rank, least[of[owner]])
+        np.minimum.at(interval, rank, doc[owner])
         best = np.full(int(n.sum()), NEVER)
         best[(np.cumsum(n) - n)[owner] + at[here]] = interval[rank]
-        # windows of the segments that left are those of the one that stayed
-        if len(lead) < len(n):
-            twin = lead[of]
-            best = best[_ranges((np.cumsum(n) - n)[twin], n)]
         return best, np.zeros(len(best), np.int64)
 
 

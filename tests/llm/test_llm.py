@@ -243,20 +243,58 @@ def test_substrings_many_shards(spark, docs, monkeypatch, hot):
     assert Counter(tuple(r) for r in suffixarrays.removal(df).collect()) == removed_bytes(rows)
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
 @pytest.mark.parametrize("op", [substrings, suffixarrays])
-def test_only_the_method_removes(spark, docs, monkeypatch, op):
-    """With a method that finds nothing, nothing is removed, copies and frequent passages included."""
+def test_only_the_method_removes(spark, docs, monkeypatch, op, hot):
+    """With a method that finds nothing, or nothing but the places it is given, nothing is removed, copies and frequent passages included."""
     _, df = docs
-    monkeypatch.setattr(routing, "HOT", 3)
+    monkeypatch.setattr(routing, "HOT", hot)
     known = op.Automata if op is substrings else op.Transforms
 
     class Blind(known):
-        def decide(self, body, n, block, same, doc, start):
+        def decide(self, body, n, block, doc, start):
             none = np.full(int(n.sum()), (1 << 63) - 1)
             return none, none
 
-    monkeypatch.setattr(op, known.__name__, Blind)
-    assert op.removal(df).agg(F.sum("n_removed")).first()[0] == 0
+    class Own(known):
+        def decide(self, body, n, block, doc, start):
+            return np.repeat(doc, n), routing._ranges(start, n)
+
+    for blind in (Blind, Own):
+        monkeypatch.setattr(op, known.__name__, blind)
+        assert op.removal(df).agg(F.sum("n_removed")).first()[0] == 0
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_substrings_repeated_ids(spark, monkeypatch, hot):
+    """Rows that share an id and differ in text: a later piece of one may hold a window at an earlier place than an earlier piece of another."""
+    monkeypatch.setattr(routing, "HOT", hot)
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(60):
+        at = rng.randint(0, 300)
+        for _ in range(rng.randint(1, 3)):
+            lead = rng.choices(words, k=rng.randint(0, 12))
+            rows.append((i if i % 7 else None, " ".join(lead + words[at + rng.randint(0, 3) : at + rng.randint(20, 70)])))
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(5)
+    assert Counter(tuple(r) for r in substrings.removal(df).collect()) == removed_words(rows)
+    assert Counter(tuple(r) for r in suffixarrays.removal(df).collect()) == removed_bytes(rows)
+
+
+def test_substrings_hot_in_one_group(spark):
+    """An anchor with 10,000 occurrences in one group is counted whole, goes the way of frequent ones, and is cut into parts of bounded size."""
+    rows = [(1, "a b " * 20_000), (2, "b a " * 300 + "c"), (3, "x" * 3_000), (4, "x" * 2_000 + "y")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    for op, want in ((substrings, removed_words), (suffixarrays, removed_bytes)):
+        assert Counter(tuple(r) for r in op.removal(df).collect()) == want(rows)
+    # the same steps of a group, in this process
+    w, method = routing.Windows("byte", 50, 16, False), suffixarrays.Transforms(50)
+    n = np.full(40_000, 35)
+    row, start = np.repeat(np.arange(4), 10_000), np.tile(np.arange(10_000) * 35, 4)
+    cut = list(routing._batches(row, start, n, np.zeros(40_000, np.uint64), np.arange(40_000), np.arange(4), w, method))
+    assert sorted(np.concatenate(cut).tolist()) == list(range(40_000))
+    assert max(int(method.lengths(n[c]).sum()) for c in cut) <= routing.SHARD_BYTES["byte"] + 85
 
 
 def test_substrings_long_texts(spark):
@@ -327,7 +365,8 @@ def test_merged_transforms():
         method = suffixarrays.Transforms(width)
         texts, bodies, block = [], [], []
         for b in range(rng.randint(1, 5)):
-            own = list({bytes(rng.choices(b"ab", k=rng.randint(width, width + 12))) for _ in range(rng.randint(1, 9))})
+            own = [bytes(rng.choices(b"ab", k=rng.randint(width, width + 12))) for _ in range(rng.randint(1, 9))]
+            own += rng.choices(own, k=rng.randint(0, 6))  # equal texts are texts of their own
             order, last = method.encode(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), np.zeros(len(own), np.int64))
             texts += [own[i] for i in order]
             block += [b] * len(own)
@@ -344,8 +383,7 @@ def test_merged_transforms():
         by_rank = sorted(whole, key=lambda r: merged.rank[r])
         assert [heads[r] for r in by_rank] == sorted(heads.values())
         assert all((heads[x] == heads[y]) == (merged.rank[x] == merged.rank[y]) for x, y in zip(by_rank, by_rank[1:]))
-        same = np.array([hash(t) & (1 << 62) - 1 for t in texts], np.uint64)
-        best, _ = method.decide(np.concatenate(bodies), n, np.array(block), same, doc, np.zeros(len(doc), np.int64))
+        best, _ = method.decide(np.concatenate(bodies), n, np.array(block), doc, np.zeros(len(doc), np.int64))
         least = {}
         for t, d in zip(texts, doc):
             for p in range(len(t) - width + 1):

@@ -51,6 +51,33 @@ def test_docx(spark, tmp_path):
     assert docx.with_file(stats, chunks).first()["total_chunks"] == len(got)
 
 
+def test_docx_format(spark, tmp_path):
+    """The format gives the blocks of read_blocks, and opens only the files that filters leave."""
+    for k in range(5):
+        write_docx(tmp_path / f"d{k}.docx", [*PARTS, ("", f"number {k}")])
+    (tmp_path / "b.docx").write_bytes(b"no zip")
+    (tmp_path / "_hidden").write_bytes(b"")
+    docx.register(spark)
+    read = spark.read.format("docx").option("partition_bytes", 1)
+    blocks = read.load(str(tmp_path))
+    assert blocks.rdd.getNumPartitions() == 6
+    key = lambda r: (r["doc_id"], r["block_idx"])
+    assert sorted(blocks.collect(), key=key) == sorted(docx.read_blocks(spark, str(tmp_path)).collect(), key=key)
+    assert read.load(str(tmp_path / "d[12].docx")).select("doc_id").distinct().count() == 2
+    assert read.load(str(tmp_path / "d9*")).count() == 0
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        read.load(str(tmp_path / "none.docx")).count()
+    # what is no file any more fails when it is opened, and only then
+    listed = docx.DocxReader(str(tmp_path), 1)
+    wanted = f"file:{tmp_path}/d1.docx"
+    left = list(listed.pushFilters([docx.EqualTo(("doc_id",), wanted), docx.EqualTo(("kind",), "table")]))
+    assert [f.attribute for f in left] == [("kind",)] and [p.files for p in listed.partitions()] == [((wanted, f"{tmp_path}/d1.docx"),)]
+    one = blocks.where((F.col("doc_id") == wanted) & (F.col("kind") == "table"))
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 2 and {r["doc_id"] for r in one.collect()} == {wanted}
+    assert blocks.where(F.col("doc_id").startswith(f"file:{tmp_path}/d")).select("doc_id").distinct().count() == 5
+    assert blocks.where(F.col("doc_id").isin(wanted, "x")).select("doc_id").distinct().count() == 1
+
+
 def test_docx_errors(spark, tmp_path):
     with pytest.raises(ValueError):
         docx.parse_and_chunk(spark, "a.pdf")

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import FREQUENCIES, METRICS, VERB_CONTEXTS, VERBS
 from .text import count_contained
 
-RESULT = "replaced string, replacements array<struct<original_verb:string,replacement:string,context:string>>, has_vague_verbs boolean"
+RESULT_TYPE = "replaced:string,replacements:array<struct<original_verb:string,replacement:string,context:string>>,has_vague_verbs:boolean"
 
 
 def context(text: Column) -> Column:
@@ -40,39 +39,57 @@ def template_values(text: Column) -> dict[str, Column]:
     return {"n": F.lit("100"), "frequency": freq, "threshold": F.when(share != "", F.concat(share, F.lit("%"))).otherwise(""), "metric": metric}
 
 
-def replace_one(text: str, scalars: dict[str, str], found: str, values: dict[str, str]) -> tuple[str, list[dict]]:
-    """Replaces verb after verb; a later verb sees what an earlier one put in."""
-    values = {**values, **scalars}
-    done = []
-    for verb, choices in VERBS.items():
-        pattern = re.compile(rf"\b({verb}s?|{verb}ing|{verb}ed)\b", re.IGNORECASE)
-        hits = pattern.findall(text)
-        if not hits:
-            continue
-        template = choices.get(found, choices["default"])
-        new = re.sub(r"\{(\w+)\}", lambda m: values[m[1]], template)
-        for hit in hits:
-            cased = new.capitalize() if hit[0].isupper() else new
-            text = pattern.sub(lambda _, c=cased: c, text, count=1)
-            done.append({"original_verb": hit, "replacement": cased, "context": found})
-    return text, done
-
-
-def _replace(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-    for text, scalars, found, values in batches:
-        rows = []
-        for t, s, c, v in zip(text, scalars, found, values.to_dict("records")):
-            new, done = replace_one(t, {k: x for k, x in dict(s or {}).items() if x is not None}, c, v) if t is not None else (None, [])
-            rows.append((new, done, bool(done)))
-        yield pd.DataFrame(rows, columns=["replaced", "replacements", "has_vague_verbs"])
+def _forms(verb: str) -> str:
+    """A form of the verb as a word of its own, in any case; word characters are letters, digits and _ of any script."""
+    return rf"(?<![\p{{L}}\p{{N}}_])(?:{verb}s?|{verb}ing|{verb}ed)(?![\p{{L}}\p{{N}}_])"
+
+
+def _template(text: str, value: Callable[[str], Column]) -> Column:
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[value(x) if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
+def _replaced(verb: str, state: Column, row: Column) -> Column:
+    """Replaces the forms of one verb, from left to right: each hit is put in place of the first form that is left."""
+    value = lambda name: F.coalesce(row["scalars"][name], row[name])
+    choices = VERBS[verb]
+    new = F.coalesce(*[F.when(row["found"] == name, _template(x, value)) for name, x in choices.items() if name != "default"], _template(choices["default"], value))
+    # the bare stem is a cheaper search than its forms, and most texts lack it
+    hits = F.when(state["text"].rlike("(?iu)" + verb), F.regexp_extract_all(state["text"], F.lit("(?iu)" + _forms(verb)), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    def one(s: Column, hit: Column) -> Column:
+        cased = F.when(hit.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), F.lower(F.substring(new, 2, 1 << 30)))).otherwise(new)
+        quoted = F.concat(F.lit("$1"), F.regexp_replace(cased, r"([\\$])", r"\\$1"))
+        text = F.regexp_replace(s["text"], F.lit(r"(?isu)\A(.*?)" + _forms(verb)), quoted)
+        return F.struct(text.alias("text"), F.array_append(s["done"], F.struct(hit.alias("original_verb"), cased.alias("replacement"), row["found"].alias("context"))).alias("done"))
+
+    return F.aggregate(hits, state, one)
+
+
+def _step(verb: str, state: Column, row: Column) -> Column:
+    return F.transform(F.array(state), lambda s: _replaced(verb, s, row))[0]
 
 
 def replace_vague(text: Column, scalars: Column | None = None) -> Column:
-    """Struct of RESULT. scalars: map of attribute texts that override what the text says.
+    """Struct of RESULT_TYPE. scalars: map of attribute texts that override what the text says.
 
-    The fold is sequential over matches, so it runs in Arrow batches; rows
-    without a verb in any form skip it.
+    Verb after verb, a later verb sees what an earlier one put in: an ordered
+    fold in built-in expressions. Each step is bound by a one-element array, so
+    it is evaluated once. Rows without a form of any verb take no step.
     """
-    scalars = F.create_map().cast("map<string,string>") if scalars is None else scalars
-    values = F.struct(*[c.alias(k) for k, c in template_values(text).items()])
-    return F.pandas_udf(_replace, RESULT)(text, scalars, context(text), values)
+    nothing = F.array().cast("array<struct<original_verb:string,replacement:string,context:string>>")
+    scalars = F.create_map().cast("map<string,string>") if scalars is None else F.coalesce(scalars, F.create_map().cast("map<string,string>"))
+    values = [c.alias(k) for k, c in template_values(text).items()]
+    rows = F.array(F.struct(text.alias("text"), context(text).alias("found"), scalars.alias("scalars"), *values))
+
+    def fold(row: Column) -> Column:
+        state = F.struct(row["text"].alias("text"), nothing.alias("done"))
+        for verb in VERBS:
+            state = _step(verb, state, row)
+        return state
+
+    done = F.transform(rows, fold)
+    out = F.transform(done, lambda s: F.struct(s["text"].alias("replaced"), s["done"].alias("replacements"), (F.size(s["done"]) > 0).alias("has_vague_verbs")))[0]
+    none = F.struct(text.alias("replaced"), nothing.alias("replacements"), F.lit(False).alias("has_vague_verbs"))
+    some = text.rlike("(?iu)" + "|".join(VERBS))
+    return F.when(some, out).otherwise(none).cast(f"struct<{RESULT_TYPE}>")

@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from clausewright import dims
 from clausewright.functions import attributes as at
 from clausewright.functions import control, grounding, ids, repair, score, text, verbs
 
@@ -191,3 +192,45 @@ def test_control_metadata(spark):
     m = json.loads(f('{"timeline_value": 45, "timeline_unit": "days"}', "update_timeline", "x"))
     assert m["exception_threshold"]["breach"] == {"condition": "Update not completed within 45 percent", "action": "Escalate to control owner; initiate remediation", "sla_remediation": "22 percent"}
     assert m["system_mapping"] == ["core_banking_platform"] and m["system_mapping_source"] == "default_template"
+
+
+def replaced_by_hand(text: str, scalars: dict[str, str], found: str, values: dict[str, str]) -> tuple[str, list[dict]]:
+    """Replaces verb after verb; a later verb sees what an earlier one put in."""
+    values = {**values, **scalars}
+    done = []
+    for verb, choices in dims.VERBS.items():
+        pattern = re.compile(rf"\b({verb}s?|{verb}ing|{verb}ed)\b", re.IGNORECASE)
+        hits = pattern.findall(text)
+        if not hits:
+            continue
+        template = choices.get(found, choices["default"])
+        new = re.sub(r"\{(\w+)\}", lambda m: values[m[1]], template)
+        for hit in hits:
+            cased = new.capitalize() if hit[0].isupper() else new
+            text = pattern.sub(lambda _, c=cased: c, text, count=1)
+            done.append({"original_verb": hit, "replacement": cased, "context": found})
+    return text, done
+
+
+def test_verbs_against_a_fold_by_hand(spark):
+    """Generated texts of verb forms, cases, scripts and blanks, with and without attribute texts, nulls and empty texts included."""
+    rng = random.Random(8)
+    forms = [f(v + e) for v in dims.VERBS for e in ("", "s", "ing", "ed") for f in (str, str.capitalize, str.upper)]
+    others = ["data", "accuracy 95%", "quarterly", "\n", "checklist", "x_check", "\u00e9check", "check\u00e9", "chec\u212a", "en\u017fure", "$1", "a\\b", "sample", "policy", "risk", "-", "."]
+    rows = [(None, {}), ("", {}), ("nothing here", {"metric": "m"})]
+    for _ in range(150):
+        t = rng.choice([" ", " ", ", "]).join(rng.choices(forms, k=rng.randint(0, 6)) + rng.choices(others, k=rng.randint(0, 6)))
+        words = t.split(" ")
+        rng.shuffle(words)
+        rows.append((" ".join(words), rng.choice([{}, {"metric": "check Rate $2 \\"}, {"threshold": "97%", "n": None}])))
+    df = spark.createDataFrame(rows, "t string, s map<string,string>")
+    text = F.col("t")
+    cols = [text, "s", verbs.context(text).alias("c"), F.struct(*[c.alias(k) for k, c in verbs.template_values(text).items()]).alias("v"), verbs.replace_vague(text, F.col("s")).alias("got")]
+    out = df.select(*cols)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    n = 0
+    for r in out.collect():
+        new, done = replaced_by_hand(r["t"], {k: x for k, x in r["s"].items() if x is not None}, r["c"], r["v"].asDict()) if r["t"] is not None else (None, [])
+        assert (r["got"]["replaced"], [x.asDict() for x in r["got"]["replacements"]], r["got"]["has_vague_verbs"]) == (new, done, bool(done))
+        n += len(done)
+    assert n > 300

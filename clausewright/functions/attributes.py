@@ -1,6 +1,6 @@
 """Dynamic attributes: a VARIANT column of public fields, validated against the fixed schemas.
 
-Functions that look at many fields decode the object once per row (``once``); those of a single field read it from the variant.
+Functions that look at many fields decode the object once per row (``once``); those of a few fields, or of those of the row's own type, read them from the variant.
 """
 
 from __future__ import annotations
@@ -68,50 +68,41 @@ def has_value(a: Fields, name: str) -> Column:
 def truthy(a: Fields, name: str) -> Column:
     """Neither missing, null, empty, zero nor false."""
 
-    def of(a: Decoded) -> Column:
-        kind, text = kind_of(a, name), field(a, name)
+    def of(x: Column) -> Column:
+        kind, text = x["kind"], x["text"]
         empty = F.when(kind == "STRING", text == "").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), field(a, name, "double") == 0).otherwise(text.isin("false", "[]", "{}"))
-        return has_value(a, name) & ~F.coalesce(empty, F.lit(False))
+        return F.coalesce(kind != "VOID", F.lit(False)) & ~F.coalesce(empty, F.lit(False))
 
-    return once(a, of)
+    return let(F.struct(kind_of(a, name).alias("kind"), field(a, name).alias("text")), of)
 
 
 def missing_fields(a: Fields, rule_type: Column) -> Column:
     """Required fields that are missing, or there with a wrong type."""
 
-    def of(a: Decoded) -> Column:
-        out = F.array(F.concat(F.lit("Unknown rule_type: "), rule_type))
-        for name, (required, _) in ATTRIBUTES.items():
-            tests = [F.when(~present(a, f), F.lit(f)).when(~is_kind(kind_of(a, f), code), F.lit(f"{f} (wrong type)")) for f, code in required.items()]
-            out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
-        return out
-
-    return once(a, of)
+    test = lambda f, code: let(kind_of(a, f), lambda kind: F.when(kind.isNull(), F.lit(f)).when(~is_kind(kind, code), F.lit(f"{f} (wrong type)")))
+    out = F.array(F.concat(F.lit("Unknown rule_type: "), rule_type))
+    for name, (required, _) in ATTRIBUTES.items():
+        out = F.when(rule_type == name, F.filter(F.array(*[test(f, code) for f, code in required.items()]), lambda x: x.isNotNull())).otherwise(out)
+    return out
 
 
 def completeness(a: Fields, rule_type: Column, profile: Profile = LIVE) -> Column:
-    def of(a: Decoded) -> Column:
-        out = F.lit(0.0)
-        for name, (required, _) in ATTRIBUTES.items():
-            right = sum((F.when(is_kind(kind_of(a, f), code), 1).otherwise(0) for f, code in required.items()), F.lit(0))
-            share = F.lit(profile.completeness).cast("decimal(10,6)") * right.cast("decimal(10,0)") / F.lit(len(required)).cast("decimal(10,0)")
-            out = F.when(rule_type == name, half_up(share, 3)).otherwise(out)
-        return out
-
-    return once(a, of)
+    out = F.lit(0.0)
+    for name, (required, _) in ATTRIBUTES.items():
+        right = sum((F.when(is_kind(kind_of(a, f), code), 1).otherwise(0) for f, code in required.items()), F.lit(0))
+        share = F.lit(profile.completeness).cast("decimal(10,6)") * right.cast("decimal(10,0)") / F.lit(len(required)).cast("decimal(10,0)")
+        out = F.when(rule_type == name, half_up(share, 3)).otherwise(out)
+    return out
 
 
 def canonical_errors(a: Fields, rule_type: Column) -> Column:
     """Required canonical fields that are missing, also under their older names; null for types without a canonical schema."""
 
-    def of(a: Decoded) -> Column:
-        out = F.lit(None).cast("array<string>")
-        for name, (required, _) in CANONICAL.items():
-            tests = [F.when(~_canonical_there(a, f), F.lit(f)) for f in required]
-            out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
-        return out
-
-    return once(a, of)
+    out = F.lit(None).cast("array<string>")
+    for name, (required, _) in CANONICAL.items():
+        tests = [F.when(~_canonical_there(a, f), F.lit(f)) for f in required]
+        out = F.when(rule_type == name, F.filter(F.array(*tests), lambda x: x.isNotNull())).otherwise(out)
+    return out
 
 
 def _canonical_there(a: Fields, name: str) -> Column:
@@ -149,15 +140,14 @@ def compliance(a: Fields, rule_type: Column, profile: Profile = LIVE) -> Column:
 
 
 def quantification(a: Fields, description: Column) -> Column:
-    def of(a: Decoded) -> Column:
-        low = F.lower(description)
+    def of(low: Column) -> Column:
         number = is_kind(kind_of(a, "threshold_value"), "n") | is_kind(kind_of(a, "threshold"), "n") | low.rlike(NUMBER)
         unit = truthy(a, "threshold_unit") | truthy(a, "unit") | truthy(a, "threshold_direction") | contains_any(low, UNIT_KEYWORDS)
         outcome = truthy(a, "exception_threshold") | truthy(a, "consequence") | truthy(a, "escalation")
         hundredths = F.when(number, 10).otherwise(0) + F.when(unit, 5).otherwise(0) + F.when(outcome, 5).otherwise(0)
         return hundredths / F.lit(100.0)
 
-    return once(a, of)
+    return let(F.lower(description), of)
 
 
 def canonical_normalized(a: Fields, rule_type: Column) -> Column:

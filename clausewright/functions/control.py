@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from . import attributes as at
-from .text import contains_any, count_contained, lit_array
+from .text import contains_any, count_contained, let, lit_array
 
 
 def by_type(rule_type: Column, table: Mapping[str, object], default: Column, make=F.lit) -> Column:
@@ -25,7 +25,7 @@ def applies_to(a: Column) -> Column:
 
 def single_words(text: Column) -> Column:
     """Doubled words made single."""
-    return F.regexp_replace(text, r"(?iU)\b(\w+)\s+\1\b", "$1")
+    return F.regexp_replace(text, r"(?iU)\b(\w++)\s+\1\b", "$1")
 
 
 def objective(a: at.Fields, rule_type: Column) -> Column:
@@ -34,18 +34,19 @@ def objective(a: at.Fields, rule_type: Column) -> Column:
 
 
 def risks(rule_type: Column, description: Column) -> Column:
-    low = F.lower(description)
     base = by_type(rule_type, dims.RISKS, lit_array([dims.REGULATORY]), lit_array)
-    more = F.filter(F.array(F.when(contains_any(low, dims.AVAILABILITY_WORDS), dims.AVAILABILITY), F.when(contains_any(low, dims.VENDOR_WORDS), dims.VENDOR)), lambda x: x.isNotNull())
-    return F.slice(F.array_union(base, more), 1, 3)
+    told = lambda low: F.array(F.when(contains_any(low, dims.AVAILABILITY_WORDS), dims.AVAILABILITY), F.when(contains_any(low, dims.VENDOR_WORDS), dims.VENDOR))
+    return F.slice(F.array_union(base, F.filter(let(F.lower(description), told), lambda x: x.isNotNull())), 1, 3)
 
 
 def control_type(rule_type: Column, description: Column) -> Column:
-    low = F.lower(description)
-    out = by_type(rule_type, dims.TYPE_CONTROL, F.lit("general"))
-    for words, name in reversed(dims.CONTROL_WORDS):
-        out = F.when(contains_any(low, words), F.lit(name)).otherwise(out)
-    return out
+    def of(low: Column) -> Column:
+        out = by_type(rule_type, dims.TYPE_CONTROL, F.lit("general"))
+        for words, name in reversed(dims.CONTROL_WORDS):
+            out = F.when(contains_any(low, words), F.lit(name)).otherwise(out)
+        return out
+
+    return let(F.lower(description), of)
 
 
 def measurement_type(a: at.Fields, rule_type: Column) -> Column:
@@ -66,7 +67,14 @@ def _first_of(a: at.Fields, *names: str) -> Column:
 
 def test_procedure(a: at.Fields, rule_type: Column, description: Column) -> Column:
     """Template by control and measurement type, else the first of the control type, else the default."""
-    control, measure = control_type(rule_type, description), measurement_type(a, rule_type)
+    kinds = F.struct(control_type(rule_type, description).alias("control"), measurement_type(a, rule_type).alias("measure"))
+    out = let(kinds, lambda x: _template(x["control"], x["measure"]))
+    for key, value in (("applies_to", applies_to(a)), ("threshold", _first_of(a, "threshold_value", "timeline_value")), ("unit", _first_of(a, "threshold_unit", "timeline_unit"))):
+        out = F.replace(out, F.lit("{" + key + "}"), value)
+    return out
+
+
+def _template(control: Column, measure: Column) -> Column:
     out, seen = F.lit(dims.DEFAULT_PROCEDURE), set()
     for (c, _), text in reversed(dims.TEST_PROCEDURES.items()):
         first = next(t for (x, _), t in dims.TEST_PROCEDURES.items() if x == c)
@@ -75,8 +83,6 @@ def test_procedure(a: at.Fields, rule_type: Column, description: Column) -> Colu
             seen.add(c)
     for (c, m), text in dims.TEST_PROCEDURES.items():
         out = F.when((control == c) & (measure == m), F.lit(text)).otherwise(out)
-    for key, value in (("applies_to", applies_to(a)), ("threshold", _first_of(a, "threshold_value", "timeline_value")), ("unit", _first_of(a, "threshold_unit", "timeline_unit"))):
-        out = F.replace(out, F.lit("{" + key + "}"), value)
     return out
 
 
@@ -85,9 +91,8 @@ def owner(a: at.Fields, rule_type: Column) -> Column:
 
 
 def automation(description: Column) -> Column:
-    low = F.lower(description)
-    auto, manual = count_contained(low, dims.AUTO_WORDS), count_contained(low, dims.MANUAL_WORDS)
-    return F.when(auto > manual, "automated").when(manual > auto, "manual").otherwise("hybrid")
+    counts = let(F.lower(description), lambda low: F.struct(count_contained(low, dims.AUTO_WORDS).alias("auto"), count_contained(low, dims.MANUAL_WORDS).alias("manual")))
+    return let(counts, lambda n: F.when(n["auto"] > n["manual"], "automated").when(n["manual"] > n["auto"], "manual").otherwise("hybrid"))
 
 
 def evidence(rule_type: Column) -> Column:
@@ -95,17 +100,17 @@ def evidence(rule_type: Column) -> Column:
 
 
 def _system_hits(description: Column) -> Column:
-    low = F.lower(description)
-    hits = []
-    for system, words in dims.SYSTEMS.items():
-        word = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words])
-        hits.append(F.struct(F.lit(system).alias("system"), word.alias("word")))
-    return F.filter(F.array(*hits), lambda x: x["word"].isNotNull())
+    word = lambda low, words: F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words])
+    hits = let(F.lower(description), lambda low: F.array(*[F.struct(F.lit(s).alias("system"), word(low, words).alias("word")) for s, words in dims.SYSTEMS.items()]))
+    return F.filter(hits, lambda x: x["word"].isNotNull())
 
 
 def systems(description: Column) -> Column:
     """Struct of systems (at most three), source and all matched keywords."""
-    hits = _system_hits(description)
+    return let(_system_hits(description), _systems)
+
+
+def _systems(hits: Column) -> Column:
     some = F.size(hits) > 0
     return F.struct(
         F.when(some, F.slice(F.transform(hits, lambda x: x["system"]), 1, 3)).otherwise(lit_array([dims.DEFAULT_SYSTEM])).alias("systems"),
@@ -124,15 +129,19 @@ def safe_number(a: at.Fields, name: str, default: float) -> Column:
 
 def exception_tiers(a: at.Fields, rule_type: Column) -> Column:
     """Map of tier to (condition, action, sla_remediation)."""
-    t = safe_number(a, "threshold_value", 99.0)
     unit = F.when(at.present(a, "threshold_unit"), at.field(a, "threshold_unit")).otherwise("percent")
-    text = {"a": (t - 1).cast("string"), "b": (t - 0.5).cast("string"), "c": t.cast("string")}
-    pairs = []
-    for tier, condition, action, sla in dims.TIERS:
-        c = F.lit(condition)
-        for key, value in text.items():
-            c = F.replace(c, F.lit("{" + key + "}"), value)
-        pairs += [F.lit(tier), F.struct(c.alias("condition"), F.lit(action).alias("action"), F.lit(sla).alias("sla_remediation"))]
+
+    def tiers(t: Column) -> Column:
+        text = {"a": (t - 1).cast("string"), "b": (t - 0.5).cast("string"), "c": t.cast("string")}
+        pairs = []
+        for tier, condition, action, sla in dims.TIERS:
+            c = F.lit(condition)
+            for key, value in text.items():
+                if "{" + key + "}" in condition:
+                    c = F.replace(c, F.lit("{" + key + "}"), value)
+            pairs += [F.lit(tier), F.struct(c.alias("condition"), F.lit(action).alias("action"), F.lit(sla).alias("sla_remediation"))]
+        return F.create_map(*pairs)
+
     n = safe_number(a, "timeline_value", 30.0).cast("long")
     breach = F.struct(
         F.concat(F.lit("Update not completed within "), n.cast("string"), F.lit(" "), unit).alias("condition"),
@@ -140,7 +149,7 @@ def exception_tiers(a: at.Fields, rule_type: Column) -> Column:
         F.concat(F.floor(n / 2).cast("string"), F.lit(" "), unit).alias("sla_remediation"),
     )
     kind = "map<string,struct<condition:string,action:string,sla_remediation:string>>"
-    return F.when((rule_type == "data_quality_threshold") & unit.isin("percent", "%"), F.create_map(*pairs).cast(kind)).when(rule_type == "update_timeline", F.create_map(F.lit("breach"), breach).cast(kind)).otherwise(F.create_map().cast(kind))
+    return F.when((rule_type == "data_quality_threshold") & unit.isin("percent", "%"), let(safe_number(a, "threshold_value", 99.0), tiers).cast(kind)).when(rule_type == "update_timeline", F.create_map(F.lit("breach"), breach).cast(kind)).otherwise(F.create_map().cast(kind))
 
 
 def metadata(a: at.Fields, rule_type: Column, description: Column) -> Column:

@@ -8,6 +8,7 @@ import time
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clausewright import dims
@@ -234,3 +235,36 @@ def test_verbs_against_a_fold_by_hand(spark):
         assert (r["got"]["replaced"], [x.asDict() for x in r["got"]["replacements"]], r["got"]["has_vague_verbs"]) == (new, done, bool(done))
         n += len(done)
     assert n > 300
+
+
+def _plan(spark, of):
+    """The optimized plan of a column, or frame, over requirements."""
+    df = spark.sql("SELECT id, concat('t', id) rule_type, concat('d', id) rule_description, concat('g', id) grounded_in, parse_json(concat('{\"a\":', id, '}')) a FROM range(3)")
+    out = of(df)
+    return (df.select(out.alias("x")) if isinstance(out, Column) else out)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_control_metadata_lowers_once_per_part(spark):
+    """Risks, control type, automation and each of the three system fields lower the description once; no part decodes the whole object."""
+    plan = _plan(spark, lambda df: control.metadata(F.col("a"), F.col("rule_type"), F.col("rule_description")))
+    assert plan.count("lower(") <= 6 and "transform_values" not in plan
+
+
+def test_repair_lowers_once_per_part(spark):
+    plan = _plan(spark, repair.with_repair)
+    assert plan.count("lower(") <= 3 and "transform_values" not in plan
+
+
+def test_verb_context_lowers_once(spark):
+    assert _plan(spark, lambda df: verbs.context(F.col("rule_description"))).count("lower(") == 1
+
+
+def test_confidence_reads_fields_not_objects(spark):
+    assert "transform_values" not in _plan(spark, score.with_confidence)
+
+
+def test_score_tokens_in_one_pass(spark):
+    """Only runs that are ASCII throughout, in order of first place."""
+    df = spark.createDataFrame([("Ab a\u00e9b cd_e 12 ab \u00e912 9\u0301 x-y",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.score_tokens(F.col("t"))).collect()] == [["ab", "12", "x", "y"], [], None]
+    assert "filter(" not in _plan(spark, lambda df: text.score_tokens(F.col("rule_description")))

@@ -63,8 +63,8 @@ def first_match(text: Column, table: Sequence[tuple[Sequence[str], str]]) -> Col
 
 def score_tokens(text: Column) -> Column:
     """Distinct ASCII alphanumeric words of the lower-cased text."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
-    return F.array_distinct(F.filter(runs, lambda x: x.rlike("^[a-z0-9]+$")))
+    whole = r"(?<![\p{L}\p{M}\p{N}_])[a-z0-9]++(?![\p{L}\p{M}\p{N}_])"
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(0)))
 
 
 def content_tokens(text: Column) -> Column:

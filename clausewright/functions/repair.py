@@ -30,7 +30,10 @@ def number_in(text: Column) -> Column:
 
 def repaired_value(name: str, description: Column, timeline: Column) -> Column:
     """JSON of the repaired value of a missing field, null where it cannot be repaired; timeline is the text of that attribute."""
-    low = F.lower(description)
+    return _repaired(name, description, F.lower(description), timeline)
+
+
+def _repaired(name: str, description: Column, low: Column, timeline: Column) -> Column:
     if name in BY_WORDS:
         return _quoted(first_match(low, BY_WORDS[name]))
     if name == "requirement":
@@ -70,10 +73,10 @@ def with_repair(df: DataFrame) -> DataFrame:
     df = settled(df.withColumn("missing_before", at.missing_fields(a, kind)))
     bad = F.size("missing_before") > 0
     inferred = F.struct(F.when(~at.has_value(a, "applicable_fields"), applicable_fields(d)).alias("fields"), F.when(~at.has_value(a, "data_source"), data_source(d, kind)).alias("source"))
-    df = settled(df.withColumns({"_inferred": F.when(bad, inferred), "_timeline": F.when(bad, at.field(a, "timeline"))}))
+    df = settled(df.withColumns({"_inferred": F.when(bad, inferred), "_timeline": F.when(bad, at.field(a, "timeline")), "_low": F.when(bad, F.lower(d))}))
     names = list(dict.fromkeys(f for required, _ in dims.ATTRIBUTES.values() for f in required))
     pair = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
-    fixes = F.array(*[F.when(F.array_contains("missing_before", name), pair(name, repaired_value(name, d, F.col("_timeline")))) for name in names])
+    fixes = F.array(*[F.when(F.array_contains("missing_before", name), pair(name, _repaired(name, d, F.col("_low"), F.col("_timeline")))) for name in names])
     fields, source = F.col("_inferred.fields"), F.col("_inferred.source")
     told = F.lit('"inferred"')
     more = F.array(
@@ -82,7 +85,7 @@ def with_repair(df: DataFrame) -> DataFrame:
     )
     known = lambda pairs: F.filter(pairs, lambda x: x["value"].isNotNull() & (x["value"] != ""))
     fix = F.when(bad, F.concat(known(fixes), known(more)))
-    df = settled(df.withColumn("_fix", fix).drop("_inferred", "_timeline"))
+    df = settled(df.withColumn("_fix", fix).drop("_inferred", "_timeline", "_low"))
     df = df.withColumn("repaired_fields", F.coalesce(F.transform(F.filter("_fix", lambda x: F.array_contains("missing_before", x["key"])), lambda x: x["key"]), lit_array([])))
     # repaired fields take the place of old ones
     new = F.map_from_entries(F.transform("_fix", lambda x: F.struct(x["key"], F.try_parse_json(x["value"]))))

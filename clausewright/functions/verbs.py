@@ -9,17 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import FREQUENCIES, METRICS, VERB_CONTEXTS, VERBS
-from .text import count_contained
+from .text import count_contained, let
 
 RESULT_TYPE = "replaced:string,replacements:array<struct<original_verb:string,replacement:string,context:string>>,has_vague_verbs:boolean"
 
 
 def context(text: Column) -> Column:
     """The context with most of its keywords in the text, the first on ties; default if none."""
-    low = F.lower(text)
-    scores = [F.struct(count_contained(low, words).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(VERB_CONTEXTS.items())]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["name"]).otherwise("default")
+    score = lambda low: [F.struct(count_contained(low, words).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(VERB_CONTEXTS.items())]
+    best = let(F.lower(text), lambda low: F.array_max(F.array(*score(low))))
+    return let(best, lambda b: F.when(b["n"] > 0, b["name"]).otherwise("default"))
 
 
 def base_verb_count(text: Column) -> Column:

@@ -13,7 +13,7 @@ from ..functions import control, verbs
 from ..functions.ids import requirement_id
 from ..functions.repair import with_repair
 from ..functions.score import clamp, with_confidence
-from ..functions.text import content_tokens, starts_with_any
+from ..functions.text import content_tokens, settled, starts_with_any
 from .dedup import leaders
 
 
@@ -106,10 +106,11 @@ def validate_and_adjust(reqs: DataFrame, thresholds: Mapping[int, float] = dims.
     rejected = scored.where("grounding_classification = 'INFERENCE'")
     kept = scored.where("grounding_classification <> 'INFERENCE'").where(F.col("confidence") >= pass_threshold(F.col("extraction_iteration"), thresholds))
     kept = with_fragment(kept, pronouns)
+    kept = settled(kept.withColumn("_control", control.metadata(F.col("a"), F.col("rule_type"), F.col("rule_description"))))
     scalars = F.map_filter(F.try_variant_get("a", F.lit("$"), "map<string,string>"), lambda k, v: v.isNotNull())
     kept = kept.withColumn("verbs", verbs.replace_vague(F.col("rule_description"), scalars))
     kept = kept.withColumn("actionable_description", F.when(F.col("verbs.has_vague_verbs"), F.col("verbs.replaced")))
-    return kept.withColumn("control_metadata", control.metadata(F.col("a"), F.col("rule_type"), F.col("rule_description"))), rejected
+    return kept.withColumn("control_metadata", F.col("_control")).drop("_control"), rejected
 
 
 def extraction_metadata(reqs: DataFrame, chunks: DataFrame, skips: DataFrame, rejected: DataFrame, *keys: str) -> DataFrame:

@@ -52,12 +52,13 @@ def reconciled(ratio: Column, zero: Column, listed: Column, total: Column) -> Co
 
 
 def testability(reqs: DataFrame) -> DataFrame:
-    issues = at.once(F.col("a"), lambda a: _testability_issues(a, F.col("rule_type"), F.lower(F.coalesce("rule_description", F.lit("")))))
-    out = settled(reqs.withColumn("issues", issues)).where(F.size("issues") > 0)
+    out = settled(reqs.withColumn("issues", testability_issues())).where(F.size("issues") > 0)
     return out.withColumn("severity", F.when(F.size("issues") > 1, "high").otherwise("medium"))
 
 
-def _testability_issues(a: at.Decoded, kind: Column, low: Column) -> Column:
+def testability_issues() -> Column:
+    """Texts of what keeps a requirement from being tested; only the fields that its type needs are read."""
+    a, kind, low = F.col("a"), F.col("rule_type"), F.lower(F.coalesce("rule_description", F.lit("")))
     no = lambda *names: ~_any([at.truthy(a, n) for n in names])
     return some(
         F.when(kind == "unknown", "rule_type not mapped"),
@@ -82,20 +83,31 @@ def _any(tests: list[Column]) -> Column:
 
 
 def grounding(reqs: DataFrame) -> DataFrame:
+    out = reqs.withColumn("issues", grounding_issues()).where(F.size("issues") > 0)
+    return out.withColumn("severity", F.when(_uncited() | (F.col("confidence") < 0.60), "high").otherwise("medium"))
+
+
+def _uncited() -> Column:
+    return F.trim(F.coalesce("grounded_in", F.lit(""))) == ""
+
+
+def grounding_issues() -> Column:
     conf, it, match = F.col("confidence"), F.col("extraction_iteration"), F.coalesce("grounding_match", F.lit(0.0))
-    missing = F.trim(F.coalesce("grounded_in", F.lit(""))) == ""
-    issues = some(
-        F.when(missing, "missing grounded_in citation"),
+    return some(
+        F.when(_uncited(), "missing grounded_in citation"),
         F.when(F.col("grounding_classification") == "INFERENCE", "grounding classified as INFERENCE (weak source match)"),
         F.when(match < 0.10, F.concat(F.lit("very low grounding match ("), two(match), F.lit(")"))),
         F.when((it == 1) & (conf < 0.70), F.concat(F.lit("low confidence ("), two(conf), F.lit(") on first iteration"))),
         F.when((it >= 2) & (conf < 0.75), F.concat(F.lit("low confidence ("), two(conf), F.lit(") on retry iteration "), it.cast("string"))),
     )
-    out = reqs.withColumn("issues", issues).where(F.size("issues") > 0)
-    return out.withColumn("severity", F.when(missing | (conf < 0.60), "high").otherwise("medium"))
-
 
 def hallucination(reqs: DataFrame) -> DataFrame:
+    flags, risk = hallucination_flags()
+    return reqs.withColumns({"flags": flags, "risk": risk}).where(F.size("flags") > 0)
+
+
+def hallucination_flags() -> tuple[Column, Column]:
+    """Texts of the flags, and the risk."""
     conf, it = F.col("confidence"), F.col("extraction_iteration")
     first, again = it == 1, it >= 2
     say = lambda a, b="": F.concat(F.lit(a), two(conf), F.lit(b))
@@ -113,8 +125,7 @@ def hallucination(reqs: DataFrame) -> DataFrame:
     )
     inferred = F.col("grounding_classification") == "INFERENCE"
     flags = some(flag, F.when(inferred, "Grounding classified as INFERENCE (potential fabrication)"))
-    out = reqs.withColumns({"flags": flags, "risk": F.when(inferred & (risk == "low"), "medium").otherwise(risk)})
-    return out.where(F.size("flags") > 0)
+    return flags, F.when(inferred & (risk == "low"), "medium").otherwise(risk)
 
 
 def schema_compliance(reqs: DataFrame) -> DataFrame:
@@ -266,20 +277,41 @@ def quality_score() -> Column:
     return F.when(c("total_requirements") == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
 
 
+def chunk_counts(chunks: DataFrame, reqs: DataFrame) -> DataFrame:
+    """(doc_id, total_chunks, chunks_processed, zero_chunks, coverage_ratio) of documents with chunks: coverage and zero_chunks in one join."""
+    used = reqs.where("doc_id IS NOT NULL").select("doc_id", F.col("source_chunk_id").alias("chunk_id"), F.lit(True).alias("used")).distinct()
+    each = chunks.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n")).join(used, ["doc_id", "chunk_id"], "full")
+    out = each.groupBy("doc_id").agg(
+        F.sum("n").alias("total_chunks"), F.count_if(F.col("used") & (F.coalesce("chunk_id", F.lit("")) != "")).alias("chunks_processed"),
+        F.coalesce(F.sum(F.when(F.col("used").isNull(), F.col("n"))), F.lit(0)).alias("zero_chunks"),
+    ).where("total_chunks > 0")
+    return out.withColumn("coverage_ratio", F.col("chunks_processed") / F.col("total_chunks"))
+
+
+def check_counts(reqs: DataFrame) -> DataFrame:
+    """One row per document with the counts of all checks that look at one requirement at a time, from one pass over the requirements."""
+    n = lambda name: F.size(name)
+    flags, risk = hallucination_flags()
+    rows = reqs.select(
+        "doc_id", "confidence", "extraction_iteration", testability_issues().alias("t"), grounding_issues().alias("g"),
+        at.canonical_errors(F.col("a"), F.col("rule_type")).alias("s"), flags.alias("h"), risk.alias("risk"),
+    )
+    return settled(rows).groupBy("doc_id").agg(
+        F.count("*").alias("total_requirements"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.max("extraction_iteration").alias("extraction_iteration"),
+        F.count_if(n("t") > 0).alias("testability_issues"), F.count_if(n("g") > 0).alias("grounding_issues"),
+        F.count_if(n("s") > 0).alias("schema_issues"), F.count_if(n("s") >= 2).alias("schema_high"), F.array_distinct(F.flatten(F.collect_set("s"))).alias("missing_names"),
+        F.count_if(n("h") > 0).alias("hallucination_flags"), F.count_if((n("h") > 0) & (F.col("risk") == "critical")).alias("hallucination_critical"), F.count_if((n("h") > 0) & (F.col("risk") == "high")).alias("hallucination_high"),
+    )
+
+
 def report(chunks: DataFrame, reqs: DataFrame, listed_zero: DataFrame | None = None) -> DataFrame:
     """One row per document (of those with chunks) with all counts, ratios, classification, score and suggestions.
 
     listed_zero: (doc_id, listed), numbers of chunks that the extraction listed as empty.
     """
     key = ["doc_id"]
-    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    main = reqs.groupBy("doc_id").agg(F.count("*").alias("total_requirements"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.max("extraction_iteration").alias("extraction_iteration"))
-    schema = schema_compliance(reqs)
-    names = schema.select("doc_id", F.explode("missing_fields").alias("f")).groupBy("doc_id").agg(F.collect_set("f").alias("missing_names"))
-    flags = hallucination(reqs).groupBy("doc_id").agg(F.count("*").alias("hallucination_flags"), F.count_if(F.col("risk") == "critical").alias("hallucination_critical"), F.count_if(F.col("risk") == "high").alias("hallucination_high"))
-    out = coverage(chunks, reqs, "doc_id").join(n(zero_chunks(chunks, reqs, "doc_id"), "zero_chunks"), key, "left")
-    parts = [main, n(testability(reqs), "testability_issues"), n(grounding(reqs), "grounding_issues"), schema.groupBy("doc_id").agg(F.count("*").alias("schema_issues"), F.count_if(F.col("severity") == "high").alias("schema_high")), names, flags, duplicate_counts(reqs)]
-    for part in parts:
+    out = chunk_counts(chunks, reqs)
+    for part in (check_counts(reqs), duplicate_counts(reqs)):
         out = out.join(part, key, "left")
     counts = ["zero_chunks", "total_requirements", "avg_confidence", "testability_issues", "grounding_issues", "schema_issues", "schema_high", "hallucination_flags", "hallucination_critical", "hallucination_high", "duplicate_pairs"]
     out = out.fillna(0, counts).fillna(1, ["extraction_iteration"]).withColumn("missing_names", F.coalesce("missing_names", F.array().cast("array<string>")))

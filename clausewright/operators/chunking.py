@@ -19,6 +19,8 @@ from ..functions.text import clean_paragraph, normalize_text, starts_with_any
 
 #: Rows that a streamed fold takes and gives at once.
 SENT = 4096
+#: Text that one task of the block state machine takes, unless one document has more.
+TASK_BYTES = 16 << 20
 ARROW = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string()}
 BLOCKS = "doc_id string, block_idx int, kind string, style string, has_numpr boolean, text string, table_data array<array<string>>"
 
@@ -165,6 +167,13 @@ def is_fragment(text: Column) -> Column:
     return F.coalesce(starts_with_any(F.lower(first), dims.CHUNK_PRONOUNS), F.lit(False))
 
 
+def by_size(blocks: DataFrame) -> DataFrame:
+    """Blocks dealt by document to as many tasks as their text needs, so that what a task sorts does not grow with the input; few are left to Spark."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + F.coalesce(F.octet_length(F.array_join(F.flatten("table_data"), "")), F.lit(0))
+    tasks = -(-blocks.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"] // TASK_BYTES)
+    return blocks.repartition(tasks, "doc_id") if tasks > int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) else blocks
+
+
 def chunk_blocks(blocks: DataFrame, most: int = dims.CHUNK_MAX, least: int = dims.CHUNK_MIN) -> tuple[DataFrame, DataFrame]:
     """Chunks and statistics of documents given as ordered BLOCKS.
 
@@ -174,12 +183,15 @@ def chunk_blocks(blocks: DataFrame, most: int = dims.CHUNK_MAX, least: int = dim
     characters is counted and dropped. The entity of a heading goes to the first
     content after it (a list that is too short passes it on), that of a table
     comes from its first row. Locations name the block that ended the chunk.
+    Blocks are sorted once by place and segments once by number; all windows follow these two orders.
     """
     by_doc = Window.partitionBy("doc_id").orderBy("block_idx")
     back = by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole_doc = by_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = by_size(blocks)
     style = F.lower(F.coalesce("style", F.lit("")))
     text = clean_paragraph(F.coalesce("text", F.lit("")))
-    b = blocks.withColumns({"text": text, "table_data": table_rows(F.coalesce("table_data", F.array().cast("array<array<string>>"))), "last_block": F.max("block_idx").over(Window.partitionBy("doc_id"))})
+    b = blocks.withColumns({"text": text, "table_data": table_rows(F.coalesce("table_data", F.array().cast("array<array<string>>"))), "last_block": F.max("block_idx").over(whole_doc)})
     b = b.where((F.col("kind") == "table") | ((F.col("text") != "") & ~F.contains(style, F.lit("toc"))))
     kind = F.when(F.col("kind") == "table", "table").when(style.startswith("heading"), "heading").when(F.contains(style, F.lit("list")) | F.coalesce("has_numpr", F.lit(False)), "list").otherwise("prose")
     b = b.withColumn("kind", kind)
@@ -190,15 +202,16 @@ def chunk_blocks(blocks: DataFrame, most: int = dims.CHUNK_MAX, least: int = dim
         F.min("block_idx").alias("first_idx"), F.sort_array(F.collect_list(F.struct("block_idx", "text"))).alias("b"), F.first("table_data").alias("table_data"),
     )
     by_seg = Window.partitionBy("doc_id").orderBy("segment")
+    upto, before = by_seg.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_seg.rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("flush", F.coalesce(F.lead("first_idx").over(by_seg), F.col("last_block")))
     texts = F.transform("b", lambda x: x["text"])
     seg = seg.withColumn("list_text", F.when(F.col("kind") == "list", normalize_text(F.array_join(texts, "\n"))))
     # what takes the heading away: prose, tables with rows, lists that are long enough; not another heading
     takes = (F.col("kind") == "prose") | ((F.col("kind") == "table") & (F.size("table_data") > 0)) | ((F.col("kind") == "list") & (F.length("list_text") >= least))
-    seg = seg.withColumn("takes", takes).withColumn("since", F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(by_seg.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    earlier = F.coalesce(F.max(F.when(F.col("takes"), 1).otherwise(0)).over(Window.partitionBy("doc_id", "since").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seg = seg.withColumn("pending", F.when((earlier == 0) & (F.col("since") > 0), F.col("heading")))
-    numbered = F.sum(F.when((F.col("kind") == "table") & (F.size("table_data") > 0), 1).otherwise(0)).over(by_seg.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seg = seg.withColumn("takes", takes).withColumn("since", F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(upto))
+    taken = F.coalesce(F.max(F.when(F.col("takes"), F.col("since"))).over(before) == F.col("since"), F.lit(False))  # since the same heading: it never falls
+    seg = seg.withColumn("pending", F.when(~taken & (F.col("since") > 0), F.col("heading")))
+    numbered = F.sum(F.when((F.col("kind") == "table") & (F.size("table_data") > 0), 1).otherwise(0)).over(upto)
     seg = seg.withColumn("table_no", numbered)
     none = "array<struct<text:string,table:array<array<string>>,location:string>>"
     block = F.concat(F.lit("block "), F.col("flush").cast("string"))
@@ -212,8 +225,9 @@ def chunk_blocks(blocks: DataFrame, most: int = dims.CHUNK_MAX, least: int = dim
         .when((F.col("kind") == "table") & (F.size("table_data") > 0), F.when(is_key_value(F.col("table_data")), whole.cast(none)).otherwise(parts.cast(none)))
         .otherwise(F.array().cast(none))
     )
-    each = seg.select("doc_id", "segment", "kind", "heading", "pending", "table_data", F.posexplode_outer(found).alias("part", "c"))
-    each = each.withColumn("keep", F.coalesce(F.length("c.text") >= least, F.lit(False)))
+    seg = seg.select("doc_id", "segment", "kind", "heading", "pending", "table_data", found.alias("found"))
+    long_enough = lambda c: F.coalesce(F.length(c["text"]) >= least, F.lit(False))
+    each = seg.select("doc_id", "segment", "kind", F.explode_outer("found").alias("c")).withColumn("keep", long_enough(F.col("c")))
     stats = each.groupBy("doc_id").agg(
         F.count_distinct(F.when((F.col("kind") == "table") & F.col("c").isNotNull(), F.col("segment"))).alias("table_count"),
         F.count_if((F.col("kind") == "prose") & F.col("keep")).alias("prose_sections"),
@@ -230,7 +244,8 @@ def chunk_blocks(blocks: DataFrame, most: int = dims.CHUNK_MAX, least: int = dim
         F.when(stub, "stub_control_reference_only").alias("incomplete_reason"), F.coalesce(fragment, F.lit(False)).alias("fragment_warning"),
         F.when(fragment, "starts_with_pronoun_no_antecedent").alias("fragment_reason"),
     )
-    chunks = each.where("keep").withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "part")) - 1)
+    kept = seg.withColumn("kept", F.filter("found", long_enough)).withColumn("earlier", F.coalesce(F.sum(F.size("kept")).over(before), F.lit(0)))
+    chunks = kept.select("doc_id", "kind", "heading", "pending", "earlier", F.posexplode("kept").alias("part", "c")).withColumn("position", (F.col("earlier") + F.col("part")).cast("int"))
     chunks = chunks.select(
         "doc_id", "position", chunk_id(F.col("doc_id"), F.col("position"), F.col("c.text")).alias("chunk_id"), F.col("kind").alias("chunk_type"), F.col("c.text").alias("content_text"),
         F.col("c.table").alias("table_data"), F.size("c.table").alias("row_count"), F.array_max(F.transform("c.table", lambda r: F.size(r))).alias("col_count"),

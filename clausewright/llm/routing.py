@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import ranked, shuffle_partitions
-from .text import BYTE_HASH, Slice, Sums, U, flat, release, slices
+from .text import BYTE_HASH, Slice, Sums, U, flat, hold, release, slices
 
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -246,6 +246,7 @@ def repeated(docs: DataFrame, w: Windows, method: Method, finish: Finish, schema
     dealt = ranked(docs, id_col, "r_id").withColumns({"r_key": rk, "r_g": F.pmod(rk, F.lit(n_groups)).cast("int")}).repartition(n_groups, "r_g")
 
     def ask(table: pa.Table) -> pa.Table:
+        hold()
         g, keys = table["r_g"][0].as_py(), [np.zeros(0, np.uint64)]
         for *_, key in Group(table, text_col, w).runs():
             keys.append(key)
@@ -271,6 +272,7 @@ def repeated(docs: DataFrame, w: Windows, method: Method, finish: Finish, schema
         names = ["r_s", "r_g", "texts", "places", "body", "spans"]
         if not left.num_rows or not right.num_rows:
             return _table([], names)
+        hold()
         g = left["r_g"][0].as_py()
         coded = np.sort(np.concatenate([unpack_sorted(x) for x in right["keys"].to_pylist()]))
         known, is_hot = coded >> U(1), (coded & U(1)).astype(bool)
@@ -315,6 +317,7 @@ def repeated(docs: DataFrame, w: Windows, method: Method, finish: Finish, schema
         return _table(out, names)
 
     def judge(table: pa.Table) -> pa.Table:
+        hold()
         out, rows = [], []
         for g, texts, places, body, spans in zip(*(table[c].to_pylist() for c in ("r_g", "texts", "places", "body", "spans"))):
             if spans:
@@ -327,6 +330,7 @@ def repeated(docs: DataFrame, w: Windows, method: Method, finish: Finish, schema
         return _table(out, ["r_g", "spans"])
 
     def done(left: pa.Table, right: pa.Table) -> pa.Table:
+        hold()
         group = Group(left, text_col, w)
         spans = np.frombuffer(b"".join(right["spans"].to_pylist()), SPAN) if right.num_rows else np.zeros(0, SPAN)
         out = finish(group, spans)

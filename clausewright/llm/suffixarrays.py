@@ -6,22 +6,25 @@ can happen at all to shards by anchor. Each group of documents builds the
 transform of its pieces for each shard and sends that, not the text. A
 shard merges the transforms of all groups by iterative interleave refinement:
 the interleave says for every merged place from which transform its next row
-comes. It starts as a stable sort of all rows by their first four symbols, one
-transform after the other; each round refines the classes of equal prefixes in it
-by the ranks of the rows as many symbols on (found through the transforms'
-first-to-last steps): 4, 8, 16, ... symbols, the last round as many as are missing
-to ``width``. A class of one row has its place for good and takes no part in later
-rounds, nor do rows whose text ends before; no suffix is sorted again. What is
-left of the rounds is which rows share a prefix of ``width``: these are the
-repeated intervals, and the least document of an interval decides on its windows.
-Windows and rows meet by walking each text backwards from its end symbol.
+comes. It starts as a stable sort of all rows by as many first symbols as fit into
+a key (six of some hundred different ones), one transform after the other; each
+round refines the classes of equal prefixes in it by the ranks of the rows as many
+symbols on (found through the transforms' first-to-last steps): 6, 12, 24, ...
+symbols, the last round as many as are missing to ``width``. A class of one row
+has its place for good and takes no part in later rounds, nor do rows whose text
+ends before; a class whose rows agree in the symbols of a round stays as it is and
+is not sorted; no suffix is sorted again. What is left of the rounds is which rows
+share a prefix of ``width``: these are the repeated intervals, and the least
+document of an interval decides on its windows. Windows and rows meet by walking
+each text backwards from its end symbol.
 
 Equal pieces, of one group or of several, are texts of their own throughout: their rows
 meet in the intervals and nowhere else.
 
-Texts are cyclic with one end symbol each, so every transform is a permutation; rows of
-equal texts keep the order of the texts.
-The end symbol is 0xFF, which no UTF-8 text holds.
+Each text has one end symbol, 0xFF, which no UTF-8 text holds. End symbols rank as
+their texts are listed, so equal rows keep the order of the texts, and no suffix is
+compared beyond its end. A step from an end symbol leads to no text in particular;
+no row that reaches one takes part in a round.
 
 Defined cases: as in ``substrings``, but for bytes, and a document never removes its own bytes.
 """
@@ -34,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .routing import NEVER, Group, Windows, repeated
+from .routing import NEVER, Group, Windows, _ranges, repeated
 from .session import named
 from .substrings import covered
 from .text import U
@@ -54,9 +57,8 @@ def order_of(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def heads(new: np.ndarray) -> np.ndarray:
     """For each place of a sorted list the first place of its class; new flags all classes but the first."""
-    out = np.zeros(len(new) + 1, np.int64)
-    out[1:] = np.where(new, np.arange(1, len(new) + 1), 0)
-    return np.maximum.accumulate(out)
+    first = np.flatnonzero(np.append(True, new))
+    return np.repeat(first, np.diff(np.append(first, len(new) + 1)))
 
 
 def shared(new: np.ndarray) -> np.ndarray:
@@ -64,65 +66,77 @@ def shared(new: np.ndarray) -> np.ndarray:
     return ~(np.append(True, new) & np.append(new, True))
 
 
-def split(rows: np.ndarray, rank: np.ndarray, ahead: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Refines the classes of some rows by the rank of others: the rows in their new order, their places, and flags of classes that are still shared.
+def split(rows: np.ndarray, rank: np.ndarray, ahead: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Refines the classes of some rows, listed by class, by the rank of others: the rows in their new order, flags of classes that are
+    still shared, and of the rows that were sorted (those of classes whose members differ) which they are and their places.
 
     A rank is the place where a class begins, so classes of one member keep theirs for good.
     """
-    short = len(rows).bit_length()
+    a, b = rank[rows], rank[ahead]
+    begins = np.append(True, a[1:] != a[:-1])
+    mixed = np.zeros(len(rank), bool)
+    mixed[a[1:][(b[1:] != b[:-1]) & ~begins[1:]]] = True
+    some = np.flatnonzero(mixed[a])
+    moved = rows[some]
+    a, b = a[some], b[some]
+    short = len(some).bit_length()
     if 2 * bits + short <= 64:  # sorted with the place inside the key
-        order, key = order_of((rank[rows].astype(np.uint64) << U(bits)) | rank[ahead].astype(np.uint64), short)
-        old = (key >> U(bits)).view(np.int64)
+        order, key = order_of((a.astype(np.uint64) << U(bits)) | b.astype(np.uint64), short)
         new = key[1:] != key[:-1]
     else:
-        a, b = rank[rows], rank[ahead]
         order = np.lexsort((b, a))
-        old, b = a[order].astype(np.int64), b[order]
-        new = (old[1:] != old[:-1]) | (b[1:] != b[:-1])
-    rows = rows[order]
-    begin = heads(old[1:] != old[:-1])
-    rank[rows] = old + heads(new) - begin
-    return rows, old + np.arange(len(rows)) - begin, shared(new)
+        b = b[order]
+        new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    if len(some):
+        moved, begin = moved[order], heads(begins[some][1:])
+        rank[moved] = a + (heads(new) - begin)
+        rows[some] = moved
+        begins[some[1:]] = new
+        at = a + (np.arange(len(some)) - begin)
+    else:
+        at = some
+    return rows, shared(begins[1:]), moved, at
+
+
+def packed(sym: np.ndarray, bits: int) -> tuple[np.ndarray, int, int]:
+    """Symbols as digits in their order (from 1), the base, and how many digits fit into so many bits."""
+    used = np.bincount(sym, minlength=256) > 0
+    base, fit = int(used.sum()) + 1, 1
+    while base ** (fit + 1) <= 1 << bits:
+        fit += 1
+    return np.cumsum(used).astype(np.uint64)[sym], base, fit
 
 
-def rotations(sym: np.ndarray, begin: np.ndarray, size: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """All places of cyclic texts (each with END at its end) in the order of shards (from 0, rising), rotations and texts."""
+def suffixes(sym: np.ndarray, end: np.ndarray, size: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """All places of texts (each with END at its end) in the order of shards (from 0, rising) and suffixes; end symbols rank as their texts are listed."""
     n = len(sym)
     bits = n.bit_length()
-    used = np.bincount(sym, minlength=256) > 0
-    code = np.cumsum(used).astype(np.uint8)[sym]
-    per = int(code.max()).bit_length()
-    text = np.repeat(np.arange(len(size), dtype=np.int32), size)
     # as many symbols as fit beside the shard and the place; then twice as many each round, for those that still share a class
-    h = max(1, (64 - bits - int(shard[-1]).bit_length()) // per)
+    code, base, h = packed(sym, 64 - bits - int(shard[-1]).bit_length())
     key = np.repeat(shard.astype(np.uint64), size)
-    wide = np.append(code, np.resize(code, h)).astype(np.uint64)
-    for j in range(h):
-        key <<= U(per)
-        key |= wide[j : j + n]
-    near = (begin + size)[:, None] - np.arange(1, h)[None, :]  # the last places of each text go on at its begin
-    near = near[near >= begin[:, None]]
-    t = text[near]
-    tail = shard[t].astype(np.uint64)
+    wide = np.append(code, np.zeros(h, np.uint64))
     for j in range(h):
-        tail = (tail << U(per)) | code[begin[t] + (near - begin[t] + j) % size[t]]
-    key[near] = tail
+        key *= U(base)
+        key += wide[j : j + n]
+    for j in range(h):  # nothing counts behind the end symbol
+        near = end[size > j] - j
+        key[near] -= key[near] % U(base ** (h - 1 - j))
     order, key = order_of(key, bits)
-    new = key[1:] != key[:-1]
+    low = key[1:] % U(base)
+    new = (key[1:] != key[:-1]) | (low == 0) | (low == U(base - 1))  # those that reach their end symbol are told apart by it
     rank = np.empty(n, np.int32 if bits < 31 else np.int64)
     rank[order] = heads(new)
-    open_rows, most = order[shared(new)], int(size.max())
-    while len(open_rows) and h < 2 * most:
-        t = text[open_rows]
-        rows, at, still = split(open_rows, rank, begin[t] + (open_rows - begin[t] + h) % size[t], bits)
-        order[at] = rows
+    open_rows = order[shared(new)]
+    while len(open_rows):
+        rows, still, moved, at = split(open_rows, rank, open_rows + h, bits)
+        order[at] = moved
         open_rows = rows[still]
         h *= 2
     return order
 
 
-def transform(units: np.ndarray, size: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of texts and their transforms, one per shard, one after the other. Texts are listed as their end symbols rank."""
+def transform(units: np.ndarray, size: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """The transforms of texts, one per shard, one after the other."""
     length = size + 1
     begin = np.cumsum(length) - length
     end = begin + size
@@ -130,12 +144,10 @@ def transform(units: np.ndarray, size: np.ndarray, shard: np.ndarray) -> tuple[n
     inner[end] = False
     sym = np.full(len(inner), END, np.uint8)
     sym[inner] = units
-    order = rotations(sym, begin, length, np.cumsum(np.append(0, shard[1:] != shard[:-1])))
     before = np.empty(len(sym), np.uint8)
     before[1:] = sym[:-1]
     before[begin] = END
-    owner = np.searchsorted(end, order[~inner[order]])
-    return owner, before[order]
+    return before[suffixes(sym, end, length, np.cumsum(np.append(0, shard[1:] != shard[:-1])))]
 
 
 def steps(last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,20 +160,28 @@ def steps(last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (key & U(255)).astype(np.uint8), following, back
 
 
-def walk(first: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and place in the text of every row, from the rows of the end symbols backwards, all texts abreast."""
-    text, at = np.empty(len(first), np.int32), np.empty(len(first), np.int32)
-    row = np.flatnonzero(first == END)
-    order = np.argsort(-size, kind="stable").astype(np.int32)
-    row, who, left = row[order], order, size[order].astype(np.int32)
-    text[row], at[row] = who, left
-    live = np.searchsorted(-left, 0, "left")  # texts by falling length: those with symbols left come first
+def paths(first: np.ndarray, back: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The rows of every text from its first symbol to its end symbol, text after text; walked from the end symbols backwards, all texts abreast."""
+    out = np.empty(len(first), np.int32)
+    order = np.argsort(-size, kind="stable")
+    row, at, falling = np.flatnonzero(first == END)[order], (np.cumsum(size + 1) - 1)[order], -size[order]
+    out[at] = row
+    live = int(np.searchsorted(falling, 0, "left"))  # texts by falling length: those with symbols left come first
     step = 0
     while live:
-        row = back[row[:live]]
+        row, at = back[row[:live]], at[:live] - 1
         step += 1
-        text[row], at[row] = who[:live], left[:live] - step
-        live = int(np.searchsorted(-left[:live], -step, "left"))
+        out[at] = row
+        live = int(np.searchsorted(falling[:live], -step, "left"))
+    return out
+
+
+def walk(first: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place in the text of every row."""
+    rows = paths(first, back, size)
+    text, at = np.empty(len(first), np.int32), np.empty(len(first), np.int32)
+    text[rows] = np.repeat(np.arange(len(size)), size + 1)
+    at[rows] = _ranges(np.zeros(len(size), np.int64), size + 1)
     return text, at
 
 
@@ -174,31 +194,44 @@ class Merged:
 
     def __init__(self, first: np.ndarray, following: np.ndarray, reach: np.ndarray, width: int):
         self.bits = len(first).bit_length()
-        self.following, self.reach = following, reach
-        self.two = following[following]
-        self.four = self.two[self.two]
-        key = (first.astype(np.uint64) << U(8)) | first[following]
-        key = (key << U(16)) | key[self.two]
-        if width < 4:
-            key >>= U(8 * (4 - width))
+        self.reach = reach
+        code, base, fit = packed(first, 64 - self.bits)
+        self.known = min(fit, width)
+        # rows of the symbols 1, 2, 4, ... on, and the symbols up to there
+        self.jumps, keys = [(1, following)], [code]
+        while 2 * self.jumps[-1][0] <= self.known:
+            n, jump = self.jumps[-1]
+            keys.append(keys[-1] * U(base**n) + keys[-1][jump])
+            self.jumps.append((2 * n, jump[jump]))
+        (n, ahead), key = self.jumps[-1], keys[-1]
+        for (m, jump), more in zip(self.jumps[-2::-1], keys[-2::-1]):
+            if n + m <= self.known:
+                key = key * U(base**m) + more[ahead]
+                n, ahead = n + m, jump[ahead]
+        if n > self.jumps[-1][0]:
+            self.jumps.append((n, ahead))
         # the interleave by the first symbols: a stable sort of all rows, transform after transform
         order, key = order_of(key, self.bits)
         new = key[1:] != key[:-1]
         self.rank = np.empty(len(first), np.int32 if self.bits < 31 else np.int64)
         self.rank[order] = heads(new)
-        self.open_rows, self.known = order[shared(new)], 4
+        self.open_rows = order[shared(new)]
         while self.known < width:
             self.refine(min(self.known, width - self.known))
 
     def refine(self, step: int) -> None:
         """From classes of ``known`` symbols to those of ``step`` more: by the rank of the rows that far on."""
         rows = self.open_rows[self.reach[self.open_rows] >= self.known + step]
-        ahead = rows
-        for jump, n in ((self.four, step // 4), (self.two, step // 2 % 2), (self.following, step % 2)):
-            for _ in range(n):
+        n, jump = self.jumps[-1]
+        if 2 * n <= step:
+            self.jumps.append((2 * n, jump[jump]))
+        ahead, left = rows, step
+        for n, jump in reversed(self.jumps):
+            for _ in range(left // n):
                 ahead = jump[ahead]
+            left %= n
         if len(rows):
-            rows, _, still = split(rows, self.rank, ahead, self.bits)
+            rows, still, *_ = split(rows, self.rank, ahead, self.bits)
             rows = rows[still]
         self.open_rows = rows
         self.known += step
@@ -214,30 +247,28 @@ class Transforms:
         return n + self.width
 
     def encode(self, units: np.ndarray, off: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size, orders, bodies = np.diff(off), [], []
+        size, bodies = np.diff(off), []
         edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
         a = 0
         while a < len(edge) - 1:  # whole shards, about SORT symbols at a time
             b = max(a + 1, int(np.searchsorted(off[edge], off[edge[a]] + SORT, "right")) - 1)
             lo, hi = edge[a], edge[b]
-            order, last = transform(units[off[lo] : off[hi]], size[lo:hi], shard[lo:hi])
-            orders.append(order + lo)
-            bodies.append(last)
+            bodies.append(transform(units[off[lo] : off[hi]], size[lo:hi], shard[lo:hi]))
             a = b
-        return np.concatenate(orders), np.concatenate(bodies)
+        return np.arange(len(size)), np.concatenate(bodies)
 
     def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.lengths(n)
         first, following, back = steps(body, np.repeat(block, size))
-        text, at = walk(first, back, size - 1)
-        merged = Merged(first, following, size[text] - 1 - at, self.width)
+        rows = paths(first, back, size - 1)
+        reach = np.empty(len(first), np.int32)
+        reach[rows] = np.repeat(np.cumsum(size) - 1, size) - np.arange(len(first))
+        merged = Merged(first, following, reach, self.width)
         # the windows: rows with width symbols of their text ahead
-        here = np.flatnonzero(at < n[text])
-        rank, owner = merged.rank[here], text[here]
+        rank = merged.rank[rows[_ranges(np.cumsum(size) - size, n)]]
         interval = np.full(len(first), NEVER)
-        np.minimum.at(interval, rank, doc[owner])
-        best = np.full(int(n.sum()), NEVER)
-        best[(np.cumsum(n) - n)[owner] + at[here]] = interval[rank]
+        np.minimum.at(interval, rank, np.repeat(doc, n))
+        best = interval[rank]
         return best, np.zeros(len(best), np.int64)
 
 

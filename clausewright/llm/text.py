@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,15 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@functools.cache
+def hold() -> None:
+    """Freed arrays of some megabytes stay for the next ones until release(), instead of being mapped and cleared anew each time."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The function over batches, with a release() when it has seen them all."""
 

@@ -391,6 +391,38 @@ def test_merged_transforms():
         assert best.tolist() == [least[t[p : p + width]] for t in texts for p in range(len(t) - width + 1)]
 
 
+def test_suffixes_end_at_their_text():
+    """Suffixes by shard and symbols, and where they reach their ends by text: nothing is compared beyond an end symbol."""
+    rng = random.Random(14)
+    for _ in range(60):
+        texts = [bytes(rng.choices(b"ab" if rng.random() < 0.7 else bytes(range(97, 123)), k=rng.randint(1, 30))) for _ in range(rng.randint(1, 12))]
+        texts += rng.choices(texts, k=rng.randint(0, 6))
+        shard = sorted(rng.randint(0, 2) for _ in texts)
+        shard = np.cumsum(np.append(0, np.diff(shard) > 0))
+        size = np.array([len(t) + 1 for t in texts])
+        sym = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8)
+        keys = [(shard[k], [*t[p:], 256 + k]) for k, t in enumerate(texts) for p in range(len(t) + 1)]
+        assert suffixarrays.suffixes(sym, np.cumsum(size) - 1, size, shard).tolist() == sorted(range(len(keys)), key=keys.__getitem__)
+
+
+def test_copies_are_not_sorted_again(monkeypatch):
+    """Rounds sort the classes whose rows differ: none where all texts are copies, few where one text ends otherwise."""
+    rng = random.Random(15)
+    method, done, order_of = suffixarrays.Transforms(50), [], suffixarrays.order_of
+    monkeypatch.setattr(suffixarrays, "order_of", lambda key, bits: done.append(len(key)) or order_of(key, bits))
+    text = bytes(rng.choices(range(33, 120), k=84))
+    for other, more in ((text, 0), (text[:70] + bytes(14), 0.5)):
+        texts = [text] * 49 + [other]
+        order, body = zip(*(method.encode(np.frombuffer(b"".join(texts[a : a + 10]), np.uint8), np.arange(11) * 84, np.zeros(10, np.int64)) for a in range(0, 50, 10)))
+        doc = np.concatenate([a * 10 + o for a, o in enumerate(order)])
+        done.clear()
+        best, _ = method.decide(np.concatenate(body), np.full(50, 35), np.repeat(np.arange(5), 10), doc, np.zeros(50, np.int64))
+        rows = 50 * 85
+        assert sum(done) <= (2 + more) * rows, sum(done) / rows  # once by the symbols before them, once by their first ones
+        best = best.reshape(50, 35)[np.argsort(doc)]
+        assert (best[:49] == 0).all() and (best[49] == 0).sum() == (35 if other == text else 21)
+
+
 # -- 4 hosts
 
 

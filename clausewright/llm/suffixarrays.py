@@ -6,11 +6,11 @@ can happen at all to shards by anchor. Each group of documents builds the
 transform of its pieces for each shard and sends that, not the text. A
 shard merges the transforms of all groups by iterative interleave refinement:
 the interleave says for every merged place from which transform its next row
-comes. It starts as a stable sort of all rows by as many first symbols as fit into
-a key (six of some hundred different ones), one transform after the other; each
-round refines the classes of equal prefixes in it by the ranks of the rows as many
-symbols on (found through the transforms' first-to-last steps): 6, 12, 24, ...
-symbols, the last round as many as are missing to ``width``. A class of one row
+comes. It starts as a sort of all rows by as many first symbols as fit into 64 bits
+(nine of some hundred different ones); each round refines the classes of equal
+prefixes in it by the ranks of the rows as many symbols on (found through the
+transforms' first-to-last steps): 9, 18, 36, ... symbols, the last round as many as
+are missing to ``width``. A class of one row
 has its place for good and takes no part in later rounds, nor do rows whose text
 ends before; a class whose rows agree in the symbols of a round stays as it is and
 is not sorted; no suffix is sorted again. What is left of the rounds is which rows
@@ -45,7 +45,7 @@ from .text import U
 WIDTH, GRAM = 50, 16
 END = 255
 #: Symbols that are sorted at once when transforms are built.
-SORT = 1 << 18
+SORT = 1 << 17
 
 
 def order_of(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +151,18 @@ def transform(units: np.ndarray, size: np.ndarray, shard: np.ndarray) -> np.ndar
 
 
 def steps(last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of transforms one after the other: first symbols, row of the next symbol and row of the symbol before, by row."""
+    """Of transforms one after the other (block: from 0, rising): first symbols, row of the next symbol and row of the symbol before, by row."""
     n = len(last)
-    following, key = order_of((block.astype(np.uint64) << U(8)) | last, n.bit_length())
-    following = following.astype(np.int32)
+    if block[-1] < 1 << 8:  # keys of 16 bits and less are sorted by radix
+        following = np.argsort((block.astype(np.uint16) << 8) | last, kind="stable")
+    else:
+        following = np.argsort(last, kind="stable")
+        owner = block[following]
+        following = following[np.argsort(owner.astype(np.uint16) if block[-1] < 1 << 16 else owner, kind="stable")]
+    first, following = last[following], following.astype(np.int32)
     back = np.empty(n, np.int32)
     back[following] = np.arange(n, dtype=np.int32)
-    return (key & U(255)).astype(np.uint8), following, back
+    return first, following, back
 
 
 def paths(first: np.ndarray, back: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -195,7 +200,7 @@ class Merged:
     def __init__(self, first: np.ndarray, following: np.ndarray, reach: np.ndarray, width: int):
         self.bits = len(first).bit_length()
         self.reach = reach
-        code, base, fit = packed(first, 64 - self.bits)
+        code, base, fit = packed(first, 64)
         self.known = min(fit, width)
         # rows of the symbols 1, 2, 4, ... on, and the symbols up to there
         self.jumps, keys = [(1, following)], [code]
@@ -210,8 +215,9 @@ class Merged:
                 n, ahead = n + m, jump[ahead]
         if n > self.jumps[-1][0]:
             self.jumps.append((n, ahead))
-        # the interleave by the first symbols: a stable sort of all rows, transform after transform
-        order, key = order_of(key, self.bits)
+        # the interleave by the first symbols; how rows of one class are listed does not matter
+        order = np.argsort(key)
+        key = key[order]
         new = key[1:] != key[:-1]
         self.rank = np.empty(len(first), np.int32 if self.bits < 31 else np.int64)
         self.rank[order] = heads(new)

@@ -405,6 +405,16 @@ def test_suffixes_end_at_their_text():
         assert suffixarrays.suffixes(sym, np.cumsum(size) - 1, size, shard).tolist() == sorted(range(len(keys)), key=keys.__getitem__)
 
 
+def test_steps_of_many_blocks():
+    """First symbols and steps are the same for few, some hundred and many thousand blocks."""
+    rng = np.random.default_rng(3)
+    for blocks in (1, 200, 300, 70_000):
+        block, last = np.sort(rng.integers(0, blocks, 5_000)), rng.integers(0, 4, 5_000).astype(np.uint8)
+        want = np.lexsort((np.arange(5_000), last, block))
+        first, following, back = suffixarrays.steps(last, block)
+        assert (following == want).all() and (first == last[want]).all() and (back[want] == np.arange(5_000)).all()
+
+
 def test_copies_are_not_sorted_again(monkeypatch):
     """Rounds sort the classes whose rows differ: none where all texts are copies, few where one text ends otherwise."""
     rng = random.Random(15)

@@ -6,10 +6,11 @@ can happen at all to shards by anchor. Each group of documents builds the
 transform of its pieces for each shard and sends that, not the text. A
 shard merges the transforms of all groups by iterative interleave refinement:
 the interleave says for every merged place from which transform its next row
-comes. It starts as a sort of all rows by as many first symbols as fit into 64 bits
-(nine of some hundred different ones); each round refines the classes of equal
-prefixes in it by the ranks of the rows as many symbols on (found through the
-transforms' first-to-last steps): 9, 18, 36, ... symbols, the last round as many as
+comes. It starts as a merge of the rows, which each transform has in order, by as many first
+symbols as fit into 64 bits (nine of some hundred different ones); each round refines
+the classes of equal prefixes in it by the ranks of the rows as many and twice as many
+symbols on (found in the list of the rows of each text, which the transforms'
+last-to-first steps give): 9, 27, ... symbols, the last round as many as
 are missing to ``width``. A class of one row
 has its place for good and takes no part in later rounds, nor do rows whose text
 ends before; a class whose rows agree in the symbols of a round stays as it is and
@@ -66,36 +67,45 @@ def shared(new: np.ndarray) -> np.ndarray:
     return ~(np.append(True, new) & np.append(new, True))
 
 
-def split(rows: np.ndarray, rank: np.ndarray, ahead: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Refines the classes of some rows, listed by class, by the rank of others: the rows in their new order, flags of classes that are
-    still shared, and of the rows that were sorted (those of classes whose members differ) which they are and their places.
+def split(rows: np.ndarray, begin: np.ndarray, rank: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Refines the classes of some rows, listed by class (begin: the place where it begins), by one or two ranks of each: lists the rows anew
+    and sets their begins and ranks. Only classes whose members differ are sorted: which places of the list those are, and flags of classes that are still shared.
 
     A rank is the place where a class begins, so classes of one member keep theirs for good.
     """
-    a, b = rank[rows], rank[ahead]
-    begins = np.append(True, a[1:] != a[:-1])
-    mixed = np.zeros(len(rank), bool)
-    mixed[a[1:][(b[1:] != b[:-1]) & ~begins[1:]]] = True
-    some = np.flatnonzero(mixed[a])
-    moved = rows[some]
-    a, b = a[some], b[some]
-    short = len(some).bit_length()
-    if 2 * bits + short <= 64:  # sorted with the place inside the key
-        order, key = order_of((a.astype(np.uint64) << U(bits)) | b.astype(np.uint64), short)
-        new = key[1:] != key[:-1]
-    else:
-        order = np.lexsort((b, a))
-        b = b[order]
-        new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    head = np.append(True, begin[1:] != begin[:-1])[: len(rows)]
+    differ = np.zeros(len(rows), bool)
+    for key in keys:
+        differ[1:] |= key[1:] != key[:-1]
+    differ &= ~head
+    number = np.cumsum(head, dtype=np.int32)
+    mixed = np.zeros(len(rows) + 1, bool)
+    mixed[number[differ]] = True
+    some = np.flatnonzero(mixed[number])
     if len(some):
-        moved, begin = moved[order], heads(begins[some][1:])
-        rank[moved] = a + (heads(new) - begin)
-        rows[some] = moved
-        begins[some[1:]] = new
-        at = a + (np.arange(len(some)) - begin)
-    else:
-        at = some
-    return rows, shared(begins[1:]), moved, at
+        own, (b, *more) = number[some], (key[some] for key in keys)
+        bits, short = len(rank).bit_length(), len(some).bit_length()
+        if int(own[-1]).bit_length() + bits + short <= 64:  # sorted with the place inside the key, the last rank first
+            order = None
+            for c in more:
+                order, _ = order_of(c, short)
+            key = (own.astype(np.uint64) << U(bits)) | b.astype(np.uint64)
+            last, key = order_of(key if order is None else key[order], short)
+            order = last if order is None else order[last]
+            new = key[1:] != key[:-1]
+        else:
+            order = np.lexsort((*more, b, own))
+            b = b[order]
+            new = (own[1:] != own[:-1]) | (b[1:] != b[:-1])
+        for c in more:
+            c = c[order]
+            new |= c[1:] != c[:-1]
+        moved = rows[some][order]
+        place = begin[some]
+        place += heads(new) - heads(own[1:] != own[:-1])
+        rank[moved], rows[some], begin[some] = place, moved, place
+        head[some[1:]] = new
+    return some, shared(head[1:]) if len(rows) else head
 
 
 def packed(sym: np.ndarray, bits: int) -> tuple[np.ndarray, int, int]:
@@ -107,30 +117,48 @@ def packed(sym: np.ndarray, bits: int) -> tuple[np.ndarray, int, int]:
     return np.cumsum(used).astype(np.uint64)[sym], base, fit
 
 
+def leading(code: np.ndarray, base: int, n: int) -> np.ndarray:
+    """The number that the digit of each place makes with those of the n - 1 places behind it; behind the last place there are zeros."""
+
+    def joined(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> np.ndarray:
+        out = x * U(base**ny)
+        out[: max(0, len(x) - nx)] += y[nx:]
+        return out
+
+    part, size, key, done = code, 1, None, 0
+    while size <= n:
+        if n & size:
+            key, done = (part, size) if key is None else (joined(part, key, size, done), done + size)
+        if 2 * size <= n:
+            part = joined(part, part, size, size)
+        size *= 2
+    return key
+
+
 def suffixes(sym: np.ndarray, end: np.ndarray, size: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """All places of texts (each with END at its end) in the order of shards (from 0, rising) and suffixes; end symbols rank as their texts are listed."""
     n = len(sym)
     bits = n.bit_length()
     # as many symbols as fit beside the shard and the place; then twice as many each round, for those that still share a class
     code, base, h = packed(sym, 64 - bits - int(shard[-1]).bit_length())
-    key = np.repeat(shard.astype(np.uint64), size)
-    wide = np.append(code, np.zeros(h, np.uint64))
-    for j in range(h):
-        key *= U(base)
-        key += wide[j : j + n]
+    key = leading(code, base, h)
     for j in range(h):  # nothing counts behind the end symbol
         near = end[size > j] - j
         key[near] -= key[near] % U(base ** (h - 1 - j))
+    key += np.repeat(shard.astype(np.uint64) * U(base**h), size)
     order, key = order_of(key, bits)
-    low = key[1:] % U(base)
-    new = (key[1:] != key[:-1]) | (low == 0) | (low == U(base - 1))  # those that reach their end symbol are told apart by it
-    rank = np.empty(n, np.int32 if bits < 31 else np.int64)
-    rank[order] = heads(new)
-    open_rows = order[shared(new)]
-    while len(open_rows):
-        rows, still, moved, at = split(open_rows, rank, open_rows + h, bits)
-        order[at] = moved
-        open_rows = rows[still]
+    low = key % U(base)
+    low = (low == 0) | (low == U(base - 1))
+    new = (key[1:] != key[:-1]) | low[1:]  # those that reach their end symbol are told apart by it
+    begin = heads(new).astype(np.int32 if bits < 31 else np.int64)
+    rank = np.empty(n, begin.dtype)
+    rank[order] = begin
+    at = np.flatnonzero(shared(new))
+    rows, begin = order[at], begin[at]
+    while len(rows):
+        some, still = split(rows, begin, rank, [rank[rows + h]])
+        order[at[some]] = rows[some]
+        at, rows, begin = at[still], rows[still], begin[still]
         h *= 2
     return order
 
@@ -190,57 +218,64 @@ def walk(first: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     return text, at
 
 
+def listed(following: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The rows of every text as ``paths`` has them, by steps forward from the rows to which no step of their text leads."""
+    out, starts = np.empty(len(reach), np.int32), np.ones(len(reach), bool)
+    starts[following[reach > 0]] = False
+    row = np.flatnonzero(starts)
+    at = np.cumsum(reach[row] + 1) - reach[row] - 1
+    while len(row):
+        out[at] = row
+        more = reach[row] > 0
+        row, at = following[row[more]], at[more] + 1
+    return out
+
+
 class Merged:
     """The interleave of several transforms, as far as it tells equal prefixes of ``width`` symbols apart.
 
-    rank: place in the interleave where the class of a row begins. reach: how many symbols a row has before its end symbol; rows
-    with fewer than a round looks at need no place in it.
+    rows: those of every text, text after text; the row some symbols on is found there. at_rank: place in the interleave where the class of a
+    row begins, as rows are listed there. reach: how many symbols a row has before its end symbol; rows with fewer than a round looks at
+    need no place in it.
     """
 
-    def __init__(self, first: np.ndarray, following: np.ndarray, reach: np.ndarray, width: int):
-        self.bits = len(first).bit_length()
-        self.reach = reach
-        code, base, fit = packed(first, 64)
+    def __init__(self, first: np.ndarray, following: np.ndarray | None, reach: np.ndarray, width: int, rows: np.ndarray | None = None):
+        self.rows = listed(following, reach) if rows is None else rows
+        n = len(self.rows)
+        at = np.empty(n, np.intp)
+        at[self.rows] = np.arange(n)
+        self.reach = reach[self.rows]
+        code, base, fit = packed(first[self.rows], 64)
         self.known = min(fit, width)
-        # rows of the symbols 1, 2, 4, ... on, and the symbols up to there
-        self.jumps, keys = [(1, following)], [code]
-        while 2 * self.jumps[-1][0] <= self.known:
-            n, jump = self.jumps[-1]
-            keys.append(keys[-1] * U(base**n) + keys[-1][jump])
-            self.jumps.append((2 * n, jump[jump]))
-        (n, ahead), key = self.jumps[-1], keys[-1]
-        for (m, jump), more in zip(self.jumps[-2::-1], keys[-2::-1]):
-            if n + m <= self.known:
-                key = key * U(base**m) + more[ahead]
-                n, ahead = n + m, jump[ahead]
-        if n > self.jumps[-1][0]:
-            self.jumps.append((n, ahead))
-        # the interleave by the first symbols; how rows of one class are listed does not matter
-        order = np.argsort(key)
-        key = key[order]
+        # the interleave by the first symbols: a merge of rows that each transform has in order; how rows of one class are listed does not matter
+        at = at[reach >= self.known]
+        key = leading(code, base, self.known)[at]
+        order = np.argsort(key, kind="stable")
+        key, self.places = key[order], at[order]
         new = key[1:] != key[:-1]
-        self.rank = np.empty(len(first), np.int32 if self.bits < 31 else np.int64)
-        self.rank[order] = heads(new)
-        self.open_rows = order[shared(new)]
+        self.begin = (heads(new) if len(at) else at).astype(np.int32 if n.bit_length() < 31 else np.int64)
+        self.at_rank = np.zeros(n, self.begin.dtype)
+        self.at_rank[self.places] = self.begin
+        still = shared(new) if len(at) else at.astype(bool)
         while self.known < width:
-            self.refine(min(self.known, width - self.known))
-
-    def refine(self, step: int) -> None:
-        """From classes of ``known`` symbols to those of ``step`` more: by the rank of the rows that far on."""
-        rows = self.open_rows[self.reach[self.open_rows] >= self.known + step]
-        n, jump = self.jumps[-1]
-        if 2 * n <= step:
-            self.jumps.append((2 * n, jump[jump]))
-        ahead, left = rows, step
-        for n, jump in reversed(self.jumps):
-            for _ in range(left // n):
-                ahead = jump[ahead]
-            left %= n
-        if len(rows):
-            rows, still, *_ = split(rows, self.rank, ahead, self.bits)
-            rows = rows[still]
-        self.open_rows = rows
-        self.known += step
+            still = self.refine(min(3 * self.known, width), still)
+
+    def refine(self, width: int, still: np.ndarray) -> np.ndarray:
+        """From classes of ``known`` symbols to those of up to three times as many: by the ranks of the rows ``known`` on and of those whose ``known`` symbols end there.
+        still: flags of the rows that share a class; returned for the next round."""
+        some = np.flatnonzero(still & (self.reach >= width)[self.places])
+        self.places, self.begin = self.places[some], self.begin[some]
+        on = [width - self.known] if width <= 2 * self.known else [self.known, width - self.known]
+        _, still = split(self.places, self.begin, self.at_rank, [self.at_rank[self.places + x] for x in on])
+        self.known = width
+        return still
+
+    @property
+    def rank(self) -> np.ndarray:
+        """The ranks by row."""
+        out = np.empty(len(self.rows), self.at_rank.dtype)
+        out[self.rows] = self.at_rank
+        return out
 
 
 class Transforms:
@@ -265,13 +300,13 @@ class Transforms:
 
     def decide(self, body: np.ndarray, n: np.ndarray, block: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.lengths(n)
-        first, following, back = steps(body, np.repeat(block, size))
+        first, _, back = steps(body, np.repeat(block, size))
         rows = paths(first, back, size - 1)
         reach = np.empty(len(first), np.int32)
-        reach[rows] = np.repeat(np.cumsum(size) - 1, size) - np.arange(len(first))
-        merged = Merged(first, following, reach, self.width)
+        reach[rows] = np.repeat((np.cumsum(size) - 1).astype(np.int32), size) - np.arange(len(first), dtype=np.int32)
+        merged = Merged(first, None, reach, self.width, rows)
         # the windows: rows with width symbols of their text ahead
-        rank = merged.rank[rows[_ranges(np.cumsum(size) - size, n)]]
+        rank = merged.at_rank[_ranges(np.cumsum(size) - size, n)]
         interval = np.full(len(first), NEVER)
         np.minimum.at(interval, rank, np.repeat(doc, n))
         best = interval[rank]

@@ -433,6 +433,36 @@ def test_copies_are_not_sorted_again(monkeypatch):
         assert (best[:49] == 0).all() and (best[49] == 0).sum() == (35 if other == text else 21)
 
 
+def test_repeats_of_one_document_are_not_sent(spark, monkeypatch):
+    """What occurs several times in one document and in no other cannot be removed: no transform is built of it. Also anchors of a group by document."""
+    rng = random.Random(16)
+    text = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    rows = [(1, " ".join([text(300)] * 6)), (2, text(2_000)), (3, "z" * 900), (None, None)]
+
+    class Loud(suffixarrays.Transforms):
+        def encode(self, units, off, shard):
+            raise AssertionError("sent")
+
+    monkeypatch.setattr(suffixarrays, "Transforms", Loud)
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    assert Counter(tuple(r) for r in suffixarrays.removal(df).collect()) == removed_bytes(rows)
+    keys, count, single = routing.anchors(np.array([7, 5, 7, 5, 9, 7], np.uint64), np.array([1, 1, 1, 2, 3, 1]))
+    assert keys.tolist() == [5, 7, 9] and count.tolist() == [2, 3, 1] and single.tolist() == [False, True, True]
+
+
+def test_rounds_of_a_merge(monkeypatch):
+    """Rows in order are merged by nine symbols, then told apart by 27 and 50: two rounds, and the windows of two texts that differ only behind 40 symbols."""
+    rng = np.random.default_rng(17)
+    method, rounds, split = suffixarrays.Transforms(50), [], suffixarrays.split
+    text = rng.permutation(100).astype(np.uint8)[:84] + np.uint8(33)
+    other = text.copy()
+    other[40:] = text[40:][::-1]
+    order, body = zip(*(method.encode(np.concatenate([x, y]), np.array([0, 84, 168]), np.zeros(2, np.int64)) for x, y in ((text, other), (other, text))))
+    monkeypatch.setattr(suffixarrays, "split", lambda *a: rounds.append(1) or split(*a))
+    best, _ = method.decide(np.concatenate(body), np.full(4, 35), np.array([0, 0, 1, 1]), np.array([3, 4, 4, 3])[np.concatenate([order[0], order[1] + 2])], np.zeros(4, np.int64))
+    assert len(rounds) == 2 and sorted(best.tolist()) == [3] * 70 + [4] * 70
+
+
 # -- 4 hosts
 
 

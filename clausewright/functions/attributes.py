@@ -67,7 +67,13 @@ def has_value(a: Fields, name: str) -> Column:
 
 def truthy(a: Fields, name: str) -> Column:
     """Neither missing, null, empty, zero nor false."""
+    if isinstance(a, Column):  # the type is looked up only where the text is one of those that may be empty, zero or false
+        text = field(a, name)
+        return F.when(text.isNull(), F.lit(False)).when(text.rlike(r"^(-?0|false$|\[\]$|\{\}$|$)"), _truthy(a, name)).otherwise(True)
+    return _truthy(a, name)
 
+
+def _truthy(a: Fields, name: str) -> Column:
     def of(x: Column) -> Column:
         kind, text = x["kind"], x["text"]
         empty = F.when(kind == "STRING", text == "").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), field(a, name, "double") == 0).otherwise(text.isin("false", "[]", "{}"))

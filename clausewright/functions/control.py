@@ -65,10 +65,13 @@ def _first_of(a: at.Fields, *names: str) -> Column:
     return out
 
 
-def test_procedure(a: at.Fields, rule_type: Column, description: Column) -> Column:
-    """Template by control and measurement type, else the first of the control type, else the default."""
-    kinds = F.struct(control_type(rule_type, description).alias("control"), measurement_type(a, rule_type).alias("measure"))
-    out = let(kinds, lambda x: _template(x["control"], x["measure"]))
+def test_procedure(a: at.Fields, rule_type: Column, description: Column, control: Column | None = None, measure: Column | None = None) -> Column:
+    """Template by control and measurement type, else the first of the control type, else the default. control, measure: columns that hold them, if there are some."""
+    if control is None or measure is None:
+        kinds = F.struct(control_type(rule_type, description).alias("control"), measurement_type(a, rule_type).alias("measure"))
+        out = let(kinds, lambda x: _template(x["control"], x["measure"]))
+    else:
+        out = _template(control, measure)
     for key, value in (("applies_to", applies_to(a)), ("threshold", _first_of(a, "threshold_value", "timeline_value")), ("unit", _first_of(a, "threshold_unit", "timeline_unit"))):
         out = F.replace(out, F.lit("{" + key + "}"), value)
     return out
@@ -152,15 +155,20 @@ def exception_tiers(a: at.Fields, rule_type: Column) -> Column:
     return F.when((rule_type == "data_quality_threshold") & unit.isin("percent", "%"), let(safe_number(a, "threshold_value", 99.0), tiers).cast(kind)).when(rule_type == "update_timeline", F.create_map(F.lit("breach"), breach).cast(kind)).otherwise(F.create_map().cast(kind))
 
 
-def metadata(a: at.Fields, rule_type: Column, description: Column) -> Column:
-    """All of it as one struct."""
-    s = systems(description)
+def told(rule_type: Column, description: Column) -> Column:
+    """What type and description say by themselves, as one struct."""
+    return F.struct(risks(rule_type, description).alias("risks"), control_type(rule_type, description).alias("control"), automation(description).alias("automated"), systems(description).alias("systems"))
+
+
+def metadata(a: at.Fields, rule_type: Column, description: Column, known: Column | None = None, measure: Column | None = None) -> Column:
+    """All of it as one struct. known, measure: columns that hold ``told`` and ``measurement_type``, if there are some."""
+    s = systems(description) if known is None else known["systems"]
     return F.struct(
         objective(a, rule_type).alias("control_objective"),
-        risks(rule_type, description).alias("risk_addressed"),
-        test_procedure(a, rule_type, description).alias("test_procedure"),
+        (risks(rule_type, description) if known is None else known["risks"]).alias("risk_addressed"),
+        test_procedure(a, rule_type, description, None if known is None else known["control"], measure).alias("test_procedure"),
         owner(a, rule_type).alias("control_owner"),
-        automation(description).alias("automated"),
+        (automation(description) if known is None else known["automated"]).alias("automated"),
         evidence(rule_type).alias("evidence_type"),
         F.lit("default_template").alias("evidence_type_source"),
         s["systems"].alias("system_mapping"),

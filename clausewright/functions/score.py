@@ -29,22 +29,25 @@ def with_evidence(df: DataFrame, description: str = "rule_description", grounded
     ).drop("_dt", "_gt", "_ph", "_j", "_empty")
 
 
+#: What evidence and the scores of texts are made of.
+TEXTS = ("rule_type", "rule_description", "grounded_in")
+
+
+def with_texts(df: DataFrame, profile: gr.Profile = gr.LIVE) -> DataFrame:
+    """Adds evidence and the features of the texts alone."""
+    d, g = F.col("rule_description"), F.col("grounded_in")
+    return with_evidence(df, profile=profile).withColumns({"coherence": gr.coherence(d, g), "domain_signals": gr.domain_signals(d, g, profile)})
+
+
 def with_confidence(df: DataFrame, profile: gr.Profile = gr.LIVE) -> DataFrame:
     """Adds the six features, raw_total, confidence, grounding_classification, requires_review and rationale.
 
-    Needs rule_type, rule_description, grounded_in and a VARIANT column a.
+    Needs rule_type, rule_description, grounded_in and a VARIANT column a; what ``with_texts`` adds may be there already.
     """
-    a, kind, d, g = F.col("a"), F.col("rule_type"), F.col("rule_description"), F.col("grounded_in")
-    df = with_evidence(df, profile=profile)
-    df = df.withColumns(
-        {
-            "completeness": at.completeness(a, kind, profile),
-            "quantification": at.quantification(a, d),
-            "schema_compliance": at.compliance(a, kind, profile),
-            "coherence": gr.coherence(d, g),
-            "domain_signals": gr.domain_signals(d, g, profile),
-        }
-    )
+    a, kind, d = F.col("a"), F.col("rule_type"), F.col("rule_description")
+    if "grounding_match" not in df.columns:
+        df = with_texts(df, profile)
+    df = df.withColumns({"completeness": at.completeness(a, kind, profile), "quantification": at.quantification(a, d), "schema_compliance": at.compliance(a, kind, profile)})
     df = settled(df)
     parts = ("grounding_match", "completeness", "quantification", "schema_compliance", "coherence", "domain_signals")
     total = sum((F.col(p).cast("decimal(10,3)") for p in parts[1:]), F.col(parts[0]).cast("decimal(10,3)"))

@@ -12,9 +12,10 @@ from ..functions import attributes as at
 from ..functions import control, verbs
 from ..functions.ids import requirement_id
 from ..functions.repair import with_repair
-from ..functions.score import clamp, with_confidence
+from ..functions.score import TEXTS, clamp, with_confidence, with_texts
 from ..functions.text import content_tokens, settled, starts_with_any
 from .dedup import leaders
+from .graph import written
 
 
 def clean_content(content: Column) -> Column:
@@ -100,17 +101,32 @@ def pass_threshold(iteration: Column, thresholds: Mapping[int, float] = dims.PAS
     return F.when(iteration == 2, thresholds[2]).otherwise(thresholds[1])
 
 
-def validate_and_adjust(reqs: DataFrame, thresholds: Mapping[int, float] = dims.PASS_THRESHOLDS, pronouns: Sequence[str] = dims.REQUIREMENT_PRONOUNS) -> tuple[DataFrame, DataFrame]:
-    """Requirements repaired, scored, filtered and enriched; and those rejected as inference. Narrow throughout."""
-    scored = with_confidence(with_repair(reqs))
+def known_texts(reqs: DataFrame) -> DataFrame:
+    """Evidence, text features and what ``control.told`` says, once for each type, description and source text of the requirements; written.
+
+    For tables in which the same texts come many times and that are cheap to read twice.
+    """
+    texts = with_texts(reqs.select(*TEXTS).distinct())
+    return written(texts.withColumn("_told", control.told(F.col("rule_type"), F.col("rule_description"))))
+
+
+def validate_and_adjust(reqs: DataFrame, thresholds: Mapping[int, float] = dims.PASS_THRESHOLDS, pronouns: Sequence[str] = dims.REQUIREMENT_PRONOUNS, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requirements repaired, scored, filtered and enriched; and those rejected as inference. Narrow throughout, but for a join with ``known_texts``, if given."""
+    repaired = with_repair(reqs)
+    if known is not None:
+        same = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_t.{c}")) for c in TEXTS]
+        repaired = repaired.alias("_r").join(known.alias("_t"), same[0] & same[1] & same[2]).select("_r.*", *[f"_t.{c}" for c in known.columns if c not in TEXTS])
+    scored = with_confidence(repaired)
     rejected = scored.where("grounding_classification = 'INFERENCE'")
     kept = scored.where("grounding_classification <> 'INFERENCE'").where(F.col("confidence") >= pass_threshold(F.col("extraction_iteration"), thresholds))
     kept = with_fragment(kept, pronouns)
-    kept = settled(kept.withColumn("_control", control.metadata(F.col("a"), F.col("rule_type"), F.col("rule_description"))))
+    told = None if known is None else F.col("_told")
+    kept = settled(kept.withColumn("_measure", control.measurement_type(F.col("a"), F.col("rule_type"))))
+    kept = settled(kept.withColumn("_control", control.metadata(F.col("a"), F.col("rule_type"), F.col("rule_description"), told, F.col("_measure"))).drop("_measure", "_told"))
     scalars = F.map_filter(F.try_variant_get("a", F.lit("$"), "map<string,string>"), lambda k, v: v.isNotNull())
     kept = kept.withColumn("verbs", verbs.replace_vague(F.col("rule_description"), scalars))
     kept = kept.withColumn("actionable_description", F.when(F.col("verbs.has_vague_verbs"), F.col("verbs.replaced")))
-    return kept.withColumn("control_metadata", F.col("_control")).drop("_control"), rejected
+    return kept.withColumn("control_metadata", F.col("_control")).drop("_control"), rejected.drop("_told")
 
 
 def extraction_metadata(reqs: DataFrame, chunks: DataFrame, skips: DataFrame, rejected: DataFrame, *keys: str) -> DataFrame:
